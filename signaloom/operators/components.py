@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -82,7 +80,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _star(edges: DataFrame, smaller_only: bool) -> DataFrame:
     """Connect the neighbours of each node (``smaller_only``: and the node itself) to its smallest neighbour."""
-    lowest = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+    lowest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
     hubs = lowest.filter(F.col("_n") >= HUB_DEGREE).select("u")
     joined = salted_join(edges, lowest.drop("_n"), ["u"], hubs=hubs)
     if smaller_only:
@@ -96,39 +94,48 @@ def _star(edges: DataFrame, smaller_only: bool) -> DataFrame:
 HUB_DEGREE = 1_000_000
 
 
-def merge_by_keys(
-    keyed: DataFrame, row_id: str, name: str = "session_id", max_rounds: int = 60
-) -> DataFrame:
-    """(row id, ``name``): rows sharing any key, transitively, get the same id - the smallest row id among them.
+def key_nodes(keys: dict[str, Column]) -> Column:
+    """ARRAY of the row's known identifiers as ``type:value`` texts; see :func:`key_rows` for the names."""
+    texts = [
+        F.when(value.cast("string") != "", F.concat(F.lit(name.split("/")[0] + ":"), value.cast("string")))
+        for name, value in keys.items()
+    ]
+    return F.array_distinct(F.array_compact(F.array(*texts)))
 
-    The components are worked out on identifiers, not on rows: a row with several identifiers contributes edges
-    from its smallest one, and equal edges are folded before any shuffle, so the graph grows with distinct
-    identifiers. Rows then pick up their label through one identifier each. Rows without any key are absent.
-    """
+
+def nodes_of(keyed: DataFrame, row_id: str) -> DataFrame:
+    """(row id, ``nodes``) back out of a long key table, for use after :func:`split_hubs`."""
     node = F.concat_ws(":", "key_type", "key_value")
-    nodes = keyed.select(row_id, node.alias("node"))
-    anchored = nodes.groupBy(row_id).agg(F.min("node").alias("anchor"), F.collect_set("node").alias("nodes"))
-    edges = anchored.select(F.col("anchor").alias("a"), F.explode("nodes").alias("b")).filter("a <> b").distinct()
-    labels = component_labels(edges, max_rounds)
-    anchors = anchored.select(row_id, "anchor")
-    labelled = salted_join(anchors, labels.withColumnRenamed("node", "anchor"), ["anchor"], "left").select(
-        row_id, F.coalesce("component", "anchor").alias("_component")
-    )
-    first = labelled.groupBy("_component").agg(F.min(row_id).alias(name))
-    return salted_join(labelled, first, ["_component"]).select(row_id, name)
+    return keyed.groupBy(row_id).agg(F.collect_set(node).alias("nodes"))
+
+
+def merge_by_keys(rows: DataFrame, row_id: str, nodes: str, name: str = "session_id", max_rounds: int = 60) -> DataFrame:
+    """(row id, ``name``): rows sharing any identifier, transitively, get the same id - the smallest row id.
+
+    The components are worked out on identifiers, not on rows: a row contributes edges from its smallest
+    identifier to its others, and equal edges are folded before the shuffle, so the graph grows with distinct
+    identifiers. Rows then pick up the label through their smallest identifier. Rows without any are absent.
+    """
+    known = rows.filter(F.size(nodes) > 0).select(row_id, F.array_min(nodes).alias("_anchor"), F.col(nodes).alias("_nodes"))
+    edges = known.select(F.col("_anchor").alias("a"), F.explode("_nodes").alias("b")).filter("a <> b").distinct()
+    labels = component_labels(edges, max_rounds).withColumnRenamed("node", "_anchor")
+    # One row per identifier from here on: the smallest row id of each anchor, then of each component.
+    anchors = known.groupBy("_anchor").agg(F.min(row_id).alias("_first"))
+    labelled = anchors.join(labels, "_anchor", "left").withColumn("_root", F.coalesce("component", "_anchor"))
+    ids = labelled.groupBy("_root").agg(F.min("_first").alias(name))
+    named = salted_join(labelled.select("_anchor", "_root"), ids, ["_root"]).select("_anchor", name)
+    return salted_join(known.select(row_id, "_anchor"), named, ["_anchor"]).select(row_id, name)
 
 
 def merge_by_keys_incremental(
-    new_keyed: DataFrame, known: DataFrame, row_id: str, name: str = "session_id"
+    new_rows: DataFrame, known: DataFrame, row_id: str, nodes: str, name: str = "session_id"
 ) -> tuple[DataFrame, DataFrame]:
     """One online step: (new known table, remap of session ids that were merged away).
 
     ``known`` is (``node``, ``name``): the session of each identifier seen so far. Only identifiers of the new rows
     and the sessions they touch take part in the components.
     """
-    node = F.concat_ws(":", "key_type", "key_value")
-    nodes = new_keyed.select(row_id, node.alias("node"))
-    touched = nodes.join(known, "node", "left")
+    touched = new_rows.select(row_id, F.explode(nodes).alias("node")).join(known, "node", "left")
     as_row = F.concat(F.lit("row:"), F.format_string("%020d", F.col(row_id)))
     as_session = F.concat(F.lit("row:"), F.format_string("%020d", F.col(name)))
     edges = touched.select(F.concat(F.lit("~"), F.col("node")).alias("a"), as_row.alias("b")).unionByName(
