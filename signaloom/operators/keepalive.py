@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import axis, whole_div
+from ..session import cut_lineage
 from .pairing import latest_unanswered
 from .timeline import Slab, carry_along, previous, running
 
@@ -21,13 +22,16 @@ TIMEOUT_SECONDS = 900
 def echoes_with_flags(
     messages: DataFrame, tunnel: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = "1d"
 ) -> DataFrame:
-    """Requests with ``interval_sec`` to the previous one, ``timed_out`` and ``breaks``."""
+    """Requests with ``interval_sec`` to the previous one, ``timed_out`` and ``breaks``.
+
+    Every walk doubles the plan above it, so the narrow echo table is written down twice on the way.
+    """
     ts = order[0]
     echoes = latest_unanswered(messages, tunnel, order, kind, slab)
     echoes = echoes.withColumn("_at", axis(echoes, ts))
     back = carry_along(echoes, tunnel, order, slab, _before=previous(F.col("_at")))
     seconds = whole_div(F.col("_at") - F.col("_before"), 1_000_000)
-    spaced = back.withColumn("interval_sec", seconds).drop("_before")
+    spaced = cut_lineage(back.withColumn("interval_sec", seconds).drop("_before"), "echoes")
     seen = carry_along(spaced, tunnel, order, slab, _last=previous(F.col("interval_sec")))
     near = carry_along(seen, tunnel, order, slab, reverse=True, _next=previous(F.col("_at")))
     wait = whole_div(F.col("_next") - F.col("_at"), 1_000_000)
@@ -38,7 +42,8 @@ def echoes_with_flags(
     )
     edge = F.col("interval_sec").isNull() | F.col("_next").isNull()
     breaks = edge | timed_out | F.coalesce(changed, F.lit(False))
-    return near.withColumn("timed_out", timed_out).withColumn("breaks", breaks).drop("_last", "_next", "_at")
+    flagged = near.withColumn("timed_out", timed_out).withColumn("breaks", breaks)
+    return cut_lineage(flagged.drop("_last", "_next", "_at"), "echoes")
 
 
 def keepalive_runs(echoes: DataFrame, tunnel: Sequence[str], order: Sequence[str], slab: Slab = "1d") -> DataFrame:

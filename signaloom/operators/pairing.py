@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import axis, micros_between, millis, whole_div
+from ..session import cut_lineage
 from .timeline import Slab, carry_along, last_known, previous, row_number, running
 
 REQUEST, RESPONSE = "REQ", "RESP"
@@ -112,6 +113,7 @@ def latest_unanswered(
     floored = carry_along(
         levelled, by, order, slab, _floor=running("min", lowest), _floor_before=running("min", lowest, inclusive=False)
     )
+    floored = cut_lineage(floored, "floors")
     before = F.coalesce(F.col("_floor_before"), F.lit(0))
     stray = (F.col("_kind") == RESPONSE) & (F.col("_s") < before)
     level = F.when(F.col("_kind") == REQUEST, F.col("_s") - F.col("_floor")).otherwise(
