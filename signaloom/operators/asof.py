@@ -108,11 +108,13 @@ def earliest_claim(
     window_id: str,
     window_start: str,
     window_end: str,
-    tolerance_us: int = 0,
+    tolerance_us: int | Column = 0,
     slab: Slab = "1d",
 ) -> DataFrame:
     """(``leg_id``, ``window_id``): each leg goes to the earliest-starting window that it touches.
 
+    ``tolerance_us`` may be an expression over the leg, so legs of several kinds go in one pass.
+
     A leg touches a window of the same key when the window, widened by the tolerance on both sides, overlaps
     [leg_start, leg_end]. Ties on start go to the lowest window id; a leg with several keys takes the earliest of
     its candidates; a leg is claimed once.
@@ -127,14 +129,16 @@ def earliest_claim(
     ).filter(F.col("_ws").isNotNull() & F.col("_we").isNotNull())
     reach = carry_along(spans, on, ["_ws", "_wid"], _width(slab), _before=running("max", F.col("_we"), inclusive=False))
     rising = reach.filter(F.col("_before").isNull() | (F.col("_we") > F.col("_before"))).drop("_before")
+    slack = F.lit(tolerance_us) if isinstance(tolerance_us, int) else tolerance_us
     probes = legs.select(
-        *on, F.col(leg_id).alias("_lid"), axis(legs, leg_start).alias("_ls"), axis(legs, leg_end).alias("_le")
+        *on,
+        F.col(leg_id).alias("_lid"),
+        (axis(legs, leg_start) - slack).alias("_ls"),
+        (axis(legs, leg_end) + slack).alias("_le"),
     )
     # Ends rise strictly within a key, so a tie cannot happen there.
-    found = asof_join(
-        probes, rising, on, F.col("_ls") - tolerance_us, F.col("_we"), F.lit(0), forward=True, slab=slab, name="_w"
-    )
-    touching = found.filter(F.col("_w._ws") <= F.col("_le") + tolerance_us)
+    found = asof_join(probes, rising, on, F.col("_ls"), F.col("_we"), F.lit(0), forward=True, slab=slab, name="_w")
+    touching = found.filter(F.col("_w._ws") <= F.col("_le"))
     best = F.min(F.struct(F.col("_w._ws").alias("ws"), F.col("_w._wid").alias("wid")))
     return touching.groupBy("_lid").agg(best.alias("_best")).select(
         F.col("_lid").alias(leg_id), F.col("_best.wid").alias(window_id)

@@ -230,21 +230,29 @@ def call_parties(calls: DataFrame, columns: Sequence[str], name: str = "party")
 
 
 def claim_legs(
-    calls: DataFrame, legs: DataFrame, kind: str, party_columns: Sequence[str], leg_keys: Sequence[str], slab: str = "1d"
+    calls: DataFrame, legs: DataFrame, party_columns: Sequence[str], leg_keys: Sequence[str], slab: str = "1d"
 ) -> DataFrame:
-    """(``leg_id``, ``call_id``, ``kind``): each leg of one kind with the earliest-starting call of its party.
+    """(``leg_id``, ``call_id``, ``kind``): each leg with the earliest-starting call of its party, all kinds in one pass.
 
-    A leg other than RTP must begin within the call, widened by the kind's tolerance; RTP only has to overlap.
+    ``legs`` has leg_id, ``kind``, start_ts, end_ts and the key columns; ``party_columns`` of the calls hold the same
+    sort of key (addresses, numbers or subscribers, prefixed when several sorts are mixed). A leg other than RTP must
+    begin within the call, widened by the kind's tolerance; RTP only has to overlap.
     """
     parties = call_parties(calls, party_columns)
     keys = F.array_distinct(F.array_compact(F.array(*[F.col(c) for c in leg_keys])))
-    end = "end_ts" if kind == "RTP" else "start_ts"
-    keyed = legs.select("leg_id", F.col("start_ts").alias("_s"), F.col(end).alias("_e"), F.explode(keys).alias("party"))
+    seconds = F.create_map(*[F.lit(x) for pair in LEG_TOLERANCE.items() for x in pair])[F.col("kind")]
+    keyed = legs.select(
+        "leg_id", "kind",
+        F.col("start_ts").alias("_s"),
+        F.when(F.col("kind") == "RTP", F.col("end_ts")).otherwise(F.col("start_ts")).alias("_e"),
+        F.explode(keys).alias("party"),
+    )
+    owner = F.struct("leg_id", "kind")
     claimed = earliest_claim(
-        keyed, parties, ["party"], "leg_id", "_s", "_e", "call_id", "start_ts", "end_ts",
-        LEG_TOLERANCE[kind] * 1_000_000, slab,
+        keyed.withColumn("leg", owner), parties, ["party"], "leg", "_s", "_e", "call_id", "start_ts", "end_ts",
+        seconds.cast("bigint") * 1_000_000, slab,
     )
-    return claimed.withColumn("kind", F.lit(kind))
+    return claimed.select("leg.leg_id", "call_id", "leg.kind")
 
 
 def call_flows(calls: DataFrame, claimed: DataFrame, legs: DataFrame) -> DataFrame:

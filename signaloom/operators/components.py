@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .hubs import salted_join
+from .hubs import HUB_ROWS, salted_join
 
 
 def key_rows(rows: DataFrame, row_id: str, keys: dict[str, Column]) -> DataFrame:
@@ -48,24 +48,12 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     needs a logarithmic number of rounds on long chains too. Every neighbour minimum is pre-aggregated before the
     shuffle and joined back with hub nodes salted. Raises rather than return labels that are not final.
     """
-    current = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
-        "edges",
-    )
-    before = None
+    start = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    current, before = _settle(start)
     for _ in range(max_rounds):
-        large = _star(_both_ways(current), smaller_only=False)
-        small = _star(large, smaller_only=True).distinct()
-        seen = Observation()
-        current = cut_lineage(
-            small.observe(
-                seen,
-                F.count(F.lit(1)).alias("n"),
-                F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"),
-            ),
-            "edges",
-        )
-        after = seen.get
+        salted = before["n"] >= HUB_DEGREE
+        large = _star(_both_ways(current), smaller_only=False, salted=salted)
+        current, after = _settle(_star(large, smaller_only=True, salted=salted).distinct())
         if after == before:
             stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
             roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -74,15 +62,29 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def _settle(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Edges written down, with their number and an order-free checksum from the same pass."""
+    seen = Observation()
+    checksum = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
+    written = cut_lineage(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("h")), "edges")
+    return written, seen.get
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, smaller_only: bool) -> DataFrame:
-    """Connect the neighbours of each node (``smaller_only``: and the node itself) to its smallest neighbour."""
+def _star(edges: DataFrame, smaller_only: bool, salted: bool) -> DataFrame:
+    """Connect the neighbours of each node (``smaller_only``: and the node itself) to its smallest neighbour.
+
+    ``salted`` spreads the edges of hub nodes in the join back; a graph with fewer edges than a hub has none.
+    """
     lowest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
-    hubs = lowest.filter(F.col("_n") >= HUB_DEGREE).select("u")
-    joined = salted_join(edges, lowest.drop("_n"), ["u"], hubs=hubs)
+    if salted:
+        hubs = lowest.filter(F.col("_n") >= HUB_DEGREE).select("u")
+        joined = salted_join(edges, lowest.drop("_n"), ["u"], hubs=hubs)
+    else:
+        joined = edges.join(lowest.drop("_n"), "u")
     if smaller_only:
         # u > v on every edge here: the smaller neighbours move to the minimum, and so does the node.
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -117,14 +119,22 @@ def merge_by_keys(rows: DataFrame, row_id: str, nodes: str, name: str = "session
     identifiers. Rows then pick up the label through their smallest identifier. Rows without any are absent.
     """
     known = rows.filter(F.size(nodes) > 0).select(row_id, F.array_min(nodes).alias("_anchor"), F.col(nodes).alias("_nodes"))
-    edges = known.select(F.col("_anchor").alias("a"), F.explode("_nodes").alias("b")).filter("a <> b").distinct()
+    counted = Observation()
+    pairs = known.observe(counted, F.count(F.lit(1)).alias("n")).select(
+        F.col("_anchor").alias("a"), F.explode("_nodes").alias("b")
+    )
+    edges = pairs.filter("a <> b").distinct()
     labels = component_labels(edges, max_rounds).withColumnRenamed("node", "_anchor")
     # One row per identifier from here on: the smallest row id of each anchor, then of each component.
-    anchors = known.groupBy("_anchor").agg(F.min(row_id).alias("_first"))
+    anchors = known.groupBy("_anchor").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     labelled = anchors.join(labels, "_anchor", "left").withColumn("_root", F.coalesce("component", "_anchor"))
     ids = labelled.groupBy("_root").agg(F.min("_first").alias(name))
+    if counted.get["n"] < HUB_ROWS:
+        named = labelled.select("_anchor", "_root").join(ids, "_root").select("_anchor", name)
+        return known.select(row_id, "_anchor").join(named, "_anchor").select(row_id, name)
     named = salted_join(labelled.select("_anchor", "_root"), ids, ["_root"]).select("_anchor", name)
-    return salted_join(known.select(row_id, "_anchor"), named, ["_anchor"]).select(row_id, name)
+    hubs = anchors.filter(F.col("_rows") >= HUB_ROWS).select("_anchor")
+    return salted_join(known.select(row_id, "_anchor"), named, ["_anchor"], hubs=hubs).select(row_id, name)
 
 
 def merge_by_keys_incremental(

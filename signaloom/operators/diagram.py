@@ -76,7 +76,7 @@ def participants(
     name = (
         F.when(F.col("role") == UNKNOWN, F.concat_ws(":", F.concat(F.lit("UNKNOWN-"), "ip"), F.when(F.col("port") != 0, F.col("port").cast("string"))))
         .when((F.col("role") == "UE") | (F.col("nth") == 1), F.col("role"))
-        .otherwise(F.concat_ws("-", "role", F.lpad(F.col("nth").cast("string"), 2, "0")))
+        .otherwise(F.concat_ws("-", "role", F.when(F.col("nth") < 10, F.concat(F.lit("0"), F.col("nth").cast("string"))).otherwise(F.col("nth").cast("string"))))
     )
     return numbered.select(*by, "ip", "role", name.alias("participant"))
 

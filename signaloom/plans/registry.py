@@ -11,7 +11,7 @@ from .bindings import plain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("sessions",)
+_MODULES = ("calls",)
 _QUERIES: dict[str, Query] = {}
 _CHECKS: dict[str, str] = {}
 
