@@ -146,7 +146,7 @@ def diagram_interface(
 
 def service_of_path(path: ColumnLike) -> Column:
     """First path segment of an API call."""
-    return F.split(col(path), "/")[1]
+    return F.get(F.split(col(path), "/"), 1)
 
 
 def network_function(service: ColumnLike) -> Column:

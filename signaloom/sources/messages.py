@@ -64,15 +64,16 @@ def correlation_keys(protocol: str = "protocol", body: str = "parsed_data") -> d
 
     users = F.transform(parsed["p_asserted_identity"], lambda p: p["username"])
     uri_users = F.transform(parsed["p_associated_uri"], lambda u: F.regexp_extract(u, "sip:([^@]*)@", 1))
-    first_imsi = lambda names: F.filter(names, lambda u: _digits(u, 14, 15))[0]
+    first_imsi = lambda names: F.get(F.filter(names, lambda u: _digits(u, 14, 15)), 0)
     authorised = F.when(_digits(parsed["authorization_username"], 14, 15), parsed["authorization_username"])
     sip_imsi = F.coalesce(first_imsi(users), authorised, first_imsi(uri_users))
     phones = F.filter(
         users,
         lambda u: u.startswith("+") | (_digits(u, 10, 15) & ~F.coalesce(u == sip_imsi, F.lit(False))),
     )
-    sip_phone = F.regexp_replace(F.element_at(phones, -1), r"^\+", "")
-    subscription = lambda wanted: F.filter(parsed["subscription_ids"], lambda s: s["type"] == wanted)[0]["data"]
+    sip_phone = F.regexp_replace(F.try_element_at(phones, F.lit(-1)), r"^\+", "")
+    of_type = lambda wanted: F.filter(parsed["subscription_ids"], lambda s: s["type"] == wanted)
+    subscription = lambda wanted: F.get(of_type(wanted), 0)["data"]
     user_name = F.when(_digits(parsed["user_name"], 14, 15), parsed["user_name"])
     address = parsed["sdp"]["connection_address"]
     return {

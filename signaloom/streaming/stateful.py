@@ -1,0 +1,189 @@
+"""Per-key state with event-time timers: ordered release, pairing, claims, life cycles, exact repeat removal.
+
+Rows of a key arrive in any order within the watermark delay. A processor keeps them in state until the watermark
+passes, then handles them in event-time order, so a stream gives the rows its batch twin gives. Only rows inside
+the delay are ever held per key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .running import use_rocksdb
+
+ROW_SCHEMA = "at bigint, id bigint, kind string, value string"
+
+
+class OrderedRelease(StatefulProcessor):
+    """Holds rows (``at`` microseconds, ``id``, ``kind``, ``value``) and releases them in order behind the watermark."""
+
+    #: Fields of the value kept between releases.
+    state_schema = "at bigint, id bigint, value string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", ROW_SCHEMA)
+        self.kept = handle.getValueState("kept", self.state_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # The earliest row sets the timer; releasing sets the next one.
+        earliest = None
+        for chunk in rows:
+            self.pending.appendList([
+                (int(r.at), int(r.id), str(r.kind), None if pd.isna(r.value) else str(r.value))
+                for r in chunk.itertuples(index=False)
+            ])
+            first = int(chunk["at"].min())
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.pending.get()) if self.pending.exists() else []
+        ready = [r for r in rows if r[0] // 1000 + 1 <= watermark]
+        held = rows[len(ready):]
+        if held:
+            self.pending.put(held)
+            self.handle.registerTimer(held[0][0] // 1000 + 1)
+        else:
+            self.pending.clear()
+        kept = self.kept.get() if self.kept.exists() else None
+        out, kept = self.release(tuple(key), ready, kept, watermark)
+        if kept is None:
+            self.kept.clear()
+        else:
+            self.kept.update(kept)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+    def release(self, key, rows, kept, watermark):
+        """(output rows, value to keep) for the rows that became final."""
+        raise NotImplementedError
+
+
+class Pairing(OrderedRelease):
+    """Requests with the response that follows; ``answered_at`` is NULL when it took longer than the time-out."""
+
+    columns = ["key", "request_id", "requested_at", "answered_at"]
+    schema = "key string, request_id bigint, requested_at bigint, answered_at bigint"
+
+    def __init__(self, timeout_us: int):
+        self.timeout_us = timeout_us
+
+    def release(self, key, rows, kept, watermark):
+        out = []
+        for at, row_id, kind, _ in rows:
+            if kind == "REQ":
+                if kept is not None:
+                    out.append((key[0], kept[1], kept[0], None))
+                kept = (at, row_id, None)
+            elif kept is not None:
+                in_time = at - kept[0] <= self.timeout_us
+                out.append((key[0], kept[1], kept[0], at if in_time else None))
+                kept = None
+        if kept is not None:
+            if (kept[0] + self.timeout_us) // 1000 + 1 <= watermark:
+                out.append((key[0], kept[1], kept[0], None))
+                kept = None
+            else:
+                self.handle.registerTimer((kept[0] + self.timeout_us) // 1000 + 1)
+        return out, kept
+
+
+class LastClaim(OrderedRelease):
+    """Probes with the value of the latest earlier claim of the key that is not older than the time to live."""
+
+    columns = ["key", "probe_id", "value"]
+    schema = "key string, probe_id bigint, value string"
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def release(self, key, rows, kept, watermark):
+        out = []
+        for at, row_id, kind, value in rows:
+            if kind == "CLAIM":
+                kept = (at, row_id, value)
+            else:
+                live = kept is not None and at - kept[0] <= self.ttl_us
+                out.append((key[0], row_id, kept[2] if live else None))
+        if kept is not None and watermark - kept[0] // 1000 > self.ttl_us // 1000 + 1:
+            kept = None
+        return out, kept
+
+
+class NearRepeat(OrderedRelease):
+    """Rows that come no sooner than the given time after the previous row of their signature."""
+
+    columns = ["key", "row_id"]
+    schema = "key string, row_id bigint"
+
+    def __init__(self, within_us: int):
+        self.within_us = within_us
+
+    def release(self, key, rows, kept, watermark):
+        out = []
+        for at, row_id, _, _ in rows:
+            if kept is None or at - kept[0] > self.within_us:
+                out.append((key[0], row_id))
+            kept = (at, row_id, None)
+        return out, kept
+
+
+class Lifecycle(OrderedRelease):
+    """Records of entities (tunnels, dialogs): opened at the first row, ended by an END row or by being idle too long."""
+
+    columns = ["key", "opened_at", "last_at", "rows", "ended_by"]
+    schema = "key string, opened_at bigint, last_at bigint, rows bigint, ended_by string"
+    state_schema = "at bigint, id bigint, value string"
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def release(self, key, rows, kept, watermark):
+        # kept: last row's time, number of rows, opening time as text.
+        out = []
+        for at, _, kind, _ in rows:
+            if kept is not None and at - kept[0] > self.idle_us:
+                out.append((key[0], int(kept[2]), kept[0], kept[1], "IDLE"))
+                kept = None
+            kept = (at, 1, str(at)) if kept is None else (at, kept[1] + 1, kept[2])
+            if kind == "END":
+                out.append((key[0], int(kept[2]), kept[0], kept[1], "END"))
+                kept = None
+        if kept is not None:
+            over = (kept[0] + self.idle_us) // 1000 + 1
+            if over <= watermark:
+                out.append((key[0], int(kept[2]), kept[0], kept[1], "IDLE"))
+                kept = None
+            else:
+                self.handle.registerTimer(over)
+        return out, kept
+
+
+def keyed_rows(stream: DataFrame, key: str, ts: str, row_id: str, kind, value=None, delay: str = "10 minutes") -> DataFrame:
+    """The row shape that processors read: key, ``at``, ``id``, ``kind``, ``value``; NULL keys and kinds are left out."""
+    shaped = stream.select(
+        F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), F.col(row_id).cast("bigint").alias("id"),
+        kind.alias("kind"), (F.lit(None).cast("string") if value is None else value.cast("string")).alias("value"), F.col(ts),
+    )
+    # Only the rows that take part move the watermark.
+    return shaped.filter("key is not null and kind is not null").withWatermark(ts, delay)
+
+
+def apply(stream: DataFrame, processor: OrderedRelease, by: Sequence[str] = ("key",)) -> DataFrame:
+    """Run a processor per key in append mode with event-time timers."""
+    use_rocksdb(stream.sparkSession)
+    return stream.groupBy(*by).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.schema, outputMode="append", timeMode="EventTime"
+    )
