@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -63,11 +63,10 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _settle(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """Edges written down, with their number and an order-free checksum from the same pass."""
-    seen = Observation()
-    checksum = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
-    written = cut_lineage(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("h")), "edges")
-    return written, seen.get
+    """Edges written down, with their number and an order-free checksum."""
+    written = cut_lineage(edges, "edges")
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    return written, written.agg(F.count(F.lit(1)).alias("n"), checksum.alias("h")).first().asDict()
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -111,30 +110,30 @@ def nodes_of(keyed: DataFrame, row_id: str) -> DataFrame:
     return keyed.groupBy(row_id).agg(F.collect_set(node).alias("nodes"))
 
 
-def merge_by_keys(rows: DataFrame, row_id: str, nodes: str, name: str = "session_id", max_rounds: int = 60) -> DataFrame:
-    """(row id, ``name``): rows sharing any identifier, transitively, get the same id - the smallest row id.
+def merge_by_keys(rows: DataFrame, nodes: str, row_id: str, name: str = "session_id", max_rounds: int = 60) -> DataFrame:
+    """``rows`` with ``name``: rows sharing any identifier, transitively, get the same id - the smallest row id.
 
     The components are worked out on identifiers, not on rows: a row contributes edges from its smallest
     identifier to its others, and equal edges are folded before the shuffle, so the graph grows with distinct
-    identifiers. Rows then pick up the label through their smallest identifier. Rows without any are absent.
+    identifiers. Rows then pick up the label through their smallest identifier, in the only join that moves
+    whole rows. Rows without any identifier are left out; ``nodes`` is dropped.
     """
-    known = rows.filter(F.size(nodes) > 0).select(row_id, F.array_min(nodes).alias("_anchor"), F.col(nodes).alias("_nodes"))
-    counted = Observation()
-    pairs = known.observe(counted, F.count(F.lit(1)).alias("n")).select(
-        F.col("_anchor").alias("a"), F.explode("_nodes").alias("b")
-    )
-    edges = pairs.filter("a <> b").distinct()
-    labels = component_labels(edges, max_rounds).withColumnRenamed("node", "_anchor")
+    known = rows.filter(F.size(nodes) > 0).withColumn("_anchor", F.array_min(nodes))
+    pairs = known.select(F.col("_anchor").alias("a"), F.explode(nodes).alias("b"))
+    labels = component_labels(pairs.filter("a <> b").distinct(), max_rounds).withColumnRenamed("node", "_anchor")
     # One row per identifier from here on: the smallest row id of each anchor, then of each component.
     anchors = known.groupBy("_anchor").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     labelled = anchors.join(labels, "_anchor", "left").withColumn("_root", F.coalesce("component", "_anchor"))
+    labelled = cut_lineage(labelled.select("_anchor", "_root", "_first", "_rows"), "anchors")
+    sizes = labelled.agg(F.max("_rows"), F.count(F.lit(1))).first()
     ids = labelled.groupBy("_root").agg(F.min("_first").alias(name))
-    if counted.get["n"] < HUB_ROWS:
-        named = labelled.select("_anchor", "_root").join(ids, "_root").select("_anchor", name)
-        return known.select(row_id, "_anchor").join(named, "_anchor").select(row_id, name)
-    named = salted_join(labelled.select("_anchor", "_root"), ids, ["_root"]).select("_anchor", name)
-    hubs = anchors.filter(F.col("_rows") >= HUB_ROWS).select("_anchor")
-    return salted_join(known.select(row_id, "_anchor"), named, ["_anchor"], hubs=hubs).select(row_id, name)
+    few = (sizes[1] or 0) < HUB_ROWS
+    named = labelled.join(ids, "_root") if few else salted_join(labelled, ids, ["_root"])
+    found = known.drop(nodes)
+    if (sizes[0] or 0) < HUB_ROWS:
+        return found.join(named.select("_anchor", name), "_anchor").drop("_anchor")
+    hubs = labelled.filter(F.col("_rows") >= HUB_ROWS).select("_anchor")
+    return salted_join(found, named.select("_anchor", name), ["_anchor"], hubs=hubs).drop("_anchor")
 
 
 def merge_by_keys_incremental(

@@ -32,9 +32,7 @@ def _keys():
 
 def merged_messages(spark, sf):
     """Messages with their session."""
-    messages = bound(spark, sf, "messages")
-    ids = merge_by_keys(messages.select("message_id", key_nodes(_keys()).alias("nodes")), "message_id", "nodes")
-    return messages.join(ids, "message_id")
+    return merge_by_keys(bound(spark, sf, "messages").withColumn("nodes", key_nodes(_keys())), "nodes", "message_id")
 
 
 @register("key_merge_sessions", check(_MERGED + " SELECT * FROM merged", "messages", recursive=True))
@@ -184,7 +182,7 @@ def _(spark, sf):
 def _(spark, sf):
     keyed = key_rows(bound(spark, sf, "messages"), "message_id", {"imsi": F.col("imsi"), "dst_ip": F.col("dst_ip")})
     kept, _hubs = split_hubs(keyed, "message_id", 200)
-    return merge_by_keys(nodes_of(kept, "message_id"), "message_id", "nodes")
+    return merge_by_keys(nodes_of(kept, "message_id"), "nodes", "message_id")
 
 
 @register(
@@ -197,7 +195,7 @@ def _(spark, sf):
 def _(spark, sf):
     messages = bound(spark, sf, "messages")
     key = bounded_in_time(F.col("imsi"), F.col("ts"), 86_400)
-    return merge_by_keys(messages.select("message_id", key_nodes({"imsi": key}).alias("nodes")), "message_id", "nodes")
+    return merge_by_keys(messages.select("message_id", key_nodes({"imsi": key}).alias("nodes")), "nodes", "message_id")
 
 
 _SUBSCRIBERS = """WITH kv AS (SELECT obs_id, unnest(['imsi:' || imsi, 'msisdn:' || msisdn, 'imei:' || imei, 'tmsi:' || tmsi, 'ipv4:' || ipv4]) AS node FROM identities),
@@ -211,8 +209,7 @@ _SUBSCRIBERS = """WITH kv AS (SELECT obs_id, unnest(['imsi:' || imsi, 'msisdn:'
 def _subscribers(spark, sf):
     rows = bound(spark, sf, "identities")
     nodes = key_nodes({c: F.col(c) for c in ("imsi", "msisdn", "imei", "tmsi", "ipv4")})
-    ids = merge_by_keys(rows.select("obs_id", nodes.alias("nodes")), "obs_id", "nodes", "subscriber_id")
-    return rows.join(ids, "obs_id")
+    return merge_by_keys(rows.withColumn("nodes", nodes), "nodes", "obs_id", "subscriber_id")
 
 
 @register(
@@ -439,8 +436,8 @@ def _(spark, sf):
 def _(spark, sf):
     rows = bound(spark, sf, "nas")
     nodes = key_nodes({"pair": F.col("context_pair"), "imsi": F.col("imsi"), "tmsi": F.col("tmsi")})
-    ids = merge_by_keys(rows.select("message_id", nodes.alias("nodes")), "message_id", "nodes")
-    return T.nas_sessions(rows.join(ids, "message_id"), "session_id", ["ts", "message_id"])
+    merged = merge_by_keys(rows.withColumn("nodes", nodes), "nodes", "message_id")
+    return T.nas_sessions(merged, "session_id", ["ts", "message_id"])
 
 
 @register(
