@@ -42,35 +42,42 @@ def split_hubs(keyed: DataFrame, row_id: str, most_rows: int) -> tuple[DataFrame
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(``node``, ``component``) for every node of the undirected ``edges`` (a, b); component = smallest node.
+    """(``node``, ``component``) for every node of the undirected ``edges`` (a, b); the component is a BIGINT.
 
     Alternates two star operations (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), which
-    needs a logarithmic number of rounds on long chains too. Every neighbour minimum is pre-aggregated before the
-    shuffle and joined back with hub nodes salted. Raises rather than return labels that are not final.
+    needs a logarithmic number of rounds on long chains too. Nodes are numbered first, so that every round moves
+    and aggregates 8-byte integers. Every neighbour minimum is pre-aggregated before the shuffle and joined back
+    with hub nodes salted. Raises rather than return labels that are not final.
     """
-    start = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    current, before = _settle(start)
+    named = cut_lineage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    nodes = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Written once: the numbers stay the same for every later reader.
+    numbers = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    salted = named.count() >= HUB_DEGREE
+    ends = named
+    for end, number in (("a", "x"), ("b", "y")):
+        per_node = numbers.select(F.col("node").alias(end), F.col("id").alias(number))
+        ends = salted_join(ends, per_node, [end], hub_rows=HUB_DEGREE) if salted else ends.join(per_node, end)
+    total = numbers.count()
+    current = cut_lineage(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        salted = before["n"] >= HUB_DEGREE
-        large = _star(_both_ways(current), smaller_only=False, salted=salted)
-        current, after = _settle(_star(large, smaller_only=True, salted=salted).distinct())
-        if after == before:
-            stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return stars.unionByName(roots)
-        before = after
+        edge_count, centres = current.agg(F.count(F.lit(1)), F.count_distinct("v")).first()
+        # Every component has at least one centre, and at least total - edges components exist: when both numbers
+        # meet, each component is a star around its smallest node.
+        if edge_count + centres == total:
+            stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return numbers.join(stars.unionByName(roots), "id").select("node", "component")
+        salted = edge_count >= HUB_DEGREE
+        both_ways = current.select(_ends(("u", "v"), ("v", "u")))
+        large = _star(both_ways, smaller_only=False, salted=salted)
+        current = cut_lineage(_star(large, smaller_only=True, salted=salted).distinct(), "edges")
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def _settle(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """Edges written down, with their number and an order-free checksum."""
-    written = cut_lineage(edges, "edges")
-    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return written, written.agg(F.count(F.lit(1)).alias("n"), checksum.alias("h")).first().asDict()
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _ends(*pairs: tuple[str, str]) -> Column:
+    """Rows (u, v) out of pairs of columns, in one pass over the input."""
+    return F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs]))
 
 
 def _star(edges: DataFrame, smaller_only: bool, salted: bool) -> DataFrame:
@@ -86,8 +93,7 @@ def _star(edges: DataFrame, smaller_only: bool, salted: bool) -> DataFrame:
         joined = edges.join(lowest.drop("_n"), "u")
     if smaller_only:
         # u > v on every edge here: the smaller neighbours move to the minimum, and so does the node.
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        return moved.unionByName(lowest.select("u", F.col("m").alias("v")).filter("u <> v"))
+        return joined.select(_ends(("v", "m"), ("u", "m"))).filter("u <> v")
     return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
@@ -120,10 +126,12 @@ def merge_by_keys(rows: DataFrame, nodes: str, row_id: str, name: str = "session
     """
     known = rows.filter(F.size(nodes) > 0).withColumn("_anchor", F.array_min(nodes))
     pairs = known.select(F.col("_anchor").alias("a"), F.explode(nodes).alias("b"))
-    labels = component_labels(pairs.filter("a <> b").distinct(), max_rounds).withColumnRenamed("node", "_anchor")
+    labels = component_labels(pairs, max_rounds).withColumnRenamed("node", "_anchor")
     # One row per identifier from here on: the smallest row id of each anchor, then of each component.
     anchors = known.groupBy("_anchor").agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    labelled = anchors.join(labels, "_anchor", "left").withColumn("_root", F.coalesce("component", "_anchor"))
+    labelled = anchors.join(labels, "_anchor", "left").withColumn(
+        "_root", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("="), "_anchor"))
+    )
     labelled = cut_lineage(labelled.select("_anchor", "_root", "_first", "_rows"), "anchors")
     sizes = labelled.agg(F.max("_rows"), F.count(F.lit(1))).first()
     ids = labelled.groupBy("_root").agg(F.min("_first").alias(name))
@@ -145,23 +153,18 @@ def merge_by_keys_incremental(
     and the sessions they touch take part in the components.
     """
     touched = new_rows.select(row_id, F.explode(nodes).alias("node")).join(known, "node", "left")
-    as_row = F.concat(F.lit("row:"), F.format_string("%020d", F.col(row_id)))
-    as_session = F.concat(F.lit("row:"), F.format_string("%020d", F.col(name)))
-    edges = touched.select(F.concat(F.lit("~"), F.col("node")).alias("a"), as_row.alias("b")).unionByName(
-        touched.filter(F.col(name).isNotNull()).select(
-            F.concat(F.lit("~"), F.col("node")).alias("a"), as_session.alias("b")
-        )
+    # Numbers (rows of this batch, sessions of before) and identifiers are the two sorts of nodes.
+    identifier, number = F.concat(F.lit("~"), F.col("node")), lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
+    edges = touched.select(identifier.alias("a"), number(row_id).alias("b")).unionByName(
+        touched.filter(F.col(name).isNotNull()).select(identifier.alias("a"), number(name).alias("b"))
     )
-    labels = component_labels(edges.distinct()).withColumn(
-        name, F.substring("component", 5, 20).cast("bigint")
-    )
-    renamed = labels.filter(F.col("node").startswith("row:")).select(
-        F.substring("node", 5, 20).cast("bigint").alias("_old"), F.col(name).alias("_new")
-    )
-    fresh = labels.filter(F.col("node").startswith("~")).select(F.expr("substring(node, 2)").alias("node"), name)
+    labels = component_labels(edges)
+    body = F.expr("substring(node, 2)")
+    numbers = labels.filter("node like '#%'").select("component", body.cast("bigint").alias("_old"))
+    ids = numbers.groupBy("component").agg(F.min("_old").alias(name))
+    fresh = labels.filter("node like '~%'").select("component", body.alias("node")).join(ids, "component").select("node", name)
+    renamed = numbers.join(ids, "component").select("_old", F.col(name).alias("_new"))
     kept = known.join(fresh.select("node"), "node", "left_anti")
-    moved = kept.join(renamed, kept[name] == renamed["_old"], "left").select(
-        "node", F.coalesce("_new", name).alias(name)
-    )
+    moved = kept.join(renamed, kept[name] == renamed["_old"], "left").select("node", F.coalesce("_new", name).alias(name))
     remap = renamed.filter("_old <> _new").select(F.col("_old").alias("merged_id"), F.col("_new").alias(name))
     return moved.unionByName(fresh), remap
