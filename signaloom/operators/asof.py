@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import axis, interval_seconds
-from .timeline import Slab, carry_along, last_known, running
+from ..functions.core import axis
+from .timeline import Slab, carry_along, last_known, running, width_of
 
 
 def asof_join(
@@ -19,7 +19,7 @@ def asof_join(
     claim_at: Column,
     claim_tie: str | Column,
     forward: bool = False,
-    slab: Slab = "1d",
+    slab: Slab = None,
     name: str = "claim",
 ) -> DataFrame:
     """Every probe with the STRUCT of the nearest claim of its key at or before it (at or after: ``forward``).
@@ -57,7 +57,7 @@ def asof_join(
         lined,
         on,
         ["_at", "_side", "_tie"],
-        _width(slab),
+        None if slab is None else width_of(slab),
         _found=last_known(F.col("_claim"), inclusive=True),
     )
     matched = walked.filter("_side = 1").select("_probe.*", F.col("_found").alias(name))
@@ -65,11 +65,6 @@ def asof_join(
     return matched.unionByName(keyless)
 
 
-def _width(slab: Slab) -> int:
-    """Slab width on a microsecond axis."""
-    return slab if isinstance(slab, int) else interval_seconds(slab) * 1_000_000
-
-
 def first_by_precedence(
     probes: DataFrame,
     claims: DataFrame,
@@ -80,7 +75,7 @@ def first_by_precedence(
     claim_at: Column,
     claim_tie: str,
     take: str,
-    slab: Slab = "1d",
+    slab: Slab = None,
 ) -> DataFrame:
     """(``probe_id``, ``take``): value of the latest earlier claim, trying a probe's ``keys`` in order.
 
@@ -109,7 +104,7 @@ def earliest_claim(
     window_start: str,
     window_end: str,
     tolerance_us: int | Column = 0,
-    slab: Slab = "1d",
+    slab: Slab = None,
 ) -> DataFrame:
     """(``leg_id``, ``window_id``): each leg goes to the earliest-starting window that it touches.
 
@@ -127,7 +122,7 @@ def earliest_claim(
     spans = windows.select(
         *on, F.col(window_id).alias("_wid"), axis(windows, window_start).alias("_ws"), axis(windows, window_end).alias("_we")
     ).filter(F.col("_ws").isNotNull() & F.col("_we").isNotNull())
-    reach = carry_along(spans, on, ["_ws", "_wid"], _width(slab), _before=running("max", F.col("_we"), inclusive=False))
+    reach = carry_along(spans, on, ["_ws", "_wid"], None if slab is None else width_of(slab), _before=running("max", F.col("_we"), inclusive=False))
     rising = reach.filter(F.col("_before").isNull() | (F.col("_we") > F.col("_before"))).drop("_before")
     slack = F.lit(tolerance_us) if isinstance(tolerance_us, int) else tolerance_us
     probes = legs.select(
@@ -153,7 +148,7 @@ def claims_within(
     claim_at: Column,
     claim_tie: str,
     ttl_us: int,
-    slab: Slab = "1d",
+    slab: Slab = None,
     name: str = "claim",
 ) -> DataFrame:
     """As-of match that only counts while the claim is younger than ``ttl_us``."""

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.core import axis, millis
 from ..functions.identifiers import uri_user
 from .asof import earliest_claim
+from .hubs import salted_join
 from .procedures import StepTable, walk_steps
 from .sessions import first_known
+from .timeline import Slab
 
 # Session type by method of the first request (INVITE and REGISTER are refined below).
 FIRST_METHOD = {
@@ -116,7 +118,7 @@ def sip_dialogs(messages: DataFrame, order: Sequence[str]) -> DataFrame:
         F.coalesce(first_known("to_tag", order), F.lit("")).alias("_first_tag"),
         F.greatest(F.count_distinct("to_tag") - 1, F.lit(0)).alias("forks"),
     )
-    named = tagged.join(first_tag, pair).withColumn("to_tag", F.coalesce("to_tag", "_first_tag"))
+    named = salted_join(tagged, first_tag, pair).withColumn("to_tag", F.coalesce("to_tag", "_first_tag"))
     confirmed = ~F.col("is_request") & F.col("status_code").between(200, 299) & (F.col("cseq_method") == "INVITE")
     ended = F.col("is_request") & (F.col("method") == "BYE")
     rolled = named.groupBy(*pair, "to_tag").agg(
@@ -196,7 +198,7 @@ def call_event() -> Column:
     )
 
 
-def call_states(messages: DataFrame, call_id: str, order: Sequence[str], event: Column, slab: str = "1d") -> DataFrame:
+def call_states(messages: DataFrame, call_id: str, order: Sequence[str], event: Column, slab: Slab = None) -> DataFrame:
     """State of every call at the end of the stream; a call exists from its INVITE on."""
     steps = walk_steps(messages, [call_id], order, event, CALL_STATES, slab)
     return steps.groupBy(call_id).agg(
@@ -230,7 +232,7 @@ def call_parties(calls: DataFrame, columns: Sequence[str], name: str = "party")
 
 
 def claim_legs(
-    calls: DataFrame, legs: DataFrame, party_columns: Sequence[str], leg_keys: Sequence[str], slab: str = "1d"
+    calls: DataFrame, legs: DataFrame, party_columns: Sequence[str], leg_keys: Sequence[str], slab: Slab = None
 ) -> DataFrame:
     """(``leg_id``, ``call_id``, ``kind``): each leg with the earliest-starting call of its party, all kinds in one pass.
 
@@ -280,12 +282,12 @@ def call_flows(calls: DataFrame, claimed: DataFrame, legs: DataFrame) -> DataFra
 
 
 def attach_by_icid_or_subscriber(
-    messages: DataFrame, calls: DataFrame, message_id: str, ts: str, slab: str = "1d"
+    messages: DataFrame, calls: DataFrame, message_id: str, ts: str, slab: Slab = None
 ) -> DataFrame:
     """(message id, call_id, ``how``): by charging id, else the subscriber's first call open at that time."""
-    by_icid = messages.filter("icid is not null").join(
-        calls.filter("icid is not null").groupBy("icid").agg(F.min("call_id").alias("call_id")), "icid"
-    ).select(message_id, "call_id", F.lit("ICID").alias("how"))
+    first_of_icid = calls.filter("icid is not null").groupBy("icid").agg(F.min("call_id").alias("call_id"))
+    charged = messages.filter("icid is not null").select(message_id, "icid")
+    by_icid = salted_join(charged, first_of_icid, ["icid"]).select(message_id, "call_id", F.lit("ICID").alias("how"))
     rest = messages.filter("imsi is not null").join(by_icid.select(message_id), message_id, "left_anti")
     open_ = earliest_claim(
         rest.select(message_id, "imsi", ts), calls.select("imsi", "call_id", "start_ts", "end_ts"), ["imsi"],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import diagram_interface
 from .hubs import salted_join
-from .timeline import Slab, carry_along, row_number
+from .timeline import Slab, carry_along, fit_slab, row_number
 
 # Fixed values: (source role, destination role) by protocol or port, by message type, by Diameter application.
 PROTOCOL_ROLES = {
@@ -45,7 +45,7 @@ def participants(
     by: Sequence[str],
     order: Sequence[str],
     mapping: DataFrame | None = None,
-    slab: Slab = "1d",
+    slab: Slab = None,
 ) -> DataFrame:
     """(by, ``ip``, ``role``, ``participant``): the first message that shows an address settles its role.
 
@@ -64,6 +64,7 @@ def participants(
         ]
     )
     shown = messages.select(*by, *order, F.inline(sides)).filter("ip is not null")
+    slab = fit_slab(messages, by, order[0]) if slab is None else slab
     place = F.struct(*order, "side")
     first = shown.groupBy(*by, "ip").agg(
         F.min_by(F.struct("role", "port"), place).alias("_seen"), F.min(place).alias("_place")
@@ -82,12 +83,13 @@ def participants(
 
 
 def diagram_rows(
-    messages: DataFrame, people: DataFrame, by: Sequence[str], order: Sequence[str], slab: Slab = "1d"
+    messages: DataFrame, people: DataFrame, by: Sequence[str], order: Sequence[str], slab: Slab = None
 ) -> DataFrame:
     """Numbered events with their sender, receiver and interface label.
 
     ``people`` has one row per address, so each of the two joins is against a per-key table and salts hub addresses.
     """
+    slab = fit_slab(messages, by, order[0]) if slab is None else slab
     rows = messages
     for end in ("src", "dst"):
         ends = people.select(

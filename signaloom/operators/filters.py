@@ -81,7 +81,7 @@ def any_column(rows: DataFrame, columns: Sequence[str], value) -> DataFrame:
 
 def having_child(parents: DataFrame, children: DataFrame, on: str, condition: Column) -> DataFrame:
     """Parents with at least one child row that satisfies ``condition``."""
-    return parents.join(children.filter(condition).select(on), on, "left_semi")
+    return parents.join(children.filter(condition).select(on).distinct(), on, "left_semi")
 
 
 def sessions_by_key(keys: DataFrame, wanted: DataFrame, session: str = "session_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import interruption_quality
 from ..functions.core import axis, millis
 from .asof import asof_join
-from .timeline import Slab, carry_along, previous
+from .timeline import Slab, carry_along, fit_slab, previous
 
 # Cause code of an accepted request; messages that ask for and confirm a handover.
 ACCEPTED = 16
@@ -20,7 +20,7 @@ NOTIFIES = ("S1AP_HANDOVER_NOTIFY", "NGAP_HANDOVER_NOTIFY")
 
 
 def key_changes(
-    messages: DataFrame, by: Sequence[str], order: Sequence[str], key: str, carried: Sequence[str] = (), slab: Slab = "1d"
+    messages: DataFrame, by: Sequence[str], order: Sequence[str], key: str, carried: Sequence[str] = (), slab: Slab = None
 ) -> DataFrame:
     """Rows where ``key`` (tunnel id) differs from the entity's previous row, with ``old_*`` values."""
     before = F.struct(key, *carried)
@@ -33,13 +33,15 @@ def key_changes(
 
 
 def interruptions(
-    changes: DataFrame, activity: DataFrame, by: Sequence[str], key: str, ts: str, tie: str, slab: Slab = "1d"
+    changes: DataFrame, activity: DataFrame, by: Sequence[str], key: str, ts: str, tie: str, slab: Slab = None
 ) -> DataFrame:
     """Adds ``interruption_ms``: from the last activity on the old key to the change.
 
     ``activity`` has the entity, the key, a time and a tie column; only rows strictly before the change count.
     """
     seen = activity.select(*by, F.col(key).alias(f"old_{key}"), axis(activity, ts).alias("_active_at"), F.col(tie).alias("_tie"))
+    # Changes are some of the rows of activity, so fitting to the activity fits both.
+    slab = fit_slab(seen, [*by, f"old_{key}"], "_active_at") if slab is None else slab
     found = asof_join(
         changes, seen, [*by, f"old_{key}"], axis(changes, ts) - 1, F.col("_active_at"), "_tie", slab=slab, name="_seen"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.core import axis, whole_div
 from ..session import cut_lineage
 from .pairing import latest_unanswered
-from .timeline import Slab, carry_along, previous, running
+from .timeline import Slab, carry_along, fit_slab, previous, running
 
 # A run breaks when the interval changes by more than 20 %, or after an unanswered wait of three
 # intervals (900 s when there is no interval yet).
@@ -20,13 +20,14 @@ TIMEOUT_SECONDS = 900
 
 
 def echoes_with_flags(
-    messages: DataFrame, tunnel: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = "1d"
+    messages: DataFrame, tunnel: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = None
 ) -> DataFrame:
     """Requests with ``interval_sec`` to the previous one, ``timed_out`` and ``breaks``.
 
     Every walk doubles the plan above it, so the narrow echo table is written down twice on the way.
     """
     ts = order[0]
+    slab = fit_slab(messages, tunnel, ts) if slab is None else slab
     echoes = latest_unanswered(messages, tunnel, order, kind, slab)
     echoes = echoes.withColumn("_at", axis(echoes, ts))
     back = carry_along(echoes, tunnel, order, slab, _before=previous(F.col("_at")))
@@ -46,7 +47,7 @@ def echoes_with_flags(
     return cut_lineage(flagged.drop("_last", "_next", "_at"), "echoes")
 
 
-def keepalive_runs(echoes: DataFrame, tunnel: Sequence[str], order: Sequence[str], slab: Slab = "1d") -> DataFrame:
+def keepalive_runs(echoes: DataFrame, tunnel: Sequence[str], order: Sequence[str], slab: Slab = None) -> DataFrame:
     """Islands between breaking echoes: start, end, echoes, mean interval, whether all were answered."""
     ts = order[0]
     marked = echoes.withColumn("_break", F.col("breaks").cast("bigint"))

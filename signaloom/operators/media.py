@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.core import axis
 from ..functions.quality import clock_rate, codec_name, loss_rate, mos
-from .timeline import Slab, carry_along, previous, row_number, running
+from .asof import earliest_claim
+from .timeline import Slab, carry_along, fit_slab, previous, row_number, running
 
 # Sequence numbers wrap at 65536; the jitter estimate moves by 1/16 of each new difference.
 SEQUENCE_SPACE = 65_536
 JITTER_GAIN = 1.0 / 16.0
 
 
-def stream_quality(packets: DataFrame, stream: Sequence[str], order: Sequence[str], slab: Slab = "1h") -> DataFrame:
+def stream_quality(packets: DataFrame, stream: Sequence[str], order: Sequence[str], slab: Slab = None) -> DataFrame:
     """Loss, duplicates, order, jitter and MOS of every stream.
 
     Needs ``sequence_number``, ``rtp_timestamp`` and ``payload_type``. The sequence is extended over wraps (a drop of
@@ -27,7 +28,8 @@ def stream_quality(packets: DataFrame, stream: Sequence[str], order: Sequence[st
     narrow = packets.select(
         *stream, *order, F.col("sequence_number").alias("seq"), F.col("rtp_timestamp").alias("rtp"),
         F.col("payload_type").alias("pt"),
-    ).withColumn("_at", axis(packets, ts) if ts in packets.columns else F.col(ts))
+    ).withColumn("_at", axis(packets, ts))
+    slab = fit_slab(narrow, stream, ts) if slab is None else slab
     keep = F.struct("seq", "rtp", F.col("_at").alias("at"))
     walked = carry_along(narrow, stream, order, slab, before=previous(keep))
     step = F.col("seq") - F.col("before.seq")
@@ -89,24 +91,25 @@ def fleet_quality(streams: DataFrame, poor_below: float = 3.0) -> DataFrame:
 
 
 def stream_direction(streams: DataFrame, media: DataFrame) -> DataFrame:
-    """Streams with the call whose media endpoints they connect, in either direction.
+    """(``stream_id``, ``call_id``, ``direction``): the call whose media endpoints a stream connects.
 
     ``media`` has call_id, ue_ip, ue_port, net_ip, net_port, start_ts, end_ts; a stream matches on all four
-    endpoint columns and overlapping time. From the user is UPLINK, to the user DOWNLINK.
+    endpoint columns and overlapping time. From the user is UPLINK, to the user DOWNLINK. Endpoints that many
+    calls used at the same time go to the earliest one, so busy endpoints do not multiply rows.
     """
-    parts = []
-    for direction, src, dst in (("UPLINK", "ue", "net"), ("DOWNLINK", "net", "ue")):
-        ends = media.select(
-            "call_id",
+    ends = ["src_ip", "src_port", "dst_ip", "dst_port"]
+    sides = (("UPLINK", "ue", "net"), ("DOWNLINK", "net", "ue"))
+    both = F.array(*[
+        F.struct(
             F.col(f"{src}_ip").alias("src_ip"), F.col(f"{src}_port").alias("src_port"),
             F.col(f"{dst}_ip").alias("dst_ip"), F.col(f"{dst}_port").alias("dst_port"),
-            F.col("start_ts").alias("_from"), F.col("end_ts").alias("_to"),
+            F.struct("call_id", F.lit(direction).alias("direction")).alias("call"),
         )
-        hit = streams.join(ends, ["src_ip", "src_port", "dst_ip", "dst_port"]).filter(
-            (F.col("start_ts") <= F.col("_to")) & (F.col("end_ts") >= F.col("_from"))
-        )
-        parts.append(hit.drop("_from", "_to").withColumn("direction", F.lit(direction)))
-    return parts[0].unionByName(parts[1])
+        for direction, src, dst in sides
+    ])
+    calls = media.select("start_ts", "end_ts", F.inline(both))
+    found = earliest_claim(streams, calls, ends, "stream_id", "start_ts", "end_ts", "call", "start_ts", "end_ts")
+    return found.select("stream_id", "call.call_id", "call.direction")
 
 
 def streams_of_address(streams: DataFrame, addresses: DataFrame) -> DataFrame:

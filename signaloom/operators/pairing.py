@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions.core import axis, micros_between, millis, whole_div
 from ..session import cut_lineage
-from .timeline import Slab, carry_along, last_known, previous, row_number, running
+from .timeline import Slab, carry_along, fit_slab, last_known, previous, row_number, running
 
 REQUEST, RESPONSE = "REQ", "RESP"
 
 
 def sequence_in_leg(
-    messages: DataFrame, leg: Sequence[str], order: Sequence[str], slab: Slab = "1d", name: str = "sequence"
+    messages: DataFrame, leg: Sequence[str], order: Sequence[str], slab: Slab = None, name: str = "sequence"
 ) -> DataFrame:
     """0-based position of each message inside its leg."""
     return carry_along(messages, leg, order, slab, **{name: row_number()}).withColumn(name, F.col(name) - 1)
 
 
-def inter_event_gaps(messages: DataFrame, by: Sequence[str], order: Sequence[str], slab: Slab = "1d") -> DataFrame:
+def inter_event_gaps(messages: DataFrame, by: Sequence[str], order: Sequence[str], slab: Slab = None) -> DataFrame:
     """Adds ``gap_us``, the time since the previous event (NULL on the first)."""
     ts = order[0]
     walked = carry_along(messages, by, order, slab, _before=previous(F.col(ts)))
@@ -44,7 +44,7 @@ def gap_metrics(messages: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
 
 
 def request_latency(
-    messages: DataFrame, by: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = "1d"
+    messages: DataFrame, by: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = None
 ) -> DataFrame:
     """Responses that answer a pending request, with their latency.
 
@@ -64,7 +64,7 @@ def request_latency(
 
 
 def transactions(
-    messages: DataFrame, by: Sequence[str], order: Sequence[str], is_request: Column, slab: Slab = "1d"
+    messages: DataFrame, by: Sequence[str], order: Sequence[str], is_request: Column, slab: Slab = None
 ) -> DataFrame:
     """One row per request with its answer, if any: ``answer_ts``, ``latency_us``, ``complete``.
 
@@ -93,7 +93,7 @@ def session_latency(pairs: DataFrame, session: str) -> DataFrame:
 
 
 def latest_unanswered(
-    messages: DataFrame, by: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = "1d"
+    messages: DataFrame, by: Sequence[str], order: Sequence[str], kind: Column, slab: Slab = None
 ) -> DataFrame:
     """(by, order, ``response_ts``) of all requests; the response is the one that took the request while it was the
     most recent unanswered one.
@@ -108,6 +108,7 @@ def latest_unanswered(
         .filter(F.col("_kind").isin(REQUEST, RESPONSE))
         .withColumn("_step", F.when(F.col("_kind") == REQUEST, 1).otherwise(-1).cast("bigint"))
     )
+    slab = fit_slab(signed, by, ts) if slab is None else slab
     levelled = carry_along(signed, by, order, slab, _s=running("sum", F.col("_step")))
     lowest = F.least(F.col("_s"), F.lit(0))
     floored = carry_along(
@@ -130,7 +131,7 @@ def latest_unanswered(
 
 
 def near_duplicates(
-    rows: DataFrame, signature: Sequence[str], order: Sequence[str], within_us: int = 1000, slab: Slab = "1h"
+    rows: DataFrame, signature: Sequence[str], order: Sequence[str], within_us: int = 1000, slab: Slab = None
 ) -> DataFrame:
     """Adds ``is_duplicate``: the same signature was seen no more than ``within_us`` before."""
     ts = order[0]
@@ -145,7 +146,7 @@ def payload_checksum(payload: str, prefix_bytes: int = 64) -> Column:
 
 
 def stream_accounting(
-    segments: DataFrame, stream: Sequence[str], order: Sequence[str], seq: str, length: str, slab: Slab = "1h"
+    segments: DataFrame, stream: Sequence[str], order: Sequence[str], seq: str, length: str, slab: Slab = None
 ) -> DataFrame:
     """Segments, bytes, retransmissions, out-of-order arrivals and gaps per stream direction.
 
@@ -168,7 +169,7 @@ def stream_accounting(
     )
 
 
-def chunk_gaps(chunks: DataFrame, stream: Sequence[str], order: Sequence[str], tsn: str, slab: Slab = "1h") -> DataFrame:
+def chunk_gaps(chunks: DataFrame, stream: Sequence[str], order: Sequence[str], tsn: str, slab: Slab = None) -> DataFrame:
     """Per stream: chunks whose number is not the previous one plus one."""
     walked = carry_along(chunks, stream, order, slab, _before=previous(F.col(tsn)))
     return walked.groupBy(*stream).agg(
@@ -178,13 +179,13 @@ def chunk_gaps(chunks: DataFrame, stream: Sequence[str], order: Sequence[str], t
 
 
 def fragment_completeness(
-    fragments: DataFrame, datagram: Sequence[str], offset: str, length: str, more: str, width: int = 65_536
+    fragments: DataFrame, datagram: Sequence[str], offset: str, length: str, more: str, slab: Slab = None
 ) -> DataFrame:
     """Datagrams whose fragments run without a hole from 0 to the end of the last fragment."""
     end = F.col(offset) + F.col(length)
     # Overlapping or repeated fragments close a hole as well, so compare with the furthest end so far.
     unique = fragments.groupBy(*datagram, offset).agg(F.max(length).alias(length), F.min(more).alias(more))
-    walked = carry_along(unique, datagram, [offset], width, _end=running("max", end, inclusive=False))
+    walked = carry_along(unique, datagram, [offset], slab, _end=running("max", end, inclusive=False))
     return walked.groupBy(*datagram).agg(
         F.count(F.lit(1)).alias("fragments"),
         F.max(end).alias("bytes"),
@@ -197,7 +198,7 @@ def fragment_completeness(
 
 
 def with_last_known(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, slab: Slab = "1d"
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, slab: Slab = None
 ) -> DataFrame:
     """Forward-fill: ``value`` of this row or the latest earlier one that has it."""
     return carry_along(rows, by, order, slab, **{name: last_known(value, inclusive=True)})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import axis, millis
-from .timeline import Slab, carry_along, previous, running, slab_of
+from .timeline import Slab, carry_along, fit_slab, previous, running, slab_of
 
 #: Most events folded into one array.
 BLOCK = 256
@@ -174,7 +174,7 @@ def _composed(parts: str, identity: Column) -> Column:
 
 
 def walk_steps(
-    messages: DataFrame, by: Sequence[str], order: Sequence[str], trigger: Column, table: StepTable, slab: Slab = "1d"
+    messages: DataFrame, by: Sequence[str], order: Sequence[str], trigger: Column, table: StepTable, slab: Slab = None
 ) -> DataFrame:
     """Every transition taken: order columns, ``trigger``, ``from_state``, ``to_state``.
 
@@ -193,6 +193,7 @@ def walk_steps(
     names = F.array(*[F.lit(s) for s in states])
 
     relevant = messages.select(*by, *order, trigger.alias("trigger")).filter(F.col("trigger").isin(list(moves)))
+    slab = fit_slab(relevant, by, order[0]) if slab is None else slab
     slabbed = relevant.withColumn("_slab", slab_of(relevant, order[0], slab))
     place = F.row_number().over(Window.partitionBy(*by, "_slab").orderBy(*order))
     blocks = (
@@ -250,8 +251,11 @@ def walk_steps(
     )
 
 
-def number_instances(steps: DataFrame, by: Sequence[str], order: Sequence[str], table: StepTable, slab: Slab = "1d"):
-    """Adds ``instance`` (1, 2, .. per entity) and ``since_previous_ms`` (NULL on an instance's first step)."""
+def number_instances(steps: DataFrame, by: Sequence[str], order: Sequence[str], table: StepTable, slab: Slab = None):
+    """Adds ``instance`` (1, 2, .. per entity) and ``since_previous_ms`` (NULL on an instance's first step).
+
+    Pass the ``slab`` that the walk used: it fits its steps too, and saves counting them.
+    """
     opening = F.col("trigger") == table.start_trigger
     walked = carry_along(
         steps, by, order, slab,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import SESSION_ENDS, SESSION_STARTS, session_type
 from ..functions.core import axis, millis
 from .asof import first_by_precedence
+from .hubs import salted_join
+from .timeline import Slab
 
 
 def first_known(value: str, order: Sequence[str]) -> Column:
@@ -91,7 +93,8 @@ def setup_time(messages: DataFrame, session: str, ts: str, started: Column, answ
     """Milliseconds from a session's first start message to the first answer at or after it."""
     at = axis(messages, ts)
     begin = messages.groupBy(session).agg(F.min(F.when(started, at)).alias("_begin"))
-    after = messages.filter(answered).select(session, at.alias("_at")).join(begin, session).filter("_at >= _begin")
+    answers = messages.filter(answered).select(session, at.alias("_at"))
+    after = salted_join(answers, begin, [session]).filter("_at >= _begin")
     return after.groupBy(session).agg(millis(F.min(F.col("_at") - F.col("_begin"))).alias("setup_time_ms"))
 
 
@@ -117,7 +120,7 @@ def master_sessions(
     session: str,
     message_id: str,
     order: Sequence[str],
-    slab: str = "1d",
+    slab: Slab = None,
 ) -> DataFrame:
     """One row per subscriber: span, last tunnel session, numbers of call and charging sessions, phone number.
 

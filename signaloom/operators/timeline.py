@@ -9,7 +9,7 @@ is one carried row per slab:
 3. an equi-join of that carry back on (key, slab) - the rows are already partitioned that way.
 
 The largest unit of work is the rows of one key within one slab, plus the slab rows (not message rows) of one
-key. ``slab`` is the knob: the narrower, the smaller the unit. Steps 1 and 2 read the same exchange, so Spark
+key. The slab width is fitted to the heaviest key by :func:`fit_slab` unless given. Steps 1 and 2 read the same exchange, so Spark
 shuffles the rows once when the frame holds no columns beyond those the walk needs: project before a chain of
 walks, and each link is computed once.
 """
@@ -24,13 +24,42 @@ from pyspark.sql import functions as F
 
 from ..functions.core import axis, interval_seconds
 
-Slab = str | int
+#: An interval text for a time axis, a width in axis units (microseconds for a time), or None to have it fitted.
+Slab = str | int | None
 
+#: Most rows of one key that should share a slab.
+ROWS_PER_SLAB = 2_000_000
 
-def slab_of(df: DataFrame, order: str, slab: Slab) -> Column:
-    """Slab number: ``slab`` is an interval text for a time axis or a width for a numeric one."""
-    width = interval_seconds(slab) * 1_000_000 if isinstance(slab, str) else int(slab)
-    return F.floor(axis(df, order) / F.lit(width)).cast("bigint")
+
+def fit_slab(df: DataFrame, by: Sequence[str], order: str, rows_per_slab: int | None = None) -> int:
+    """Width that keeps the heaviest (key, slab) at or under ``rows_per_slab`` rows.
+
+    One map-side combined count per key, with a single row coming back. Only when some key is too heavy are slabs
+    counted too, narrower each time, down to a single instant.
+    """
+    most = ROWS_PER_SLAB if rows_per_slab is None else rows_per_slab
+    placed = df.select(*by, axis(df, order).alias("_at")).filter(F.col("_at").isNotNull())
+    per_key = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    heaviest, low, high = per_key.agg(F.max("_n"), F.min("_lo"), F.max("_hi")).first()
+    if heaviest is None:
+        return 1
+    width = high - low + 1
+    while heaviest > most and width > 1:
+        width = max(1, width // max(2, -(-2 * heaviest // most)))
+        slab = F.floor(F.col("_at") / F.lit(width))
+        per_slab = placed.groupBy(*by, slab.alias("_slab")).agg(F.count(F.lit(1)).alias("_n"))
+        heaviest = per_slab.agg(F.max("_n")).first()[0]
+    return width
+
+
+def width_of(slab: str | int) -> int:
+    """Slab width in axis units."""
+    return slab if isinstance(slab, int) else interval_seconds(slab) * 1_000_000
+
+
+def slab_of(df: DataFrame, order: str, slab: str | int) -> Column:
+    """Slab number of a row."""
+    return F.floor(axis(df, order) / F.lit(width_of(slab))).cast("bigint")
 
 
 @dataclass(frozen=True)
@@ -113,7 +142,7 @@ def carry_along(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    slab: Slab,
+    slab: Slab = None,
     reverse: bool = False,
     **values: Carried,
 ) -> DataFrame:
@@ -121,9 +150,10 @@ def carry_along(
 
     ``order[0]`` is the time or numeric axis that slabs cut; the rest break ties and must make the order total.
     ``reverse`` walks from the end (previous = next row). Rows with a NULL in ``by`` or ``order[0]`` belong to no
-    timeline and are left out.
+    timeline and are left out. Without a ``slab`` the frame is counted first; fit one up front for a chain of walks.
     """
     by, order = list(by), list(order)
+    slab = fit_slab(df, by, order[0]) if slab is None else slab
     slabbed = df.select(
         "*",
         slab_of(df, order[0], slab).alias("_slab"),

@@ -17,7 +17,7 @@ CREATE_REQUEST, CREATE_RESPONSE, DELETE_REQUEST, DELETE_RESPONSE = 32, 33, 36, 3
 SUCCESS_CAUSES = (16, 17)
 
 
-def gtp_sessions(messages: DataFrame, order: Sequence[str], slab: Slab = "1d") -> DataFrame:
+def gtp_sessions(messages: DataFrame, order: Sequence[str], slab: Slab = None) -> DataFrame:
     """Sessions by control tunnel: every establishment opens a new one, later messages belong to it.
 
     Needs teid, sequence, message_type, cause, imsi, msisdn, apn. Messages of a tunnel before any establishment
@@ -110,7 +110,7 @@ def packet_owner(packets: DataFrame, endpoints: DataFrame, carried: Sequence[str
     return found.select(*packets.columns, *[owner[c].alias(c) for c in carried])
 
 
-def s1ap_contexts(messages: DataFrame, order: Sequence[str], slab: Slab = "1d") -> DataFrame:
+def s1ap_contexts(messages: DataFrame, order: Sequence[str], slab: Slab = None) -> DataFrame:
     """UE contexts: an initial message knows only the eNB id; the pair that follows adopts it.
 
     Contexts are islands of an eNB id that begin at each initial message.
@@ -192,6 +192,6 @@ def charging_usage(messages: DataFrame, by: Sequence[str], order: Sequence[str],
     )
 
 
-def follow_tunnel(messages: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, slab: Slab = "1d"):
+def follow_tunnel(messages: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, slab: Slab = None):
     """Forward-fill a tunnel's identifier from its establishment onto later messages."""
     return carry_along(messages, by, order, slab, **{name: last_known(value, inclusive=True)})

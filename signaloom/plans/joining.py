@@ -226,16 +226,17 @@ def _media(spark, sf):
 @register(
     "stream_direction",
     check(
-        _MEDIA + """ SELECT stream_id, call_id, 'UPLINK' AS direction FROM st JOIN md ON st.src_ip = ue_ip AND st.src_port = ue_port AND st.dst_ip = net_ip
-          AND st.dst_port = net_port AND st.start_ts <= md.end_ts AND st.end_ts >= md.start_ts
-        UNION ALL SELECT stream_id, call_id, 'DOWNLINK' FROM st JOIN md ON st.dst_ip = ue_ip AND st.dst_port = ue_port AND st.src_ip = net_ip
-          AND st.src_port = net_port AND st.start_ts <= md.end_ts AND st.end_ts >= md.start_ts""",
+        _MEDIA + """, sides AS (SELECT call_id, 'UPLINK' AS direction, ue_ip AS si, ue_port AS sp, net_ip AS di, net_port AS dp, start_ts AS f, end_ts AS t FROM md
+          UNION ALL SELECT call_id, 'DOWNLINK', net_ip, net_port, ue_ip, ue_port, start_ts, end_ts FROM md),
+        c AS (SELECT stream_id, call_id, direction, row_number() OVER (PARTITION BY stream_id ORDER BY f, call_id, direction) AS n FROM st JOIN sides
+          ON src_ip = si AND src_port = sp AND dst_ip = di AND dst_port = dp AND start_ts <= t AND end_ts >= f)
+        SELECT stream_id, call_id, direction FROM c WHERE n = 1""",
         "messages",
     ),
 )
 def _(spark, sf):
     streams, media = _media(spark, sf)
-    return ME.stream_direction(streams, media).select("stream_id", "call_id", "direction")
+    return ME.stream_direction(streams, media)
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import procedures as P
+from ..operators.timeline import fit_slab
 from .bindings import bound, check
 from .registry import register
 
@@ -53,8 +54,13 @@ ORDER = ["ts", "message_id"]
 
 def _walk(spark, sf, table, trigger):
     rows = bound(spark, sf, "messages").select("user_id", *ORDER, trigger.alias("trg"))
-    steps = P.walk_steps(rows, ["user_id"], ORDER, F.col("trg"), table)
-    return P.number_instances(steps, ["user_id"], ORDER, table)
+    return _instances_of(rows, table)
+
+
+def _instances_of(rows, table):
+    slab = fit_slab(rows, ["user_id"], "ts")
+    steps = P.walk_steps(rows, ["user_id"], ORDER, F.col("trg"), table, slab)
+    return P.number_instances(steps, ["user_id"], ORDER, table, slab)
 
 
 @register("step_records", check(_folded(SHOPPING, "messages", "user_id", "event_type") + " SELECT * FROM inst", "messages", recursive=True))
@@ -106,8 +112,7 @@ def _named_procedure(table: P.StepTable, met: bool = False):
 
         rows = sequence_in_leg(bound(spark, sf, "messages").select("user_id", *ORDER, "k"), ["user_id"], ORDER, name="rank")
         rows = rows.withColumn("trg", F.expr(_trigger(table)))
-        steps = P.walk_steps(rows, ["user_id"], ORDER, F.col("trg"), table)
-        found = P.procedures(P.number_instances(steps, ["user_id"], ORDER, table), ["user_id"], ORDER, table)
+        found = P.procedures(_instances_of(rows, table), ["user_id"], ORDER, table)
         return P.handover_target_met(found) if met else found
 
 

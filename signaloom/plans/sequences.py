@@ -159,7 +159,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     messages = bound(spark, sf, "messages").select("message_id", "user_id", "event_type", "ts")
-    found = P.near_duplicates(messages, ["user_id", "event_type"], ["ts", "message_id"], within_us=3_600_000_000, slab="1d")
+    found = P.near_duplicates(messages, ["user_id", "event_type"], ["ts", "message_id"], within_us=3_600_000_000)
     return found.select("message_id", "is_duplicate")
 
 
@@ -174,7 +174,7 @@ def _(spark, sf):
         "doc_id", F.lit(0).alias("t"), F.length("text").alias("n"), P.payload_checksum("text").alias("crc"),
         F.sha2("text", 256).alias("whole"),
     )
-    walked = P.carry_along(rows, ["n", "crc", "whole"], ["doc_id"], 1_000_000, _before=P.previous(F.col("doc_id")))
+    walked = P.carry_along(rows, ["n", "crc", "whole"], ["doc_id"], _before=P.previous(F.col("doc_id")))
     return walked.select("doc_id", F.col("_before").isNotNull().alias("is_duplicate"))
 
 
@@ -192,7 +192,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     packets = bound(spark, sf, "packets").select("src_ip", "ts", "packet_id", "l_partkey", "bytes")
-    return P.stream_accounting(packets, ["src_ip"], ["ts", "packet_id", "l_partkey", "bytes"], "l_partkey", "bytes", slab="1w")
+    return P.stream_accounting(packets, ["src_ip"], ["ts", "packet_id", "l_partkey", "bytes"], "l_partkey", "bytes")
 
 
 @register(
@@ -205,7 +205,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = bound(spark, sf, "rtp").select("ssrc", "ts", "frame_number", "sequence_number")
-    return P.chunk_gaps(rows, ["ssrc"], ["ts", "frame_number"], "sequence_number", slab="1d")
+    return P.chunk_gaps(rows, ["ssrc"], ["ts", "frame_number"], "sequence_number")
 
 
 @register(

@@ -27,7 +27,7 @@ def _(spark, sf):
     messages = bound(spark, sf, "leg_messages").select("session_id", *order)
     documents = SK.session_documents(
         bound(spark, sf, "call_sessions").select("session_id", "session_type", "start_ts"), messages, "session_id", order,
-        ["interface", "bytes"], events_per_document=2, slab="52w",
+        ["interface", "bytes"], events_per_document=2,
     )
     path = fresh_path(spark, "documents")
     SK.write_json(documents, path)

@@ -111,8 +111,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kind = F.expr("CASE protocol WHEN 'GTP_C' THEN 'CLAIM' WHEN 'SIP' THEN 'PROBE' END")
-    keyed = ST.keyed_rows(_stream(spark, sf, "messages"), "src_ip", "ts", "message_id", kind, F.col("imsi"))
-    return run_to_table(ST.apply(keyed, ST.LastClaim(432_000_000_000)), "owners")[0]
+    keyed = ST.keyed_rows(_stream(spark, sf, "messages"), "src_ip", "ts", "message_id", kind, F.col("imsi"), shards=4)
+    return run_to_table(ST.apply(keyed, ST.LastClaim(432_000_000_000), ("key", "shard")), "owners")[0]
 
 
 @register(

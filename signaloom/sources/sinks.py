@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hubs import salted_join
 from ..operators.timeline import Slab, carry_along, row_number
 
 #: Most events in one document; a longer session goes on in the next part.
 EVENTS_PER_DOCUMENT = 1_000
+#: A session of at least this many parts is spread over several tasks when its head is added.
+HUB_PARTS = 10_000
 
 
 def session_documents(
@@ -20,7 +23,7 @@ def session_documents(
     order: Sequence[str],
     event_columns: Sequence[str],
     events_per_document: int = EVENTS_PER_DOCUMENT,
-    slab: Slab = "1d",
+    slab: Slab = None,
 ) -> DataFrame:
     """(session, ``part``, ``document``): JSON of the session with its ordered events.
 
@@ -35,7 +38,8 @@ def session_documents(
         F.array_sort(F.collect_list(event)).alias("events")
     )
     head = F.struct(*[c for c in sessions.columns if c != session])
-    joined = parts.join(sessions.select(session, head.alias("_head")), session)
+    heads = sessions.select(session, head.alias("_head"))
+    joined = salted_join(parts, heads, [session], hub_rows=HUB_PARTS)
     document = F.to_json(F.struct(F.col(session), "part", "_head.*", "events"))
     return joined.select(session, "part", document.alias("document"))
 

@@ -171,14 +171,25 @@ class Lifecycle(OrderedRelease):
         return out, kept
 
 
-def keyed_rows(stream: DataFrame, key: str, ts: str, row_id: str, kind, value=None, delay: str = "10 minutes") -> DataFrame:
-    """The row shape that processors read: key, ``at``, ``id``, ``kind``, ``value``; NULL keys and kinds are left out."""
+def keyed_rows(
+    stream: DataFrame, key: str, ts: str, row_id: str, kind, value=None, delay: str = "10 minutes", shards: int = 1
+) -> DataFrame:
+    """The row shape that processors read: key, ``at``, ``id``, ``kind``, ``value``; NULL keys and kinds are left out.
+
+    With ``shards`` > 1 a key is kept that many times: its claims go to every shard and each probe to one, which
+    splits a hot key of :class:`LastClaim`. Run it with ``by=("key", "shard")``.
+    """
     shaped = stream.select(
         F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), F.col(row_id).cast("bigint").alias("id"),
         kind.alias("kind"), (F.lit(None).cast("string") if value is None else value.cast("string")).alias("value"), F.col(ts),
     )
     # Only the rows that take part move the watermark.
-    return shaped.filter("key is not null and kind is not null").withWatermark(ts, delay)
+    rows = shaped.filter("key is not null and kind is not null").withWatermark(ts, delay)
+    if shards == 1:
+        return rows
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    one = F.array(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    return rows.withColumn("shard", F.explode(F.when(F.col("kind") == "CLAIM", every).otherwise(one)))
 
 
 def apply(stream: DataFrame, processor: OrderedRelease, by: Sequence[str] = ("key",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signaloom.operators import pairing as P
 from signaloom.operators.asof import asof_join, earliest_claim
-from signaloom.operators.timeline import carry_along, last_known, previous, row_number, running
+from signaloom.operators.timeline import carry_along, fit_slab, last_known, previous, row_number, running
 
 BASE = datetime(2024, 1, 1)
 
@@ -49,6 +49,17 @@ def test_carried_values_do_not_depend_on_slabs(spark, slab, reverse):
     assert found == expected
 
 
+def test_fitted_width_bounds_the_heaviest_key(spark):
+    # One key holds most rows, most of them within a thousandth of the time range.
+    data = [("hot", i % 1000 if i % 3 else i * 1000, i) for i in range(3000)] + [("cold", 5, 9000)]
+    df = spark.createDataFrame(data, "key string, t bigint, id bigint")
+    assert fit_slab(df, ["key"], "t", 10_000) == max(r[1] for r in data) + 1
+    width = fit_slab(df, ["key"], "t", 100)
+    heaviest = df.groupBy("key", F.floor(F.col("t") / width)).count().agg(F.max("count")).first()[0]
+    assert heaviest <= 100 and width >= 1
+    assert fit_slab(df.filter("id < 0"), ["key"], "t") == 1
+
+
 def test_rows_without_key_belong_to_no_timeline(spark):
     df = spark.createDataFrame([(None, 1, 1), ("a", 2, 2)], "key string, t bigint, id bigint")
     assert [r.id for r in carry_along(df, ["key"], ["t", "id"], 10, n=row_number()).collect()] == [2]
@@ -140,5 +151,5 @@ def test_fragments(spark):
         ("open", 0, 8, True), ("headless", 8, 8, False),
     ]
     df = spark.createDataFrame(data, "id string, off bigint, len bigint, more boolean")
-    found = P.fragment_completeness(df, ["id"], "off", "len", "more", width=8).collect()
+    found = P.fragment_completeness(df, ["id"], "off", "len", "more", slab=8).collect()
     assert {r.id: bool(r.complete) for r in found} == {"whole": True, "hole": False, "open": False, "headless": False}
