@@ -267,3 +267,16 @@ def _(spark, sf):
 def _(spark, sf):
     rows, people = _people(spark, sf)
     return D.lanes(D.diagram_rows(rows, people, ["user_id"], ["ts", "message_id"]), ["user_id"], "label", ["ts", "message_id"])
+
+
+@register(
+    "calls_of_frame",
+    check(
+        "SELECT call_id, count(*) AS frames, min(frame_number) AS first_frame FROM sip WHERE call_id IN (SELECT call_id FROM sip WHERE frame_number IN (17, 42, 99)) GROUP BY 1",
+        "sip",
+    ),
+)
+def _(spark, sf):
+    rows = bound(spark, sf, "sip").select("call_id", "frame_number")
+    hit = FI.having_child(rows, rows, "call_id", F.col("frame_number").isin(17, 42, 99))
+    return hit.groupBy("call_id").agg(F.count(F.lit(1)).alias("frames"), F.min("frame_number").alias("first_frame"))
