@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import axis
+from ..session import cut_lineage
 from .timeline import Slab, carry_along, last_known, running, width_of
 
 
@@ -122,6 +123,8 @@ def earliest_claim(
     spans = windows.select(
         *on, F.col(window_id).alias("_wid"), axis(windows, window_start).alias("_ws"), axis(windows, window_end).alias("_we")
     ).filter(F.col("_ws").isNotNull() & F.col("_we").isNotNull())
+    # Windows are mostly roll-ups; the steps below read them several times.
+    spans = cut_lineage(spans, "windows")
     reach = carry_along(spans, on, ["_ws", "_wid"], None if slab is None else width_of(slab), _before=running("max", F.col("_we"), inclusive=False))
     rising = reach.filter(F.col("_before").isNull() | (F.col("_we") > F.col("_before"))).drop("_before")
     slack = F.lit(tolerance_us) if isinstance(tolerance_us, int) else tolerance_us
