@@ -45,6 +45,15 @@ def millis(micros: ColumnLike) -> Column:
     return whole_div(micros, 1000)
 
 
+def iso_millis(ts: ColumnLike) -> Column:
+    """ISO-8601 text with milliseconds in UTC; needs the session zone UTC."""
+    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def epoch_millis(ts: ColumnLike) -> Column:
+    return F.unix_millis(col(ts))
+
+
 def share(part: ColumnLike, total: ColumnLike) -> Column:
     """Percentage, NULL-free: an empty total gives 0."""
     return F.when(col(total) > 0, col(part) * 100.0 / col(total)).otherwise(0.0)

@@ -12,8 +12,9 @@ HUB_ROWS = 5_000_000
 SALTS = 64
 
 
-def hub_keys(facts: DataFrame, on: Sequence[str], hub_rows: int = HUB_ROWS) -> DataFrame:
+def hub_keys(facts: DataFrame, on: Sequence[str], hub_rows: int | None = None) -> DataFrame:
     """Keys holding at least ``hub_rows`` rows: never more than row count / ``hub_rows`` of them."""
+    hub_rows = HUB_ROWS if hub_rows is None else hub_rows
     return facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hub_rows).select(*on)
 
 
@@ -23,14 +24,15 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     hubs: DataFrame | None = None,
-    hub_rows: int = HUB_ROWS,
+    hub_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``facts`` (many rows per key) with ``per_key`` (one row per key).
 
-    Rows of hub keys get a random-free salt from their own content and the key's single row is repeated once per
-    salt, so a hub spreads over ``salts`` tasks. Other keys keep salt 0 and are not repeated. No broadcast hint:
-    Spark broadcasts the hub list only when its measured size is under the threshold.
+    Rows of hub keys get a salt from their own content (so a repeated task gives the same one) and the key's single
+    row is repeated once per salt, so a hub spreads over ``salts`` tasks. Rows that are equal in every column share a
+    salt: let ``facts`` carry a row id. Other keys keep salt 0 and are not repeated. No broadcast hint: Spark
+    broadcasts the hub list only when its measured size is under the threshold.
     """
     on = list(on)
     hubs = (hub_keys(facts, on, hub_rows) if hubs is None else hubs).withColumn("_hub", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import codes, identifiers, phones
+from ..functions import codes, core, identifiers, phones
 from ..operators import filters as FI
 from ..sources import captures
 from .bindings import bound, check, table
@@ -298,6 +298,19 @@ def _(spark, sf):
     return rows.select("c_custkey", F.col("s.digits").alias("imsi"), "s.mcc", "s.mnc", "s.msin", "d.imei", "d.tac")
 
 
+@register(
+    "formatted_times",
+    check(
+        "SELECT message_id, strftime(make_timestamp(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, ts // 1000 AS epoch_ms FROM messages",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    return bound(spark, sf, "messages").select(
+        "message_id", core.iso_millis("ts").alias("iso"), core.epoch_millis("ts").alias("epoch_ms")
+    )
+
+
 @register(
     "uri_parts",
     check(

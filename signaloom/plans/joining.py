@@ -136,6 +136,25 @@ def _(spark, sf):
     )
 
 
+@register(
+    "phone_owner_as_of",
+    check(
+        """WITH c AS (SELECT msisdn, imsi, ts, message_id FROM messages WHERE imsi IS NOT NULL AND msisdn IS NOT NULL),
+        p AS (SELECT message_id, ts, msisdn FROM messages WHERE imsi IS NULL AND msisdn IS NOT NULL),
+        h AS (SELECT p.message_id, (SELECT max_by(c.imsi, (c.ts, c.message_id)) FROM c WHERE c.msisdn = p.msisdn AND c.ts <= p.ts) AS imsi FROM p)
+        SELECT * FROM h WHERE imsi IS NOT NULL""",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    messages = bound(spark, sf, "messages").withColumn("at", F.unix_micros("ts")).select("message_id", "at", "imsi", "msisdn")
+    claims = messages.filter("imsi is not null and msisdn is not null")
+    probes = messages.filter("imsi is null and msisdn is not null").drop("imsi")
+    return A.first_by_precedence(
+        probes, claims, "message_id", [F.col("msisdn")], F.col("at"), "msisdn", F.col("at"), "message_id", "imsi"
+    )
+
+
 @register(
     "last_signup_before_purchase",
     """WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'purchase'),

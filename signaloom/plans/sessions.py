@@ -174,9 +174,14 @@ def _(spark, sf):
     check(
         """WITH k AS (SELECT message_id, unnest(['imsi', 'dst_ip']) AS key_type, unnest([imsi, dst_ip]) AS key_value FROM messages),
         s AS (SELECT key_type, key_value FROM k WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) <= 200),
-        g AS (SELECT message_id, key_value FROM k JOIN s USING (key_type, key_value))
-        SELECT message_id, min(message_id) OVER (PARTITION BY key_value) AS session_id FROM g""",
-        "messages",
+        kn AS (SELECT message_id, key_type || ':' || key_value AS node FROM k JOIN s USING (key_type, key_value)),
+        anchor AS (SELECT message_id, min(node) AS a FROM kn GROUP BY 1),
+        e1 AS (SELECT DISTINCT a.a, k.node AS b FROM anchor a JOIN kn k USING (message_id) WHERE a.a <> k.node),
+        e AS (SELECT a, b FROM e1 UNION SELECT b, a FROM e1),
+        walk(node, seen) AS (SELECT DISTINCT node, node FROM kn UNION SELECT w.node, e.b FROM walk w JOIN e ON w.seen = e.a),
+        root AS (SELECT node, min(seen) AS root FROM walk GROUP BY 1), mr AS (SELECT a.message_id, r.root FROM anchor a JOIN root r ON a.a = r.node)
+        SELECT message_id, min(message_id) OVER (PARTITION BY root) AS session_id FROM mr""",
+        "messages", recursive=True,
     ),
 )
 def _(spark, sf):
