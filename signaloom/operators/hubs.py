@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ def salted_join(
     """
     on = list(on)
     hubs = (hub_keys(facts, on, hub_rows) if hubs is None else hubs).withColumn("_hub", F.lit(True))
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    hashable = [f.name for f in facts.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     salted = facts.join(hubs, on, "left").withColumn("_salt", F.when(F.col("_hub"), spread).otherwise(0)).drop("_hub")
     copies = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = per_key.join(hubs, on, "left").withColumn("_salt", F.explode(copies)).drop("_hub")

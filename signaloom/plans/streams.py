@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, use_utc
+from ..sources.messages import stream_messages
 from ..streaming import stateful as ST
 from ..streaming import windows as W
 from ..streaming.merging import OnlineMerge
@@ -19,7 +20,7 @@ def _stream(spark, sf, name):
     """A binding over the events table as a stream."""
     use_utc(spark)
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = stream_messages(spark, f"{sf}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     return spark.sql(re.sub(r"\bTS\((\w+)\)", r"\1", BINDINGS[name]), events=events)
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Columns of a decoded message row.
 MESSAGE_SCHEMA = (
@@ -21,13 +22,13 @@ RTP_SCHEMA = (
 )
 
 
-def read_messages(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA, format: str = "parquet") -> DataFrame:
+def read_messages(spark: SparkSession, path: str, schema: str | StructType = MESSAGE_SCHEMA, format: str = "parquet") -> DataFrame:
     """Rows of a message folder with a declared schema; no inference pass over the data."""
     return spark.read.schema(schema).format(format).load(path)
 
 
 def stream_messages(
-    spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA, format: str = "parquet", files_per_trigger: int = 100
+    spark: SparkSession, path: str, schema: str | StructType = MESSAGE_SCHEMA, format: str = "parquet", files_per_trigger: int = 100
 ) -> DataFrame:
     """The same folder as a stream of new files."""
     return (

@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import key_nodes, merge_by_keys_incremental
 from ..session import fresh_path
 from .running import run_batches
 
+KNOWN_SCHEMA = "node string, session_id bigint"
+
 
 class OnlineMerge:
     """Stored identifier -> session table, extended by every micro-batch; merged-away ids are kept as a remap.
 
-    Each batch writes a new version of the identifier table next to the old one, so a repeated batch starts from
-    the version its predecessor wrote.
+    Each batch writes a new version of the identifier table next to the one before, so a batch that is run again
+    starts from the same version and gives the same one. With a ``root`` of its own a later run goes on where the
+    stream stopped.
     """
 
-    def __init__(self, spark: SparkSession, row_id: str, keys: dict):
+    def __init__(self, spark: SparkSession, row_id: str, keys: dict[str, Column], root: str | None = None):
         self.spark, self.row_id, self.keys = spark, row_id, keys
-        self.root = fresh_path(spark, "merge")
-        self.known_schema = "node string, session_id bigint"
-        self.known = spark.createDataFrame([], self.known_schema)
-        self.versions: dict[int, DataFrame] = {}
+        self.root = root or fresh_path(spark, "merge")
+        self.latest: int | None = None
+
+    def version(self, epoch: int) -> DataFrame:
+        """The identifier table as of a micro-batch; empty before the first."""
+        try:
+            return self.spark.read.schema(KNOWN_SCHEMA).parquet(f"{self.root}/known-{epoch}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], KNOWN_SCHEMA)
 
     def handle(self, batch: DataFrame, epoch: int) -> None:
-        known = self.versions.get(epoch - 1, self.known)
         rows = batch.select(self.row_id, key_nodes(self.keys).alias("nodes")).filter(F.size("nodes") > 0)
-        merged, remap = merge_by_keys_incremental(rows, known, self.row_id, "nodes")
-        path = f"{self.root}/known-{epoch}"
-        merged.write.mode("overwrite").parquet(path)
+        merged, remap = merge_by_keys_incremental(rows, self.version(epoch - 1), self.row_id, "nodes")
+        merged.write.mode("overwrite").parquet(f"{self.root}/known-{epoch}")
         remap.write.mode("overwrite").parquet(f"{self.root}/remap-{epoch}")
-        self.versions[epoch] = self.spark.read.schema(self.known_schema).parquet(path)
+        self.latest = epoch
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Process what is available now; (``node``, ``session_id``) afterwards."""
-        run_batches(stream, "merge", self.handle)
-        return self.versions[max(self.versions)] if self.versions else self.known
+        run_batches(stream, "merge", self.handle, state_path=f"{self.root}/state")
+        return self.version(-1 if self.latest is None else self.latest)

@@ -35,12 +35,18 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(path), query
 
 
-def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], output_mode: str = "append"):
-    """Process what is available now, handing each micro-batch to ``handle``."""
-    path = fresh_path(stream.sparkSession, label)
+def run_batches(
+    stream: DataFrame,
+    label: str,
+    handle: Callable[[DataFrame, int], None],
+    output_mode: str = "append",
+    state_path: str | None = None,
+) -> StreamingQuery:
+    """Process what is available now, handing each micro-batch to ``handle``; goes on from ``state_path`` if given."""
+    state_path = state_path or fresh_path(stream.sparkSession, f"{label}-state")
     return finish(
         stream.writeStream.outputMode(output_mode).foreachBatch(handle)
-        .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        .option("checkpointLocation", state_path).trigger(availableNow=True).start()
     )
 
 

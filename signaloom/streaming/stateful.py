@@ -141,30 +141,40 @@ class NearRepeat(OrderedRelease):
 
 
 class Lifecycle(OrderedRelease):
-    """Records of entities (tunnels, dialogs): opened at the first row, ended by an END row or by being idle too long."""
+    """Records of entities (tunnels, dialogs): opened at the first row, ended by an END row, by being idle too long or
+    by being open longer than ``longest_us``, whatever comes first.
+    """
 
     columns = ["key", "opened_at", "last_at", "rows", "ended_by"]
     schema = "key string, opened_at bigint, last_at bigint, rows bigint, ended_by string"
     state_schema = "at bigint, id bigint, value string"
 
-    def __init__(self, idle_us: int):
-        self.idle_us = idle_us
+    def __init__(self, idle_us: int, longest_us: int | None = None):
+        self.idle_us, self.longest_us = idle_us, longest_us
+
+    def end_of(self, kept):
+        """Last time at which the entity may still go on, and what ends it then."""
+        ends = [(kept[0] + self.idle_us, "IDLE")]
+        if self.longest_us is not None:
+            ends.append((int(kept[2]) + self.longest_us, "LIMIT"))
+        return min(ends)
 
     def release(self, key, rows, kept, watermark):
         # kept: last row's time, number of rows, opening time as text.
         out = []
         for at, _, kind, _ in rows:
-            if kept is not None and at - kept[0] > self.idle_us:
-                out.append((key[0], int(kept[2]), kept[0], kept[1], "IDLE"))
+            if kept is not None and at > self.end_of(kept)[0]:
+                out.append((key[0], int(kept[2]), kept[0], kept[1], self.end_of(kept)[1]))
                 kept = None
             kept = (at, 1, str(at)) if kept is None else (at, kept[1] + 1, kept[2])
             if kind == "END":
                 out.append((key[0], int(kept[2]), kept[0], kept[1], "END"))
                 kept = None
         if kept is not None:
-            over = (kept[0] + self.idle_us) // 1000 + 1
+            last, reason = self.end_of(kept)
+            over = last // 1000 + 1
             if over <= watermark:
-                out.append((key[0], int(kept[2]), kept[0], kept[1], "IDLE"))
+                out.append((key[0], int(kept[2]), kept[0], kept[1], reason))
                 kept = None
             else:
                 self.handle.registerTimer(over)

@@ -97,6 +97,7 @@ def test_split_hubs(spark):
 
 def test_salted_join_keeps_every_row(spark):
     facts = spark.createDataFrame([("hot", i) for i in range(200)] + [("cold", 1), ("none", 2)], "k string, v int")
+    facts = facts.withColumn("tags", F.create_map(F.lit("a"), F.col("v")))
     dims = spark.createDataFrame([("hot", "H"), ("cold", "C"), ("unused", "U")], "k string, d string")
     got = hubs.salted_join(facts, dims, ["k"], "left", hub_rows=50, salts=4)
     assert sorted((r.k, r.v, r.d) for r in got.collect() if r.k != "hot") == [("cold", 1, "C"), ("none", 2, None)]

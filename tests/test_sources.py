@@ -117,6 +117,25 @@ def test_online_merge_over_batches(spark):
     assert {r.node: r.session_id for r in known.collect()} == {"imsi:i1": 1, "msisdn:m1": 1, "imsi:i2": 1, "msisdn:m2": 1}
 
 
+def test_online_merge_goes_on_after_a_restart(spark):
+    schema, path, root = "id bigint, imsi string, msisdn string", fresh_path(spark, "input"), fresh_path(spark, "merge")
+    keys = {"imsi": F.col("imsi"), "msisdn": F.col("msisdn")}
+    for rows in ([(1, "i1", None), (2, None, "m1")], [(3, "i1", "m1"), (4, "i9", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        known = OnlineMerge(spark, "id", keys, root).run(spark.readStream.schema(schema).parquet(path))
+    assert {r.node: r.session_id for r in known.collect()} == {"imsi:i1": 1, "msisdn:m1": 1, "imsi:i9": 4}
+
+
+def test_lifecycle_ends(spark):
+    batches = [
+        [("a", at(0), 1, "ROW", None), ("a", at(50), 2, "ROW", None), ("a", at(90), 3, "ROW", None), ("a", at(130), 4, "ROW", None)],
+        [("b", at(0), 5, "ROW", None), ("b", at(30), 6, "END", None), ("c", at(10), 7, "ROW", None), ("z", at(9000), 8, "ROW", None)],
+    ]
+    keyed = ST.keyed_rows(written_in_batches(spark, batches, ROW), "user", "ts", "id", F.col("kind"))
+    found, _ = run_to_table(ST.apply(keyed, ST.Lifecycle(60_000_000, 100_000_000)), "lives")
+    assert sorted((r.key, r.rows, r.ended_by) for r in found.collect()) == [("a", 1, "IDLE"), ("a", 3, "LIMIT"), ("b", 2, "END"), ("c", 1, "IDLE")]
+
+
 def test_handover_callback_per_batch(spark):
     """What a callback would be told of is one frame per micro-batch."""
     seen = []
