@@ -7,15 +7,20 @@ the delay are ever held per key.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .running import use_rocksdb
 
+# Processors travel to the Python workers by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROW_SCHEMA = "at bigint, id bigint, kind string, value string"
 
 
