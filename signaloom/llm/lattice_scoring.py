@@ -37,7 +37,7 @@ ZIPF_SHIFT = 2.7
 #: Weight of the prior, in pieces.
 PRIOR_PIECES = 1000.0
 #: The most frequent words, a fixed number, are broadcast; all others are joined.
-HEAD_WORDS = 200_000
+HEAD_WORDS = 100_000
 FLUSH_WORDS = 300_000
 LN10 = math.log(10)
 
@@ -75,66 +75,80 @@ class Pieces:
             return Pieces(self.texts, np.log(p / p.sum()), self.bytes_at, self.end)
 
 
+Edge = tuple[int, tuple[int, ...], float]
+
+
 class Lattice:
+    """Pieces in a trie: a node maps a character to the next node, and "" to the piece that ends there."""
+
     def __init__(self, pieces: Pieces):
         self.log_p = pieces.log_p.tolist()
-        self.ids = {t: k for k, t in enumerate(pieces.texts) if t}
-        self.prefixes = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
         self.bytes_at = pieces.bytes_at
-
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end position, (start, pieces, log-probability) of the edges that lead there."""
-        text = MARK + word
-        ends: list[list] = [[] for _ in range(len(text) + 1)]
-        ids, prefixes, log_p = self.ids, self.prefixes, self.log_p
-        for start in range(len(text)):
-            stop = start + 1
-            part = text[start:stop]
-            if part not in ids:
-                spelled = tuple(self.bytes_at[b] for b in utf8(part))
-                ends[stop].append((start, spelled, sum(log_p[k] for k in spelled)))
-            while part in prefixes:
-                k = ids.get(part)
-                if k is not None:
-                    ends[stop].append((start, (k,), log_p[k]))
-                if stop >= len(text):
-                    break
-                stop += 1
-                part = text[start:stop]
-        return ends
+        self.root: dict = {}
+        for k, piece in enumerate(pieces.texts):
+            if piece:
+                node = self.root
+                for letter in piece:
+                    node = node.setdefault(letter, {})
+                node[""] = ((k,), self.log_p[k])
+
+    def _spelled(self, letter: str) -> tuple[tuple[int, ...], float]:
+        ids = tuple(self.bytes_at[b] for b in utf8(letter))
+        return ids, sum(self.log_p[k] for k in ids)
+
+    def _leaving(self, text: str, start: int):
+        """(end, (pieces, log-probability)) of the edges that leave a position."""
+        node = self.root.get(text[start])
+        if node is None or "" not in node:
+            yield start + 1, self._spelled(text[start])
+        stop = start + 1
+        while node is not None:
+            piece = node.get("")
+            if piece:
+                yield stop, piece
+            if stop == len(text):
+                break
+            node = node.get(text[stop])
+            stop += 1
 
     @staticmethod
-    def _forward(ends) -> list[float]:
-        alpha = [0.0] * len(ends)
-        for stop in range(1, len(ends)):
-            terms = [alpha[start] + lp for start, _, lp in ends[stop]]
-            if len(terms) == 1:
-                alpha[stop] = terms[0]
-            elif terms:
-                top = max(terms)
-                alpha[stop] = top + math.log(sum([math.exp(x - top) for x in terms]))
-            else:
-                alpha[stop] = -math.inf
-        return alpha
+    def _total(terms: list[float]) -> float:
+        if len(terms) == 1:
+            return terms[0]
+        top = max(terms)
+        return top + math.log(sum([math.exp(x - top) for x in terms]))
 
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the sum over all segmentations."""
-        return self._forward(self.edges(word))[-1]
+        text = MARK + word
+        arriving: list[list[float]] = [[] for _ in text] + [[]]
+        arriving[0].append(0.0)
+        for start in range(len(text)):
+            alpha = self._total(arriving[start])
+            for stop, (_, lp) in self._leaving(text, start):
+                arriving[stop].append(alpha + lp)
+        return self._total(arriving[-1])
 
-    def add_expected(self, word: str, times: float, counts: np.ndarray) -> None:
+    def add_expected(self, word: str, times: float, counts: list[float]) -> None:
         """Add the expected number of uses of each piece in ``times`` occurrences of the word."""
-        ends = self.edges(word)
-        alpha = self._forward(ends)
-        last = len(ends) - 1
-        share = [0.0] * len(ends)  # posterior of passing through a position
-        share[last] = 1.0
-        for stop in range(last, 0, -1):
+        text = MARK + word
+        arriving: list[list] = [[] for _ in text] + [[]]
+        alpha = [0.0] * len(arriving)
+        for start in range(len(text)):
+            if start:
+                alpha[start] = self._total([x for x, _, _ in arriving[start]])
+            for stop, (used, lp) in self._leaving(text, start):
+                arriving[stop].append((alpha[start] + lp, start, used))
+        alpha[-1] = self._total([x for x, _, _ in arriving[-1]])
+        share = [0.0] * len(arriving)  # expected passes through a position
+        share[-1] = float(times)
+        for stop in range(len(text), 0, -1):
             if share[stop]:
-                for start, used, lp in ends[stop]:
-                    part = share[stop] * math.exp(alpha[start] + lp - alpha[stop])
+                for x, start, used in arriving[stop]:
+                    part = share[stop] * math.exp(x - alpha[stop])
                     share[start] += part
                     for k in used:
-                        counts[k] += part * times
+                        counts[k] += part
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -179,10 +193,11 @@ def expected_pieces(words: DataFrame, pieces: Pieces) -> np.ndarray:
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, counts = Lattice(shared.value), np.zeros(len(shared.value.texts))
+        lattice, held = Lattice(shared.value), [0.0] * len(shared.value.texts)
         for batch in batches:
             for word, c in zip(batch["word"], batch["c"], strict=True):
-                lattice.add_expected(_spelled(word), c, counts)
+                lattice.add_expected(_spelled(word), c, held)
+        counts = np.array(held)
         used = np.nonzero(counts)[0]
         yield pd.DataFrame({"piece": used, "n": counts[used]})
 
