@@ -30,7 +30,7 @@ LINE = ("h1", "h2")
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     lines = F.split(F.coalesce(column(docs, text_column), F.lit("")), "\n")
     rows = docs.select(column(docs, id_column).alias("id"), F.posexplode(lines).alias("no", "line"))
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), F.col("line"))})
+    return rows.withColumns({"n": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), F.col("line"))})
 
 
 def written(line: Column) -> Column:
@@ -38,49 +38,44 @@ def written(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line; the last ones are longer by one where it does not divide."""
-    short = F.floor(length / parts)
-    longer = length - short * parts  # how many segments have one more
-    before = F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-    return short * i + before, short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
+def _keys(line: str, length: str, edits: int) -> Column:
+    """Array of (``key``, ``kind``): 0 for the own segments, 1 for other places in lines of the own length, 2 for shorter.
 
-
-def _keys(line: Column, edits: int) -> Column:
-    """Array of (``key``, ``kind``): 0 for the own segments, 1 for other places in lines of the own length, 2 for shorter."""
-    parts, n = edits + 1, F.length(line)
-    out = []
+    Segment i of a line of n characters runs from ``i * n div parts`` to the start of the next.
+    """
+    parts, out = edits + 1, []
     for less in range(edits + 1):
-        length = n - less
+        n = f"({length} - {less})"
         for i in range(parts):
-            start, size = _segment(length, parts, i)
+            start, end = f"({n} * {i} div {parts})", f"({n} * {i + 1} div {parts})"
             for shift in range(-edits, edits + 1):
                 # multi-match-aware: what is left of the segment can use up i edits, what is right of it edits - i
                 if abs(shift) > i or abs(shift - less) > edits - i:
                     continue
-                at = start + shift
                 kind = 2 if less else 0 if shift == 0 else 1
-                key = F.xxhash64(length, F.lit(i), F.substring(line, (at + 1).cast("int"), size.cast("int")))
-                fits = (at >= 0) & (at + size <= n)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(kind).alias("kind"))))
-    return F.array_compact(F.array(*out))
+                part = f"substring({line}, cast({start} + {shift + 1} as int), cast({end} - {start} as int))"
+                fits = f"{start} + {shift} >= 0 and {end} + {shift} <= {length}"
+                out.append(f"if({fits}, named_struct('key', xxhash64({n}, {i}, {part}), 'kind', {kind}), null)")
+    return F.expr(f"array_compact(array({', '.join(out)}))")
+
+
+def code_points(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), F.ascii))
 
 
 def within_edits(one: Column, two: Column, edits: int) -> Column:
-    """Whether the edit distance of two texts is at most ``edits``.
+    """Whether the edit distance of two texts, given as arrays of code points, is at most ``edits``.
 
     After j characters of ``two``, bit o + edits of ``r<d>`` says that its first j characters and the first j + o of
     ``one`` are within d edits: one integer per number of edits holds the whole band of diagonals.
     """
     width = (1 << (2 * edits + 1)) - 1
-    letters, others = F.split(one, ""), F.split(two, "")
     start = F.struct(*[F.lit(((1 << (d + 1)) - 1) << edits).cast("int").alias(f"r{d}") for d in range(edits + 1)])
 
-    def step(state: Column, j: Column) -> Column:
-        letter = F.get(others, j)
+    def step(state: Column, at: Column) -> Column:
         match = F.lit(0)
         for o in range(-edits, edits + 1):
-            same = F.coalesce(F.get(letters, j + o) == letter, F.lit(False))
+            same = F.coalesce(F.get(one, at["j"] + o) == at["c"], F.lit(False))
             match = match + F.when(same, 1 << (o + edits)).otherwise(0)
         new: list[Column] = []
         for d in range(edits + 1):
@@ -91,8 +86,8 @@ def within_edits(one: Column, two: Column, edits: int) -> Column:
             new.append(bits.bitwiseAND(F.lit(width)))
         return F.struct(*[bits.cast("int").alias(f"r{d}") for d, bits in enumerate(new)])
 
-    n, gap = F.length(two), F.length(one) - F.length(two)
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    gap = F.size(one) - F.size(two)
+    steps = F.transform(two, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
     final = F.aggregate(steps, start, step, lambda s: s[f"r{edits}"])
     place = F.greatest(F.lit(0), gap + edits).cast("int")
     return (F.abs(gap) <= edits) & (F.call_function("shiftright", final, place).bitwiseAND(F.lit(1)) == 1)
@@ -100,16 +95,17 @@ def within_edits(one: Column, two: Column, edits: int) -> Column:
 
 def line_links(docs: DataFrame, text_column: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(``a1, a2, b1, b2``): hashes of the linked pairs of different lines, each pair once."""
-    lines = _lines(docs, docs.columns[0], text_column).filter((F.length("line") >= least) & written(F.col("line")))
+    lines = _lines(docs, docs.columns[0], text_column).filter((F.col("n") >= least) & written(F.col("line")))
     # copies of a line fold within each task, before the rows of a segment meet
-    rows = lines.select(*LINE, F.inline(_keys(F.col("line"), edits))).groupBy("key", *LINE).agg(F.min("kind").alias("kind"))
+    rows = lines.select(*LINE, F.inline(_keys("line", "n", edits))).groupBy("key", *LINE).agg(F.min("kind").alias("kind"))
     index = rows.filter("kind = 0").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     probe = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "kind")
     once = F.expr("if(kind = 2, a1 <> b1 or a2 <> b2, a1 < b1 or (a1 = b1 and a2 < b2))")
     pairs = cut_lineage(index.join(probe, "key").filter(once).select("a1", "a2", "b1", "b2").distinct(), "pairs")
     wanted = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     found = lines.select(*LINE, "line").groupBy(*LINE).agg(F.first("line").alias("line"))
-    texts = cut_lineage(found.join(wanted, list(LINE), "left_semi"), "texts")
+    found = found.join(wanted, list(LINE), "left_semi")
+    texts = cut_lineage(found.select(*LINE, code_points(F.col("line")).alias("line")), "texts")
     one, two = texts.toDF("a1", "a2", "one"), texts.toDF("b1", "b2", "two")
     both = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
     return both.filter(within_edits(F.col("one"), F.col("two"), edits)).select("a1", "a2", "b1", "b2")
