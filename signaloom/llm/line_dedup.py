@@ -104,10 +104,10 @@ def line_links(docs: DataFrame, text_column: str = "text", edits: int = EDITS, l
     pairs = cut_lineage(index.join(probe, "key").filter(once).select("a1", "a2", "b1", "b2").distinct(), "pairs")
     wanted = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     found = lines.select(*LINE, "line").groupBy(*LINE).agg(F.first("line").alias("line"))
-    found = found.join(wanted, list(LINE), "left_semi")
+    found = found.join(wanted.hint("merge"), list(LINE), "left_semi")
     texts = cut_lineage(found.select(*LINE, code_points(F.col("line")).alias("line")), "texts")
     one, two = texts.toDF("a1", "a2", "one"), texts.toDF("b1", "b2", "two")
-    both = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
+    both = pairs.join(one.hint("merge"), ["a1", "a2"]).join(two.hint("merge"), ["b1", "b2"])
     return both.filter(within_edits(F.col("one"), F.col("two"), edits)).select("a1", "a2", "b1", "b2")
 
 
