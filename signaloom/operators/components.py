@@ -30,15 +30,9 @@ def bounded_in_time(value: Column, ts: Column, valid_within_seconds: int) -> Col
     return F.when(value.isNotNull(), F.concat_ws("@", value.cast("string"), period.cast("string")))
 
 
-def split_hubs(keyed: DataFrame, row_id: str, most_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(keys without infrastructure identifiers, the identifiers left out with their row count).
-
-    An address shared by more than ``most_rows`` rows belongs to a server, not a subscriber. Off by default: the
-    caller decides what counts as a hub, and gets the list of what was left out.
-    """
-    sizes = keyed.groupBy("key_type", "key_value").agg(F.count(F.lit(1)).alias("rows"))
-    hubs = sizes.filter(F.col("rows") > most_rows)
-    return keyed.join(hubs.drop("rows"), ["key_type", "key_value"], "left_anti"), hubs
+def without_listed(keyed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Keys other than the (``key_type, key_value``) in ``listed``: a list of infrastructure addresses, not a count."""
+    return keyed.join(listed.select("key_type", "key_value").distinct(), ["key_type", "key_value"], "left_anti")
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -111,7 +105,7 @@ def key_nodes(keys: dict[str, Column]) -> Column:
 
 
 def nodes_of(keyed: DataFrame, row_id: str) -> DataFrame:
-    """(row id, ``nodes``) back out of a long key table, for use after :func:`split_hubs`."""
+    """(row id, ``nodes``) back out of a long key table, for use after :func:`without_listed`."""
     node = F.concat_ws(":", "key_type", "key_value")
     return keyed.groupBy(row_id).agg(F.collect_set(node).alias("nodes"))
 

@@ -140,9 +140,9 @@ def near_duplicates(
     return walked.withColumn("is_duplicate", F.coalesce(gap <= within_us, F.lit(False))).drop("_before")
 
 
-def payload_checksum(payload: str, prefix_bytes: int = 64) -> Column:
-    """The packet signature's checksum covers the first 64 bytes of a payload; length is compared as well."""
-    return F.crc32(F.substring(F.col(payload), 1, prefix_bytes))
+def payload_checksum(payload: str) -> Column:
+    """SHA-256 of the whole payload; length is compared as well."""
+    return F.sha2(F.col(payload), 256)
 
 
 def stream_accounting(

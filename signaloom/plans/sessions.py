@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sessions as S
 from ..operators import tunnels as T
-from ..operators.components import bounded_in_time, key_nodes, key_rows, merge_by_keys, nodes_of, split_hubs
+from ..operators.components import bounded_in_time, key_nodes, key_rows, merge_by_keys, nodes_of, without_listed
 from .bindings import bound, check
 from .registry import register
 
@@ -154,26 +154,32 @@ def _(spark, sf):
     return S.master_sessions(bound(spark, sf, "messages"), "user_id", "message_id", ["ts", "message_id"])
 
 
+def _listed(keyed):
+    """Stands for a list of server addresses."""
+    return keyed.filter("key_type = 'dst_ip' and key_value like '%1'")
+
+
 @register(
-    "sessions_without_hub_keys",
+    "keys_without_listed_addresses",
     check(
         """WITH k AS (SELECT message_id, unnest(['imsi', 'dst_ip']) AS key_type, unnest([imsi, dst_ip]) AS key_value FROM messages),
         s AS (SELECT key_type, key_value, count(*) AS n FROM k WHERE key_value IS NOT NULL GROUP BY ALL)
-        SELECT key_type, count(*) AS keys, CAST(sum(n) AS BIGINT) AS "rows" FROM s WHERE n <= 200 GROUP BY 1""",
+        SELECT key_type, count(*) AS keys, CAST(sum(n) AS BIGINT) AS "rows" FROM s
+        WHERE NOT (key_type = 'dst_ip' AND key_value LIKE '%1') GROUP BY 1""",
         "messages",
     ),
 )
 def _(spark, sf):
     keyed = key_rows(bound(spark, sf, "messages"), "message_id", {"imsi": F.col("imsi"), "dst_ip": F.col("dst_ip")})
-    kept, _hubs = split_hubs(keyed, "message_id", 200)
+    kept = without_listed(keyed, _listed(keyed))
     return kept.groupBy("key_type").agg(F.count_distinct("key_value").alias("keys"), F.count(F.lit(1)).alias("rows"))
 
 
 @register(
-    "sessions_merged_by_unshared_keys",
+    "key_merge_without_listed_addresses",
     check(
         """WITH k AS (SELECT message_id, unnest(['imsi', 'dst_ip']) AS key_type, unnest([imsi, dst_ip]) AS key_value FROM messages),
-        s AS (SELECT key_type, key_value FROM k WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) <= 200),
+        s AS (SELECT key_type, key_value FROM k WHERE key_value IS NOT NULL AND NOT (key_type = 'dst_ip' AND key_value LIKE '%1') GROUP BY ALL),
         kn AS (SELECT message_id, key_type || ':' || key_value AS node FROM k JOIN s USING (key_type, key_value)),
         anchor AS (SELECT message_id, min(node) AS a FROM kn GROUP BY 1),
         e1 AS (SELECT DISTINCT a.a, k.node AS b FROM anchor a JOIN kn k USING (message_id) WHERE a.a <> k.node),
@@ -186,7 +192,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     keyed = key_rows(bound(spark, sf, "messages"), "message_id", {"imsi": F.col("imsi"), "dst_ip": F.col("dst_ip")})
-    kept, _hubs = split_hubs(keyed, "message_id", 200)
+    kept = without_listed(keyed, _listed(keyed))
     return merge_by_keys(nodes_of(kept, "message_id"), "nodes", "message_id")
 
 

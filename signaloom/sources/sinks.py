@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,17 @@ def write_json(documents: DataFrame, path: str) -> None:
 
 
 def write_table(rows: DataFrame, path: str, id_column: str, partition: str | None = None) -> None:
-    """Idempotent insert: one row per id, only the partitions that occur are replaced."""
-    writer = rows.dropDuplicates([id_column]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Idempotent insert: rows whose id the table does not hold yet are appended, nothing is replaced."""
+    fresh = rows.dropDuplicates([id_column])
+    try:
+        held = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        # a null id is never held, so such rows are always appended
+        fresh = fresh.join(held.select(id_column), id_column, "left_anti").select(*rows.columns)
+    writer = fresh.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 

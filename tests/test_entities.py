@@ -88,11 +88,11 @@ def test_merge_by_phone(spark):
     assert {r.id: r.session_id for r in got} == {1: 1, 2: 1}
 
 
-def test_split_hubs(spark):
-    keyed = spark.createDataFrame([(i, "ip", "server") for i in range(5)] + [(1, "imsi", "x"), (2, "imsi", "x")], "id bigint, key_type string, key_value string")
-    kept, left_out = components.split_hubs(keyed, "id", 3)
-    assert {r.key_value for r in kept.collect()} == {"x"}
-    assert [(r.key_value, r.rows) for r in left_out.collect()] == [("server", 5)]
+def test_only_listed_keys_go(spark):
+    schema = "id bigint, key_type string, key_value string"
+    keyed = spark.createDataFrame([(i, "ip", "server") for i in range(5)] + [(i, "imsi", "x") for i in range(9)], schema)
+    kept = components.without_listed(keyed, spark.createDataFrame([(0, "ip", "server")], schema))
+    assert {r.key_value for r in kept.collect()} == {"x"} and kept.count() == 9
 
 
 def test_salted_join_keeps_every_row(spark):

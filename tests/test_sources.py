@@ -144,12 +144,12 @@ def test_handover_callback_per_batch(spark):
     assert sorted(i for _, i in seen) == [1, 2] and len({e for e, _ in seen}) == 2
 
 
-def test_table_sink_replaces_only_what_comes(spark):
+def test_table_sink_keeps_what_is_there(spark):
     path = fresh_path(spark, "sink")
     write = lambda rows: sinks.write_table(spark.createDataFrame(rows, "id int, job string, v int"), path, "id", "job")
     write([(1, "a", 1), (1, "a", 1), (2, "b", 2)])
-    write([(3, "b", 3)])
-    assert sorted((r.id, r.job) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
+    write([(3, "b", 3), (1, "c", 9)])
+    assert sorted((r.id, r.job) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "b")]
 
 
 def test_stream_without_closed_time(spark):
