@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ def asof_join(
     """Every probe with the STRUCT of the nearest claim of its key at or before it (at or after: ``forward``).
 
     ``probe_at`` / ``claim_at`` are BIGINT positions (microseconds). Among claims at one position the highest
-    ``claim_tie`` wins going back, the lowest going forward. Probes with a NULL key come back with NULL. One
-    sorted pass over the union of both sides; a hot key is cut into slabs.
+    ``claim_tie`` wins going back, the lowest going forward. Probes with a NULL key or position come back with
+    NULL. One sorted pass over the union of both sides; a hot key is cut into slabs.
     """
     on = list(on)
     tie = claim_tie if isinstance(claim_tie, Column) else F.col(claim_tie)
@@ -49,11 +51,8 @@ def asof_join(
         F.lit(None).cast(probes.schema).alias("_probe"),
         claim_fields.alias("_claim"),
     )
-    keyed = [F.col(c).isNotNull() for c in on]
-    has_key = keyed[0]
-    for more in keyed[1:]:
-        has_key = has_key & more
-    lined = left.filter(has_key).unionByName(right.filter(has_key & F.col("_at").isNotNull()))
+    placed = reduce(and_, [F.col(c).isNotNull() for c in (*on, "_at")])
+    lined = left.filter(placed).unionByName(right.filter(placed))
     walked = carry_along(
         lined,
         on,
@@ -62,8 +61,8 @@ def asof_join(
         _found=last_known(F.col("_claim"), inclusive=True),
     )
     matched = walked.filter("_side = 1").select("_probe.*", F.col("_found").alias(name))
-    keyless = left.filter(~has_key).select("_probe.*", F.col("_claim").alias(name))
-    return matched.unionByName(keyless)
+    unplaced = left.filter(~placed).select("_probe.*", F.col("_claim").alias(name))
+    return matched.unionByName(unplaced)
 
 
 def first_by_precedence(

@@ -18,10 +18,12 @@ _RULE = re.compile(r"\s*([\w.]+)\s*(==|!=|>=|<=|>|<)\s*(.+?)\s*")
 
 
 def rule_value(text: str) -> int | float | bool | str:
-    """Integer, else decimal, else true/false, else a text with its quotes removed."""
-    for kind in (int, float):
+    """Integer of 64 bits, else decimal, else true/false, else a text with its quotes removed."""
+    if re.fullmatch(r"[+-]?[0-9]+", text) and -(2**63) <= int(text) < 2**63:
+        return int(text)
+    if "_" not in text:  # a digit separator in Python, not in a rule
         try:
-            return kind(text)
+            return float(text)
         except ValueError:
             pass
     if text in ("true", "TRUE", "false", "FALSE"):

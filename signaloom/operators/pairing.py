@@ -17,14 +17,14 @@ REQUEST, RESPONSE = "REQ", "RESP"
 def sequence_in_leg(
     messages: DataFrame, leg: Sequence[str], order: Sequence[str], slab: Slab = None, name: str = "sequence"
 ) -> DataFrame:
-    """0-based position of each message inside its leg."""
-    return carry_along(messages, leg, order, slab, **{name: row_number()}).withColumn(name, F.col(name) - 1)
+    """0-based position of each message inside its leg; NULL without a leg or a time."""
+    return carry_along(messages, leg, order, slab, keep_unplaced=True, **{name: row_number()}).withColumn(name, F.col(name) - 1)
 
 
 def inter_event_gaps(messages: DataFrame, by: Sequence[str], order: Sequence[str], slab: Slab = None) -> DataFrame:
-    """Adds ``gap_us``, the time since the previous event (NULL on the first)."""
+    """Adds ``gap_us``, the time since the previous event; NULL on the first, and without a key or a time."""
     ts = order[0]
-    walked = carry_along(messages, by, order, slab, _before=previous(F.col(ts)))
+    walked = carry_along(messages, by, order, slab, keep_unplaced=True, _before=previous(F.col(ts)))
     return walked.withColumn("gap_us", micros_between(ts, "_before")).drop("_before")
 
 
@@ -133,9 +133,12 @@ def latest_unanswered(
 def near_duplicates(
     rows: DataFrame, signature: Sequence[str], order: Sequence[str], within_us: int = 1000, slab: Slab = None
 ) -> DataFrame:
-    """Adds ``is_duplicate``: the same signature was seen no more than ``within_us`` before."""
+    """Adds ``is_duplicate``: the same signature was seen no more than ``within_us`` before.
+
+    A row with a NULL in its signature or time stays and is no duplicate.
+    """
     ts = order[0]
-    walked = carry_along(rows, signature, order, slab, _before=previous(F.col(ts)))
+    walked = carry_along(rows, signature, order, slab, keep_unplaced=True, _before=previous(F.col(ts)))
     gap = micros_between(ts, "_before")
     return walked.withColumn("is_duplicate", F.coalesce(gap <= within_us, F.lit(False))).drop("_before")
 

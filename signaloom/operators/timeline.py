@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,13 +146,14 @@ def carry_along(
     order: Sequence[str],
     slab: Slab = None,
     reverse: bool = False,
+    keep_unplaced: bool = False,
     **values: Carried,
 ) -> DataFrame:
     """Add one column per ``values`` entry, computed along (``by``, ``order``).
 
     ``order[0]`` is the time or numeric axis that slabs cut; the rest break ties and must make the order total.
     ``reverse`` walks from the end (previous = next row). Rows with a NULL in ``by`` or ``order[0]`` belong to no
-    timeline and are left out. Without a ``slab`` the frame is counted first; fit one up front for a chain of walks.
+    timeline and are left out, or come back with NULL values (``keep_unplaced``). Without a ``slab`` the frame is counted first; fit one up front for a chain of walks.
     """
     by, order = list(by), list(order)
     slab = fit_slab(df, by, order[0]) if slab is None else slab
@@ -159,8 +162,8 @@ def carry_along(
         slab_of(df, order[0], slab).alias("_slab"),
         *[_operand(spec).alias(f"_v_{name}") for name, spec in values.items()],
     )
-    for key in (*by, "_slab"):
-        slabbed = slabbed.filter(F.col(key).isNotNull())
+    placed = reduce(and_, [F.col(key).isNotNull() for key in (*by, "_slab")])
+    unplaced, slabbed = slabbed.filter(~placed), slabbed.filter(placed)
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     ordered = Window.partitionBy(*by, "_slab").orderBy(*ordering)
     walked = slabbed.select(
@@ -174,7 +177,12 @@ def carry_along(
         *by, "_slab", *[_across(spec, f"_h_{name}", slabs).alias(f"_k_{name}") for name, spec in values.items()]
     )
     kept = [c for c in df.columns if c not in values]
-    return walked.join(carry, [*by, "_slab"]).select(
+    found = walked.join(carry, [*by, "_slab"]).select(
         *kept,
         *[_combine(spec, F.col(f"_l_{name}"), F.col(f"_k_{name}")).alias(name) for name, spec in values.items()],
     )
+    if not keep_unplaced:
+        return found
+    return found.unionByName(
+        unplaced.select(*kept, *[F.lit(None).cast(found.schema[name].dataType).alias(name) for name in values])
+    )

@@ -17,30 +17,42 @@ class OnlineMerge:
     """Stored identifier -> session table, extended by every micro-batch; merged-away ids are kept as a remap.
 
     Each batch writes a new version of the identifier table next to the one before, so a batch that is run again
-    starts from the same version and gives the same one. With a ``root`` of its own a later run goes on where the
-    stream stopped.
+    starts from the same version and gives the same one. Finished batches are noted in storage: with a ``root`` of its
+    own a later run goes on where the stream stopped, and gives the whole table even when nothing new came. A version
+    that was noted and is gone raises.
     """
 
     def __init__(self, spark: SparkSession, row_id: str, keys: dict[str, Column], root: str | None = None):
         self.spark, self.row_id, self.keys = spark, row_id, keys
         self.root = root or fresh_path(spark, "merge")
-        self.latest: int | None = None
 
-    def version(self, epoch: int) -> DataFrame:
-        """The identifier table as of a micro-batch; empty before the first."""
+    def finished(self, before: int | None = None) -> int | None:
+        """The latest finished micro-batch (below ``before``), None when there is none."""
         try:
-            return self.spark.read.schema(KNOWN_SCHEMA).parquet(f"{self.root}/known-{epoch}")
-        except AnalysisException:
+            noted = self.spark.read.schema("epoch bigint").parquet(f"{self.root}/finished")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return (noted if before is None else noted.filter(F.col("epoch") < before)).agg(F.max("epoch")).first()[0]
+
+    def version(self, epoch: int | None) -> DataFrame:
+        """The identifier table as of a micro-batch; empty before the first."""
+        if epoch is None:
             return self.spark.createDataFrame([], KNOWN_SCHEMA)
+        return self.spark.read.schema(KNOWN_SCHEMA).parquet(f"{self.root}/known-{epoch}")
 
     def handle(self, batch: DataFrame, epoch: int) -> None:
         rows = batch.select(self.row_id, key_nodes(self.keys).alias("nodes")).filter(F.size("nodes") > 0)
-        merged, remap = merge_by_keys_incremental(rows, self.version(epoch - 1), self.row_id, "nodes")
+        before = self.finished(before=epoch)
+        if epoch > 0 and before is None:
+            raise ValueError(f"micro-batch {epoch} follows no finished one under {self.root}")
+        merged, remap = merge_by_keys_incremental(rows, self.version(before), self.row_id, "nodes")
         merged.write.mode("overwrite").parquet(f"{self.root}/known-{epoch}")
         remap.write.mode("overwrite").parquet(f"{self.root}/remap-{epoch}")
-        self.latest = epoch
+        self.spark.createDataFrame([(epoch,)], "epoch bigint").write.mode("append").parquet(f"{self.root}/finished")
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Process what is available now; (``node``, ``session_id``) afterwards."""
         run_batches(stream, "merge", self.handle, state_path=f"{self.root}/state")
-        return self.version(-1 if self.latest is None else self.latest)
+        return self.version(self.finished())

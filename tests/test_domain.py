@@ -214,6 +214,7 @@ def test_rules(spark):
     assert pick('protocol == "SIP"') == [1] and pick("protocol != SIP") == [2]
     assert pick("x > 1.0") == [1] and pick("x > 1") == [] and pick("n >= 2", "ok == true") == [1, 2]
     assert pick("missing == 1") == [] and pick() == []
+    assert pick("x < 12345678901234567890") == [1] and pick("n < 12345678901234567890") == [] and pick("n < 1_0") == []
     with pytest.raises(ValueError):
         pick("what is this")
 

@@ -124,6 +124,9 @@ def test_online_merge_goes_on_after_a_restart(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         known = OnlineMerge(spark, "id", keys, root).run(spark.readStream.schema(schema).parquet(path))
     assert {r.node: r.session_id for r in known.collect()} == {"imsi:i1": 1, "msisdn:m1": 1, "imsi:i9": 4}
+    # Started once more without new data.
+    again = OnlineMerge(spark, "id", keys, root).run(spark.readStream.schema(schema).parquet(path))
+    assert {r.node: r.session_id for r in again.collect()} == {"imsi:i1": 1, "msisdn:m1": 1, "imsi:i9": 4}
 
 
 def test_lifecycle_ends(spark):

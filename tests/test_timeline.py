@@ -137,6 +137,18 @@ def test_near_duplicates(spark):
     assert sorted(r.id for r in found if r.is_duplicate) == [2]
 
 
+def test_rows_without_key_or_time_stay(spark):
+    df = spark.createDataFrame([("s", BASE, 1), (None, BASE, 2), ("s", None, 3), ("s", BASE, 4)], "sig string, ts timestamp, id bigint")
+    found = {r.id: r.is_duplicate for r in P.near_duplicates(df, ["sig"], ["ts", "id"]).collect()}
+    assert found == {1: False, 2: False, 3: False, 4: True}
+    assert {r.id: r.sequence for r in P.sequence_in_leg(df, ["sig"], ["ts", "id"]).collect()} == {1: 0, 2: None, 3: None, 4: 1}
+    assert {r.id: r.gap_us for r in P.inter_event_gaps(df, ["sig"], ["ts", "id"]).collect()} == {1: None, 2: None, 3: None, 4: 0}
+    claims = spark.createDataFrame([("s", 5, 70)], "sig string, at bigint, owner bigint")
+    probes = spark.createDataFrame([("s", 9, 1), ("s", None, 2), (None, 9, 3)], "sig string, at bigint, id bigint")
+    found = asof_join(probes, claims, ["sig"], F.col("at"), F.col("at"), "owner").select("id", "claim.owner").collect()
+    assert {r.id: r.owner for r in found} == {1: 70, 2: None, 3: None}
+
+
 def test_tcp_accounting(spark):
     # In order, retransmitted, ahead of a gap, and a segment that partly repeats.
     data = [("f", 1, 0, 100), ("f", 2, 100, 50), ("f", 3, 0, 100), ("f", 4, 200, 10), ("f", 5, 205, 20)]
