@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import score_confidence
 from ..functions.identifiers import ipv6_prefix
+from .hubs import salted_join
 
 # Score of each way to match, in the order the cascade tries them.
 SCORES = {
     "imsi": 1.0, "imei": 1.0, "imei_tac": 0.3, "guti": 1.0, "guti_pool": 0.4, "tmsi": 0.7, "msisdn": 1.0,
-    "msisdn_national": 0.95, "msisdn_suffix9": 0.8, "msisdn_suffix7": 0.6, "ip_apn": 0.9, "teid": 0.85, "ip": 0.75,
+    "msisdn_national": 0.95, "msisdn_suffix9": 0.8, "msisdn_contained": 0.8, "msisdn_suffix7": 0.6, "ip_apn": 0.9, "teid": 0.85, "ip": 0.75,
     "ip_prefix": 0.5,
 }
 #: Numbers longer than this take part in containment matching.
@@ -115,51 +117,69 @@ def identity_score(left: str, right: str) -> tuple[Column, Column]:
     return cascade, F.greatest(*families)
 
 
-def match_registry(probes: DataFrame, registry: DataFrame, probe_id: str, entity_id: str, cascade: bool = True) -> DataFrame:
-    """Best entity of a registry for every probe: (probe id, entity id, ``how``, ``score``).
+def _substrings(text: Column, shortest: int) -> Column:
+    """Distinct substrings of at least ``shortest`` characters; none of a shorter text."""
+    sizes = F.when(F.length(text) >= shortest, F.sequence(F.lit(shortest), F.length(text))).otherwise(F.array().cast("array<int>"))
+    cuts = lambda size: F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: text.substr(at, size))
+    return F.array_distinct(F.flatten(F.transform(sizes, cuts)))
 
-    Each side is a flat frame with the identity columns of :func:`identity_score`. Every key value of the registry
-    is first folded to one entity (the lowest id), so a value shared by many entities costs one row, and a probe
-    meets at most one candidate per way to match. ``cascade`` picks the first way that hits, else the best score;
-    ties go to the lowest entity.
+
+def match_registry(
+    probes: DataFrame, registry: DataFrame, probe_id: str, entity_id: str, cascade: bool = False, hub_rows: int | None = None
+) -> DataFrame:
+    """Best entity of a registry for every probe: (probe id, entity id, ``how``, ``score``, ``confidence``).
+
+    Each side is a flat frame with the identity columns of :func:`identity_score`; an entity with several endpoints has
+    several rows. The highest score over all ways to match wins, then the earlier way, then the lowest entity: the
+    second value of :func:`identity_score`, over all entities. ``cascade`` takes the first way that hits instead.
+
+    Every key value of the registry is first folded to one entity (the lowest id), so a value shared by many entities
+    costs one row, and a probe meets at most one candidate per key. Values that very many probes share (a device
+    model, a pool) are salted. Containment of national numbers joins the substrings of either side with the whole
+    numbers of the other.
     """
 
-    def keys(frame: DataFrame, owner: str) -> DataFrame:
+    def keys(frame: DataFrame, owner: str, whole: str, part: str) -> DataFrame:
         digits = F.col("digits")
         tail = lambda n: F.when(F.length(digits) >= n, F.expr(f"right(digits, {n})"))
-        network = F.when(F.col("mcc").isNotNull() & F.col("mnc").isNotNull(), F.concat_ws("-", "mcc", "mnc"))
-        address = F.coalesce("ipv4", "ipv6")
         joined = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws("/", a, b))
+        network = F.when(F.col("mcc").isNotNull() & F.col("mnc").isNotNull(), F.concat_ws("-", "mcc", "mnc"))
+        prefix = ipv6_prefix("ipv6")
+        long = F.when(F.length("national") >= SHORTEST_CONTAINED, F.col("national"))
         values = {
-            "imsi": F.col("imsi"),
-            "imei": F.col("imei"),
-            "imei_tac": F.col("imei").substr(1, 8),
-            "guti": joined(network, F.col("tmsi").cast("string")),
-            "guti_pool": joined(network, F.col("mme_group_id").cast("string")),
-            "tmsi": F.col("tmsi").cast("string"),
-            "msisdn": F.col("international"),
-            "msisdn_national": F.col("national"),
-            "msisdn_suffix9": tail(9),
-            "msisdn_suffix7": tail(7),
-            "ip_apn": joined(address, F.col("apn")),
-            "teid": F.col("teid").cast("string"),
-            "ip": address,
-            "ip_prefix": ipv6_prefix("ipv6"),
+            "imsi": [F.col("imsi")],
+            "imei": [F.col("imei")],
+            "imei_tac": [F.col("imei").substr(1, 8)],
+            "guti": [joined(network, F.col("tmsi").cast("string"))],
+            "guti_pool": [joined(network, F.col("mme_group_id").cast("string"))],
+            "tmsi": [F.col("tmsi").cast("string")],
+            "msisdn": [F.col("international")],
+            "msisdn_national": [F.col("national")],
+            "msisdn_suffix9": [tail(9)],
+            "msisdn_contained": [F.concat(F.lit(f"{whole}:"), long)],
+            "msisdn_suffix7": [tail(7)],
+            "ip_apn": [joined(F.col("ipv4"), F.col("apn")), joined(F.col("ipv6"), F.col("apn")), joined(prefix, F.col("apn"))],
+            "teid": [F.col("teid").cast("string")],
+            "ip": [F.col("ipv4"), F.col("ipv6")],
+            "ip_prefix": [prefix],
         }
-        entries = F.array(*[F.struct(F.lit(k).alias("how"), values[k].alias("value")) for k in SCORES])
-        return frame.select(F.col(owner), F.inline(entries)).filter("value is not null and value <> ''")
+        entry = lambda way, value: F.struct(F.lit(way).alias("how"), value.alias("value"))
+        parts = F.transform(
+            _substrings(F.coalesce(long, F.lit("")), SHORTEST_CONTAINED), lambda s: entry("msisdn_contained", F.concat(F.lit(f"{part}:"), s))
+        )
+        entries = F.concat(F.array(*[entry(way, value) for way, found in values.items() for value in found]), parts)
+        return frame.select(F.col(owner), F.inline(entries)).filter("value is not null and value <> ''").distinct()
 
-    ranks = F.array(*[F.lit(k) for k in SCORES])
-    one_each = keys(registry, entity_id).groupBy("how", "value").agg(F.min(entity_id).alias(entity_id))
-    hits = keys(probes, probe_id).join(one_each, ["how", "value"])
-    rank = F.array_position(ranks, F.col("how"))
+    one_each = (
+        keys(registry, entity_id, "registry", "probe").groupBy("how", "value").agg(F.min(entity_id).alias(entity_id))
+    )
+    hits = salted_join(keys(probes, probe_id, "probe", "registry"), one_each, ["how", "value"], hub_rows=hub_rows)
+    rank = F.array_position(F.array(*[F.lit(k) for k in SCORES]), F.col("how"))
     score = F.create_map(*[x for k, v in SCORES.items() for x in (F.lit(k), F.lit(v))])[F.col("how")]
     lead = rank if cascade else -score
-    best = hits.select(probe_id, entity_id, "how", score.alias("score"), lead.alias("lead"), rank.alias("rank"))
-    picked = best.groupBy(probe_id).agg(
-        F.min(F.struct("lead", "rank", entity_id, "how", "score")).alias("_best")
-    )
-    return picked.select(probe_id, f"_best.{entity_id}", "_best.how", "_best.score")
+    ordered = F.struct(lead.alias("lead"), rank.alias("rank"), F.col(entity_id), F.col("how"), score.alias("score"))
+    picked = hits.groupBy(probe_id).agg(F.min(ordered).alias("_best")).select(probe_id, f"_best.{entity_id}", "_best.how", "_best.score")
+    return picked.withColumn("confidence", score_confidence("score"))
 
 
 def same_pool(left: DataFrame, right: DataFrame, columns: tuple[str, ...] = ("mcc", "mnc", "mme_group_id")) -> DataFrame:

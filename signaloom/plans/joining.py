@@ -362,26 +362,35 @@ _SUBJECT = (
     "CASE WHEN {id} % 3 = 0 THEN '35' || lpad(CAST({v} * 10 AS STRING), 12, '0') END AS imei, '310' AS mcc, '260' AS mnc, "
     "CASE WHEN {id} % 7 = 0 THEN {v} % 11 END AS mme_group_id, CASE WHEN {id} % 5 = 0 THEN {v} * 3 END AS tmsi, "
     "CASE WHEN {id} % 4 < 2 THEN CASE WHEN {id} % 8 < 4 THEN '1' ELSE '' END || '415' || lpad(CAST({v} AS STRING), 7, '0') END AS digits, "
-    "CASE WHEN {id} % 4 < 2 THEN '415' || lpad(CAST({v} AS STRING), 7, '0') END AS national, "
+    "CASE WHEN {id} % 4 < 2 THEN CASE WHEN {id} % 9 < 3 THEN '5' ELSE '415' END || lpad(CAST({v} AS STRING), 7, '0') END AS national, "
     "CASE WHEN {id} % 4 < 2 THEN CASE WHEN {id} % 8 < 4 THEN '1' ELSE '' END || '415' || lpad(CAST({v} AS STRING), 7, '0') END AS international, "
-    "'10.0.' || CAST({v} % 50 AS STRING) || '.' || CAST({v} % 9 AS STRING) AS ipv4, CAST(NULL AS STRING) AS ipv6, "
+    "'10.0.' || CAST({v} % 50 AS STRING) || '.' || CAST({v} % 9 AS STRING) AS ipv4, "
+    "CASE WHEN {id} % 3 <> 1 THEN '2001:db8:' || CAST({v} % 40 AS STRING) || ':' || CAST({v} % 7 AS STRING) || ':0:0:0:' || CAST({id} % 5 AS STRING) END AS ipv6, "
     "CASE {id} % 3 WHEN 0 THEN 'ims' ELSE 'internet' END AS apn, CASE WHEN {id} % 6 = 1 THEN {v} END AS teid"
 )
 _REGISTRY = _SUBJECT.format(id="c_custkey", v="c_custkey % 800")
+_PREFIX = "array_to_string(string_split(ipv6, ':')[1:4], ':')"
 _PROBE = _SUBJECT.format(id="(s_suppkey + 1)", v="s_suppkey * 5 % 900")
 
 
 @register(
     "registry_best_match",
-    f"""WITH r AS (SELECT c_custkey AS entity_id, {_REGISTRY} FROM customer), p AS (SELECT s_suppkey AS probe_id, {_PROBE} FROM supplier),
-    j AS (SELECT probe_id, entity_id, CASE WHEN p.imsi = r.imsi THEN 1 WHEN p.imei = r.imei THEN 2 WHEN substr(p.imei, 1, 8) = substr(r.imei, 1, 8) THEN 3
-      WHEN p.tmsi = r.tmsi AND p.mcc = r.mcc AND p.mnc = r.mnc THEN 4 WHEN p.mme_group_id = r.mme_group_id AND p.mcc = r.mcc AND p.mnc = r.mnc THEN 5
-      WHEN p.tmsi = r.tmsi THEN 6 WHEN p.international = r.international THEN 7 WHEN p.national = r.national THEN 8
-      WHEN right(p.digits, 9) = right(r.digits, 9) THEN 9 WHEN right(p.digits, 7) = right(r.digits, 7) THEN 10
-      WHEN p.ipv4 = r.ipv4 AND p.apn = r.apn THEN 11 WHEN p.teid = r.teid THEN 12 WHEN p.ipv4 = r.ipv4 THEN 13 END AS rank FROM p, r),
-    b AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY rank, entity_id) AS n FROM j WHERE rank IS NOT NULL)
+    f"""WITH r0 AS (SELECT c_custkey AS entity_id, {_REGISTRY} FROM customer), r AS (SELECT *, {_PREFIX} AS prefix FROM r0),
+    p0 AS (SELECT s_suppkey AS probe_id, {_PROBE} FROM supplier), p AS (SELECT *, {_PREFIX} AS prefix FROM p0),
+    w AS (SELECT probe_id, entity_id, unnest([CASE WHEN p.imsi = r.imsi THEN 1 END, CASE WHEN p.imei = r.imei THEN 2 END,
+      CASE WHEN substr(p.imei, 1, 8) = substr(r.imei, 1, 8) THEN 3 END, CASE WHEN p.tmsi = r.tmsi AND p.mcc = r.mcc AND p.mnc = r.mnc THEN 4 END,
+      CASE WHEN p.mme_group_id = r.mme_group_id AND p.mcc = r.mcc AND p.mnc = r.mnc THEN 5 END, CASE WHEN p.tmsi = r.tmsi THEN 6 END,
+      CASE WHEN p.international = r.international THEN 7 END, CASE WHEN p.national = r.national THEN 8 END,
+      CASE WHEN length(p.digits) >= 9 AND right(p.digits, 9) = right(r.digits, 9) THEN 9 END,
+      CASE WHEN length(p.national) > 6 AND length(r.national) > 6 AND (contains(p.national, r.national) OR contains(r.national, p.national)) THEN 10 END,
+      CASE WHEN length(p.digits) >= 7 AND right(p.digits, 7) = right(r.digits, 7) THEN 11 END,
+      CASE WHEN (p.ipv4 = r.ipv4 OR p.ipv6 = r.ipv6 OR p.prefix = r.prefix) AND p.apn = r.apn THEN 12 END, CASE WHEN p.teid = r.teid THEN 13 END,
+      CASE WHEN p.ipv4 = r.ipv4 OR p.ipv6 = r.ipv6 THEN 14 END, CASE WHEN p.prefix = r.prefix THEN 15 END]) AS rank FROM p, r),
+    s AS (SELECT *, [1.0, 1.0, 0.3, 1.0, 0.4, 0.7, 1.0, 0.95, 0.8, 0.8, 0.6, 0.9, 0.85, 0.75, 0.5][rank] AS score FROM w WHERE rank IS NOT NULL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, rank, entity_id) AS n FROM s)
     SELECT probe_id, entity_id, ['imsi', 'imei', 'imei_tac', 'guti', 'guti_pool', 'tmsi', 'msisdn', 'msisdn_national', 'msisdn_suffix9',
-      'msisdn_suffix7', 'ip_apn', 'teid', 'ip'][rank] AS how, [1.0, 1.0, 0.3, 1.0, 0.4, 0.7, 1.0, 0.95, 0.8, 0.6, 0.9, 0.85, 0.75][rank] AS score
+      'msisdn_contained', 'msisdn_suffix7', 'ip_apn', 'teid', 'ip', 'ip_prefix'][rank] AS how, CAST(score AS DOUBLE) AS score,
+      CASE WHEN score >= 0.95 THEN 'EXACT' WHEN score >= 0.75 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' WHEN score >= 0.3 THEN 'LOW' ELSE 'NONE' END AS confidence
     FROM b WHERE n = 1""",
 )
 def _(spark, sf):
@@ -404,13 +413,14 @@ def _split(text: str) -> list[str]:
 
 @register(
     "identity_pair_scores",
-    f"""WITH r AS (SELECT c_custkey AS id, {_REGISTRY} FROM customer), p AS (SELECT o_orderkey AS order_id, o_custkey AS id, {_SUBJECT.format(id="(o_custkey + 1)", v="o_orderkey % 900")} FROM orders),
+    f"""WITH r0 AS (SELECT c_custkey AS id, {_REGISTRY} FROM customer), r AS (SELECT *, {_PREFIX} AS prefix FROM r0),
+    p0 AS (SELECT o_orderkey AS order_id, o_custkey AS id, {_SUBJECT.format(id="(o_custkey + 1)", v="o_orderkey % 900")} FROM orders), p AS (SELECT *, {_PREFIX} AS prefix FROM p0),
     f AS (SELECT order_id, CASE WHEN p.imsi = r.imsi THEN 1.0 ELSE 0.0 END AS a, CASE WHEN p.imei = r.imei THEN 1.0 WHEN substr(p.imei, 1, 8) = substr(r.imei, 1, 8) THEN 0.3 ELSE 0.0 END AS b,
       CASE WHEN p.tmsi = r.tmsi THEN 1.0 WHEN p.mme_group_id = r.mme_group_id THEN 0.4 ELSE 0.0 END AS c,
       CASE WHEN p.international = r.international THEN 1.0 WHEN p.national = r.national THEN 0.95
-        WHEN right(p.digits, 9) = right(r.digits, 9) THEN 0.8 WHEN right(p.digits, 7) = right(r.digits, 7) THEN 0.6 ELSE 0.0 END AS d,
-      CASE WHEN p.ipv4 = r.ipv4 AND p.apn = r.apn THEN 0.9 ELSE 0.0 END AS e, CASE WHEN p.teid = r.teid THEN 0.85 ELSE 0.0 END AS f,
-      CASE WHEN p.ipv4 = r.ipv4 THEN 0.75 ELSE 0.0 END AS g FROM p JOIN r USING (id))
+        WHEN right(p.digits, 9) = right(r.digits, 9) OR (length(p.national) > 6 AND length(r.national) > 6 AND (contains(p.national, r.national) OR contains(r.national, p.national))) THEN 0.8 WHEN right(p.digits, 7) = right(r.digits, 7) THEN 0.6 ELSE 0.0 END AS d,
+      CASE WHEN (p.ipv4 = r.ipv4 OR p.ipv6 = r.ipv6 OR p.prefix = r.prefix) AND p.apn = r.apn THEN 0.9 ELSE 0.0 END AS e, CASE WHEN p.teid = r.teid THEN 0.85 ELSE 0.0 END AS f,
+      CASE WHEN p.ipv4 = r.ipv4 OR p.ipv6 = r.ipv6 THEN 0.75 WHEN p.prefix = r.prefix THEN 0.5 ELSE 0.0 END AS g FROM p JOIN r USING (id))
     SELECT order_id, coalesce(nullif(a, 0), nullif(b, 0), nullif(c, 0), nullif(d, 0), nullif(e, 0), nullif(f, 0), g) AS cascade, greatest(a, b, c, d, e, f, g) AS best FROM f""",
 )
 def _(spark, sf):

@@ -198,3 +198,25 @@ def test_identity_scores_and_registry(spark):
         for flag, score in ((True, first), (False, top)):
             found = M.match_registry(probes, registry, "probe_id", "entity_id", cascade=flag).collect()
             assert [round(r.score, 6) for r in found] == ([score] if score else []), (i, flag)
+
+
+@pytest.mark.parametrize("hub_rows", [None, 1])
+def test_registry_takes_the_best_of_all_ways(spark, hub_rows):
+    model = "35000000000001", "35000000000002"
+    entities = [
+        (1, identity(imei=model[0])), (2, identity(national="4155551234", digits="14155551234", international="14155551234")),
+        (3, identity(ipv4="10.0.0.3", ipv6="2001:db8:1:2:0:0:0:1")), (3, identity(ipv4="10.0.0.4", teid=5)), (4, identity(national="2125550000000")),
+        (5, identity(ipv6="2001:db8:9:9:0:0:0:1", apn="ims")),
+    ]
+    wanted = [
+        (11, identity(imei=model[1], national="4155551234", digits="14155551234", international="14155551234"), (2, "msisdn", "EXACT")),
+        (12, identity(ipv4="10.9.9.9", ipv6="2001:db8:1:2:0:0:0:1"), (3, "ip", "HIGH")),
+        (13, identity(teid=5), (3, "teid", "HIGH")),
+        (14, identity(national="25550000000"), (4, "msisdn_contained", "HIGH")),
+        (15, identity(ipv6="2001:db8:9:9:0:0:0:7", apn="ims"), (5, "ip_apn", "HIGH")),
+        (16, identity(imsi="9"), None),
+    ]
+    registry = spark.createDataFrame([(i, *who) for i, who in entities], "entity_id int, " + IDENTITY)
+    probes = spark.createDataFrame([(i, *who) for i, who, _ in wanted], "probe_id int, " + IDENTITY)
+    found = M.match_registry(probes, registry, "probe_id", "entity_id", hub_rows=hub_rows).collect()
+    assert {r.probe_id: (r.entity_id, r.how, r.confidence) for r in found} == {i: hit for i, _, hit in wanted if hit}
