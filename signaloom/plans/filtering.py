@@ -162,19 +162,26 @@ def _(spark, sf):
     return captures.type_of_traffic(packets, "capture", ("src_port", "dst_port"), "protocol")
 
 
+# Names as they stand on capture interfaces, every type at least once.
+_CAPTURE_NAMES = [
+    ("eth0-S1-MME", "S1_MME"), ("s1ap trunk", "S1_MME"), ("S1 towards MME", "S1_MME"), ("S1_U", "S1_U"), ("S1 user traffic", "S1_U"),
+    ("s1-users", "S1_U"), ("s1user", "UNKNOWN"), ("X2AP", "X2_C"), ("x2c", "X2_C"), ("S5-C", "S5_S8_C"), ("s8 control", "S5_S8_C"),
+    ("S8_UP", "S5_S8_U"), ("s5u", "S5_S8_U"), ("S6 to HSS", "S6A"), ("s6d", "S6A"), ("Gx", "GX"), ("PCRF and PCEF", "GX"),
+    ("P-CSCF to PCRF", "RX"), ("online charging", "GY"), ("SGi", "SG_I"), ("internet", "SG_I"), ("AMF to gNB", "N2"), ("ngap", "N2"),
+    ("gNB to UPF user", "N3"), ("SMF to UPF", "N4"), ("PFCP", "N4"), ("n6", "N6"), ("S-CSCF", "IMS_SIP"), ("sip trunk", "IMS_SIP"),
+    ("RTP", "RTP_MEDIA"), ("video", "RTP_MEDIA"), ("uplink", "UNKNOWN"),
+]
+
+
 @register(
     "capture_interface_names",
-    """SELECT p_partkey, CASE WHEN regexp_matches(t, 'S1[-_]?MME', 'i') THEN 'S1_MME' WHEN regexp_matches(t, 'Gx', 'i') THEN 'GX'
-      WHEN regexp_matches(t, 'Gi|internet|PDN|external', 'i') THEN 'SG_I' WHEN regexp_matches(t, 'N4', 'i') THEN 'N4'
-      WHEN regexp_matches(t, 'media|voice|video', 'i') THEN 'RTP_MEDIA' ELSE 'UNKNOWN' END AS interface_type
-    FROM (SELECT p_partkey, p_name || ' ' || CASE p_size % 6 WHEN 0 THEN 's1-mme' WHEN 1 THEN 'Gx pcef' WHEN 2 THEN 'pdn'
-      WHEN 3 THEN 'n4 upf' WHEN 4 THEN 'video' ELSE '' END AS t FROM part)""",
+    f"SELECT p_partkey, {[kind for _, kind in _CAPTURE_NAMES]}[p_partkey % {len(_CAPTURE_NAMES)} + 1] AS interface_type FROM part",
 )
 def _(spark, sf):
-    text = F.expr(
-        "p_name || ' ' || CASE p_size % 6 WHEN 0 THEN 's1-mme' WHEN 1 THEN 'Gx pcef' WHEN 2 THEN 'pdn' "
-        "WHEN 3 THEN 'n4 upf' WHEN 4 THEN 'video' ELSE '' END"
-    )
+    """Each part stands for a capture interface with a name of its own."""
+    names = F.array(*[F.lit(name) for name, _ in _CAPTURE_NAMES])
+    name = F.element_at(names, (F.col("p_partkey") % len(_CAPTURE_NAMES) + 1).cast("int"))
+    text = F.concat_ws(" ", name, F.concat(F.lit("if"), "p_partkey"))
     return table(spark, sf, "part").select("p_partkey", captures.type_of_name(text).alias("interface_type"))
 
 
