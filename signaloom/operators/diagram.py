@@ -88,6 +88,7 @@ def diagram_rows(
     """Numbered events with their sender, receiver and interface label.
 
     ``people`` has one row per address, so each of the two joins is against a per-key table and salts hub addresses.
+    Events without a key or a time have no number.
     """
     slab = fit_slab(messages, by, order[0]) if slab is None else slab
     rows = messages
@@ -98,7 +99,7 @@ def diagram_rows(
         )
         rows = salted_join(rows, ends, [*by, f"{end}_ip"], "left")
     labelled = rows.withColumn("label", diagram_interface("protocol", "_src_role", "_dst_role", "application_id"))
-    numbered = carry_along(labelled, by, order, slab, event_no=row_number())
+    numbered = carry_along(labelled, by, order, slab, keep_unplaced=True, event_no=row_number())
     return numbered.select(
         *by, *order, "event_no", F.col("_src_name").alias("sender"), F.col("_dst_name").alias("receiver"), "message_type", "label"
     )

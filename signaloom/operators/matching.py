@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import score_confidence
-from ..functions.identifiers import ipv6_prefix
+from ..functions.identifiers import ipv6_prefix, party_address
 from .hubs import salted_join
 
 # Score of each way to match, in the order the cascade tries them.
@@ -182,6 +182,27 @@ def match_registry(
     return picked.withColumn("confidence", score_confidence("score"))
 
 
+def address_owners(
+    rows: DataFrame, owners: DataFrame, addresses: tuple[str, ...], owner: str, two_groups: bool = False, hub_rows: int | None = None
+) -> DataFrame:
+    """Every row with ``matches`` and the lowest ``owner`` of a user address that fits one of its ``addresses``.
+
+    IPv4 addresses must be equal, IPv6 addresses share their prefix (two groups of it with ``two_groups``). The owners
+    of an address are folded to one row first, hot addresses are salted; each of ``addresses`` is a join of its own, and
+    rows without any owner keep NULL and 0.
+    """
+    keys = F.array(*[party_address(c, two_groups) for c in addresses])
+    held = owners.select(F.col(owner).alias("_owner"), F.explode(keys).alias("_address")).filter("_address is not null")
+    folded = held.groupBy("_address").agg(F.min("_owner").alias("_owner"), F.count_distinct("_owner").alias("_n"))
+    found = rows
+    for at, column in enumerate(addresses):
+        per_key = folded.select(F.col("_address").alias("_key"), F.col("_owner").alias(f"_owner{at}"), F.col("_n").alias(f"_n{at}"))
+        found = salted_join(found.withColumn("_key", party_address(column, two_groups)), per_key, ["_key"], "left", hub_rows=hub_rows).drop("_key")
+    least = F.array_min(F.array(*[F.col(f"_owner{at}") for at in range(len(addresses))]))
+    total = sum((F.coalesce(F.col(f"_n{at}"), F.lit(0)) for at in range(len(addresses))), F.lit(0))
+    return found.select(*rows.columns, least.alias(owner), total.cast("bigint").alias("matches"))
+
+
 def same_pool(left: DataFrame, right: DataFrame, columns: tuple[str, ...] = ("mcc", "mnc", "mme_group_id")) -> DataFrame:
     """Distinct pool rows on both sides with how many members each side has; never member pairs."""
     sizes = lambda f, name: f.dropna(subset=list(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias(name))

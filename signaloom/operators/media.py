@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.core import axis
 from ..functions.quality import clock_rate, codec_name, loss_rate, mos
 from .asof import earliest_claim
+from .hubs import salted_join
 from .timeline import Slab, carry_along, fit_slab, previous, row_number, running
 
 # Sequence numbers wrap at 65536; the jitter estimate moves by 1/16 of each new difference.
@@ -119,7 +120,7 @@ def streams_of_address(streams: DataFrame, addresses: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.col("src_ip").alias("address"), F.lit("SENDER").alias("role")),
                           F.struct(F.col("dst_ip").alias("address"), F.lit("RECEIVER").alias("role")))),
     ).select(*streams.columns, "_end.*")
-    return ends.join(addresses.select("address").distinct(), "address")
+    return salted_join(ends, addresses.select("address").distinct(), ["address"])
 
 
 def streams_in_window(streams: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -449,6 +449,26 @@ def _(spark, sf):
     return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("messages"))
 
 
+@register(
+    "user_address_owners",
+    check(
+        """WITH k AS (SELECT message_id, user_id, event_type, ue_ipv4 AS a4, array_to_string(string_split(ue_ipv6, ':')[1:4], ':') AS a6 FROM messages),
+        o AS (SELECT DISTINCT user_id, a FROM (SELECT user_id, unnest([a4, a6]) AS a FROM k WHERE event_type = 'click') WHERE a IS NOT NULL),
+        f AS (SELECT a, min(user_id) AS user_id, count(*) AS n FROM o GROUP BY 1)
+        SELECT k.message_id, least(f4.user_id, f6.user_id) AS user_id, coalesce(f4.n, 0) + coalesce(f6.n, 0) AS matches
+        FROM k LEFT JOIN f f4 ON f4.a = k.a4 LEFT JOIN f f6 ON f6.a = k.a6""",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    """Whose address a message was sent from: IPv4 by equality, IPv6 by prefix, of the users seen in SIP."""
+    messages = bound(spark, sf, "messages")
+    addresses = ("ue_ipv4", "ue_ipv6")
+    owners = messages.filter("event_type = 'click'").select("user_id", *addresses)
+    found = M.address_owners(messages.select("message_id", *addresses), owners, addresses, "user_id")
+    return found.select("message_id", "user_id", "matches")
+
+
 @register(
     "same_pool_members",
     f"""WITH r AS (SELECT {_REGISTRY} FROM customer), p AS (SELECT {_PROBE} FROM supplier),

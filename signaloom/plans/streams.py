@@ -11,8 +11,8 @@ from ..sources.messages import stream_messages
 from ..streaming import stateful as ST
 from ..streaming import windows as W
 from ..streaming.merging import OnlineMerge
-from ..streaming.running import late_rows, run_batches, run_to_table
-from .bindings import BINDINGS, check, table
+from ..streaming.running import run_batches, run_counting_late, run_to_table
+from .bindings import BINDINGS, bound, check, table
 from .registry import register
 
 
@@ -162,13 +162,29 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("stream_late_rows", "SELECT CAST(0 AS BIGINT) AS late, count(*) AS n FROM events")
+_LATE_AFTER_MS = 24 * 3600 * 1000
+_WATERMARK = f"(SELECT (max(ts) // 1000 - {_LATE_AFTER_MS}) * 1000 AS wm FROM messages)"
+
+
+@register(
+    "stream_late_rows",
+    check(
+        f"""SELECT (SELECT count(*) FROM messages, {_WATERMARK} WHERE ts <= wm) AS late,
+          (SELECT count(*) FROM messages, {_WATERMARK} WHERE ts > wm) AS n""",
+        "messages",
+    ),
+)
 def _(spark, sf):
-    """Event count over the windows of a stream with a delay that closes none, and the rows that came too late."""
-    counts = W.tumbling_counts(_stream(spark, sf, "messages"), "ts", "1 hour", delay="1 second")
-    _closed, query = run_to_table(counts, "late")
-    seen = table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
-    return seen.select(F.lit(late_rows(query)).cast("bigint").alias("late"), "n")
+    """The newest events come first, the rest of their day second; everything older is then behind the watermark."""
+    rows = bound(spark, sf, "messages").select("message_id", "ts")
+    newest = rows.agg(F.max("ts")).scalar()
+    passed = (F.floor(F.unix_micros(newest) / 1000) - _LATE_AFTER_MS) * 1000
+    fresh, path = F.unix_micros("ts") > passed, fresh_path(spark, "arrivals")
+    for part in (F.col("ts") == newest, fresh & (F.col("ts") < newest), ~fresh):
+        rows.filter(part).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found, late = run_counting_late(W.without_repeats(arriving, "ts", ["message_id"], f"{_LATE_AFTER_MS} milliseconds"), "late")
+    return found.agg(F.lit(late).cast("bigint").alias("late"), F.count(F.lit(1)).alias("n"))
 
 
 @register(

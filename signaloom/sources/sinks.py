@@ -70,7 +70,7 @@ def write_table(rows: DataFrame, path: str, id_column: str, partition: str | Non
 
 
 def write_metrics(lines: DataFrame, path: str) -> None:
-    """Text exposition, one metric family per sorted run; the row count is the number of series."""
-    lines.repartitionByRange(1, "metric", "part").sortWithinPartitions("metric", "part", "line").select("line").write.mode(
+    """Text exposition, every metric family in one sorted run of one file."""
+    lines.repartitionByRange("metric").sortWithinPartitions("metric", "part", "line").select("line").write.mode(
         "overwrite"
     ).text(path)

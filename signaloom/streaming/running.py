@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..session import fresh_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Longest wait for the report on the end of a stream.
+REPORT_SECONDS = 120
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     """State beyond memory; required by custom stateful operators."""
@@ -50,6 +55,46 @@ def run_batches(
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped for arriving behind the watermark, over all micro-batches."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class _LateRows(StreamingQueryListener):
+    """Adds up what every micro-batch reports; a query itself keeps only its latest reports."""
+
+    def __init__(self):
+        self.rows: Counter[str] = Counter()
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        with self.changed:
+            self.rows[str(event.progress.runId)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, query: StreamingQuery) -> int:
+        """Rows of a finished query, once its last report is in."""
+        with self.changed:
+            if not self.changed.wait_for(lambda: str(query.runId) in self.ended, timeout=REPORT_SECONDS):
+                raise TimeoutError(f"no report on the end of stream {query.runId}")
+            return self.rows[str(query.runId)]
+
+
+def run_counting_late(stream: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As :func:`run_to_table`, with the rows dropped for arriving behind the watermark over all micro-batches.
+
+    An aggregation drops after its partial step, so what it counts are groups; a duplicate filter drops rows.
+    """
+    streams, late = stream.sparkSession.streams, _LateRows()
+    streams.addListener(late)
+    try:
+        found, query = run_to_table(stream, label)
+        return found, late.of(query)
+    finally:
+        streams.removeListener(late)

@@ -220,3 +220,12 @@ def test_registry_takes_the_best_of_all_ways(spark, hub_rows):
     probes = spark.createDataFrame([(i, *who) for i, who, _ in wanted], "probe_id int, " + IDENTITY)
     found = M.match_registry(probes, registry, "probe_id", "entity_id", hub_rows=hub_rows).collect()
     assert {r.probe_id: (r.entity_id, r.how, r.confidence) for r in found} == {i: hit for i, _, hit in wanted if hit}
+
+
+@pytest.mark.parametrize("hub_rows", [None, 1])
+def test_address_owners(spark, hub_rows):
+    schema = "id int, v4 string, v6 string"
+    owners = spark.createDataFrame([("b", "10.0.0.1", None), ("a", None, "2001:db8:1:2:0:0:0:1"), ("c", None, "2001:db8:1:2:0:0:0:9")], "who string, v4 string, v6 string")
+    rows = spark.createDataFrame([(1, "10.0.0.1", None), (2, None, "2001:db8:1:2:5:5:5:5"), (3, "10.0.0.1", "2001:db8:1:2:0:0:0:1"), (4, None, None), (5, "10.9.9.9", None)], schema)
+    found = M.address_owners(rows, owners, ("v4", "v6"), "who", hub_rows=hub_rows).collect()
+    assert {r.id: (r.who, r.matches) for r in found} == {1: ("b", 1), 2: ("a", 2), 3: ("a", 3), 4: (None, 0), 5: (None, 0)}

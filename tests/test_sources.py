@@ -10,7 +10,7 @@ from signaloom.sources import captures, messages, sinks
 from signaloom.streaming import stateful as ST
 from signaloom.streaming import windows as W
 from signaloom.streaming.merging import OnlineMerge
-from signaloom.streaming.running import late_rows, run_batches, run_to_table
+from signaloom.streaming.running import run_batches, run_counting_late, run_to_table
 
 BASE = datetime(2024, 1, 1)
 
@@ -104,8 +104,8 @@ def test_pairing_times_out(spark):
 def test_late_rows_are_counted(spark):
     batches = [[("a", at(0), 1, "x", None)], [("a", at(90_000), 2, "x", None)], [("a", at(95_000), 3, "x", None)], [("a", at(5), 4, "x", None)]]
     counts = W.tumbling_counts(written_in_batches(spark, batches, ROW), "ts", "1 hour", delay="1 minute")
-    closed, query = run_to_table(counts, "late")
-    assert late_rows(query) == 1
+    closed, late = run_counting_late(counts, "late")
+    assert late == 1
     assert [(r.n) for r in closed.orderBy("bucket").collect()][0] == 1
 
 
