@@ -49,7 +49,9 @@ def participants(
 ) -> DataFrame:
     """(by, ``ip``, ``role``, ``participant``): the first message that shows an address settles its role.
 
-    ``mapping`` (ip, role) overrides. Ids are the role, with a number from the second one on in order of first
+    ``mapping`` (ip, role and, if wanted, port) overrides: a row with the port that the address was first seen with,
+    else any row of the address (one without a port, then the lowest port). Equal rows of a mapping that name several
+    roles settle on the lowest. Ids are the role, with a number from the second one on in order of first
     appearance; a user is always ``UE``; an address of unknown role is named by itself.
     """
     sides = F.array(
@@ -71,8 +73,13 @@ def participants(
     )
     roles = first.select(*by, "ip", "_seen.role", "_seen.port", "_place.*")
     if mapping is not None:
-        stated = mapping.select("ip", F.col("role").alias("_stated"))
-        roles = roles.join(stated, "ip", "left").withColumn("role", F.coalesce("_stated", "role")).drop("_stated")
+        port = F.col("port") if "port" in mapping.columns else F.lit(None).cast("int")
+        stated = mapping.select("ip", port.alias("port"), F.col("role").alias("_stated"))
+        by_port = stated.dropna(subset=["port"]).groupBy("ip", "port").agg(F.min("_stated").alias("_at_port"))
+        # a NULL port sorts first
+        by_ip = stated.groupBy("ip").agg(F.min(F.struct("port", "_stated"))["_stated"].alias("_at_ip"))
+        roles = salted_join(salted_join(roles, by_port, ["ip", "port"], "left"), by_ip, ["ip"], "left")
+        roles = roles.withColumn("role", F.coalesce("_at_port", "_at_ip", "role")).drop("_at_port", "_at_ip")
     numbered = carry_along(roles, [*by, "role"], [*order, "side", "ip"], slab, nth=row_number())
     name = (
         F.when(F.col("role") == UNKNOWN, F.concat_ws(":", F.concat(F.lit("UNKNOWN-"), "ip"), F.when(F.col("port") != 0, F.col("port").cast("string"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calls as C
 from ..operators import diagram as D
 from ..operators import filters as FI
-from .bindings import bound, check
+from .bindings import bound, check, table
 from .registry import register
 
 ORDER = ["ts", "frame_number"]
@@ -247,6 +247,26 @@ def _(spark, sf):
     return _people(spark, sf)[1]
 
 
+# Stated roles of addresses, some for one port only.
+_STATED = """SELECT DISTINCT '192.168.' || CAST(s_suppkey % 40 AS STRING) || '.1' AS ip, 'NF' || CAST(s_suppkey % 7 AS STRING) AS role,
+    CASE WHEN s_suppkey % 3 > 0 THEN 5060 + s_suppkey % 2 END AS port FROM {supplier}"""
+_MAPPED = _PEOPLE.replace(
+    "n AS (SELECT user_id, ip, r[1] AS role, r[2] AS port, row_number() OVER (PARTITION BY user_id, r[1] ORDER BY place, ip) AS nth FROM f)",
+    f"""stated AS ({_STATED.replace("{supplier}", "supplier")}),
+  at_port AS (SELECT ip, port, min(role) AS role FROM stated WHERE port IS NOT NULL GROUP BY 1, 2),
+  at_ip AS (SELECT ip, role FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY coalesce(port, 0), role) AS k FROM stated) WHERE k = 1),
+  g AS (SELECT f.user_id, f.ip, f.place, f.r, coalesce(p.role, a.role, f.r[1]) AS role FROM f
+    LEFT JOIN at_port p ON p.ip = f.ip AND p.port = f.r[2] LEFT JOIN at_ip a ON a.ip = f.ip),
+  n AS (SELECT user_id, ip, role, r[2] AS port, row_number() OVER (PARTITION BY user_id, role ORDER BY place, ip) AS nth FROM g)""",
+)
+
+
+@register("diagram_stated_participants", check(_MAPPED + " SELECT * FROM people", "messages"))
+def _(spark, sf):
+    stated = spark.sql(_STATED, supplier=table(spark, sf, "supplier"))
+    return D.participants(_people(spark, sf)[0], ["user_id"], ["ts", "message_id"], stated)
+
+
 _ROWS = _PEOPLE + """, rows_ AS (SELECT m.user_id, m.ts, m.message_id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.ts, m.message_id) AS event_no,
     a.participant AS sender, b.participant AS receiver, m.message_type, CASE m.protocol WHEN 'S1AP' THEN 'S1-MME' WHEN 'SIP' THEN 'IMS' WHEN 'RTP' THEN 'IMS'
       WHEN 'GTP_C' THEN CASE WHEN (a.role, b.role) IN (('MME', 'SGW'), ('SGW', 'MME')) THEN 'S11' WHEN (a.role, b.role) IN (('SGW', 'PGW'), ('PGW', 'SGW')) THEN 'S5/S8' ELSE 'GTP-C' END

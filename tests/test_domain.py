@@ -206,6 +206,11 @@ def test_participants_with_explicit_mapping(spark):
         "e1": "ENODEB", "m1": "MME", "e2": "ENODEB-02", "u1": "UE", "p1": "P-CSCF", "h1": "UNKNOWN-h1", "h2": "SMF",
     }
     assert D.diagram_rows(df.filter("id < 0"), people, ["s"], ["ts", "id"]).count() == 0
+    with_ports = spark.createDataFrame(
+        [("h2", "SMF", 443), ("h2", "NRF", 80), ("p1", "SBC", 9999), ("u1", "PHONE", 7), ("u1", "TABLET", None)], "ip string, role string, port int"
+    )
+    people = {r.ip: r.role for r in D.participants(df, ["s"], ["ts", "id"], with_ports).collect()}
+    assert (people["h2"], people["p1"], people["u1"], people["e1"]) == ("SMF", "SBC", "TABLET", "ENODEB")
 
 
 def test_rules(spark):
