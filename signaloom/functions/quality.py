@@ -26,6 +26,16 @@ DYNAMIC_RANGE = (96, 127)
 CODEC_IMPAIRMENT = {"PCMU": 0.0, "PCMA": 0.0, "G729": 11.0, "G723": 15.0, "AMR": 5.0, "AMR-WB": 2.0}
 DEFAULT_IMPAIRMENT = 5.0
 
+# Rating without impairments; jitter in ms that does no harm and the loss of rating per ms of a larger one; percent
+# of lost packets at which loss becomes heavy, and the loss of rating per percent below and above.
+BEST_RATING = 93.2
+HARMLESS_JITTER_MS = 20.0
+JITTER_WEIGHT = 0.024
+HEAVY_LOSS_PERCENT = 5.0
+LIGHT_LOSS_WEIGHT = 2.5
+HEAVY_LOSS_WEIGHT = 5.0
+HEAVY_LOSS_BASE = 10.0
+
 
 def _lookup(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])[key]
@@ -47,14 +57,14 @@ def clock_rate(payload_type: ColumnLike) -> Column:
 def r_factor(loss_rate: ColumnLike, jitter_ms: ColumnLike, codec: ColumnLike) -> Column:
     """E-model rating from loss (0..1), jitter and codec, clamped to 0..100."""
     percent = col(loss_rate) * 100.0
-    delay = F.when(col(jitter_ms) > 20.0, col(jitter_ms) * 0.024).otherwise(0.0)
+    delay = F.when(col(jitter_ms) > HARMLESS_JITTER_MS, col(jitter_ms) * JITTER_WEIGHT).otherwise(0.0)
     loss = (
         F.when(percent <= 0.0, 0.0)
-        .when(percent < 5.0, percent * 2.5)
-        .otherwise((percent - 5.0) * 5.0 + 10.0)
+        .when(percent < HEAVY_LOSS_PERCENT, percent * LIGHT_LOSS_WEIGHT)
+        .otherwise((percent - HEAVY_LOSS_PERCENT) * HEAVY_LOSS_WEIGHT + HEAVY_LOSS_BASE)
     )
     codec_part = F.coalesce(_lookup(CODEC_IMPAIRMENT, col(codec)), F.lit(DEFAULT_IMPAIRMENT))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(93.2) - delay - codec_part - loss))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(BEST_RATING) - delay - codec_part - loss))
 
 
 def mos_from_r(rating: ColumnLike) -> Column:
