@@ -181,11 +181,25 @@ def metric_lines(kpis: DataFrame, prefix: str, kinds: dict[str, str], labels: Se
     return heads.unionByName(values)
 
 
-def interface_counters(packets: DataFrame, interface: str, size: str, protocol: str, ports: Sequence[str]) -> DataFrame:
-    """Per capture interface: packets, bytes, protocols and distinct ports."""
-    each = packets.select(interface, size, protocol, F.explode(F.array(*ports)).alias("port"))
+def interface_protocols(packets: DataFrame, interface: str, size: str, protocol: str) -> DataFrame:
+    """Packets and bytes per capture interface and known protocol."""
+    known = packets.filter(F.col(protocol) != "UNKNOWN")
+    return known.groupBy(interface, protocol).agg(F.count(F.lit(1)).alias("packets"), F.sum(size).alias("bytes"))
+
+
+def interface_ports(packets: DataFrame, interface: str, ports: Sequence[str]) -> DataFrame:
+    """The ports seen on each capture interface: distinct (interface, ``port``), as rows because their number has no bound."""
+    return packets.select(interface, F.explode(F.array(*ports)).alias("port")).filter("port is not null").distinct()
+
+
+def interface_counters(
+    packets: DataFrame, interface: str, size: str, protocol: str, ports: Sequence[str], drops: str | None = None
+) -> DataFrame:
+    """Per capture interface: packets, bytes, protocols, distinct ports, and the sum of ``drops`` where there is one."""
+    each = packets.select(interface, F.explode(F.array(*ports)).alias("port"))
+    lost = [F.sum(drops).alias("drops")] if drops else []
     volume = packets.groupBy(interface).agg(
-        F.count(F.lit(1)).alias("packets"), F.sum(size).alias("bytes"), F.count_distinct(protocol).alias("protocols")
+        F.count(F.lit(1)).alias("packets"), F.sum(size).alias("bytes"), F.count_distinct(protocol).alias("protocols"), *lost
     )
     seen = each.groupBy(interface).agg(F.count_distinct("port").alias("ports"))
     return volume.join(seen, interface)

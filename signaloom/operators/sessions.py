@@ -66,6 +66,11 @@ def session_rollup(
     )
 
 
+def primary_identifier(keys: Sequence[str]) -> Column:
+    """The first of ``keys`` that a session has, as text; ``unknown`` where it has none."""
+    return F.coalesce(*[F.col(k).cast("string") for k in keys], F.lit("unknown"))
+
+
 def participants(messages: DataFrame, session: str, endpoints: Sequence[tuple[str, str]]) -> DataFrame:
     """Distinct (session, ``participant``) with ``ip:port`` texts."""
     sides = F.array(*[F.concat_ws(":", F.col(ip), F.col(port).cast("string")) for ip, port in endpoints])
@@ -115,14 +120,8 @@ def count_map(rows: DataFrame, value: str, name: str) -> DataFrame:
     return counts.agg(F.map_from_entries(F.collect_list(F.struct(value, "_n"))).alias(name))
 
 
-def master_sessions(
-    messages: DataFrame,
-    session: str,
-    message_id: str,
-    order: Sequence[str],
-    slab: Slab = None,
-) -> DataFrame:
-    """One row per subscriber: span, last tunnel session, numbers of call and charging sessions, phone number.
+def subscriber_messages(messages: DataFrame, message_id: str, order: Sequence[str], slab: Slab = None) -> DataFrame:
+    """Messages that belong to a subscriber, with that subscriber's ``imsi``.
 
     A call-signalling message belongs to its own imsi, else to the subscriber that last claimed (create-session
     message with imsi and address) its address v4, v6, then the packet's source and destination address.
@@ -141,12 +140,25 @@ def master_sessions(
         at, "ip", F.col("_claim_at"), "_claim_id", "imsi", slab,
     ).withColumnRenamed("imsi", "_found")
     takes_part = F.col("protocol").isin("SIP", "DIAMETER") | claim
-    owned = (
+    return (
         messages.filter(takes_part)
         .join(found, message_id, "left")
         .withColumn("imsi", F.coalesce("imsi", "_found"))
         .filter("imsi is not null")
+        .drop("_found")
     )
+
+
+def master_sessions(
+    messages: DataFrame,
+    session: str,
+    message_id: str,
+    order: Sequence[str],
+    slab: Slab = None,
+) -> DataFrame:
+    """One row per subscriber of :func:`subscriber_messages`: span, last tunnel session, numbers of call and charging
+    sessions, phone number."""
+    owned = subscriber_messages(messages, message_id, order, slab)
     of_gtp, of_sip, of_diameter = (
         F.when(F.col("protocol") == p, F.col(session)) for p in ("GTP_C", "SIP", "DIAMETER")
     )
@@ -182,16 +194,19 @@ def flow_table(packets: DataFrame, order: Sequence[str], length: str, protocol:
 
 
 def protocol_session_key(
-    protocol: str, call_id: str, diameter_session: str, teid: str, seid: str, stream_id: str, flow: Column
+    protocol: str, call_id: str, diameter_session: str, teid: str, seid: str, stream_id: str, flow: Column, f_seid: str | None = None
 ) -> Column:
-    """Session key by protocol: call id, session id, tunnel or PFCP endpoint, HTTP/2 stream, else the flow itself."""
+    """Session key by protocol: call id, session id, tunnel or PFCP endpoint, HTTP/2 stream, else the flow itself.
+
+    A PFCP message goes by the full endpoint id it carries (``f_seid``), else by the one in its header."""
     kind = F.col(protocol)
     text = lambda prefix, value: F.concat(F.lit(prefix), F.col(value).cast("string"))
+    endpoints = [text("PFCP-", c) for c in (f_seid, seid) if c is not None]
     return F.coalesce(
         F.when(kind == "SIP", F.col(call_id)),
         F.when(kind == "DIAMETER", F.col(diameter_session)),
         F.when(kind == "GTP_C", text("GTP-", teid)),
-        F.when(kind == "PFCP", F.coalesce(text("PFCP-", seid), F.concat(F.lit("PFCP-"), flow))),
+        F.when(kind == "PFCP", F.coalesce(*endpoints, F.concat(F.lit("PFCP-"), flow))),
         F.when(kind == "HTTP2", F.concat(F.lit("HTTP2-"), flow, F.lit("-"), F.col(stream_id).cast("string"))),
         F.concat(F.lit("FLOW-"), flow),
     )
@@ -208,10 +223,21 @@ def keyed_flow_rollup(packets: DataFrame, key: str, ts: str, length: str) -> Dat
     )
 
 
-def diameter_rollup(messages: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Diameter sessions; messages without a session id form one session per hop-by-hop id."""
+def diameter_session_key() -> Column:
+    """The session id; messages without one form one session per hop-by-hop id."""
     synthetic = F.concat(F.lit("hop-"), F.col("hop_by_hop_id").cast("string"))
-    named = messages.withColumn("session_key", F.coalesce(F.when(F.col("session_id") != "", F.col("session_id")), synthetic))
+    return F.coalesce(F.when(F.col("session_id") != "", F.col("session_id")), synthetic)
+
+
+def charging_rules(messages: DataFrame, rules: str) -> DataFrame:
+    """Child table of the Diameter sessions: (``session_key, charging_rule``), each installed rule once."""
+    named = messages.select(diameter_session_key().alias("session_key"), F.explode(rules).alias("charging_rule"))
+    return named.distinct()
+
+
+def diameter_rollup(messages: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Diameter sessions by :func:`diameter_session_key`, with the first known value of each of ``keys``."""
+    named = messages.withColumn("session_key", diameter_session_key())
     error = F.coalesce((~F.col("is_request")) & (~F.col("result_code").between(2000, 2999)), F.lit(False))
     ts = order[0]
     return named.groupBy("session_key").agg(

@@ -173,22 +173,23 @@ def nas_sessions(messages: DataFrame, session: str, order: Sequence[str]) -> Dat
 # Reason code of a used-up quota.
 QUOTA_EXHAUSTED = 3
 
+WAYS = ("granted", "requested", "used")
+UNITS = ("time", "total_octets", "input_octets", "output_octets")
+
 
 def charging_usage(messages: DataFrame, by: Sequence[str], order: Sequence[str], controls: str = "mscc") -> DataFrame:
-    """Granted and used units per subscriber, rating group and service.
+    """Granted, requested and used units per subscriber, rating group and service, and what came last.
 
     One message may control several services, so its list is exploded before grouping.
     """
     each = messages.select(*by, *order, F.explode(controls).alias("c")).select(*by, *order, "c.*")
     return each.groupBy(*by, "rating_group", "service_identifier").agg(
         F.count(F.lit(1)).alias("reports"),
-        F.sum("granted_time").alias("granted_time"),
-        F.sum("used_time").alias("used_time"),
-        F.sum("used_total_octets").alias("used_total_octets"),
-        F.sum("used_input_octets").alias("used_input_octets"),
-        F.sum("used_output_octets").alias("used_output_octets"),
+        *[F.sum(f"{way}_{unit}").alias(f"{way}_{unit}") for way in WAYS for unit in UNITS],
         F.max_by("result_code", F.struct(*order)).alias("last_result_code"),
         F.coalesce(F.bool_or(F.col("reporting_reason") == QUOTA_EXHAUSTED), F.lit(False)).alias("quota_exhausted"),
+        F.bool_or(F.col("final_unit_action").isNotNull()).alias("final_unit"),
+        F.max_by("final_unit_action", F.when(F.col("final_unit_action").isNotNull(), F.struct(*order))).alias("final_unit_action"),
     )
 
 

@@ -188,8 +188,8 @@ def _(spark, sf):
 @register(
     "interface_counters",
     check(
-        """WITH v AS (SELECT interface_id, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT protocol) AS protocols
-          FROM packets GROUP BY 1),
+        """WITH v AS (SELECT interface_id, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT protocol) AS protocols,
+          CAST(sum(l_partkey % 3) AS BIGINT) AS drops FROM packets GROUP BY 1),
         p AS (SELECT interface_id, count(DISTINCT port) AS ports FROM (SELECT interface_id, src_port AS port FROM packets
           UNION ALL SELECT interface_id, dst_port FROM packets) GROUP BY 1)
         SELECT * FROM v JOIN p USING (interface_id)""",
@@ -197,7 +197,28 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return R.interface_counters(bound(spark, sf, "packets"), "interface_id", "bytes", "protocol", ["src_port", "dst_port"])
+    packets = bound(spark, sf, "packets").withColumn("lost", F.expr("CAST(l_partkey % 3 AS BIGINT)"))
+    return R.interface_counters(packets, "interface_id", "bytes", "protocol", ["src_port", "dst_port"], "lost")
+
+
+@register(
+    "interface_protocols",
+    check(
+        """SELECT interface_id, protocol, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM packets
+        WHERE protocol <> 'UNKNOWN' GROUP BY 1, 2""",
+        "packets",
+    ),
+)
+def _(spark, sf):
+    return R.interface_protocols(bound(spark, sf, "packets"), "interface_id", "bytes", "protocol")
+
+
+@register(
+    "interface_ports",
+    check("SELECT interface_id, src_port AS port FROM packets UNION SELECT interface_id, dst_port FROM packets", "packets"),
+)
+def _(spark, sf):
+    return R.interface_ports(bound(spark, sf, "packets"), "interface_id", ["src_port", "dst_port"])
 
 
 @register(
@@ -233,3 +254,29 @@ def _(spark, sf):
     )
     key = S.protocol_session_key("protocol", "call_id", "diameter_session", "teid", "seid", "stream_id", F.expr(_FLOW))
     return S.keyed_flow_rollup(packets.withColumn("session_key", key), "session_key", "ts", "bytes")
+
+
+#: Written in the SQL that both engines share.
+_TUNNEL_KEYS = (
+    "*", "CASE l_linenumber WHEN 1 THEN 'GTP_C' WHEN 5 THEN 'PFCP' WHEN 6 THEN 'HTTP2' ELSE 'UNKNOWN' END AS kind",
+    "l_partkey % 1000 AS teid", "CASE WHEN l_partkey % 3 = 0 THEN l_suppkey * 7 END AS f_seid",
+    "CASE WHEN l_partkey % 3 = 1 THEN l_suppkey END AS seid", "l_partkey % 9 AS stream_id",
+)
+
+
+@register(
+    "tunnel_session_keys",
+    check(
+        f"""WITH t AS (SELECT {', '.join(_TUNNEL_KEYS)} FROM packets),
+        s AS (SELECT *, CASE kind WHEN 'GTP_C' THEN 'GTP-' || teid WHEN 'PFCP' THEN 'PFCP-' || coalesce(CAST(f_seid AS VARCHAR), CAST(seid AS VARCHAR), {_FLOW})
+          WHEN 'HTTP2' THEN 'HTTP2-' || {_FLOW} || '-' || stream_id ELSE 'FLOW-' || {_FLOW} END AS session_key FROM t)
+        SELECT session_key, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes,
+          (max(ts) - min(ts)) // 1000 AS duration_ms FROM s GROUP BY session_key""",
+        "packets",
+    ),
+)
+def _(spark, sf):
+    """Keys of tunnels, PFCP endpoints and HTTP/2 streams."""
+    packets = bound(spark, sf, "packets").selectExpr(*_TUNNEL_KEYS, "CAST(NULL AS STRING) AS call_id", "CAST(NULL AS STRING) AS diameter_session")
+    key = S.protocol_session_key("kind", "call_id", "diameter_session", "teid", "seid", "stream_id", F.expr(_FLOW), "f_seid")
+    return S.keyed_flow_rollup(packets.withColumn("session_key", key), "session_key", "ts", "bytes")

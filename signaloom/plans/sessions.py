@@ -135,15 +135,19 @@ def _(spark, sf):
     return counted.select(F.array_join(F.array_sort(entries), ",").alias("messages_by_interface"))
 
 
-@register(
-    "master_sessions",
-    check(
-        """WITH claims AS (SELECT ts, message_id, imsi, ue_ipv4 AS ip FROM messages WHERE message_type = 'GTP_CREATE_SESSION_REQ' AND imsi IS NOT NULL AND ue_ipv4 IS NOT NULL),
+_OWNED = """WITH claims AS (SELECT ts, message_id, imsi, ue_ipv4 AS ip FROM messages WHERE message_type = 'GTP_CREATE_SESSION_REQ' AND imsi IS NOT NULL AND ue_ipv4 IS NOT NULL),
         pr AS (SELECT ts, message_id, unnest([1, 2, 3, 4]) AS rank, unnest([ue_ipv4, ue_ipv6, src_ip, dst_ip]) AS ip FROM messages WHERE protocol = 'SIP' AND imsi IS NULL),
         hits AS (SELECT p.message_id, p.rank, (SELECT max_by(c.imsi, (c.ts, c.message_id)) FROM claims c WHERE c.ip = p.ip AND c.ts <= p.ts) AS imsi FROM pr p WHERE p.ip IS NOT NULL),
         f AS (SELECT message_id, min_by(imsi, rank) AS found FROM hits WHERE imsi IS NOT NULL GROUP BY 1),
         o AS (SELECT m.* EXCLUDE (imsi), coalesce(m.imsi, f.found) AS imsi FROM messages m LEFT JOIN f USING (message_id)
-          WHERE protocol IN ('SIP', 'DIAMETER') OR (message_type = 'GTP_CREATE_SESSION_REQ' AND m.imsi IS NOT NULL))
+          WHERE protocol IN ('SIP', 'DIAMETER') OR (message_type = 'GTP_CREATE_SESSION_REQ' AND m.imsi IS NOT NULL))"""
+
+
+@register(
+    "master_sessions",
+    check(
+        _OWNED
+        + """
         SELECT imsi, min(ts) AS start_ts, max(ts) AS last_update_ts, max_by(user_id, (ts, message_id)) FILTER (protocol = 'GTP_C') AS gtp_session,
           count(DISTINCT CASE WHEN protocol = 'SIP' THEN user_id END) AS sip_sessions, count(DISTINCT CASE WHEN protocol = 'DIAMETER' THEN user_id END) AS diameter_sessions,
           max_by(msisdn, (ts, message_id)) FILTER (msisdn IS NOT NULL) AS msisdn, count(*) AS events FROM o WHERE imsi IS NOT NULL GROUP BY imsi""",
@@ -154,6 +158,30 @@ def _(spark, sf):
     return S.master_sessions(bound(spark, sf, "messages"), "user_id", "message_id", ["ts", "message_id"])
 
 
+@register("master_session_links", check(_OWNED + " SELECT DISTINCT imsi, protocol, user_id FROM o WHERE imsi IS NOT NULL", "messages"))
+def _(spark, sf):
+    owned = S.subscriber_messages(bound(spark, sf, "messages"), "message_id", ["ts", "message_id"])
+    return S.master_session_links(owned, "imsi", "user_id", "protocol")
+
+
+_IDENTIFIERS = ("imsi", "msisdn", "ue_ipv4", "ue_ipv6")
+
+
+@register(
+    "session_primary_identifiers",
+    check(
+        """WITH r AS (SELECT user_id * 100 + k AS session_id, """
+        + ", ".join(f"min_by({c}, (ts, message_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in _IDENTIFIERS)
+        + " FROM messages GROUP BY 1) SELECT session_id, coalesce(imsi, msisdn, ue_ipv4, ue_ipv6, 'unknown') AS primary_identifier FROM r",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    messages = bound(spark, sf, "messages").withColumn("session_id", F.expr("user_id * 100 + k"))
+    rolled = S.session_rollup(messages, "session_id", ["ts", "message_id"], "payload_length", _IDENTIFIERS)
+    return rolled.select("session_id", S.primary_identifier(_IDENTIFIERS).alias("primary_identifier"))
+
+
 def _listed(keyed):
     """Stands for a list of server addresses."""
     return keyed.filter("key_type = 'dst_ip' and key_value like '%1'")
@@ -297,6 +325,45 @@ def _(spark, sf):
     return S.diameter_rollup(bound(spark, sf, "diameter"), ["ts", "frame_number"], ["imsi", "framed_ip"])
 
 
+#: Written in the SQL that both engines share.
+_NETWORK = {
+    "called_station_id": "CASE k % 3 WHEN 0 THEN 'ims' WHEN 1 THEN 'internet' END",
+    "rat_type": "CASE WHEN k % 4 = 0 THEN CAST(1004 AS BIGINT) END",
+    "qci": "CASE WHEN k % 5 > 1 THEN 1 + k % 9 END",
+    "cc_request_type": "CASE WHEN command_code = 272 THEN 1 + k % 4 END",
+}
+
+
+@register(
+    "diameter_network_columns",
+    check(
+        "WITH n AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in _NETWORK.items()) + """ FROM diameter)
+        SELECT CASE WHEN session_id <> '' THEN session_id ELSE 'hop-' || hop_by_hop_id END AS session_key, """
+        + ", ".join(f"min_by({c}, (ts, frame_number)) FILTER ({c} IS NOT NULL) AS {c}" for c in ("msisdn", *_NETWORK))
+        + " FROM n GROUP BY 1",
+        "diameter",
+    ),
+)
+def _(spark, sf):
+    messages = bound(spark, sf, "diameter").withColumns({c: F.expr(e) for c, e in _NETWORK.items()})
+    wanted = ["msisdn", *_NETWORK]
+    return S.diameter_rollup(messages, ["ts", "frame_number"], wanted).select("session_key", *wanted)
+
+
+@register(
+    "diameter_charging_rules",
+    check(
+        """WITH r AS (SELECT CASE WHEN session_id <> '' THEN session_id ELSE 'hop-' || hop_by_hop_id END AS session_key,
+          unnest(['rule-' || (k % 4), 'base']) AS charging_rule FROM diameter WHERE command_code = 272 AND NOT is_request)
+        SELECT DISTINCT * FROM r""",
+        "diameter",
+    ),
+)
+def _(spark, sf):
+    rules = F.expr("CASE WHEN command_code = 272 AND NOT is_request THEN array('rule-' || (k % 4), 'base') END")
+    return S.charging_rules(bound(spark, sf, "diameter").withColumn("rules", rules), "rules")
+
+
 @register(
     "diameter_statistics",
     check(
@@ -451,28 +518,34 @@ def _(spark, sf):
     return T.nas_sessions(merged, "session_id", ["ts", "message_id"])
 
 
+#: What the two controls of a message hold, in the SQL that both engines share.
+_CONTROLS = {
+    "rating_group": ("k % 3", "9"), "service_identifier": ("k % 2", "0"), "granted_time": ("CASE WHEN k % 2 = 0 THEN 3600 END", "60"),
+    "granted_total_octets": ("k * 500", "NULL"), "granted_input_octets": ("k * 200", "10"), "granted_output_octets": ("k * 300", "20"),
+    "requested_time": ("CASE WHEN k % 3 = 0 THEN 1800 END", "NULL"), "requested_total_octets": ("k * 50", "7"),
+    "requested_input_octets": ("k * 20", "3"), "requested_output_octets": ("CASE WHEN k % 7 = 0 THEN k * 30 END", "4"),
+    "used_time": ("k", "NULL"), "used_total_octets": ("payload_length * 1000", "5"), "used_input_octets": ("payload_length", "2"),
+    "used_output_octets": ("payload_length * 999", "3"), "reporting_reason": ("k % 5", "0"), "result_code": ("2001 + k % 2", "2001"),
+    "final_unit_action": ("CASE WHEN k % 13 = 0 THEN k % 3 END", "NULL"),
+}
+_CONTROLS = {name: [f"CAST({value} AS BIGINT)" for value in both] for name, both in _CONTROLS.items()}
+
+
 @register(
     "charging_usage",
     check(
-        """WITH c AS (SELECT user_id, ts, message_id, unnest([k % 3, 9]) AS rating_group, unnest([k % 2, 0]) AS service_identifier, unnest([CASE WHEN k % 2 = 0 THEN 3600 END, 60]) AS granted_time,
-          unnest([k, NULL]) AS used_time, unnest([payload_length * 1000, 5]) AS used_total_octets, unnest([payload_length, 2]) AS used_input_octets,
-          unnest([payload_length * 999, 3]) AS used_output_octets, unnest([k % 5, 0]) AS reporting_reason, unnest([2001 + k % 2, 2001]) AS result_code FROM messages)
-        SELECT user_id, rating_group, service_identifier, count(*) AS reports, CAST(sum(granted_time) AS BIGINT) AS granted_time, CAST(sum(used_time) AS BIGINT) AS used_time,
-          CAST(sum(used_total_octets) AS BIGINT) AS used_total_octets, CAST(sum(used_input_octets) AS BIGINT) AS used_input_octets, CAST(sum(used_output_octets) AS BIGINT) AS used_output_octets,
-          max_by(result_code, (ts, message_id)) AS last_result_code, bool_or(reporting_reason = 3) AS quota_exhausted FROM c GROUP BY 1, 2, 3""",
+        "WITH c AS (SELECT user_id, ts, message_id, " + ", ".join(f"unnest([{one}, {two}]) AS {c}" for c, (one, two) in _CONTROLS.items())
+        + " FROM messages) SELECT user_id, rating_group, service_identifier, count(*) AS reports, "
+        + ", ".join(f"CAST(sum({w}_{u}) AS BIGINT) AS {w}_{u}" for w in T.WAYS for u in T.UNITS)
+        + """, max_by(result_code, (ts, message_id)) AS last_result_code, bool_or(reporting_reason = 3) AS quota_exhausted,
+          bool_or(final_unit_action IS NOT NULL) AS final_unit,
+          max_by(final_unit_action, (ts, message_id)) FILTER (final_unit_action IS NOT NULL) AS final_unit_action FROM c GROUP BY 1, 2, 3""",
         "messages",
     ),
 )
 def _(spark, sf):
-    control = (
-        "named_struct('rating_group', {0}, 'service_identifier', {1}, 'granted_time', {2}, 'used_time', {3}, 'used_total_octets', {4}, "
-        "'used_input_octets', {5}, 'used_output_octets', {6}, 'reporting_reason', {7}, 'result_code', {8})"
-    )
-    first = control.format(
-        "k % 3", "k % 2", "CASE WHEN k % 2 = 0 THEN 3600L END", "k", "payload_length * 1000", "payload_length", "payload_length * 999", "k % 5", "2001 + k % 2"
-    )
-    second = control.format("9L", "0L", "60L", "CAST(NULL AS BIGINT)", "5L", "2L", "3L", "0L", "2001L")
-    rows = bound(spark, sf, "messages").withColumn("mscc", F.expr(f"array({first}, {second})"))
+    controls = ["named_struct(" + ", ".join(f"'{c}', {both[n]}" for c, both in _CONTROLS.items()) + ")" for n in (0, 1)]
+    rows = bound(spark, sf, "messages").withColumn("mscc", F.expr(f"array({', '.join(controls)})"))
     return T.charging_usage(rows, ["user_id"], ["ts", "message_id"])
 
 
