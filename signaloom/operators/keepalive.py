@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.core import axis, whole_div
 from ..session import cut_lineage
 from .pairing import latest_unanswered
-from .timeline import Slab, carry_along, fit_slab, previous, running
+from .timeline import Slab, carry_along, fit_slab, following, previous, running
 
 # A run breaks when the interval changes by more than 20 %, or after an unanswered wait of three
 # intervals (900 s when there is no interval yet).
@@ -30,11 +30,10 @@ def echoes_with_flags(
     slab = fit_slab(messages, tunnel, ts) if slab is None else slab
     echoes = latest_unanswered(messages, tunnel, order, kind, slab)
     echoes = echoes.withColumn("_at", axis(echoes, ts))
-    back = carry_along(echoes, tunnel, order, slab, _before=previous(F.col("_at")))
+    beside = carry_along(echoes, tunnel, order, slab, _before=previous(F.col("_at")), _next=following(F.col("_at")))
     seconds = whole_div(F.col("_at") - F.col("_before"), 1_000_000)
-    spaced = cut_lineage(back.withColumn("interval_sec", seconds).drop("_before"), "echoes")
+    spaced = cut_lineage(beside.withColumn("interval_sec", seconds).drop("_before"), "echoes")
     seen = carry_along(spaced, tunnel, order, slab, _last=previous(F.col("interval_sec")))
-    near = carry_along(seen, tunnel, order, slab, reverse=True, _next=previous(F.col("_at")))
     wait = whole_div(F.col("_next") - F.col("_at"), 1_000_000)
     limit = F.when(F.col("interval_sec") > 0, F.col("interval_sec") * TIMEOUT_INTERVALS).otherwise(TIMEOUT_SECONDS)
     timed_out = F.coalesce(F.col("response_ts").isNull() & (wait > limit), F.lit(False))
@@ -43,7 +42,7 @@ def echoes_with_flags(
     )
     edge = F.col("interval_sec").isNull() | F.col("_next").isNull()
     breaks = edge | timed_out | F.coalesce(changed, F.lit(False))
-    flagged = near.withColumn("timed_out", timed_out).withColumn("breaks", breaks)
+    flagged = seen.withColumn("timed_out", timed_out).withColumn("breaks", breaks)
     return cut_lineage(flagged.drop("_last", "_next", "_at"), "echoes")
 
 

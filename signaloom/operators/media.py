@@ -11,7 +11,7 @@ from ..functions.core import axis
 from ..functions.quality import clock_rate, codec_name, loss_rate, mos
 from .asof import earliest_claim
 from .hubs import salted_join
-from .timeline import Slab, carry_along, fit_slab, previous, row_number, running
+from .timeline import Slab, carry_along, fit_slab, previous, rows_after, running
 
 # Sequence numbers wrap at 65536; the jitter estimate moves by 1/16 of each new difference.
 SEQUENCE_SPACE = 65_536
@@ -23,7 +23,7 @@ def stream_quality(packets: DataFrame, stream: Sequence[str], order: Sequence[st
 
     Needs ``sequence_number``, ``rtp_timestamp`` and ``payload_type``. The sequence is extended over wraps (a drop of
     more than half the space). The jitter estimate J += (|D| - J)/16 over a stream is a weighted sum of |D| with
-    weight (15/16)^(packets after it)/16, so it needs a position from the end, not a loop.
+    weight (15/16)^(packets after it)/16, so it needs the number of rows after, not a loop.
     """
     ts = order[0]
     narrow = packets.select(
@@ -45,9 +45,8 @@ def stream_quality(packets: DataFrame, stream: Sequence[str], order: Sequence[st
         drift.alias("drift"),
         F.coalesce((step < 0) & ~((F.col("before.seq") > 60000) & (F.col("seq") < 5000)), F.lit(False)).alias("late"),
     )
-    placed = carry_along(stepped, stream, order, slab, cycle=running("sum", F.col("turn")))
-    placed = carry_along(placed, stream, order, slab, reverse=True, from_end=row_number())
-    weight = F.pow(F.lit(1.0 - JITTER_GAIN), (F.col("from_end") - 1).cast("double")) * JITTER_GAIN
+    placed = carry_along(stepped, stream, order, slab, cycle=running("sum", F.col("turn")), after=rows_after())
+    weight = F.pow(F.lit(1.0 - JITTER_GAIN), F.col("after").cast("double")) * JITTER_GAIN
     extended = F.col("seq") + F.col("cycle") * SEQUENCE_SPACE
     rolled = placed.groupBy(*stream).agg(
         F.count(F.lit(1)).alias("packets_received"),

@@ -78,6 +78,16 @@ def previous(value: Column) -> Carried:
     return Carried("previous", value, False)
 
 
+def following(value: Column) -> Carried:
+    """``value`` of the row just after, NULL on the last row; in one walk with what looks back."""
+    return Carried("following", value, False)
+
+
+def rows_after() -> Carried:
+    """Number of later rows."""
+    return Carried("after", F.lit(1).cast("bigint"), False)
+
+
 def last_known(value: Column, inclusive: bool = False) -> Carried:
     """Latest non-NULL ``value`` on earlier rows (and this one when ``inclusive``)."""
     return Carried("last", value, inclusive)
@@ -96,7 +106,7 @@ def row_number() -> Carried:
 
 def _operand(spec: Carried) -> Column:
     """The column that the windows read; wrapped where a NULL value must differ from a missing row."""
-    if spec.kind == "previous":
+    if spec.kind in ("previous", "following"):
         return F.struct(spec.value.alias("v"))
     if spec.kind == "last":
         return F.when(spec.value.isNotNull(), F.struct(spec.value.alias("v")))
@@ -107,6 +117,10 @@ def _local(spec: Carried, name: str, ordered) -> Column:
     """The value as far as the row's own slab can tell."""
     if spec.kind == "previous":
         return F.lag(name).over(ordered)
+    if spec.kind == "following":
+        return F.lead(name).over(ordered)
+    if spec.kind == "after":
+        return _still_to_come(name, ordered)
     return _aggregate(spec, name, Window.currentRow if spec.inclusive else -1, ordered)
 
 
@@ -114,18 +128,32 @@ def _handed_on(spec: Carried, name: str, ordered) -> Column:
     """What a slab hands to the next ones, read off its last row."""
     if spec.kind == "previous":
         return F.col(name)
+    if spec.kind == "following":
+        return F.first(name).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return _aggregate(spec, name, Window.currentRow, ordered)
 
 
 def _aggregate(spec: Carried, name: str, until: int, ordered) -> Column:
     frame = ordered.rowsBetween(Window.unboundedPreceding, until)
-    return F.last(name, True).over(frame) if spec.kind == "last" else getattr(F, spec.kind)(name).over(frame)
+    if spec.kind == "last":
+        return F.last(name, True).over(frame)
+    return getattr(F, "sum" if spec.kind == "after" else spec.kind)(name).over(frame)
+
+
+def _still_to_come(name: str, ordered) -> Column:
+    """Total less the sum so far: a frame that ends at the last row and moves its start would be read again each row."""
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.sum(name).over(whole) - F.sum(name).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def _across(spec: Carried, name: str, slabs) -> Column:
-    """Combination of what all earlier slabs handed on."""
+    """Combination of what all earlier slabs, or for values that look ahead the later ones, handed on."""
     if spec.kind == "previous":
         return F.lag(name).over(slabs)
+    if spec.kind == "following":
+        return F.lead(name).over(slabs)
+    if spec.kind == "after":
+        return _still_to_come(name, slabs)
     before = slabs.rowsBetween(Window.unboundedPreceding, -1)
     if spec.kind == "last":
         return F.last(name, True).over(before)
@@ -133,9 +161,9 @@ def _across(spec: Carried, name: str, slabs) -> Column:
 
 
 def _combine(spec: Carried, local: Column, carry: Column) -> Column:
-    if spec.kind in ("previous", "last"):
+    if spec.kind in ("previous", "following", "last"):
         return F.coalesce(local, carry)["v"]
-    if spec.kind == "sum":
+    if spec.kind in ("sum", "after"):
         return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
     return (F.least if spec.kind == "min" else F.greatest)(local, carry)
 

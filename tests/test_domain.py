@@ -15,6 +15,7 @@ from signaloom.operators import keepalive as K
 from signaloom.operators import media as ME
 from signaloom.operators import procedures as P
 from signaloom.operators import sessions as S
+from signaloom.operators import tunnels as T
 
 BASE = datetime(2024, 1, 1)
 
@@ -165,6 +166,36 @@ def test_master_session(spark):
     assert [(r.imsi, r.gtp_session, r.sip_sessions, r.diameter_sessions, r.events, r.msisdn) for r in found] == [("310", 100, 1, 1, 3, "555")]
 
 
+def test_charging(spark):
+    """Two services in one message; the last known final unit stays, other groups have none."""
+    names = "rating_group service_identifier reporting_reason result_code final_unit_action".split()
+    names += [f"{way}_{unit}" for way in T.WAYS for unit in T.UNITS]
+    control = lambda **known: tuple(known.get(n) for n in names)
+    rows = [
+        ("u", at(0), 1, [control(rating_group=1, granted_time=60, requested_time=90, final_unit_action=2, result_code=2001),
+                         control(rating_group=2, used_total_octets=7, reporting_reason=3)]),
+        ("u", at(9), 2, [control(rating_group=1, granted_time=5, granted_input_octets=11, result_code=4012)]),
+        ("u", at(9), 3, None),
+    ]
+    schema = f"user string, ts timestamp, id bigint, mscc array<struct<{','.join(n + ':bigint' for n in names)}>>"
+    found = {r.rating_group: r for r in T.charging_usage(spark.createDataFrame(rows, schema), ["user"], ["ts", "id"]).collect()}
+    one, two = found[1], found[2]
+    assert (one.reports, one.granted_time, one.requested_time, one.granted_input_octets, one.used_time) == (2, 65, 90, 11, None)
+    assert (one.final_unit, one.final_unit_action, one.last_result_code, one.quota_exhausted) == (True, 2, 4012, False)
+    assert (two.final_unit, two.final_unit_action, two.used_total_octets, two.quota_exhausted) == (False, None, 7, True)
+
+
+def test_session_names(spark):
+    keys = spark.createDataFrame([("PFCP", 5, 6), ("PFCP", None, 6), ("PFCP", None, None), ("X", 1, 2)], "kind string, f bigint, s bigint")
+    blank = keys.selectExpr("*", "cast(null as string) as c", "cast(null as bigint) as n")
+    key = S.protocol_session_key("kind", "c", "c", "n", "s", "n", F.lit("a-b"), "f")
+    assert [r[0] for r in blank.select(key).collect()] == ["PFCP-5", "PFCP-6", "PFCP-a-b", "FLOW-a-b"]
+    known = spark.createDataFrame([(None, "2"), ("1", "2"), (None, None)], "imsi string, msisdn string")
+    assert [r[0] for r in known.select(S.primary_identifier(["imsi", "msisdn"])).collect()] == ["2", "1", "unknown"]
+    rules = spark.createDataFrame([("s", 1, ["a", "b"]), ("s", 2, ["a"]), ("", 3, ["a"]), ("t", 4, None)], "session_id string, hop_by_hop_id int, r array<string>")
+    assert sorted(map(tuple, S.charging_rules(rules, "r").collect())) == [("hop-3", "a"), ("s", "a"), ("s", "b")]
+
+
 SIP = (
     "call_id string, ts timestamp, id bigint, is_request boolean, method string, status_code int, cseq_method string, from_uri string, to_uri string, "
     "request_uri string, via_count int, contact_ip string, expires int, has_audio boolean, has_video boolean, protocol string"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signaloom.operators import pairing as P
 from signaloom.operators.asof import asof_join, earliest_claim
-from signaloom.operators.timeline import carry_along, fit_slab, last_known, previous, row_number, running
+from signaloom.operators.timeline import carry_along, fit_slab, following, last_known, previous, row_number, rows_after, running
 
 BASE = datetime(2024, 1, 1)
 
@@ -30,6 +30,7 @@ def test_carried_values_do_not_depend_on_slabs(spark, slab, reverse):
         df, ["key"], ["t", "id"], slab, reverse,
         before=previous(F.col("v")), known=last_known(F.col("v")), known_now=last_known(F.col("v"), inclusive=True),
         total=running("sum", F.coalesce("v", F.lit(0))), top=running("max", F.col("v"), inclusive=False), nth=row_number(),
+        after=following(F.col("v")), left=rows_after(),
     )
     expected = {}
     for key in {r[0] for r in data}:
@@ -44,8 +45,10 @@ def test_carried_values_do_not_depend_on_slabs(spark, slab, reverse):
                 sum(x or 0 for x in seen) + (r[3] or 0),
                 max(known) if known else None,
                 i + 1,
+                mine[i + 1][3] if i + 1 < len(mine) else None,
+                len(mine) - i - 1,
             )
-    found = {r.id: (r.before, r.known, r.known_now, r.total, r.top, r.nth) for r in got.collect()}
+    found = {r.id: (r.before, r.known, r.known_now, r.total, r.top, r.nth, r.after, r.left) for r in got.collect()}
     assert found == expected
 
 
