@@ -124,3 +124,27 @@ def _(spark, sf):
     rows = bound(spark, sf, "messages").select("message_id", "protocol", F.expr(_BODY).alias("parsed_data"))
     keyed = SM.with_correlation_keys(rows)
     return keyed.select("message_id", "imsi", "msisdn", "icid", "ue_ipv4", "ue_ipv6", "teid_s1u")
+
+
+_USER_PLANE = """CASE event_type
+  WHEN 'purchase' THEN '{"header":{"seid":' || (user_id * 1000003) || '},"ue_ip_address":"' || src_ip || '","imsi":"310260' || lpad(CAST(user_id AS STRING), 9, '0') || '"}'
+  WHEN 'error' THEN '{"ran_ue_ngap_id":' || k || ',"amf_ue_ngap_id":' || user_id || '}'
+  ELSE '{"p_associated_uri":["tel:+1","sip:310260' || lpad(CAST(user_id AS STRING), 9, '0') || '@ims.example.com"]}' END"""
+
+
+@register(
+    "extracted_user_plane_keys",
+    check(
+        """SELECT message_id, CASE WHEN event_type <> 'error' THEN '310260' || lpad(CAST(user_id AS VARCHAR), 9, '0') END AS imsi,
+          CASE WHEN event_type = 'purchase' THEN src_ip END AS ue_ipv4, CASE WHEN event_type = 'purchase' THEN CAST(user_id * 1000003 AS DECIMAL(20, 0)) END AS seid_n4,
+          CASE WHEN event_type = 'error' THEN CAST(k AS DECIMAL(20, 0)) END AS ran_ue_ngap_id,
+          CASE WHEN event_type = 'error' THEN CAST(user_id AS DECIMAL(20, 0)) END AS amf_ue_ngap_id FROM messages""",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    """Keys out of PFCP and NGAP bodies, and an IMSI out of a SIP message's associated URIs."""
+    kind = F.expr("CASE event_type WHEN 'purchase' THEN 'PFCP' WHEN 'error' THEN 'SCTP' ELSE 'SIP' END")
+    rows = bound(spark, sf, "messages").select("message_id", kind.alias("protocol"), F.expr(_USER_PLANE).alias("parsed_data"))
+    keyed = SM.with_correlation_keys(rows)
+    return keyed.select("message_id", "imsi", "ue_ipv4", "seid_n4", "ran_ue_ngap_id", "amf_ue_ngap_id")

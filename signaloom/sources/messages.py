@@ -46,21 +46,23 @@ def _digits(value: Column, shortest: int, longest: int) -> Column:
     return value.rlike(f"^[0-9]{{{shortest},{longest}}}$")
 
 
-def correlation_keys(protocol: str = "protocol", body: str = "parsed_data") -> dict[str, Column]:
-    """Identifier columns out of a message's JSON body, by protocol.
+#: The fields of a message body that hold identifiers.
+BODY_SCHEMA = (
+    "struct<header:struct<teid:bigint,seid:decimal(20,0)>,imsi:string,msisdn:string,ue_ip_address:string,"
+    "call_id:string,p_charging_vector:struct<icid_value:string>,p_asserted_identity:array<struct<username:string>>,"
+    "authorization_username:string,p_associated_uri:array<string>,sdp:struct<connection_address:string>,"
+    "subscription_ids:array<struct<type:int,data:string>>,user_name:string,ran_ue_ngap_id:decimal(20,0),"
+    "amf_ue_ngap_id:decimal(20,0),ue_ipv4:string>"
+)
+
 
-    A user name of 14 or 15 digits is an IMSI, one of 10 to 15 (or with ``+``) a phone number. The body is parsed
-    once, by ``from_json`` with a declared schema that holds only the fields used.
+def correlation_keys(protocol: str = "protocol", body: str = "body") -> dict[str, Column]:
+    """Identifier columns out of a message's parsed body (:data:`BODY_SCHEMA`), by protocol.
+
+    A user name of 14 or 15 digits is an IMSI, one of 10 to 15 (or with ``+``) a phone number.
     """
-    body_schema = (
-        "struct<header:struct<teid:bigint,seid:decimal(20,0)>,imsi:string,msisdn:string,ue_ip_address:string,"
-        "call_id:string,p_charging_vector:struct<icid_value:string>,p_asserted_identity:array<struct<username:string>>,"
-        "authorization_username:string,p_associated_uri:array<string>,sdp:struct<connection_address:string>,"
-        "subscription_ids:array<struct<type:int,data:string>>,user_name:string,ran_ue_ngap_id:decimal(20,0),"
-        "amf_ue_ngap_id:decimal(20,0),ue_ipv4:string>"
-    )
     kind = F.col(protocol)
-    parsed = F.from_json(F.col(body), body_schema)
+    parsed = F.col(body)
     is_ = lambda *names: kind.isin(*names)
 
     users = F.transform(parsed["p_asserted_identity"], lambda p: p["username"])
@@ -100,4 +102,6 @@ def correlation_keys(protocol: str = "protocol", body: str = "parsed_data") -> d
 
 
 def with_correlation_keys(messages: DataFrame, protocol: str = "protocol", body: str = "parsed_data") -> DataFrame:
-    return messages.withColumns(correlation_keys(protocol, body))
+    """Adds the identifier columns. The JSON body is parsed once, in a projection of its own below them."""
+    parsed = messages.withColumn("_body", F.from_json(F.col(body), BODY_SCHEMA))
+    return parsed.withColumns(correlation_keys(protocol, "_body")).drop("_body")
