@@ -1,11 +1,19 @@
-"""Duplicate and near-duplicate lines by a segment-partition edit join, in DataFrame operations only.
+"""Duplicate and near-duplicate lines by an edit join on shared substrings, in DataFrame operations only.
 
 A text is split at line feeds. Lines that are equal count as one line; two lines of ``LEAST`` characters or more are linked
-when at most ``EDITS`` insertions, deletions or substitutions of characters lead from one to the other. Each line is cut
-into ``EDITS + 1`` segments: of two linked lines, at least one segment of the shorter occurs in the longer near its own
-place. So lines are indexed by (length, segment number, segment), probe the lengths up to ``EDITS`` below their own at the
-few places that can matter, and the pairs found are checked on their texts by a bit-parallel automaton over the band of
-2 * EDITS + 1 diagonals.
+when few enough insertions, deletions or substitutions of characters lead from one to the other: one for every
+``CHARACTERS_PER_EDIT`` characters of the longer line, and one at least (``edits`` gives a fixed number instead).
+
+Where one or a fixed number is allowed, each line is cut into ``edits + 1`` segments: of two linked lines, at least one
+segment of the shorter occurs in the longer near its own place. So lines are indexed by (length, segment number, segment),
+probe the lengths up to ``edits`` below their own at the few places that can matter, and the pairs found are checked on
+their texts by a bit-parallel automaton over the band of 2 * edits + 1 diagonals.
+
+The places to probe grow with the cube of the edits, so longer lines are joined by marked substrings. Whether the ``GRAM``
+characters at a place are marked is told by the ``REACH`` characters before it alone: the last is no letter, or all are
+letters. Of the segments of the longer line one is whole in the shorter, and each holds a marked substring; so the longer
+is indexed by one of each segment, the shorter probes with all of its own. Pairs whose lengths or counts of letters differ
+by more than the edits can explain are left out, the others are checked by the banded edit distance of Spark.
 
 A line goes when the same line, or a linked one, occurs earlier, in order of (id, line number); a null id comes last. Lines
 of white space only always stay and have no links. Null counts as the empty text, which is one empty line. Rows that share
@@ -22,8 +30,10 @@ from signaloom.session import cut_lineage
 
 from .common import column, free_name
 
-EDITS = 1
 LEAST = 20
+CHARACTERS_PER_EDIT = 32
+REACH, GRAM = 10, 11  # together no more than the shortest segment of a line that is allowed two edits
+LETTERS = "eanitors"
 LINE = ("h1", "h2")
 
 
@@ -93,9 +103,8 @@ def within_edits(one: Column, two: Column, edits: int) -> Column:
     return (F.abs(gap) <= edits) & (F.call_function("shiftright", final, place).bitwiseAND(F.lit(1)) == 1)
 
 
-def line_links(docs: DataFrame, text_column: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(``a1, a2, b1, b2``): hashes of the linked pairs of different lines, each pair once."""
-    lines = _lines(docs, docs.columns[0], text_column).filter((F.col("n") >= least) & written(F.col("line")))
+def _links_of_few(lines: DataFrame, edits: int) -> DataFrame:
+    """Links of lines by their segments, for a small number of edits."""
     # copies of a line fold within each task, before the rows of a segment meet
     rows = lines.select(*LINE, F.inline(_keys("line", "n", edits))).groupBy("key", *LINE).agg(F.min("kind").alias("kind"))
     index = rows.filter("kind = 0").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
@@ -111,8 +120,71 @@ def line_links(docs: DataFrame, text_column: str = "text", edits: int = EDITS, l
     return both.filter(within_edits(F.col("one"), F.col("two"), edits)).select("a1", "a2", "b1", "b2")
 
 
+def _allowed(length: str) -> str:
+    return f"cast(greatest(1, {length} div {CHARACTERS_PER_EDIT}) as int)"
+
+
+def _size_class(length: str) -> str:
+    """Of two lines that can be linked, the shorter is in the class of the longer or the one before."""
+    return f"cast(floor(ln({length}) / ln({CHARACTERS_PER_EDIT / (CHARACTERS_PER_EDIT - 1)})) as int)"
+
+
+def _letter_counts(line: str) -> Column:
+    """How often each of eight letters occurs, modulo 256, in the bytes of one number."""
+    counts = [f"(octet_length({line}) - octet_length(replace({line}, '{c}', '')))" for c in LETTERS]
+    return F.expr(" | ".join(f"shiftleft(cast({c} & 255 as bigint), {8 * k})" for k, c in enumerate(counts)))
+
+
+def _count_distance(one: str, two: str) -> str:
+    """At most the sum of the differences of the letter counts; an edit changes that by two at most."""
+    def byte(x: str, k: int) -> str:
+        return f"(shiftright({x}, {8 * k}) & 255)"
+
+    apart = [f"abs({byte(one, k)} - {byte(two, k)})" for k in range(len(LETTERS))]
+    return " + ".join(f"least({d}, 256 - {d})" for d in apart)
+
+
+def _links_by_length(lines: DataFrame) -> DataFrame:
+    """Links whose longer line is allowed two edits or more."""
+    shortest = 2 * CHARACTERS_PER_EDIT
+    wide = lines.filter(F.col("n") >= shortest - 2).groupBy(*LINE).agg(F.first("n").alias("n"), F.first("line").alias("line"))
+    wide = wide.withColumns({"id": F.monotonically_increasing_id(), "counts": _letter_counts("line")})
+    wide = cut_lineage(wide, "wide-lines")
+    cut = f"(n div ({_allowed('n')} + 1))"
+    # per segment: the first place of a marked substring that its own characters tell
+    first = rf"regexp_extract(substring(line, cast(i * {cut} + 1 as int), cast({cut} as int)), r'(?s)\A(?:.{{1,{REACH}}}?(?<=\P{{L}})|.{{{REACH}}})(.{{{GRAM}}})', 1)"
+    segments = F.expr(f"array_distinct(transform(sequence(0, {_allowed('n')}), i -> {first}))")
+    marked = F.expr(rf"array_distinct(regexp_extract_all(line, r'(?s)(?:(?<=\P{{L}})|(?<=\p{{L}}{{{REACH}}}))(?=(.{{{GRAM}}}))', 1))")
+    index = wide.filter(F.col("n") >= shortest).select("id", "n", "counts", F.explode(segments).alias("gram"))
+    own = F.expr(_size_class("n"))
+    index = index.select("id", "n", "counts", "gram", F.explode(F.array(own, own - 1)).alias("size"))
+    probe = wide.select("id", "n", "counts", F.explode(marked).alias("gram"), own.alias("size"))
+    key = F.xxhash64("size", "gram").alias("key")
+    index = index.select(key, F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    probe = probe.select(key, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    near = F.expr(f"(nb < na or (nb = na and a < b)) and na - nb <= {_allowed('na')}")
+    alike = F.expr(f"{_count_distance('ca', 'cb')} <= 2 * {_allowed('na')}")
+    pairs = cut_lineage(index.join(probe, "key").filter(near & alike).select("a", "b").distinct(), "wide-pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = cut_lineage(wide.join(ends.hint("merge"), "id", "left_semi").select("id", *LINE, "n", "line"), "wide-texts")
+    one, two = texts.toDF("a", "a1", "a2", "na", "one"), texts.select("id", *LINE, "line").toDF("b", "b1", "b2", "two")
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    return both.filter(F.expr(f"levenshtein(one, two, {_allowed('na')}) >= 0")).select("a1", "a2", "b1", "b2")
+
+
+def line_links(docs: DataFrame, text_column: str = "text", edits: int | None = None, least: int = LEAST) -> DataFrame:
+    """(``a1, a2, b1, b2``): hashes of the linked pairs of different lines, each pair once.
+
+    ``edits`` is the same number for all lines; without it the number grows with the length.
+    """
+    lines = _lines(docs, docs.columns[0], text_column).filter((F.col("n") >= least) & written(F.col("line")))
+    if edits is not None:
+        return _links_of_few(lines, edits)
+    return _links_of_few(lines.filter(F.col("n") < 2 * CHARACTERS_PER_EDIT), 1).union(_links_by_length(lines))
+
+
 def mark_lines(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int = LEAST,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int | None = None, least: int = LEAST,
 ) -> DataFrame:
     """One row per line: ``id, no, exact, near, n_links``; ``exact`` or ``near`` says why the line goes."""
     rows = _lines(docs, id_column, text_column).select("id", "no", *LINE, written(F.col("line")).alias("full"))
@@ -146,7 +218,7 @@ def line_report(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def remove_lines(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS, least: int = LEAST,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int | None = None, least: int = LEAST,
 ) -> DataFrame:
     """``docs`` without the lines that go; texts that lose none are as they were, null included."""
     report = line_report(mark_lines(docs, id_column, text_column, edits, least), "id").filter(F.size("dropped") > 0)

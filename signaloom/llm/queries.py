@@ -27,15 +27,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(lengths, "doc_id", "n_tokens")
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, exact and near copies of earlier lines, links of its lines, and which lines go."""
-    report = line_dedup.line_report(line_dedup.mark_lines(read_table(spark, sf_dir, "documents")))
+def _line_report(marked: DataFrame) -> DataFrame:
     gone = F.array_join(F.transform("dropped", lambda n: n.cast("string")), ",")
-    return report.withColumn("kept_lines", F.col("n_lines") - F.size("dropped")).withColumn(
+    return line_dedup.line_report(marked).withColumn("kept_lines", F.col("n_lines") - F.size("dropped")).withColumn(
         "dropped_sha256", sha256(gone)
     ).drop("dropped")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, exact and near copies of earlier lines, links of its lines, and which lines go; at one edit,
+    which is what its check SQL says."""
+    return _line_report(line_dedup.mark_lines(read_table(spark, sf_dir, "documents"), edits=1))
+
+
+def op2_line_dedup_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with edits that grow with the length of a line."""
+    return _line_report(line_dedup.mark_lines(read_table(spark, sf_dir, "documents")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
@@ -107,8 +116,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_line_dedup, op3_secret_scan, op4_exact_dedup, op5_token_counts, op6_language_id,
-        op7_minhash_near_dedup, op8_lm_scoring, op9_decontamination, op10_toxicity, pipeline,
+        op1_best_fit_packing, op2_line_dedup, op2_line_dedup_by_length, op3_secret_scan, op4_exact_dedup, op5_token_counts,
+        op6_language_id, op7_minhash_near_dedup, op8_lm_scoring, op9_decontamination, op10_toxicity, pipeline,
     )
 }
 

@@ -286,6 +286,31 @@ def test_edit_join_finds_every_pair(spark):
     assert got == {1: "same line of twenty characters\nx\n", 2: ""}
 
 
+def test_edits_grow_with_the_line(spark):
+    """Every pair of the brute-force distance, over lengths where one to ten edits are allowed, and none besides."""
+    rnd = random.Random(21)
+    lines = set()
+    for n in (30, 62, 64, 66, 95, 97, 128, 166, 330):
+        for spaced in (True, False):
+            base = "".join(rnd.choice("abcdefghié" + "   " * spaced) for _ in range(n))
+            for k in range(7):
+                text = list(base)
+                for at in sorted(rnd.sample(range(n), min(n, k * max(1, n // 32) // 4)), reverse=True):
+                    text[at : at + rnd.randint(0, 1)] = rnd.choice(["", "z", "é", " ", "中"])
+                lines.add("".join(text))
+    word = "the meeting of the committee was moved to the second tuesday in october because of the repairs to the main hall"
+    lines |= {word, word.replace("tuesday", "monday"), "x" * 200, "x" * 195, "x" * 190}
+    lines = sorted(x for x in lines if len(x) >= line_dedup.LEAST and x.strip())
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    near = {(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :]
+            if abs(len(a) - len(b)) <= 10 and distance(a, b) <= max(1, max(len(a), len(b)) // 32)}
+    assert any(distance(a, b) > 3 for a, b in near)
+    keyed = frame.select(F.xxhash64("text").alias("h"), "text").collect()
+    by_hash = {r["h"]: r["text"] for r in keyed}
+    found = [tuple(sorted((by_hash[r["a1"]], by_hash[r["b1"]]))) for r in line_dedup.line_links(frame).collect()]
+    assert len(found) == len(set(found)) and set(found) == near
+
+
 def test_toxicity_features_and_labels(spark):
     row = dict(zip(toxicity.FEATURES, toxicity.features("You are an 1d1ot, you IDIOT!"), strict=True))
     assert row["insults"] == 1 and row["disguised_density"] > 0 and row["near_second_person"] > 0
