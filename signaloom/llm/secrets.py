@@ -2,17 +2,22 @@
 
 Base kinds, leftmost and non-overlapping each: ``assign`` (a password, token or key set to a value of 6 or more
 characters), ``access`` (AKIA..., 20 or more) and ``hex`` (24 or more hexadecimal digits). The method adds ``random``: a
-run of 20 or more key characters with letters and digits that a byte-pair vocabulary needs a token for every 1.8
-characters or fewer to write. Words and names take far fewer tokens; digests of known lengths, UUIDs, and identifiers
-(parts that are all letters, all digits, or letters followed by a short number) are left out first, and so is what
-overlaps a base span. All offsets are code points, end exclusive.
+stretch of 20 or more key characters with letters and digits that a byte-pair vocabulary needs a token for every 1.8 characters or fewer to write.
+Words and names take far fewer tokens, so a key is found behind a path, a host or a name as well as alone. Base spans, digests of known lengths and UUIDs are left out first, and the stretches are looked for
+in what is between them. All offsets are code points, end exclusive.
 
-A null text counts as empty and has no spans. Runs of any length are judged whole, in windows of 4,096 characters whose
-tokens are added up. Rows are independent: repeated rows give the same spans.
+Every token is worth ``1.8 - its characters``, so a stretch is dense when its worth is 0 or more. Separators, and parts
+between separators that are one token, are worth as much as a token of two characters at most: dotted numbers are not
+dense. Of each run the stretch of the highest worth is taken, then those before and after it. Words at its ends that the
+vocabulary writes well are no part of it, short tokens of the same part beside it are.
+
+A null text counts as empty and has no spans. Runs of any length are judged whole; tokens are taken from windows of 4,096
+characters. Rows are independent: repeated rows give the same spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -32,14 +37,16 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 # End of fixed values.
 
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+PART = re.compile("[A-Za-z0-9]+|[+/_.=-]+")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-HEX_ONLY = re.compile("[0-9a-f]+|[0-9A-F]+")
-IDENTIFIER_PART = re.compile("[A-Za-z]*[0-9]{0,4}|[0-9]+")
-SEPARATORS = re.compile("[+/_.=-]+")
+DIGEST_OR_UUID = re.compile(
+    "(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|([0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])"
+)
 WINDOW = 4096
 CHARACTERS_PER_TOKEN = 1.8
+SHORT_TOKEN = 3
 
 SPANS = "array<struct<kind:string,start:long,stop:long,value:string>>"
 Span = tuple[str, int, int, str]
@@ -52,11 +59,39 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
 
 
-def _known(word: str) -> bool:
-    """Digests of a known length, UUIDs, identifiers."""
-    if HEX_ONLY.fullmatch(word) and len(word) in DIGEST_LENGTHS or UUID.fullmatch(word):
-        return True
-    return all(IDENTIFIER_PART.fullmatch(part) for part in SEPARATORS.split(word))
+def known_spans(text: str) -> list[tuple[int, int]]:
+    """UUIDs, and parts that are digests of a known length."""
+    found = DIGEST_OR_UUID.finditer(text)
+    return [m.span() for m in found if m[1] is None or len(m[1]) in DIGEST_LENGTHS]
+
+
+def _between(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a range without the ranges taken, which are in order."""
+    for a, b in taken:
+        if b <= start:
+            continue
+        if a >= end:
+            break
+        if a > start:
+            yield start, a
+        start = b
+    if start < end:
+        yield start, end
+
+
+def _best(worth: list[float], at: list[int], i: int, j: int) -> tuple[int, int] | None:
+    """The tokens from i to j of the highest worth, 0 at least, with ``LEAST`` characters or more."""
+    sums = [0.0]
+    for k in range(i, j):
+        sums.append(sums[-1] + worth[k])
+    best, found, low, k = -1e-9, None, 0, 0
+    for end in range(i, j + 1):
+        while k <= end - i and at[end] - at[i + k] >= LEAST:
+            low = k if sums[k] < sums[low] or k == 0 else low
+            k += 1
+        if k and sums[end - i] - sums[low] > best:
+            best, found = sums[end - i] - sums[low], (i + low, end)
+    return found
 
 
 def _ordered(spans: list[Span]) -> list[Span]:
@@ -66,35 +101,66 @@ def _ordered(spans: list[Span]) -> list[Span]:
 class SecretScanner:
     def __init__(self, ranks: bytes, pattern: str, characters_per_token: float = CHARACTERS_PER_TOKEN):
         self.encoding, self.least = rank_encoding(ranks, pattern), characters_per_token
-
-    def efficiency(self, word: str) -> float:
-        """Characters per token."""
-        pieces = [word[k : k + WINDOW] for k in range(0, len(word), WINDOW)]
-        return len(word) / sum(len(self.encoding.encode_ordinary(p)) for p in pieces)
-
-    def random_spans(self, text: str) -> list[Span]:
-        out = []
-        for m in CANDIDATE.finditer(text):
-            word = m[0].strip("+/_.=-")
-            if len(word) < 20 or word.isalpha() or not re.search("[A-Za-z]", word) or not re.search("[0-9]", word):
+        self.length = {rank: len(token) for token, rank in self.encoding._mergeable_ranks.items()}
+
+    def _written_well(self, piece: str, tokens: int) -> bool:
+        """Whether a piece at an end of a stretch is no part of it: separators, and words."""
+        return not piece.isalnum() or len(piece) > max(SHORT_TOKEN, self.least * tokens)
+
+    def dense(self, run: str) -> Iterator[tuple[int, int]]:
+        """Places of the dense stretches of a run of key characters."""
+        at, worth, part = [0], [], []  # per token: place, worth, number of its part
+        for number, m in enumerate(PART.finditer(run)):
+            pieces = [m[0][k : k + WINDOW] for k in range(0, len(m[0]), WINDOW)]
+            sizes = [self.length[t] for p in pieces for t in self.encoding.encode_ordinary(p)]
+            whole = len(sizes) == 1 or not m[0].isalnum()
+            worth += [self.least - (max(n, 2) if whole else n) for n in sizes]
+            part += [number] * len(sizes)
+            for n in sizes:
+                at.append(at[-1] + n)
+        todo = [(0, len(worth))]
+        while todo:
+            i, j = todo.pop()
+            found = _best(worth, at, i, j) if at[j] - at[i] >= LEAST else None
+            if not found:
                 continue
-            if not _known(word) and self.efficiency(word) <= self.least:
-                start = m.start() + m[0].index(word)
-                out.append(("random", start, start + len(word), word))
-        return out
+            start, end = found
+            while start > i and part[start - 1] == part[start] and at[start] - at[start - 1] <= SHORT_TOKEN:
+                start -= 1
+            while end < j and part[end] == part[end - 1] and at[end + 1] - at[end] <= SHORT_TOKEN:
+                end += 1
+            todo += [(i, start), (end, j)]
+            while start < end and (after := bisect.bisect_right(part, part[start], start, end)) < end:
+                if not self._written_well(run[at[start] : at[after]], after - start):
+                    break
+                start = after
+            while start < end and (before := bisect.bisect_left(part, part[end - 1], start, end)) > start:
+                if not self._written_well(run[at[before] : at[end]], end - before):
+                    break
+                end = before
+            if at[end] - at[start] >= LEAST:
+                yield at[start], at[end]
+
+    def random_spans(self, text: str, taken: list[tuple[int, int]] = ()) -> list[Span]:
+        """Dense stretches outside the ranges taken, of digests and of UUIDs."""
+        out, barriers = [], None
+        for m in CANDIDATE.finditer(text):
+            if barriers is None:
+                barriers, reach = [], 0
+                for a, b in sorted([*taken, *known_spans(text)]):
+                    if b > reach:
+                        barriers.append((max(a, reach), b))
+                        reach = b
+            for a, b in _between(m.start(), m.end(), barriers):
+                if b - a >= LEAST:
+                    out += [("random", a + i, a + j, text[a + i : a + j]) for i, j in self.dense(text[a:b])]
+        out = [s for s in out if re.search("[A-Za-z]", s[3]) and re.search("[0-9]", s[3])]
+        return _ordered(out)
 
     def spans(self, text: str | None) -> list[Span]:
         """Base spans and the random strings beside them, by start, then kind."""
         base = base_spans(text or "")
-        taken = sorted((a, b) for _, a, b, _ in base)
-        extra, k, reach = [], 0, 0
-        for span in self.random_spans(text or ""):
-            while k < len(taken) and taken[k][0] < span[2]:
-                reach = max(reach, taken[k][1])
-                k += 1
-            if reach <= span[1]:
-                extra.append(span)
-        return _ordered(base + extra)
+        return _ordered(base + self.random_spans(text or "", [(a, b) for _, a, b, _ in base]))
 
 
 def secrets_of(spark: SparkSession, ranks: bytes, pattern: str, text: Column) -> Column:

@@ -111,6 +111,30 @@ def test_secrets(spark, texts):
     assert [s[0] for s in scanner.spans(f"password = {key}")] == ["assign"]
 
 
+def test_random_keys_behind_names():
+    vocabulary = token_counts.byte_vocabulary()
+    scanner = secrets.SecretScanner(vocabulary.ranks, vocabulary.pattern)
+    keys = ["zK8qX2vN7pL4wR9tB3mYc6Hd", "Wq7Zt0KfXv5Rj2Hn8Pd3Lb6G"]
+    for key in keys:
+        for before, after in (
+            ("", ""), ("api.example.com/v1/users/profile/callback/", ""), ("/home/user/project/config/", "/index.html"),
+            ("Authorization=", ""), ("d41d8cd98f00b204e9800998ecf8427e/", ""),
+        ):
+            text = f"é {before}{key}{after}, then"
+            assert [s[1:] for s in scanner.random_spans(text)] == [(2 + len(before), 2 + len(before + key), key)], text
+    two = f"{keys[0]}/users/profile/settings/callback/documents/{keys[1]}"
+    assert [s[3] for s in scanner.random_spans(two)] == keys[:2]
+    for plain in (
+        "api.example.com/v1/users/profile/callback/index.html", "1.2.3.4.5.6.7.8.9.10.11.12", "2024-11-30/2024-12-01/report_v2.pdf",
+        "internationalization-localization", "org.apache.spark.sql.catalyst.expressions", "-" * 40, "x" * 9000,
+    ):
+        assert not scanner.random_spans(plain)
+    rnd = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = ["".join(rnd.choice(signs) for _ in range(24)) for _ in range(300)]
+    assert sum(any(k in s[3] for s in scanner.random_spans(f"www.example.com/static/{k}")) for k in drawn) > 285
+
+
 def test_token_counts_and_cache(spark, docs, texts):
     vocabulary = token_counts.byte_vocabulary()
     counter = token_counts.Counter(vocabulary)
