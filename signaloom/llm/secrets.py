@@ -2,8 +2,9 @@
 
 Base kinds, leftmost and non-overlapping each: ``assign`` (a password, token or key set to a value of 6 or more
 characters), ``access`` (AKIA..., 20 or more) and ``hex`` (24 or more hexadecimal digits). The method adds ``random``: a
-stretch of 20 or more key characters with letters and digits that a byte-pair vocabulary needs a token for every 1.8 characters or fewer to write.
-Words and names take far fewer tokens, so a key is found behind a path, a host or a name as well as alone. Base spans, digests of known lengths and UUIDs are left out first, and the stretches are looked for
+stretch of 20 or more key characters that a byte-pair vocabulary needs a token for every 1.8 characters or fewer to write.
+Words and names take far fewer tokens, so a key is found behind a path, a host or a name as well as alone, whatever
+characters it is of. Base spans, digests of known lengths and UUIDs are left out first, and the stretches are looked for
 in what is between them. All offsets are code points, end exclusive.
 
 Every token is worth ``1.8 - its characters``, so a stretch is dense when its worth is 0 or more. Separators, and parts
@@ -154,7 +155,6 @@ class SecretScanner:
             for a, b in _between(m.start(), m.end(), barriers):
                 if b - a >= LEAST:
                     out += [("random", a + i, a + j, text[a + i : a + j]) for i, j in self.dense(text[a:b])]
-        out = [s for s in out if re.search("[A-Za-z]", s[3]) and re.search("[0-9]", s[3])]
         return _ordered(out)
 
     def spans(self, text: str | None) -> list[Span]:

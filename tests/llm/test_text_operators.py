@@ -111,10 +111,10 @@ def test_secrets(spark, texts):
     assert [s[0] for s in scanner.spans(f"password = {key}")] == ["assign"]
 
 
-def test_random_keys_behind_names():
+def test_random_keys_behind_names_and_of_letters():
     vocabulary = token_counts.byte_vocabulary()
     scanner = secrets.SecretScanner(vocabulary.ranks, vocabulary.pattern)
-    keys = ["zK8qX2vN7pL4wR9tB3mYc6Hd", "Wq7Zt0KfXv5Rj2Hn8Pd3Lb6G"]
+    keys = ["zK8qX2vN7pL4wR9tB3mYc6Hd", "QxZkWvTbNmLpRsYhGfJdQcXw", "QxZkWvTbNmLpRsYhGfJd42"]
     for key in keys:
         for before, after in (
             ("", ""), ("api.example.com/v1/users/profile/callback/", ""), ("/home/user/project/config/", "/index.html"),
