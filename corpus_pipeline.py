@@ -10,17 +10,19 @@ from signaloom.llm.common import free_name, read_table, remainder
 from signaloom.llm.token_counts import text_lengths
 from signaloom.session import fresh_path
 
-#: A text whose best language has a smaller posterior than this is rejected.
+#: A text whose best language has a smaller posterior than this is rejected; that is about texts between languages, for the
+#: posterior of any longer text is near 1, and texts of no language are rejected by their fit.
 LEAST_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no language fits; learns as the language query does."""
-    model = language_id.fit_language_model(docs.filter(remainder(docs["doc_id"], 5) != 0))
+    labelled = docs.filter(remainder(docs["doc_id"], 5) != 0)
+    model = language_id.fit_language_model(labelled, least_quantile=language_id.LEAST_QUANTILE)
     name = free_name(docs, "found")
     scored = docs.withColumn(name, language_id.language_of(spark, model, docs["text"]))
-    fits = (F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)
-    return scored.filter(fits).drop(name)
+    known = (F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)
+    return scored.filter(known & F.col(f"{name}.fits")).drop(name)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

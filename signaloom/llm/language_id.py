@@ -6,6 +6,10 @@ texts is scored as a sparse product: the rows of its n-grams, summed text by tex
 
 A text that is null or has no letter gets ``und`` and score 0; so does every text when no labelled row was given. Texts
 are scored whole, very long ones in pieces that are added up. Ties go to the language that sorts first.
+
+The score is a posterior over the known languages, which goes to 1 with the length of any text, junk too. Whether a text
+is of a language at all is told by its fit, the mean log-probability of its n-grams: it must not be more than ``MARGIN``
+below a low quantile of the labelled rows, each judged by the counts of the others.
 """
 
 from __future__ import annotations
@@ -31,8 +35,11 @@ ROWS_PER_LANGUAGE = 25_000
 #: A model matrix larger than this is refused, because it is broadcast.
 MATRIX_MB = 256
 PIECE = 1 << 20
+#: A text fits its language when its mean log-probability is no more than MARGIN (nats an n-gram) below this quantile.
+LEAST_QUANTILE = 0.01
+MARGIN = 1.5
 
-RESULT = "lang_pred string, score double"
+RESULT = "lang_pred string, score double, fits boolean"
 
 
 @lru_cache(maxsize=1)
@@ -81,11 +88,12 @@ class LanguageModel:
     priors: np.ndarray
     orders: tuple[int, ...] = ORDERS
     bits: int = BUCKET_BITS
+    least_fit: np.ndarray | None = None  # per language, where it was asked for
 
-    def log_joint(self, texts: list[str | None]) -> np.ndarray:
-        """Log of prior times likelihood, texts by languages; minus infinity throughout for a text without letters."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods, texts by languages, and the number of n-grams of each text."""
         ids, bounds, owners = [], [0], []
-        out = np.full((len(texts), len(self.languages)), -np.inf)
+        out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for row, text in enumerate(texts):
             for piece in ngram_buckets(text or "", self.orders, self.bits):
                 if not len(piece):
@@ -93,32 +101,53 @@ class LanguageModel:
                 ids.append(piece)
                 bounds.append(bounds[-1] + len(piece))
                 owners.append(row)
+                n[row] += len(piece)
         if ids:
             sums = np.add.reduceat(self.weights[np.concatenate(ids)], bounds[:-1], axis=0, dtype=np.float64)
-            out[owners] = self.priors
             np.add.at(out, owners, sums)
-        return out
+        return out, n
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text: the language, its posterior, and whether the text fits it."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        joint = self.log_joint(texts)
-        best = joint.max(axis=1)
-        known = np.isfinite(best)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        likelihood, n = self.sums(texts)
+        known = n > 0
+        joint = self.priors + likelihood
+        best, place = joint.max(axis=1), joint.argmax(axis=1)
         share = 1 / np.exp(joint[known] - best[known, None]).sum(axis=1)
         score = np.zeros(len(texts))
         score[known] = share
-        names = [self.languages[k] if ok else UNKNOWN for k, ok in zip(joint.argmax(axis=1), known, strict=True)]
-        return names, score
+        names = [self.languages[k] if ok else UNKNOWN for k, ok in zip(place, known, strict=True)]
+        fits = known.copy()
+        if self.least_fit is not None:
+            fits &= likelihood[np.arange(len(texts)), place] >= self.least_fit[place] * n
+        return names, score, fits
+
+    def fit_by_others(self, text: str | None, k: int, size: float, smoothing: float) -> float:
+        """Mean log-probability in language k of a text that was fitted on, by the counts of all others.
+
+        ``size`` is the sum of the language's counts.
+        """
+        pieces = list(ngram_buckets(text or "", self.orders, self.bits))
+        n = sum(map(len, pieces))
+        if not n:
+            return np.nan
+        bucket, own = np.unique(np.concatenate(pieces), return_counts=True)
+        whole = size + smoothing * (1 << self.bits)
+        others = np.maximum(np.rint(np.exp(self.weights[bucket, k].astype(float)) * whole - smoothing) - own, 0)
+        return float((own * np.log((others + smoothing) / (whole - n))).sum() / n)
 
 
 def fit_language_model(
     rows: DataFrame, text_column: str = "text", language_column: str = "lang", orders: tuple[int, ...] = ORDERS,
     bits: int = BUCKET_BITS, smoothing: float = SMOOTHING, rows_per_language: int = ROWS_PER_LANGUAGE,
+    least_quantile: float | None = None,
 ) -> LanguageModel:
     """Fit on rows with a language. Priors come from all of them, n-gram counts from a sample of each language.
 
     The sample takes rows by a hash of their text, with a share per language that gives about ``rows_per_language``.
+    With ``least_quantile`` the rows of the sample also tell how well a text must fit.
     """
     labelled = rows.select(column(rows, text_column).alias("text"), column(rows, language_column).alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull())
@@ -146,16 +175,32 @@ def fit_language_model(
         yield pd.DataFrame({"k": k.astype(np.int32), "bucket": bucket.astype(np.int32), "n": counts[k, bucket]})
 
     counts = np.zeros((1 << bits, len(languages)))
+    sample = labelled.filter(draw < share)
     if languages:
-        parts = labelled.filter(draw < share).mapInPandas(count, "k int, bucket int, n long")
+        parts = sample.mapInPandas(count, "k int, bucket int, n long")
         summed = parts.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
         counts[summed["bucket"], summed["k"]] = summed["n"]
-    weights = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * (1 << bits)))
-    return LanguageModel(languages, weights.astype(np.float32), priors, orders, bits)
+    in_all = counts.sum(axis=0)
+    weights = np.log((counts + smoothing) / (in_all + smoothing * (1 << bits)))
+    model = LanguageModel(languages, weights.astype(np.float32), priors, orders, bits)
+    if languages and least_quantile is not None:
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                k = batch["lang"].map(number).to_numpy(np.int32)
+                fit = [shared.value.fit_by_others(t, x, in_all[x], smoothing) for t, x in zip(batch["text"], k, strict=True)]
+                yield pd.DataFrame({"k": k, "fit": np.array(fit, float)})
+
+        fits = sample.mapInPandas(judge, "k int, fit double").filter(~F.isnan("fit"))
+        model.least_fit = np.full(len(languages), -np.inf)
+        for r in fits.groupBy("k").agg(F.percentile_approx("fit", least_quantile).alias("low")).collect():
+            model.least_fit[r["k"]] = r["low"] - MARGIN
+    return model
 
 
 def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """Struct ``lang_pred, score`` of a text column."""
+    """Struct ``lang_pred, score, fits`` of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
@@ -164,8 +209,9 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
         for texts in batches:
             found = [own.predict(part) for part in in_slices(texts, 1_000_000)]
             yield pd.DataFrame({
-                "lang_pred": [x for names, _ in found for x in names],
-                "score": np.concatenate([s for _, s in found]) if found else np.zeros(0),
+                "lang_pred": [x for names, _, _ in found for x in names],
+                "score": np.concatenate([s for _, s, _ in found]) if found else np.zeros(0),
+                "fits": np.concatenate([f for _, _, f in found]) if found else np.zeros(0, bool),
             })
 
     return predict.asNondeterministic()(text)

@@ -73,7 +73,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(docs["doc_id"], 5) == 0
     model = language_id.fit_language_model(docs.filter(~held_out))
     found = language_id.language_of(spark, model, docs["text"])
-    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score"
+    )
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

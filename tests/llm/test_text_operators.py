@@ -162,6 +162,22 @@ def test_language_pieces_and_accuracy(spark, docs, monkeypatch):
     assert right > 0.9
 
 
+def test_language_stage_rejects_texts_of_no_language(spark, docs):
+    rnd = random.Random(8)
+    signs = {
+        "latin": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыьэюя",
+        "cjk": "".join(map(chr, range(0x4E00, 0x5600))), "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    }
+    junk = ["".join(rnd.choice(letters) for _ in range(n)) for letters in signs.values() for n in (20, 100, 500, 2000) for _ in range(10)]
+    junk += ["".join(rnd.choice("0123456789abcdef") for _ in range(n)) for n in (100, 500, 2000) for _ in range(10)]
+    junk += ["Это обычный русский текст о погоде и о дороге домой.", "东京的天气今天很好，我们去公园散步。"]
+    rows = spark.createDataFrame([(10**9 + 5 * k, t) for k, t in enumerate(junk)], "doc_id long, text string")
+    both = docs.unionByName(rows, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, both, SF_DIR).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in docs.filter(F.col("text").rlike("\\p{L}")).select("doc_id").collect()}
+    assert kept == clean
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng, k = np.random.default_rng(1), 2048
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
