@@ -18,7 +18,9 @@ LEAST_SCORE = 0.4
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no language fits; learns as the language query does."""
     labelled = docs.filter(remainder(docs["doc_id"], 5) != 0)
-    model = language_id.fit_language_model(labelled, least_quantile=language_id.LEAST_QUANTILE)
+    model = language_id.fit_language_model(
+        labelled, least_quantile=language_id.LEAST_QUANTILE, id_column="doc_id"
+    )
     name = free_name(docs, "found")
     scored = docs.withColumn(name, language_id.language_of(spark, model, docs["text"]))
     known = (F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)

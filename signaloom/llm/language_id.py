@@ -139,28 +139,37 @@ class LanguageModel:
         return float((own * np.log((others + smoothing) / (whole - n))).sum() / n)
 
 
+def drawn_rows(labelled: DataFrame, sizes: dict[str, int], rows_per_language: int) -> DataFrame:
+    """The rows (``text, lang, id``) to fit on: about ``rows_per_language`` of each language, by a hash of id and text."""
+    share = F.lit(1.0)
+    for name, size in sizes.items():
+        if size > rows_per_language:
+            share = F.when(F.col("lang") == name, rows_per_language / size).otherwise(share)
+    draw = F.pmod(F.xxhash64("id", F.coalesce("text", F.lit(""))), F.lit(1 << 20)) / (1 << 20)
+    return labelled.filter(draw < share).select("text", "lang")
+
+
 def fit_language_model(
     rows: DataFrame, text_column: str = "text", language_column: str = "lang", orders: tuple[int, ...] = ORDERS,
     bits: int = BUCKET_BITS, smoothing: float = SMOOTHING, rows_per_language: int = ROWS_PER_LANGUAGE,
-    least_quantile: float | None = None,
+    least_quantile: float | None = None, id_column: str | None = None,
 ) -> LanguageModel:
     """Fit on rows with a language. Priors come from all of them, n-gram counts from a sample of each language.
 
-    The sample takes rows by a hash of their text, with a share per language that gives about ``rows_per_language``.
+    The sample takes rows by a hash of id and text, with a share per language that gives about ``rows_per_language``; the
+    id is used for nothing else. Without an id column all copies of a text are taken or left together.
     With ``least_quantile`` the rows of the sample also tell how well a text must fit.
     """
-    labelled = rows.select(column(rows, text_column).alias("text"), column(rows, language_column).alias("lang"))
+    own = F.lit(None).cast("string") if id_column is None else column(rows, id_column)
+    labelled = rows.select(
+        column(rows, text_column).alias("text"), column(rows, language_column).alias("lang"), own.alias("id")
+    )
     labelled = labelled.filter(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if len(languages) * 8 << bits > MATRIX_MB << 20:
         raise ValueError(f"{len(languages)} languages by 2^{bits} buckets exceed {MATRIX_MB} MB: use fewer bits")
     priors = np.log(np.array([sizes[x] for x in languages], float) / max(1, sum(sizes.values())))
-    share = F.lit(1.0)
-    for name in languages:
-        if sizes[name] > rows_per_language:
-            share = F.when(F.col("lang") == name, rows_per_language / sizes[name]).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20)) / (1 << 20)
     number = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +184,7 @@ def fit_language_model(
         yield pd.DataFrame({"k": k.astype(np.int32), "bucket": bucket.astype(np.int32), "n": counts[k, bucket]})
 
     counts = np.zeros((1 << bits, len(languages)))
-    sample = labelled.filter(draw < share)
+    sample = drawn_rows(labelled, sizes, rows_per_language)
     if languages:
         parts = sample.mapInPandas(count, "k int, bucket int, n long")
         summed = parts.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()

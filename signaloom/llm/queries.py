@@ -71,7 +71,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = remainder(docs["doc_id"], 5) == 0
-    model = language_id.fit_language_model(docs.filter(~held_out))
+    model = language_id.fit_language_model(docs.filter(~held_out), id_column="doc_id")
     found = language_id.language_of(spark, model, docs["text"])
     return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select(
         "doc_id", "held_out", "found.lang_pred", "found.score"

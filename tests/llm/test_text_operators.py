@@ -162,6 +162,19 @@ def test_language_pieces_and_accuracy(spark, docs, monkeypatch):
     assert right > 0.9
 
 
+def test_copies_of_a_text_are_drawn_apart(spark, monkeypatch):
+    """A text that makes most rows of a language is fitted on as often as its share says, not always or never."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"),
+        F.when(F.col("id") < 3000, "the same text again").otherwise(F.concat(F.lit("a text of number "), "id")).alias("text"),
+    )
+    drawn, of = [], language_id.drawn_rows
+    monkeypatch.setattr(language_id, "drawn_rows", lambda *a: drawn.append(of(*a)) or drawn[-1])
+    language_id.fit_language_model(rows, rows_per_language=400, id_column="doc_id")
+    copies = drawn[0].filter("text = 'the same text again'").count()
+    assert 200 < copies < 400 and 300 < drawn[0].count() < 500
+
+
 def test_language_stage_rejects_texts_of_no_language(spark, docs):
     rnd = random.Random(8)
     signs = {
