@@ -32,9 +32,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def number_of(id_column: Column) -> Column:
+    """Unsigned crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
+
+
 def remainder(id_column: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % parts
+    """:func:`number_of` modulo ``parts``."""
+    return number_of(id_column) % parts
 
 
 def utf8(text: str | None) -> bytes:

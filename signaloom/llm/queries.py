@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from signaloom.session import fresh_path
 
-from . import decontaminate, exact_dedup, language_id, lattice_scoring, line_dedup, near_dedup, packing, secrets, toxicity
-from .common import read_table, remainder
+from . import (
+    decontaminate, exact_dedup, language_id, lattice_scoring, line_dedup, near_dedup, packing, periodic_runs, secrets, sharding,
+    toxicity,
+)
+from .common import number_of, read_table, remainder
 from .token_counts import BYTE_PATTERN, TOKENIZERS, byte_vocabulary, count_tokens, text_lengths
 
 TOKEN_LIMIT = 1024
@@ -111,6 +114,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_period(words: list[bytes], number: int) -> list[bytes]:
+    """The words, every tenth number's repeated from some word on with some period."""
+    g, n = number // 10, len(words)
+    if number % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = periodic_runs.runs_of(docs["text"], number_of(docs["doc_id"]), change=with_period)
+    return docs.select("doc_id", found.alias("found")).select(
+        "doc_id", *[f"found.{c}" for c in ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")]
+    )
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards; the map of a query starts anew, a job that runs again passes the path of its own."""
+    placed = sharding.shard_records(read_table(spark, sf_dir, "documents"), fresh_path(spark, "slot-map"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "vslot", "map_version",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -119,7 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_dedup, op2_line_dedup_by_length, op3_secret_scan, op4_exact_dedup, op5_token_counts,
-        op6_language_id, op7_minhash_near_dedup, op8_lm_scoring, op9_decontamination, op10_toxicity, pipeline,
+        op6_language_id, op7_minhash_near_dedup, op8_lm_scoring, op9_decontamination, op10_toxicity, op12_periodic_runs, op13_sharding, pipeline,
     )
 }
 
