@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from signaloom.session import fresh_path
+from signaloom.session import cut_lineage, fresh_path
 
 from . import (
-    decontaminate, exact_dedup, language_id, lattice_scoring, line_dedup, near_dedup, packing, periodic_runs, secrets, sharding,
-    toxicity,
+    conversation_trie, decontaminate, exact_dedup, language_id, lattice_scoring, line_dedup, near_dedup, packing,
+    periodic_runs, secrets, sharding, toxicity,
 )
 from .common import number_of, read_table, remainder
 from .token_counts import BYTE_PATTERN, TOKENIZERS, byte_vocabulary, count_tokens, text_lengths
@@ -114,6 +114,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations (``conv``) and their turns (``conv, depth, id, points``), each led by the first turns of the one whose
+    number ends in two zeros."""
+    first = F.expr("conv - conv % 100")
+    led = number_of(F.col("conv")) % 6
+    convs = cut_lineage(turns.select("conv").distinct().select("conv", first.alias("base"), led.alias("led")), "conversations")
+    heads = cut_lineage(turns.filter((F.col("conv") % 100 == 0) & (F.col("place") <= 5)).withColumnRenamed("conv", "base"), "heads")
+    lengths = heads.groupBy("base").agg(F.count("*").alias("n"))
+    taken = convs.join(lengths, "base", "left").select("conv", "led", F.least("led", F.coalesce("n", F.lit(0))).alias("taken"))
+    lead = convs.join(heads, "base").filter("place <= led").select("conv", F.col("place").alias("depth"), "id", "points")
+    own = turns.join(cut_lineage(taken, "taken"), "conv").filter("place > led")
+    own = own.select("conv", (F.col("place") - F.col("led") + F.col("taken")).alias("depth"), "id", "points")
+    return convs.select("conv"), cut_lineage(lead.unionByName(own), "rebuilt")
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(read_table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*rebuilt(turns))
+
+
 def with_period(words: list[bytes], number: int) -> list[bytes]:
     """The words, every tenth number's repeated from some word on with some period."""
     g, n = number // 10, len(words)
@@ -149,7 +169,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_dedup, op2_line_dedup_by_length, op3_secret_scan, op4_exact_dedup, op5_token_counts,
-        op6_language_id, op7_minhash_near_dedup, op8_lm_scoring, op9_decontamination, op10_toxicity, op12_periodic_runs, op13_sharding, pipeline,
+        op6_language_id, op7_minhash_near_dedup, op8_lm_scoring, op9_decontamination, op10_toxicity, op11_conversation_trie,
+        op12_periodic_runs, op13_sharding, pipeline,
     )
 }
 
@@ -238,4 +259,48 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from d left join hits using (doc_id) left join items using (doc_id)
     """,
+    "op11_conversation_trie": r"""
+        with t as (
+            select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                   row_number() over (
+                       partition by conv_id order by turn nulls first, coalesce(role, ''),
+                       sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+                   ) as place
+            from conversations where conv_id is not null
+        ),
+        own as (select c, list({'role': role, 'text': text} order by place) as turns from t group by c),
+        led as (
+            select c, turns, (4294967295 - list_reduce(
+                list_prepend(4294967295::bigint, list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x)::bigint)),
+                lambda a, b: list_reduce(
+                    list_prepend(xor(a, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))
+                )
+            )) % 6 as h
+            from own
+        ),
+        rebuilt as (
+            select l.c, list_concat(coalesce(b.turns, [])[1 : l.h], l.turns[l.h + 1 :]) as s
+            from led l left join own b on b.c = l.c - l.c % 100
+        ),
+        starts as (select c, s, unnest(range(0, len(s) + 1)) as d from rebuilt),
+        nodes as (
+            select d, s[1 : d] as path, count(*) as n, min(c) as least,
+                   string_agg(cast(c as varchar), ',' order by c) filter (len(s) = d) as ends
+            from starts group by all
+        ),
+        children as (select d - 1 as d, path[1 : d - 1] as path, count(*) as k from nodes where d > 0 group by all),
+        whole as (
+            select n.d, n.path, n.n, n.least, coalesce(k.k, 0) as k, sha256(coalesce(n.ends, '')) as ends,
+                   case when n.d > 0 then (n.n - 1) * length(n.path[n.d].text) else 0 end as saved
+            from nodes n left join children k on k.d = n.d and k.path = n.path
+        ),
+        ups as (select path, k, saved, unnest(range(0, d + 1)) as up from whole),
+        below as (
+            select up as d, path[1 : up] as path, count(*) filter (k = 0) as leaves, sum(saved) as saved from ups group by all
+        )
+        select w.least as conv_id, cast(w.d as bigint) as depth, p.least as parent_conv_id, w.n as n_convs, w.k as n_children,
+               b.leaves as n_leaves, cast(b.saved as bigint) as saved_tokens, w.ends as ends_sha256
+        from whole w join below b on b.d = w.d and b.path = w.path
+        left join nodes p on p.d = w.d - 1 and p.path = w.path[1 : w.d - 1]
+    """,
 }
