@@ -105,10 +105,12 @@ def earliest_claim(
     window_end: str,
     tolerance_us: int | Column = 0,
     slab: Slab = None,
+    rank: Column | None = None,
 ) -> DataFrame:
     """(``leg_id``, ``window_id``): each leg goes to the earliest-starting window that it touches.
 
-    ``tolerance_us`` may be an expression over the leg, so legs of several kinds go in one pass.
+    ``tolerance_us`` may be an expression over the leg, so legs of several kinds go in one pass. ``rank`` orders the
+    candidates of a leg that is given once per key before their start does, so that a surer key wins.
 
     A leg touches a window of the same key when the window, widened by the tolerance on both sides, overlaps
     [leg_start, leg_end]. Ties on start go to the lowest window id; a leg with several keys takes the earliest of
@@ -132,11 +134,12 @@ def earliest_claim(
         F.col(leg_id).alias("_lid"),
         (axis(legs, leg_start) - slack).alias("_ls"),
         (axis(legs, leg_end) + slack).alias("_le"),
+        (F.lit(0) if rank is None else rank).alias("_rank"),
     )
     # Ends rise strictly within a key, so a tie cannot happen there.
     found = asof_join(probes, rising, on, F.col("_ls"), F.col("_we"), F.lit(0), forward=True, slab=slab, name="_w")
     touching = found.filter(F.col("_w._ws") <= F.col("_le"))
-    best = F.min(F.struct(F.col("_w._ws").alias("ws"), F.col("_w._wid").alias("wid")))
+    best = F.min(F.struct(F.col("_rank").alias("rank"), F.col("_w._ws").alias("ws"), F.col("_w._wid").alias("wid")))
     return touching.groupBy("_lid").agg(best.alias("_best")).select(
         F.col("_lid").alias(leg_id), F.col("_best.wid").alias(window_id)
     )

@@ -1,4 +1,4 @@
-"""SIP sessions, transactions and dialogs; call flows put together from their legs."""
+"""SIP sessions, transactions and dialogs, call states and statistics."""
 
 from __future__ import annotations
 
@@ -225,62 +225,6 @@ def call_statistics(calls: DataFrame) -> DataFrame:
 LEG_TOLERANCE = {"Gx": 5, "Rx": 2, "Cx": 30, "Sh": 30, "GTP": 3, "NAS": 3, "RTP": 0}
 
 
-def call_parties(calls: DataFrame, columns: Sequence[str], name: str = "party") -> DataFrame:
-    """Calls repeated once per distinct party key (caller and callee address, number or subscriber)."""
-    keys = F.array_distinct(F.array_compact(F.array(*[F.col(c) for c in columns])))
-    return calls.select("call_id", "start_ts", "end_ts", F.explode(keys).alias(name))
-
-
-def claim_legs(
-    calls: DataFrame, legs: DataFrame, party_columns: Sequence[str], leg_keys: Sequence[str], slab: Slab = None
-) -> DataFrame:
-    """(``leg_id``, ``call_id``, ``kind``): each leg with the earliest-starting call of its party, all kinds in one pass.
-
-    ``legs`` has leg_id, ``kind``, start_ts, end_ts and the key columns; ``party_columns`` of the calls hold the same
-    sort of key (addresses, numbers or subscribers, prefixed when several sorts are mixed). A leg other than RTP must
-    begin within the call, widened by the kind's tolerance; RTP only has to overlap.
-    """
-    parties = call_parties(calls, party_columns)
-    keys = F.array_distinct(F.array_compact(F.array(*[F.col(c) for c in leg_keys])))
-    seconds = F.create_map(*[F.lit(x) for pair in LEG_TOLERANCE.items() for x in pair])[F.col("kind")]
-    keyed = legs.select(
-        "leg_id", "kind",
-        F.col("start_ts").alias("_s"),
-        F.when(F.col("kind") == "RTP", F.col("end_ts")).otherwise(F.col("start_ts")).alias("_e"),
-        F.explode(keys).alias("party"),
-    )
-    owner = F.struct("leg_id", "kind")
-    claimed = earliest_claim(
-        keyed.withColumn("leg", owner), parties, ["party"], "leg", "_s", "_e", "call_id", "start_ts", "end_ts",
-        seconds.cast("bigint") * 1_000_000, slab,
-    )
-    return claimed.select("leg.leg_id", "call_id", "leg.kind")
-
-
-def call_flows(calls: DataFrame, claimed: DataFrame, legs: DataFrame) -> DataFrame:
-    """Calls with the number of legs and messages per kind, worst loss and rating, mean jitter and the flow type.
-
-    ``legs`` has leg_id, messages and, for RTP, loss_rate, jitter_ms, mos.
-    """
-    media = F.col("kind") == "RTP"
-    joined = claimed.join(legs, "leg_id")
-    per_call = joined.groupBy("call_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"{k.lower()}_legs") for k in LEG_TOLERANCE],
-        F.sum(F.when(~media, F.col("messages")).otherwise(0)).alias("signalling_messages"),
-        F.sum(F.when(media, F.col("messages")).otherwise(0)).alias("rtp_packets"),
-        F.max(F.when(media & (F.col("loss_rate") > 0), F.col("loss_rate") * 100.0)).alias("max_loss_percent"),
-        F.avg(F.when(media & (F.col("jitter_ms") > 0), F.col("jitter_ms"))).alias("jitter_ms"),
-        F.min(F.when(media, F.col("mos"))).alias("min_mos"),
-    )
-    kind = (
-        F.when(F.col("forward_target").isNotNull(), "VOICE_CALL_FORWARDING")
-        .when(F.col("session_type") == "VIDEO_CALL", "MO_VIDEO_CALL")
-        .otherwise("MO_VOICE_CALL")
-    )
-    counts = [f"{k.lower()}_legs" for k in LEG_TOLERANCE] + ["signalling_messages", "rtp_packets"]
-    return calls.join(per_call, "call_id", "left").na.fill(0, counts).withColumn("flow_type", kind)
-
-
 def attach_by_icid_or_subscriber(
     messages: DataFrame, calls: DataFrame, message_id: str, ts: str, slab: Slab = None
 ) -> DataFrame:

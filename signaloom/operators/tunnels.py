@@ -17,15 +17,26 @@ CREATE_REQUEST, CREATE_RESPONSE, DELETE_REQUEST, DELETE_RESPONSE = 32, 33, 36, 3
 SUCCESS_CAUSES = (16, 17)
 
 
-def gtp_sessions(messages: DataFrame, order: Sequence[str], slab: Slab = None) -> DataFrame:
-    """Sessions by control tunnel: every establishment opens a new one, later messages belong to it.
+def numbered_sessions(messages: DataFrame, order: Sequence[str], slab: Slab = None) -> DataFrame:
+    """Messages with the ``session_no`` within their control tunnel: every establishment opens a new one.
 
-    Needs teid, sequence, message_type, cause, imsi, msisdn, apn. Messages of a tunnel before any establishment
-    form the session 0 of that tunnel.
+    Messages of a tunnel before any establishment form the session 0 of that tunnel.
     """
     opens = F.col("message_type") == CREATE_REQUEST
+    return carry_along(messages, ["teid"], order, slab, session_no=running("sum", opens.cast("bigint")))
+
+
+def gtp_sessions(messages: DataFrame, order: Sequence[str], slab: Slab = None) -> DataFrame:
+    """Sessions by control tunnel, numbered as :func:`numbered_sessions`.
+
+    Needs teid, sequence, message_type, cause, imsi, msisdn, apn.
+    """
     narrow = messages.select("teid", *order, "message_type", "cause", "imsi", "msisdn", "apn")
-    numbered = carry_along(narrow, ["teid"], order, slab, session_no=running("sum", opens.cast("bigint")))
+    return session_totals(numbered_sessions(narrow, order, slab), order)
+
+
+def session_totals(numbered: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row per (``teid, session_no``): span, messages, identifiers, errors and state."""
     deleted = (F.col("message_type") == DELETE_RESPONSE) & F.col("cause").isin(list(SUCCESS_CAUSES))
     created = (F.col("message_type") == CREATE_RESPONSE) & F.col("cause").isin(list(SUCCESS_CAUSES))
     failed = F.col("cause").isNotNull() & ~F.col("cause").isin(list(SUCCESS_CAUSES))

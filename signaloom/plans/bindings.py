@@ -79,7 +79,9 @@ SELECT event_id AS frame_number, TS(ts) AS ts, user_id, k,
   1 + k % 4 AS via_count,
   CASE WHEN k % 5 <> 0 THEN '10.0.' || CAST(user_id % 250 AS STRING) || '.' || CAST(k % 3 AS STRING) END AS contact_ip,
   k % 2 AS expires, k % 10 <> 1 AS has_audio, k % 7 = 0 AS has_video,
-  CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN 'RTP' ELSE 'SIP' END AS protocol
+  CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN 'RTP' ELSE 'SIP' END AS protocol,
+  CASE WHEN event_type = 'signup' AND k % 13 = 5 THEN 'sip:+1646' || lpad(CAST(user_id % 90 AS STRING), 7, '0') || '@ims.example.com' END
+    AS forward_uri
 FROM {_EVENTS}""",
     "diameter": f"""
 SELECT event_id AS frame_number, TS(ts) AS ts, user_id, k,
@@ -127,7 +129,9 @@ FROM {_EVENTS}""",
     "rtp": f"""
 SELECT event_id AS frame_number, TS(ts) AS ts, user_id AS ssrc, (event_id * 7) % 65536 AS sequence_number,
   event_id * 160 + k AS rtp_timestamp,
-  CASE user_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 8 WHEN 2 THEN 18 WHEN 3 THEN 96 WHEN 4 THEN 97 ELSE 99 END AS payload_type
+  CASE user_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 8 WHEN 2 THEN 18 WHEN 3 THEN 96 WHEN 4 THEN 97 ELSE 99 END AS payload_type,
+  '10.0.' || CAST(user_id % 250 AS STRING) || '.' || CAST(k % 3 AS STRING) AS src_ip,
+  '10.9.' || CAST(k % 50 AS STRING) || '.1' AS dst_ip
 FROM {_EVENTS}""",
     # Echo requests and responses of one tunnel per user.
     "echoes": f"""

@@ -127,98 +127,12 @@ def _(spark, sf):
     return _states(spark, sf)
 
 
-@register(
-    "call_statistics",
-    check(
-        _STATES + ", " + _KPIS[len("WITH "):].replace("m AS (", "mk AS (").replace("FROM m)", "FROM mk)")
-        + """ SELECT count(*) AS total_calls, count(*) FILTER (state = 'COMPLETED') AS successful_calls, count(*) FILTER (state IN ('FAILED', 'CANCELLED')) AS failed_calls,
-        count(*) FILTER (state NOT IN ('COMPLETED', 'FAILED', 'CANCELLED')) AS active_calls, round(avg(CASE WHEN setup_time_ms > 0 THEN setup_time_ms END), 6) AS avg_setup_time_ms
-        FROM s JOIN kpi USING (call_id)""",
-        "sip",
-    ),
-)
-def _(spark, sf):
-    kpis = C.call_kpis(bound(spark, sf, "sip"), "call_id", "ts").select("call_id", "setup_time_ms")
-    calls = _states(spark, sf).join(kpis, "call_id").withColumn("mos", F.lit(None).cast("double"))
-    return C.call_statistics(calls).drop("avg_mos").withColumn("avg_setup_time_ms", F.round("avg_setup_time_ms", 6))
-
-
-# Legs: Gx/Rx/Cx/Sh and GTP rows by address, media rows by address with an hour of length.
-_LEGS = """, legs AS (SELECT frame_number AS leg_id, interface AS kind, framed_ip AS party, ts AS s, ts AS e, CASE interface WHEN 'Gx' THEN 5 WHEN 'Rx' THEN 2 ELSE 30 END * 1000000 AS tol FROM diameter
-    UNION ALL SELECT frame_number + 10000000, 'RTP', '10.0.' || ssrc % 250 || '.' || frame_number % 3, ts, ts + 3600000000, 0 FROM rtp),
-  parties AS (SELECT call_id, start_ts, end_ts, unnest(list_distinct([caller_ip, callee_ip])) AS party FROM calls WHERE first_method = 'INVITE'),
-  cand AS (SELECT leg_id, kind, call_id, row_number() OVER (PARTITION BY leg_id ORDER BY start_ts, call_id) AS n FROM legs JOIN parties USING (party)
-    WHERE end_ts >= s - tol AND start_ts <= e + tol),
-  claimed AS (SELECT leg_id, call_id, kind FROM cand WHERE n = 1)"""
-
-
-def _legs(spark, sf):
-    calls = _sessions(spark, sf).filter("first_method = 'INVITE'")
-    diameter = bound(spark, sf, "diameter").selectExpr(
-        "frame_number AS leg_id", "interface AS kind", "framed_ip AS ip", "ts AS start_ts", "ts AS end_ts"
-    )
-    media = bound(spark, sf, "rtp").selectExpr(
-        "frame_number + 10000000 AS leg_id", "'RTP' AS kind", "'10.0.' || ssrc % 250 || '.' || frame_number % 3 AS ip",
-        "ts AS start_ts", "ts + interval 1 hour AS end_ts",
-    )
-    found = C.claim_legs(calls, diameter.unionByName(media), ["caller_ip", "callee_ip"], ["ip"])
-    return calls, found
-
-
-@register("claimed_legs", check(_SIP + _LEGS + " SELECT * FROM claimed", "sip", "diameter", "rtp"))
-def _(spark, sf):
-    return _legs(spark, sf)[1]
-
-
-@register(
-    "call_flows",
-    check(
-        _SIP + _LEGS + """, l AS (SELECT call_id, count(*) FILTER (kind = 'Gx') AS gx_legs, count(*) FILTER (kind = 'Rx') AS rx_legs, count(*) FILTER (kind = 'Cx') AS cx_legs,
-          count(*) FILTER (kind = 'Sh') AS sh_legs, count(*) FILTER (kind = 'RTP') AS rtp_legs, count(*) FILTER (kind <> 'RTP') AS signalling_messages,
-          count(*) FILTER (kind = 'RTP') AS rtp_packets, max(CASE WHEN kind = 'RTP' AND leg_id % 7 > 0 THEN leg_id % 7 END) * 1.0 AS max_loss_percent,
-          min(CASE WHEN kind = 'RTP' THEN 1 + leg_id % 4 END) AS min_mos FROM claimed GROUP BY 1)
-        SELECT call_id, coalesce(gx_legs, 0) AS gx_legs, coalesce(rx_legs, 0) AS rx_legs, coalesce(cx_legs, 0) AS cx_legs, coalesce(sh_legs, 0) AS sh_legs,
-          coalesce(rtp_legs, 0) AS rtp_legs, coalesce(signalling_messages, 0) AS signalling_messages, coalesce(rtp_packets, 0) AS rtp_packets, round(max_loss_percent, 6) AS max_loss_percent, min_mos,
-          CASE WHEN callee LIKE '%7' THEN 'VOICE_CALL_FORWARDING' WHEN session_type = 'VIDEO_CALL' THEN 'MO_VIDEO_CALL' ELSE 'MO_VOICE_CALL' END AS flow_type
-        FROM calls LEFT JOIN l USING (call_id) WHERE first_method = 'INVITE'""",
-        "sip", "diameter", "rtp",
-    ),
-)
-def _(spark, sf):
-    calls, found = _legs(spark, sf)
-    calls = calls.withColumn("forward_target", F.when(F.col("callee").endswith("7"), F.col("callee")))
-    legs = bound(spark, sf, "diameter").selectExpr(
-        "frame_number AS leg_id", "1L AS messages", "CAST(NULL AS DOUBLE) AS loss_rate", "CAST(NULL AS DOUBLE) AS jitter_ms", "CAST(NULL AS DOUBLE) AS mos"
-    ).unionByName(
-        bound(spark, sf, "rtp").selectExpr("frame_number + 10000000 AS leg_id").selectExpr(
-            "leg_id", "1L AS messages", "(leg_id % 7) / 100D AS loss_rate", "CAST(leg_id % 5 AS DOUBLE) AS jitter_ms", "CAST(1 + leg_id % 4 AS DOUBLE) AS mos"
-        )
-    )
-    flows = C.call_flows(calls, found, legs)
-    return flows.select(
-        "call_id", "gx_legs", "rx_legs", "cx_legs", "sh_legs", "rtp_legs", "signalling_messages", "rtp_packets",
-        F.round("max_loss_percent", 6).alias("max_loss_percent"), F.col("min_mos").cast("bigint").alias("min_mos"), "flow_type",
-    )
-
-
-@register(
-    "uncorrelated_remainder",
-    check(_SIP + _LEGS + " SELECT kind, count(*) AS n FROM legs WHERE leg_id NOT IN (SELECT leg_id FROM claimed) GROUP BY kind", "sip", "diameter", "rtp"),
-)
-def _(spark, sf):
-    _calls, found = _legs(spark, sf)
-    legs = bound(spark, sf, "diameter").selectExpr("frame_number AS leg_id", "interface AS kind").unionByName(
-        bound(spark, sf, "rtp").selectExpr("frame_number + 10000000 AS leg_id", "'RTP' AS kind")
-    )
-    return FI.uncorrelated(legs, found, "leg_id").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register(
     "calls_of_party",
-    check(_SIP + " SELECT call_id, caller, callee FROM calls WHERE session_type = 'VOICE_CALL' AND ('+14150000007' IN (caller, callee) OR false)", "sip"),
+    check(_SIP + " SELECT call_id, caller, callee FROM calls WHERE session_type = 'VOICE_CALL' AND '+12120000033' IN (caller, callee)", "sip"),
 )
 def _(spark, sf):
-    return C.calls_of(_sessions(spark, sf), ["caller", "callee"], "+14150000007", "VOICE_CALL").select("call_id", "caller", "callee")
+    return C.calls_of(_sessions(spark, sf), ["caller", "callee"], "+12120000033", "VOICE_CALL").select("call_id", "caller", "callee")
 
 
 _ROLE_RULES = """CASE WHEN protocol = 'S1AP' OR {p}_port = 36412 THEN '{a0}' WHEN {p}_port = 38412 THEN '{a1}' WHEN {p}_port = 8805 THEN '{a2}'
