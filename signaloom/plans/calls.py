@@ -129,10 +129,10 @@ def _(spark, sf):
 
 @register(
     "calls_of_party",
-    check(_SIP + " SELECT call_id, caller, callee FROM calls WHERE session_type = 'VOICE_CALL' AND '+12120000033' IN (caller, callee)", "sip"),
+    check(_SIP + " SELECT call_id, caller, callee FROM calls WHERE session_type = 'VOICE_CALL' AND '+14150000013' IN (caller, callee)", "sip"),
 )
 def _(spark, sf):
-    return C.calls_of(_sessions(spark, sf), ["caller", "callee"], "+12120000033", "VOICE_CALL").select("call_id", "caller", "callee")
+    return C.calls_of(_sessions(spark, sf), ["caller", "callee"], "+14150000013", "VOICE_CALL").select("call_id", "caller", "callee")
 
 
 _ROLE_RULES = """CASE WHEN protocol = 'S1AP' OR {p}_port = 36412 THEN '{a0}' WHEN {p}_port = 38412 THEN '{a1}' WHEN {p}_port = 8805 THEN '{a2}'
