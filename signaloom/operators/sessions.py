@@ -263,49 +263,6 @@ def diameter_statistics(messages: DataFrame, pairs: DataFrame) -> DataFrame:
     return counts.join(linked, "interface", "left").na.fill(0, ["linked_pairs"])
 
 
-def subscriber_rollup(rows: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
-    """Subscribers out of identity observations that :func:`components.merge_by_keys` put together.
-
-    First known permanent identifiers, latest temporary ones, distinct endpoints, span and the completeness score
-    (0.3 imsi, 0.3 phone, 0.2 device, 0.2 address).
-    """
-    ts = order[0]
-    rolled = rows.groupBy(entity).agg(
-        first_known("imsi", order).alias("imsi"),
-        first_known("msisdn", order).alias("msisdn"),
-        first_known("imei", order).alias("imei"),
-        last_seen_value("tmsi", order).alias("tmsi"),
-        F.count_distinct("ipv4").alias("endpoints"),
-        F.min(ts).alias("first_seen"),
-        F.max(ts).alias("last_seen"),
-        F.count(F.lit(1)).alias("observations"),
-    )
-    weight = lambda present, score: F.when(present, score).otherwise(0.0)
-    return rolled.withColumn(
-        "completeness",
-        weight(F.col("imsi").isNotNull(), 0.3)
-        + weight(F.col("msisdn").isNotNull(), 0.3)
-        + weight(F.col("imei").isNotNull(), 0.2)
-        + weight(F.col("endpoints") > 0, 0.2),
-    )
-
-
-def registry_coverage(rows: DataFrame, entity: str, attributes: Sequence[str]) -> DataFrame:
-    """Subscribers in total and how many are known by each attribute."""
-    known = rows.groupBy(entity).agg(*[F.bool_or(F.col(a).isNotNull()).alias(a) for a in attributes])
-    return known.agg(
-        F.count(F.lit(1)).alias("subscribers"), *[F.count_if(a).alias(f"with_{a}") for a in attributes]
-    )
-
-
 def not_seen_since(subscribers: DataFrame, last_seen: str, cutoff: Column) -> DataFrame:
     """Stale rows: last activity before ``cutoff``."""
     return subscribers.filter(F.col(last_seen) < cutoff)
-
-
-def attribute_table(rows: DataFrame, entity: str, attributes: Sequence[str]) -> DataFrame:
-    """Long child table (entity, ``attribute``, ``value``) of every distinct value an entity was seen with."""
-    entries = F.array(
-        *[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]
-    )
-    return rows.select(entity, F.inline(entries)).filter("value is not null").distinct()

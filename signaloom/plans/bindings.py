@@ -147,6 +147,24 @@ SELECT event_id AS obs_id, TS(ts) AS ts, user_id,
   CASE WHEN event_type = 'click' THEN '35' || lpad(CAST(user_id * 1000 + k % 2 AS STRING), 12, '0') END AS imei,
   CASE WHEN event_type IN ('purchase', 'signup') THEN user_id * 10 + k % 2 END AS tmsi,
   CASE WHEN event_type IN ('click', 'error') OR k % 10 = 0 THEN '10.1.' || CAST(user_id AS STRING) || '.' || CAST(k % 2 AS STRING) END AS ipv4
+FROM {_EVENTS}""",
+    # Identity observations with temporary identifiers; the addresses 10.8.x.y are handed on between users.
+    "observations": f"""
+SELECT event_id AS obs_id, TS(ts) AS ts, user_id, k, event_type AS source,
+  CASE WHEN event_type IN ('signup', 'view') THEN '310260' || lpad(CAST(user_id AS STRING), 9, '0') END AS imsi,
+  CASE WHEN event_type = 'view' OR k % 5 = 0 THEN '1415' || lpad(CAST(user_id AS STRING), 7, '0') END AS msisdn,
+  CASE WHEN event_type = 'click' THEN '35' || lpad(CAST(user_id * 1000 + k % 2 AS STRING), 12, '0') END AS imei,
+  CASE WHEN event_type = 'signup' AND k % 3 = 0 THEN '310260-32769-1-' || CAST(user_id * 10 + k % 2 AS STRING) END AS guti,
+  CASE WHEN event_type IN ('purchase', 'click') AND k % 4 < 2 THEN user_id * 10 + k % 2 END AS tmsi,
+  CASE WHEN event_type IN ('signup', 'view') AND k % 3 = 0 THEN '10.8.' || CAST((user_id * 7 + k) % 32 AS STRING) || '.1'
+    WHEN event_type = 'error' AND k % 25 = 7 THEN '10.8.' || CAST(k % 32 AS STRING) || '.1'
+    WHEN event_type = 'purchase' AND k % 7 = 0 THEN '10.1.' || CAST(user_id AS STRING) || '.' || CAST(k % 2 AS STRING) END AS ipv4,
+  CASE WHEN k % 6 = 1 THEN '2001:db8:' || CAST(user_id AS STRING) || ':' || CAST(k % 4 AS STRING) || ':0:0:0:' || CAST(k AS STRING) END AS ipv6,
+  CASE WHEN event_type IN ('purchase', 'error') AND k % 4 = 1 THEN '192.168.1.1/' || CAST(user_id * 100 + k % 3 AS STRING) END AS tunnel,
+  CASE WHEN event_type = 'error' AND k % 4 = 1 THEN 1 + k % 15 END AS pdu_session,
+  CASE WHEN event_type = 'purchase' AND k % 2 = 0 THEN CAST(user_id * 1000 + k AS STRING) || '/' || CAST(user_id AS STRING) END AS ue_ids,
+  CASE WHEN event_type = 'click' THEN 'c' || CAST(user_id AS STRING) || '-' || CAST(CAST(floor(k / 20) AS BIGINT) AS STRING) END AS call_id,
+  CASE WHEN event_type = 'click' AND k % 3 = 0 THEN 'icid-' || CAST(user_id AS STRING) || '-' || CAST(k % 10 AS STRING) END AS icid
 FROM {_EVENTS}""",
     # Packets between supplier and customer addresses.
     "packets": """

@@ -11,7 +11,7 @@ from .bindings import plain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("reports", "filtering", "sequences", "joining", "sessions", "procedures", "calls", "media", "flows", "sinks", "streams")
+_MODULES = ("reports", "filtering", "sequences", "joining", "sessions", "procedures", "calls", "media", "flows", "subscribers", "sinks", "streams")
 _QUERIES: dict[str, Query] = {}
 _CHECKS: dict[str, str] = {}
 

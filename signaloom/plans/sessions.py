@@ -237,79 +237,6 @@ def _(spark, sf):
     return merge_by_keys(messages.select("message_id", key_nodes({"imsi": key}).alias("nodes")), "nodes", "message_id")
 
 
-_SUBSCRIBERS = """WITH kv AS (SELECT obs_id, unnest(['imsi:' || imsi, 'msisdn:' || msisdn, 'imei:' || imei, 'tmsi:' || tmsi, 'ipv4:' || ipv4]) AS node FROM identities),
-  kn AS (SELECT * FROM kv WHERE node IS NOT NULL), anchor AS (SELECT obs_id, min(node) AS a FROM kn GROUP BY 1),
-  e1 AS (SELECT DISTINCT a.a, k.node AS b FROM anchor a JOIN kn k USING (obs_id) WHERE a.a <> k.node), e AS (SELECT a, b FROM e1 UNION SELECT b, a FROM e1),
-  walk(node, seen) AS (SELECT DISTINCT node, node FROM kn UNION SELECT w.node, e.b FROM walk w JOIN e ON w.seen = e.a),
-  root AS (SELECT node, min(seen) AS root FROM walk GROUP BY 1), mr AS (SELECT a.obs_id, r.root FROM anchor a JOIN root r ON a.a = r.node),
-  ids AS (SELECT root, min(obs_id) AS subscriber_id FROM mr GROUP BY 1), su AS (SELECT i.*, subscriber_id FROM identities i JOIN mr USING (obs_id) JOIN ids USING (root))"""
-
-
-def _subscribers(spark, sf):
-    rows = bound(spark, sf, "identities")
-    nodes = key_nodes({c: F.col(c) for c in ("imsi", "msisdn", "imei", "tmsi", "ipv4")})
-    return merge_by_keys(rows.withColumn("nodes", nodes), "nodes", "obs_id", "subscriber_id")
-
-
-@register(
-    "subscribers",
-    check(
-        _SUBSCRIBERS + """, r AS (SELECT subscriber_id, min_by(imsi, (ts, obs_id)) FILTER (imsi IS NOT NULL) AS imsi, min_by(msisdn, (ts, obs_id)) FILTER (msisdn IS NOT NULL) AS msisdn,
-          min_by(imei, (ts, obs_id)) FILTER (imei IS NOT NULL) AS imei, max_by(tmsi, (ts, obs_id)) FILTER (tmsi IS NOT NULL) AS tmsi, count(DISTINCT ipv4) AS endpoints,
-          min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS observations FROM su GROUP BY 1)
-        SELECT *, round(CASE WHEN imsi IS NULL THEN 0 ELSE 0.3 END + CASE WHEN msisdn IS NULL THEN 0 ELSE 0.3 END + CASE WHEN imei IS NULL THEN 0 ELSE 0.2 END
-          + CASE WHEN endpoints > 0 THEN 0.2 ELSE 0 END, 3) AS completeness,
-          coalesce('imsi:' || imsi, 'msisdn:' || msisdn, 'imei:' || imei) AS primary_key FROM r""",
-        "identities", recursive=True,
-    ),
-)
-def _(spark, sf):
-    from ..functions.identifiers import subscriber_key
-
-    rolled = S.subscriber_rollup(_subscribers(spark, sf), "subscriber_id", ["ts", "obs_id"])
-    return rolled.withColumn("completeness", F.round("completeness", 3)).withColumn(
-        "primary_key", subscriber_key("imsi", "msisdn", "imei")
-    )
-
-
-@register(
-    "subscriber_coverage",
-    check(
-        """WITH s AS (SELECT user_id, bool_or(imsi IS NOT NULL) AS imsi, bool_or(msisdn IS NOT NULL) AS msisdn, bool_or(imei IS NOT NULL) AS imei,
-          bool_or(ipv4 IS NOT NULL) AS ipv4 FROM identities GROUP BY 1)
-        SELECT count(*) AS subscribers, count(*) FILTER (imsi) AS with_imsi, count(*) FILTER (msisdn) AS with_msisdn, count(*) FILTER (imei) AS with_imei,
-          count(*) FILTER (ipv4) AS with_ipv4 FROM s""",
-        "identities",
-    ),
-)
-def _(spark, sf):
-    return S.registry_coverage(bound(spark, sf, "identities"), "user_id", ["imsi", "msisdn", "imei", "ipv4"])
-
-
-@register(
-    "stale_subscribers",
-    check(
-        """SELECT user_id, max(ts) AS last_seen FROM identities GROUP BY 1 HAVING max(ts) < epoch_us(TIMESTAMP '2024-01-30 12:00:00')""",
-        "identities",
-    ),
-)
-def _(spark, sf):
-    seen = bound(spark, sf, "identities").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    return S.not_seen_since(seen, "last_seen", F.expr("TIMESTAMP '2024-01-30 12:00:00'"))
-
-
-@register(
-    "subscriber_attributes",
-    check(
-        """SELECT DISTINCT * FROM (SELECT user_id, unnest(['msisdn', 'imei', 'tmsi']) AS attribute, unnest([msisdn, imei, CAST(tmsi AS VARCHAR)]) AS value
-        FROM identities) WHERE value IS NOT NULL""",
-        "identities",
-    ),
-)
-def _(spark, sf):
-    return S.attribute_table(bound(spark, sf, "identities"), "user_id", ["msisdn", "imei", "tmsi"])
-
-
 @register(
     "diameter_sessions",
     check(
