@@ -14,7 +14,15 @@ from pyspark.sql import types as T
 _OPERATORS = {
     "==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le,
 }
-_RULE = re.compile(r"\s*([\w.]+)\s*(==|!=|>=|<=|>|<)\s*(.+?)\s*")
+
+
+def rule_parts(rule: str) -> tuple[str, str, str]:
+    """(field, operator sign, value text), cut at the first sign; a text that is no rule is refused."""
+    at, length = min(((rule.find(sign), -len(sign)) for sign in _OPERATORS if sign in rule), default=(0, 0))
+    name, sign, value = rule[:at].strip(), rule[at : at - length], rule[at - length :].strip()
+    if not value or not name or not all(c.isalnum() or c in "._" for c in name):
+        raise ValueError(f"not a rule: {rule!r}")
+    return name, sign, value
 
 
 def rule_value(text: str) -> int | float | bool | str:
@@ -50,10 +58,8 @@ def rule_filter(rows: DataFrame, rules: Sequence[str], fields: dict[str, str | C
     fields = {**{c: c for c in rows.columns}, **(fields or {})}
     tests = []
     for rule in rules:
-        parsed = _RULE.fullmatch(rule)
-        if not parsed:
-            raise ValueError(f"not a rule: {rule!r}")
-        name, symbol, value = parsed.group(1), parsed.group(2), rule_value(parsed.group(3))
+        name, symbol, text = rule_parts(rule)
+        value = rule_value(text)
         if name not in fields:
             continue
         field = fields[name] if isinstance(fields[name], Column) else F.col(fields[name])
