@@ -138,13 +138,13 @@ def merge_by_keys(rows: DataFrame, nodes: str, row_id: str, name: str = "session
     return salted_join(found, named.select("_anchor", name), ["_anchor"], hubs=hubs).drop("_anchor")
 
 
-def merge_by_keys_incremental(
+def merge_touched(
     new_rows: DataFrame, known: DataFrame, row_id: str, nodes: str, name: str = "session_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """One online step: (new known table, remap of session ids that were merged away).
+    """One online step: the identifiers of the new rows with their sessions (``node``, ``name``), and what became of the row ids
+    and sessions that take part (``_old``, ``_new``).
 
-    ``known`` is (``node``, ``name``): the session of each identifier seen so far. Only identifiers of the new rows
-    and the sessions they touch take part in the components.
+    ``known`` is (``node``, ``name``): the session of each identifier seen so far, of which only those in the new rows are used.
     """
     touched = new_rows.select(row_id, F.explode(nodes).alias("node")).join(known, "node", "left")
     # Numbers (rows of this batch, sessions of before) and identifiers are the two sorts of nodes.
@@ -157,8 +157,14 @@ def merge_by_keys_incremental(
     numbers = labels.filter("node like '#%'").select("component", body.cast("bigint").alias("_old"))
     ids = numbers.groupBy("component").agg(F.min("_old").alias(name))
     fresh = labels.filter("node like '~%'").select("component", body.alias("node")).join(ids, "component").select("node", name)
-    renamed = numbers.join(ids, "component").select("_old", F.col(name).alias("_new"))
+    return fresh, numbers.join(ids, "component").select("_old", F.col(name).alias("_new"))
+
+
+def merge_by_keys_incremental(
+    new_rows: DataFrame, known: DataFrame, row_id: str, nodes: str, name: str = "session_id"
+) -> tuple[DataFrame, DataFrame]:
+    """One online step on whole tables: (new known table, remap of session ids that were merged away)."""
+    fresh, renamed = merge_touched(new_rows, known, row_id, nodes, name)
     kept = known.join(fresh.select("node"), "node", "left_anti")
     moved = kept.join(renamed, kept[name] == renamed["_old"], "left").select("node", F.coalesce("_new", name).alias(name))
-    remap = renamed.filter("_old <> _new").select(F.col("_old").alias("merged_id"), F.col("_new").alias(name))
-    return moved.unionByName(fresh), remap
+    return moved.unionByName(fresh), renamed.filter("_old <> _new").select(F.col("_old").alias("merged_id"), F.col("_new").alias(name))

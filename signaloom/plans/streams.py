@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, use_utc
+from ..session import cut_lineage, fresh_path, use_utc
 from ..sources.messages import stream_messages
-from ..streaming import stateful as ST
+from ..streaming import ordered as O
 from ..streaming import windows as W
 from ..streaming.merging import OnlineMerge
 from ..streaming.running import run_batches, run_counting_late, run_to_table
@@ -24,6 +24,23 @@ def _stream(spark, sf, name):
     return spark.sql(re.sub(r"\bTS\((\w+)\)", r"\1", BINDINGS[name]), events=events)
 
 
+def _in_parts(spark, rows, order, feed, parts=3):
+    """Hand ``rows`` to ``feed(stream)`` in parts that arrive one after the other in the order of time; the last result.
+
+    Each part is a run of its own that goes on from where the one before stopped, so this is a restart each time.
+    """
+    rows = cut_lineage(rows, "events")
+    at = F.unix_micros(order)
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    path, found = fresh_path(spark, "arrivals"), None
+    for part in range(parts):
+        slot = F.least(F.floor((at - low) * parts / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(parts - 1))
+        arrived = rows.filter(F.coalesce(slot, F.lit(0)) == part)
+        arrived.write.mode("append").parquet(path)
+        found = feed(spark.readStream.schema(rows.schema).parquet(path))
+    return found
+
+
 # What the watermark has passed when everything available was read: latest time less the delay, in milliseconds.
 _CLOSED = "wm AS (SELECT max(ts) // 1000 - 600000 AS ms FROM messages)"
 
@@ -77,27 +94,36 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    rows = _stream(spark, sf, "messages").withColumn("signature", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-    keyed = ST.keyed_rows(rows, "signature", "ts", "message_id", F.lit("ROW"))
-    return run_to_table(ST.apply(keyed, ST.NearRepeat(3_600_000_000)), "repeats")[0]
-
-
-_KIND = "CASE event_type WHEN 'view' THEN 'REQ' WHEN 'click' THEN 'RESP' END"
+    signature = F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("signature")
+    rows, repeats = bound(spark, sf, "messages").select("ts", "message_id", signature), O.NearRepeat(spark, 3_600_000_000)
+    return _in_parts(spark, rows, "ts", lambda s: repeats.run(O.keyed_rows(s, "signature", "ts", "message_id", F.lit("ROW"))))
 
 
 @register(
     "stream_request_pairs",
     check(
-        f"""WITH {_closed("event_type IN ('view', 'click')")}, r AS (SELECT CAST(user_id AS VARCHAR) AS key, message_id, ts, {_KIND} AS kind FROM messages WHERE {_KIND} IS NOT NULL AND ts // 1000 + 1 <= (SELECT ms FROM wm)),
-        w AS (SELECT *, lead(kind) OVER o AS nk, lead(ts) OVER o AS nt FROM r WINDOW o AS (PARTITION BY key ORDER BY ts, message_id))
-        SELECT key, message_id AS request_id, ts AS requested_at, CASE WHEN nk = 'RESP' AND nt - ts <= 86400000000 THEN nt END AS answered_at FROM w
-        WHERE kind = 'REQ' AND (nk IS NOT NULL OR (ts + 86400000000) // 1000 + 1 <= (SELECT ms FROM wm))""",
-        "messages",
+        """WITH r AS (SELECT session_id, hop_by_hop_id, frame_number AS request_id, ts AS requested FROM diameter WHERE is_request AND session_id <> ''),
+        a AS (SELECT session_id, hop_by_hop_id, ts FROM diameter WHERE NOT is_request AND session_id <> '')
+        SELECT session_id, hop_by_hop_id, request_id, requested, (SELECT min(a.ts) FROM a WHERE a.session_id = r.session_id AND a.hop_by_hop_id = r.hop_by_hop_id
+          AND a.ts BETWEEN requested AND requested + 21600000000) AS answered FROM r""",
+        "diameter",
     ),
 )
 def _(spark, sf):
-    keyed = ST.keyed_rows(_stream(spark, sf, "messages"), "user_id", "ts", "message_id", F.expr(_KIND))
-    return run_to_table(ST.apply(keyed, ST.Pairing(86_400_000_000)), "pairs")[0]
+    """In parts, then a row of each kind from long after, so that every request comes out."""
+    rows = bound(spark, sf, "diameter").filter("session_id <> ''").select("session_id", "hop_by_hop_id", "frame_number", "ts", "is_request")
+    path, state = fresh_path(spark, "pairs"), fresh_path(spark, "pairs-state")
+
+    def pair(stream):
+        requests = stream.filter("is_request").select("session_id", "hop_by_hop_id", F.col("frame_number").alias("request_id"), F.col("ts").alias("requested"))
+        answers = stream.filter("not is_request").select("session_id", "hop_by_hop_id", F.col("ts").alias("answered"))
+        pairs = W.request_pairs(requests, answers, ["session_id", "hop_by_hop_id"], "request_id", "requested", "answered", "6 hours")
+        return run_to_table(pairs, "pairs", path=path, state_path=state)[0]
+
+    late = "(SELECT max(ts) + interval 60 days FROM {rows})"
+    after = spark.sql(f"SELECT '' AS session_id, 0L AS hop_by_hop_id, 0L AS frame_number, {late} AS ts, k AS is_request FROM VALUES (true), (false) AS t(k)", rows=rows)
+    _in_parts(spark, rows, "ts", pair)
+    return _in_parts(spark, after, "ts", pair, parts=1).filter("session_id <> ''")
 
 
 @register(
@@ -112,8 +138,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kind = F.expr("CASE protocol WHEN 'GTP_C' THEN 'CLAIM' WHEN 'SIP' THEN 'PROBE' END")
-    keyed = ST.keyed_rows(_stream(spark, sf, "messages"), "src_ip", "ts", "message_id", kind, F.col("imsi"), shards=4)
-    return run_to_table(ST.apply(keyed, ST.LastClaim(432_000_000_000), ("key", "shard")), "owners")[0]
+    rows, owners = bound(spark, sf, "messages").select("ts", "message_id", "src_ip", "protocol", "imsi"), O.LastClaim(spark, 432_000_000_000)
+    return _in_parts(spark, rows, "ts", lambda s: owners.run(O.keyed_rows(s, "src_ip", "ts", "message_id", kind, F.col("imsi"))))
 
 
 @register(
@@ -128,8 +154,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kind = F.expr("CASE protocol WHEN 'SIP' THEN 'CLAIM' WHEN 'RTP' THEN 'PROBE' END")
-    keyed = ST.keyed_rows(_stream(spark, sf, "messages"), "k", "ts", "message_id", kind, F.col("icid"))
-    return run_to_table(ST.apply(keyed, ST.LastClaim(43_200_000_000)), "ports")[0]
+    rows, ports = bound(spark, sf, "messages").select("ts", "message_id", "k", "protocol", "icid"), O.LastClaim(spark, 43_200_000_000)
+    return _in_parts(spark, rows, "ts", lambda s: ports.run(O.keyed_rows(s, "k", "ts", "message_id", kind, F.col("icid"))))
 
 
 @register(
@@ -147,8 +173,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kind = F.expr("CASE event_type WHEN 'error' THEN 'END' ELSE 'ROW' END")
-    keyed = ST.keyed_rows(_stream(spark, sf, "messages"), "user_id", "ts", "message_id", kind)
-    return run_to_table(ST.apply(keyed, ST.Lifecycle(21_600_000_000)), "lives")[0]
+    rows, lives = bound(spark, sf, "messages").select("ts", "message_id", "user_id", "event_type"), O.Lifecycle(spark, 21_600_000_000)
+    return _in_parts(spark, rows, "ts", lambda s: lives.run(O.keyed_rows(s, "user_id", "ts", "message_id", kind)))
 
 
 @register(
@@ -200,4 +226,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     keys = {"imsi": F.col("imsi"), "msisdn": F.col("msisdn")}
-    return OnlineMerge(spark, "message_id", keys).run(_stream(spark, sf, "messages").select("message_id", "imsi", "msisdn"))
+    merge = OnlineMerge(spark, "message_id", keys, compact_every=3)
+    rows = bound(spark, sf, "messages").select("ts", "message_id", "imsi", "msisdn")
+    return _in_parts(spark, rows, "ts", merge.run, parts=4)

@@ -28,13 +28,18 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
-    """Process what is available now into a fresh table of the shared folder; (the table, the finished query)."""
+def run_to_table(
+    stream: DataFrame, label: str, output_mode: str = "append", path: str | None = None, state_path: str | None = None
+) -> tuple[DataFrame, StreamingQuery]:
+    """Process what is available now into a table of the shared folder; (the table, the finished query).
+
+    The table is a fresh one, or the one at ``path``, which goes on from ``state_path``.
+    """
     spark = stream.sparkSession
-    path = fresh_path(spark, label)
+    path = path or fresh_path(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode(output_mode)
-        .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+        .option("checkpointLocation", state_path or f"{path}-state").trigger(availableNow=True).start(path)
     )
     finish(query)
     return spark.read.schema(stream.schema).parquet(path), query

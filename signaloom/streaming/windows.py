@@ -42,3 +42,19 @@ def without_repeats(rows: DataFrame, ts: str, signature: Sequence[str], delay: s
 def running_totals(rows: DataFrame, by: Sequence[str], **measures: Column) -> DataFrame:
     """Counts that grow with the stream; run in update or complete mode."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()])
+
+
+def request_pairs(
+    requests: DataFrame, answers: DataFrame, on: Sequence[str], request_id: str, requested: str, answered: str, timeout: str, delay: str = "10 minutes"
+) -> DataFrame:
+    """Each request with the time of its first answer, NULL when none came within ``timeout``; an outer join of two streams.
+
+    Both streams have the columns ``on`` that an answer shares with its request. A request comes out once no answer can come in time any
+    more; requests and answers with a NULL key meet nothing.
+    """
+    asked = requests.select(*on, request_id, requested).withWatermark(requested, delay)
+    told = answers.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(answered).alias("_answered")).withWatermark("_answered", delay)
+    same = " and ".join(f"{c} = _{c}" for c in on)
+    in_time = f"_answered >= {requested} and _answered <= {requested} + interval {timeout}"
+    met = asked.join(told, F.expr(f"{same} and {in_time}"), "leftOuter")
+    return met.groupBy(*on, request_id, requested).agg(F.min("_answered").alias(answered))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signaloom.session import fresh_path, work_dir
 from signaloom.sources import captures, messages, sinks
-from signaloom.streaming import stateful as ST
+from signaloom.streaming import ordered as O
 from signaloom.streaming import windows as W
 from signaloom.streaming.merging import OnlineMerge
 from signaloom.streaming.running import run_batches, run_counting_late, run_to_table
@@ -85,8 +85,7 @@ def test_state_is_carried_over_batches(spark):
         [("u", at(5000), 5, "PROBE", None), ("z", at(9000), 6, "PROBE", None)],
     ]
     stream = written_in_batches(spark, batches, ROW)
-    keyed = ST.keyed_rows(stream, "user", "ts", "id", F.col("kind"), F.col("value"))
-    found, _ = run_to_table(ST.apply(keyed, ST.LastClaim(1_000_000_000)), "claims")
+    found = O.LastClaim(spark, 1_000_000_000).run(O.keyed_rows(stream, "user", "ts", "id", F.col("kind"), F.col("value")))
     assert {r.probe_id: r.value for r in found.collect()} == {2: "b", 4: None, 5: None}
 
 
@@ -94,10 +93,13 @@ def test_pairing_times_out(spark):
     batches = [
         [("k", at(0), 1, "REQ", None), ("k", at(1), 2, "RESP", None), ("k", at(10), 3, "REQ", None)],
         [("k", at(200), 4, "REQ", None), ("k", at(260), 5, "RESP", None)],
-        [("end", at(9000), 6, "REQ", None)],
+        [("end", at(9000), 6, "REQ", None), ("end", at(9000), 7, "RESP", None)],
     ]
-    keyed = ST.keyed_rows(written_in_batches(spark, batches, ROW), "user", "ts", "id", F.col("kind"))
-    found, _ = run_to_table(ST.apply(keyed, ST.Pairing(30_000_000)), "pairs")
+    stream = written_in_batches(spark, batches, ROW)
+    requests = stream.filter("kind = 'REQ'").select("user", F.col("id").alias("request_id"), F.col("ts").alias("requested_at"))
+    answers = stream.filter("kind = 'RESP'").select("user", F.col("ts").alias("answered_at"))
+    pairs = W.request_pairs(requests, answers, ["user"], "request_id", "requested_at", "answered_at", "30 seconds")
+    found, _ = run_to_table(pairs, "pairs")
     assert {r.request_id: r.answered_at is not None for r in found.collect()} == {1: True, 3: False, 4: False}
 
 
@@ -134,8 +136,8 @@ def test_lifecycle_ends(spark):
         [("a", at(0), 1, "ROW", None), ("a", at(50), 2, "ROW", None), ("a", at(90), 3, "ROW", None), ("a", at(130), 4, "ROW", None)],
         [("b", at(0), 5, "ROW", None), ("b", at(30), 6, "END", None), ("c", at(10), 7, "ROW", None), ("z", at(9000), 8, "ROW", None)],
     ]
-    keyed = ST.keyed_rows(written_in_batches(spark, batches, ROW), "user", "ts", "id", F.col("kind"))
-    found, _ = run_to_table(ST.apply(keyed, ST.Lifecycle(60_000_000, 100_000_000)), "lives")
+    keyed = O.keyed_rows(written_in_batches(spark, batches, ROW), "user", "ts", "id", F.col("kind"))
+    found = O.Lifecycle(spark, 60_000_000, 100_000_000).run(keyed)
     assert sorted((r.key, r.rows, r.ended_by) for r in found.collect()) == [("a", 1, "IDLE"), ("a", 3, "LIMIT"), ("b", 2, "END"), ("c", 1, "IDLE")]
 
 
@@ -157,6 +159,6 @@ def test_table_sink_keeps_what_is_there(spark):
 
 def test_stream_without_closed_time(spark):
     rows = [[("a", at(0), 1, "ROW", None)]]
-    keyed = ST.keyed_rows(written_in_batches(spark, rows, ROW), "user", "ts", "id", F.col("kind"))
-    found, _ = run_to_table(ST.apply(keyed, ST.NearRepeat(1000)), "none")
+    keyed = O.keyed_rows(written_in_batches(spark, rows, ROW), "user", "ts", "id", F.col("kind"))
+    found = O.NearRepeat(spark, 1000).run(keyed)
     assert found.count() == 0
