@@ -220,12 +220,18 @@ def line_report(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def remove_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int | None = None, least: int = LEAST,
 ) -> DataFrame:
-    """``docs`` without the lines that go; texts that lose none are as they were, null included."""
-    report = line_report(mark_lines(docs, id_column, text_column, edits, least), "id").filter(F.size("dropped") > 0)
+    """``docs`` without the lines that go; texts that lose none are as they were, null included.
+
+    Different texts that share an id are texts of their own, in the order of their digests; rows that repeat id and text are one.
+    """
     gone, key = free_name(docs, "gone"), free_name(docs, "key")
-    report = report.select(F.col("id").alias(key), F.col("dropped").alias(gone))
-    text = column(docs, text_column)
+    identity, text = column(docs, id_column), column(docs, text_column)
+    of_row = F.struct(identity.isNull().alias("none"), identity.alias("id"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha"))
+    keyed = docs.withColumn(key, of_row)
+    report = line_report(mark_lines(keyed, key, text_column, edits, least), "id").filter(F.size("dropped") > 0)
+    report = report.select(F.col("id").alias(free_name(keyed, "of")), F.col("dropped").alias(gone))
+    joined = keyed.join(report, keyed[key].eqNullSafe(report[report.columns[0]]), "left")
+    text = column(joined, text_column)
     kept = F.filter(F.split(text, "\n"), lambda _, no: ~F.array_contains(F.col(gone), no))
     new = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(report, column(docs, id_column).eqNullSafe(report[key]), "left")
-    return joined.select(*[new.alias(c) if c == text_column else column(docs, c) for c in docs.columns])
+    return joined.select(*[new.alias(c) if c == text_column else column(joined, c) for c in docs.columns])

@@ -337,6 +337,9 @@ def test_edit_join_finds_every_pair(spark):
     two = spark.createDataFrame([(1, "same line of twenty characters\nx\n\nx"), (2, "same line of twenty charactery\nx")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(two).collect()}
     assert got == {1: "same line of twenty characters\nx\n", 2: ""}
+    shared = spark.createDataFrame([(0, "the first line of all"), (1, "the first line of all"), (1, "a text found nowhere else"), (None, "a text found nowhere else"), (1, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in line_dedup.remove_lines(shared).collect())
+    assert got == [(False, 0, "the first line of all"), (False, 1, ""), (False, 1, ""), (False, 1, "a text found nowhere else"), (True, 0, "")]
 
 
 def test_edits_grow_with_the_line(spark):
