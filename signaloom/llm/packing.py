@@ -8,8 +8,8 @@ that holds its contents, and the choice of least total cost stays.
 The cost of a bin is ``length * (1 + length / ATTENTION)``: linear work plus attention over the whole sequence.
 
 Pieces are dealt by a hash of their id and number into shards of about ``SHARD_PIECES``, each packed on its own in one
-task; a shard never grows with the input, and only (id, piece, length) move, never texts. A text of length 0 has one
-piece of length 0 without a bin. Every piece of every row comes back once; rows that repeat an id are told apart by a row
+task; a shard never grows with the input, and only (id, piece, length) move, never texts. A text of length 0, or of no known
+length, has one piece of length 0 without a bin. Every piece of every row comes back once; rows that repeat an id are told apart by a row
 number. Ties in length go by id, then piece.
 """
 
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 LENGTHS = (512, 1024, 2048, 4096)
 #: Length at which attention costs as much as the linear work.
 ATTENTION = 8192
@@ -96,10 +98,12 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, ``piece, start, length, bin, bin_length, offset``; ``bin`` is null for an empty text.
 
-    ``lengths_table`` holds an id and a length per text; it should be a written table, because it is read twice.
+    ``lengths_table`` holds an id and a length per text; it should be a written table, because it is read twice. Where the id
+    column has the name of a result column, the latter gets an underscore.
     """
     largest = max(lengths)
-    rows = lengths_table.select(F.col(id_column).alias("id"), F.col(length_column).cast("long").alias("n"))
+    length = F.coalesce(column(lengths_table, length_column).cast("long"), F.lit(0))
+    rows = lengths_table.select(column(lengths_table, id_column).alias("id"), length.alias("n"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     last = F.greatest(F.ceil(F.col("n") / largest) - 1, F.lit(0))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
@@ -124,4 +128,5 @@ def pack(
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, piece long, start long, length long, bin string, bin_length long, offset long"
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "row", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(fill, schema).withColumnRenamed("id", id_column)
+    packed = dealt.groupBy("shard").applyInPandas(fill, schema)
+    return packed.toDF(id_column, *[f"{c}_" if c.lower() == id_column.lower() else c for c in COLUMNS[1:]])

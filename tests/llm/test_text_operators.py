@@ -288,6 +288,60 @@ def test_decontamination_in_blocks(spark, docs):
             assert common.words_of(r["text"][span["start"] : span["stop"]])
 
 
+def cheapest(sizes, lengths):
+    """The least cost of any packing, by trying every bin for every piece."""
+    best = [math.inf]
+
+    def place(k, bins):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(min(c for c in lengths if c >= b)) for b in bins))
+            return
+        for b in range(len(bins)):
+            if bins[b] + sizes[k] <= max(lengths):
+                place(k + 1, [*bins[:b], bins[b] + sizes[k], *bins[b + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def naive_best_fit(sizes, lengths):
+    bins, placed, rest = [], [], sum(sizes)
+    for n in sizes:
+        rest -= n
+        fits = [(free, -k) for k, (free, _) in enumerate(bins) if free >= n]
+        if fits:
+            k = -min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append((packing.opening(n, rest, lengths), 0))
+        free, used = bins[k]
+        placed.append((k, used))
+        bins[k] = (free - n, used + n)
+    return placed, [used for _, used in bins]
+
+
+def test_packing_against_all_packings():
+    rnd = random.Random(9)
+    for _ in range(40):
+        sizes = sorted((rnd.randint(1, 4096) for _ in range(rnd.randint(1, 7))), reverse=True)
+        placed, final = packing.pack_jointly(sizes)
+        got, least = sum(map(packing.cost, final)), cheapest(sizes, packing.LENGTHS)
+        assert least - 1e-6 <= got <= 1.35 * least
+        tried = [packing.best_fit(sizes, c) for c in ((4096,), (1024, 4096), (512, 2048, 4096))]
+        for (mine, used), lengths in zip(tried, ((4096,), (1024, 4096), (512, 2048, 4096)), strict=True):
+            other, plain = naive_best_fit(sizes, lengths)
+            assert sorted(used) == sorted(plain) and len(mine) == len(other)
+
+
+def test_packing_of_odd_lengths(spark):
+    rows = [(1, 10), (2, None), (3, 0), (4, 9000), (None, 5), (1, 10)]
+    frame = spark.createDataFrame(rows, "start long, n long")
+    got = packing.pack(frame, "start", "n").collect()
+    assert len(got) == 8 and sum(r["length"] for r in got) == 9025
+    assert [(r["bin"], r["length"], r["start_"]) for r in got if r["start"] in (2, 3)] == [(None, 0, 0)] * 2
+
+
 def test_packing_is_whole_and_tight(spark):
     rnd = random.Random(5)
     sizes = sorted((rnd.randint(1, 4096) for _ in range(400)), reverse=True)
