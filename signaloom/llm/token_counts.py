@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from signaloom.session import cut_lineage
 from .common import column
 
 #: Folder of the tokenizer files; only the driver reads it.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 #: Pre-tokenisation pattern of the byte-level vocabulary, a fixed value.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -140,7 +141,10 @@ def open_cache(spark, path: str) -> DataFrame:
 def count_tokens(
     docs: DataFrame, vocabulary: Vocabulary, cache_path: str, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """(id, ``n_bytes``, ``n_tokens``) of every row, after the missing counts were appended to the cache."""
+    """(id, ``n_bytes``, ``n_tokens``) of every row, after the missing counts were appended to the cache.
+
+    A digest that two writers added at once, or a task that was run again, is in the cache more than once and counts once.
+    """
     spark = docs.sparkSession
     text = F.coalesce(column(docs, text_column), F.lit(""))
     rows = docs.select(
@@ -155,7 +159,7 @@ def count_tokens(
         "content_digest", F.lit(vocabulary.digest).alias("tokenizer_digest"), count("text").alias("n_tokens")
     )
     fresh.write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE).parquet(cache_path).filter(own).select("content_digest", "n_tokens")
+    counts = spark.read.schema(CACHE).parquet(cache_path).filter(own).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     return rows.select("id", "n_bytes", "content_digest").join(counts, "content_digest").select(
         F.col("id").alias(id_column), "n_bytes", "n_tokens"
     )

@@ -450,3 +450,14 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, docs):
     assert scanned.filter(decontaminate.contaminated("found")).count() == 0
     packed = corpus_pipeline.run(spark, SF_DIR)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_token_cache_with_repeated_digests(spark):
+    """A cache that two writers filled at once gives every document once."""
+    path = fresh_path(spark, "cache")
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (1, "one two")], "doc_id long, text string")
+    vocabulary = token_counts.byte_vocabulary()
+    first = sorted(tuple(r) for r in token_counts.count_tokens(docs, vocabulary, path).collect())
+    spark.read.parquet(path).write.mode("append").parquet(path + "-again")
+    spark.read.parquet(path + "-again").write.mode("append").parquet(path)
+    assert sorted(tuple(r) for r in token_counts.count_tokens(docs, vocabulary, path).collect()) == first and len(first) == 3
