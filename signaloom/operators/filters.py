@@ -103,10 +103,55 @@ def messages_of_key(messages: DataFrame, keys: DataFrame, key_type: str, key_val
     return messages.join(hits, session, "left_semi").orderBy(*order)
 
 
-def page(rows: DataFrame, order: str, tie: str, number: int = 1, size: int = 20, descending: bool = True) -> DataFrame:
-    """One page of an ordered list, with the tie column ascending."""
+#: Pages that begin at or beyond this row are found by rank.
+FAR_ROWS = 100_000
+#: Ranges of the sort column that are counted to find a page.
+RANGES = 256
+
+
+def page(
+    rows: DataFrame, order: str, tie: str, number: int = 1, size: int = 20, descending: bool = True, far_rows: int = FAR_ROWS
+) -> DataFrame:
+    """One page of an ordered list, with the tie column ascending.
+
+    A page near the top is a plain limit. Far down, rows are counted per range of the sort column, and only the ranges that the page
+    lies in are sorted; where the page lies within a single value, the tie column is taken in ranges in turn.
+    """
+    skipped = (number - 1) * size
+    if skipped >= far_rows:
+        rows, skipped, alike = _ranges_of(rows, order, descending, skipped, size)
+        if alike and skipped >= far_rows:
+            rows, skipped, _ = _ranges_of(rows, tie, False, skipped, size)
     lead = F.col(order).desc() if descending else F.col(order).asc()
-    return rows.orderBy(lead, F.col(tie).asc()).offset((number - 1) * size).limit(size)
+    return rows.orderBy(lead, F.col(tie).asc()).offset(skipped).limit(size)
+
+
+def _ranges_of(rows: DataFrame, name: str, descending: bool, skipped: int, size: int) -> tuple[DataFrame, int, bool]:
+    """The rows of the ranges that hold the places from ``skipped`` on, how many of those rows come before, and whether all are alike.
+
+    A value that many rows have is a range of its own. Columns that are neither numbers nor times have no ranges: all rows stay.
+    """
+    kind = rows.schema[name].dataType
+    if not isinstance(kind, (T.NumericType, T.TimestampType, T.DateType)):
+        return rows, skipped, False
+    value = F.unix_micros(F.col(name).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.DateType)) else F.col(name)
+    held = rows.select(value.alias("v")).schema["v"].dataType.simpleString()
+    shares = [k / RANGES for k in range(1, RANGES)]
+    edges = rows.agg(F.percentile_approx(value, shares).alias("e")).first()["e"]
+    edges = sorted(set(edges or []))
+    # as the sort has it: nulls first when rising, last when falling
+    marks = F.array(*[F.lit(e) for e in edges]).cast(f"array<{held}>")
+    place = F.when(value.isNull(), -1).otherwise(2 * F.size(F.filter(marks, lambda e: e < value)) + F.array_contains(marks, value).cast("int"))
+    counts = {r["_range"]: r["n"] for r in rows.groupBy(place.alias("_range")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted, ahead, passed = [], 0, 0
+    for part in sorted(counts, reverse=descending):
+        if passed + counts[part] <= skipped:
+            ahead = passed + counts[part]
+        elif passed < skipped + size:
+            wanted.append(part)
+        passed += counts[part]
+    alike = len(wanted) == 1 and wanted[0] % 2 == 1
+    return rows.filter(place.isin(wanted) if wanted else F.lit(False)), max(0, skipped - ahead), alike
 
 
 def page_with_total(rows: DataFrame, order: str, tie: str, number: int = 1, size: int = 20) -> DataFrame:

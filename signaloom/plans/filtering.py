@@ -237,6 +237,16 @@ def _(spark, sf):
     return FI.page(bound(spark, sf, "call_sessions"), "volume", "session_id", number=3).select("session_id", "start_ts", "volume")
 
 
+@register(
+    "deep_page",
+    check("SELECT session_id, start_ts, volume FROM call_sessions ORDER BY start_ts DESC, session_id LIMIT 20 OFFSET 1200", "call_sessions"),
+)
+def _(spark, sf):
+    """A page far down, found by counting ranges of the sort column."""
+    rows = bound(spark, sf, "call_sessions")
+    return FI.page(rows, "start_ts", "session_id", number=61, far_rows=1000).select("session_id", "start_ts", "volume")
+
+
 @register(
     "filtered_page_with_total",
     check(

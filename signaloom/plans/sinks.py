@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
-from ..session import fresh_path
+from ..operators import sessions as S
+from ..session import cut_lineage, fresh_path
 from ..sources import messages as SM
 from ..sources import sinks as SK
+from ..sources.tables import VersionedTable
 from .bindings import bound, check, table
 from .registry import register
+from .sessions import _OWNED
 
 
 @register(
@@ -40,6 +43,38 @@ def _(spark, sf):
     )
 
 
+@register(
+    "master_documents",
+    check(
+        _OWNED + """, n AS (SELECT *, row_number() OVER (PARTITION BY imsi, user_id ORDER BY ts, message_id) AS no FROM o WHERE imsi IS NOT NULL),
+        p AS (SELECT imsi, user_id, (no - 1) // 3 AS piece, min(ts) AS f, count(*) AS events, CAST(sum(message_id) AS BIGINT) AS ids FROM n GROUP BY 1, 2, 3),
+        q AS (SELECT *, (row_number() OVER (PARTITION BY imsi ORDER BY f, user_id, piece) - 1) // 4 AS part FROM p),
+        h AS (SELECT imsi, count(*) AS whole FROM o WHERE imsi IS NOT NULL GROUP BY 1)
+        SELECT imsi, part, whole, count(*) AS pieces, CAST(sum(events) AS BIGINT) AS events, CAST(sum(ids) AS BIGINT) AS ids, CAST(sum(piece) AS BIGINT) AS continued
+        FROM q JOIN h USING (imsi) GROUP BY 1, 2, 3""",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    """Documents of subscribers with their sessions and events, written as JSON lines and parsed again."""
+    order = ["ts", "message_id"]
+    owned = cut_lineage(S.subscriber_messages(bound(spark, sf, "messages"), "message_id", order).filter("imsi is not null"), "owned")
+    heads = owned.groupBy("imsi").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("last_update_ts"), F.count(F.lit(1)).alias("whole"))
+    documents = SK.master_documents(
+        heads, owned, "imsi", "user_id", order, ["message_id", "protocol", "message_type"], events_per_piece=3, pieces_per_document=4
+    )
+    path = fresh_path(spark, "masters")
+    SK.write_json(documents, path)
+    schema = "imsi string, part bigint, whole bigint, sessions array<struct<user_id: bigint, piece: bigint, events: array<struct<event_no: bigint, message_id: bigint>>>>"
+    back = spark.read.schema(schema).json(path)
+    pieces = back.select("imsi", "part", "whole", F.explode("sessions").alias("s"))
+    events = F.size("s.events").cast("bigint")
+    ids = F.aggregate("s.events", F.lit(0).cast("bigint"), lambda a, e: a + e["message_id"])
+    return pieces.groupBy("imsi", "part", "whole").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum(events).alias("events"), F.sum(ids).alias("ids"), F.sum("s.piece").alias("continued")
+    )
+
+
 @register(
     "session_summaries",
     check("SELECT session_id, session_type, state FROM call_sessions", "call_sessions"),
@@ -65,6 +100,36 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 2).alias("volume"))
 
 
+@register(
+    "expired_jobs_in_storage",
+    check(
+        """WITH j AS (SELECT * FROM jobs WHERE created_ts >= epoch_us(TIMESTAMP '1997-06-01')),
+        s AS (SELECT job_id, line, sum(packets) AS packets FROM job_sessions WHERE job_id IN (SELECT job_id FROM j) GROUP BY 1, 2)
+        SELECT 'jobs' AS kept, count(*) AS n, CAST(coalesce(sum(job_id), 0) AS BIGINT) AS ids FROM j UNION ALL SELECT 'sessions', count(*), CAST(coalesce(sum(packets), 0) AS BIGINT) FROM s""",
+        "jobs", "job_sessions",
+    ),
+)
+def _(spark, sf):
+    """Jobs and their sessions are inserted in two goes, then expired jobs go from the files; what is left is read back."""
+    jobs = bound(spark, sf, "jobs").select("job_id", "created_ts", "status")
+    sessions = bound(spark, sf, "job_sessions").groupBy("job_id", "line").agg(F.sum("packets").alias("packets"))
+    sessions = sessions.select(F.concat_ws("/", "job_id", "line").alias("session_id"), "job_id", "packets")
+    kept_jobs = VersionedTable(spark, fresh_path(spark, "jobs"), "job_id bigint, created_ts timestamp, status string", "job_id", slices=16)
+    kept_sessions = VersionedTable(spark, fresh_path(spark, "job-sessions"), "session_id string, job_id bigint, packets bigint", "job_id", slices=16)
+    for part in (F.col("job_id") % 3 == 0, F.lit(True)):
+        kept_jobs.insert(jobs.filter(part), "job_id")
+        kept_sessions.insert(sessions.filter(part), "session_id")
+    expired = kept_jobs.read().filter("created_ts < TIMESTAMP '1997-06-01'").select("job_id")
+    expired = cut_lineage(expired, "expired")
+    kept_sessions.remove(expired)
+    kept_jobs.remove(expired)
+    counted = [
+        kept_jobs.read().agg(F.lit("jobs").alias("kept"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("job_id"), F.lit(0)).alias("ids")),
+        kept_sessions.read().agg(F.lit("sessions").alias("kept"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("packets"), F.lit(0)).alias("ids")),
+    ]
+    return counted[0].unionByName(counted[1])
+
+
 @register(
     "metrics_file",
     """SELECT '# TYPE signaloom_events counter' AS line UNION ALL

@@ -12,6 +12,7 @@ from ..streaming import ordered as O
 from ..streaming import windows as W
 from ..streaming.merging import OnlineMerge
 from ..streaming.running import run_batches, run_counting_late, run_to_table
+from ..streaming.totals import SignedTotals
 from .bindings import BINDINGS, bound, check, table
 from .registry import register
 
@@ -188,6 +189,23 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+@register(
+    "stream_totals_with_deletes",
+    check(
+        """SELECT interface, count(*) AS n, CAST(sum(payload_length) AS BIGINT) AS total, min(payload_length) AS least, max(payload_length) AS greatest
+        FROM messages WHERE NOT (k % 5 = 0 OR payload_length > 200) GROUP BY 1""",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    """Every message is inserted; some, the longest among them, are deleted two hours later."""
+    rows = bound(spark, sf, "messages").select("ts", "interface", "payload_length", "k")
+    gone = rows.filter("k % 5 = 0 OR payload_length > 200").withColumn("ts", F.expr("ts + interval 2 hours"))
+    signed = rows.withColumn("sign", F.lit(1)).unionByName(gone.withColumn("sign", F.lit(-1))).drop("k")
+    totals = SignedTotals(spark, ["interface"], "payload_length", compact_every=2)
+    return _in_parts(spark, signed, "ts", totals.run)
+
+
 _LATE_AFTER_MS = 24 * 3600 * 1000
 _WATERMARK = f"(SELECT (max(ts) // 1000 - {_LATE_AFTER_MS}) * 1000 AS wm FROM messages)"
 

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators.hubs import salted_join
 from ..operators.timeline import Slab, carry_along, row_number
+from ..session import cut_lineage
 
 #: Most events in one document; a longer session goes on in the next part.
 EVENTS_PER_DOCUMENT = 1_000
+#: Most sessions, or continuations of sessions, in one document of a master session.
+PIECES_PER_DOCUMENT = 100
 #: A session of at least this many parts is spread over several tasks when its head is added.
 HUB_PARTS = 10_000
 
@@ -45,6 +48,40 @@ def session_documents(
     return joined.select(session, "part", document.alias("document"))
 
 
+def master_documents(
+    heads: DataFrame,
+    events: DataFrame,
+    master: str,
+    session: str,
+    order: Sequence[str],
+    event_columns: Sequence[str],
+    events_per_piece: int = EVENTS_PER_DOCUMENT,
+    pieces_per_document: int = PIECES_PER_DOCUMENT,
+    slab: Slab = None,
+) -> DataFrame:
+    """(master, ``part``, ``document``): JSON of a master session with its sessions, each with its ordered events.
+
+    Both levels have continuations: a long session goes on in its next piece, many pieces go on in the next part of the master. Pieces
+    follow one another by their first event. ``events`` has one row per event of a master's session, ``heads`` one per master.
+    """
+    narrow = events.select(master, session, *order, *[c for c in event_columns if c not in order])
+    numbered = carry_along(narrow, [master, session], order, slab, event_no=row_number())
+    piece = F.floor((F.col("event_no") - 1) / events_per_piece).cast("bigint")
+    pieces = numbered.withColumn("piece", piece).groupBy(master, session, "piece").agg(
+        F.min(order[0]).alias("_first"), F.array_sort(F.collect_list(F.struct("event_no", *event_columns))).alias("events")
+    )
+    placed = carry_along(cut_lineage(pieces, "pieces"), [master], ["_first", session, "piece"], slab, _no=row_number())
+    part = F.floor((F.col("_no") - 1) / pieces_per_document).cast("bigint")
+    entry = F.struct("_no", F.struct(F.col(session), "piece", "events").alias("session"))
+    parts = placed.withColumn("part", part).groupBy(master, "part").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["session"]).alias("sessions")
+    )
+    whole = heads.select(master, F.struct(*[c for c in heads.columns if c != master]).alias("_head"))
+    joined = salted_join(parts, whole, [master], hub_rows=HUB_PARTS)
+    document = F.to_json(F.struct(F.col(master), "part", "_head.*", "sessions"))
+    return joined.select(master, "part", document.alias("document"))
+
+
 def session_summaries(sessions: DataFrame) -> DataFrame:
     """One JSON text per session, without events."""
     return sessions.select(F.to_json(F.struct("*")).alias("document"))
