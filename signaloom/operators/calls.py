@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .asof import earliest_claim
 from .hubs import salted_join
 from .procedures import StepTable, walk_steps
 from .sessions import first_known
-from .timeline import Slab
+from .timeline import Slab, carry_along, fit_slab, running
 
 # Session type by method of the first request (INVITE and REGISTER are refined below).
 FIRST_METHOD = {
@@ -240,6 +242,66 @@ def attach_by_icid_or_subscriber(
     return by_icid.unionByName(open_.withColumn("how", F.lit("SUBSCRIBER")))
 
 
+def call_times(messages: DataFrame, call_id: str, ts: str) -> DataFrame:
+    """(call_id, ``invite_ts, trying_ts, ringing_ts, answer_ts, ack_ts, bye_ts``): when a call's signalling first showed each."""
+    request, status = F.col("is_request"), F.col("status_code")
+    shown = {
+        "invite_ts": request & (F.col("method") == "INVITE"), "trying_ts": ~request & (status == 100), "ringing_ts": ~request & (status == 180),
+        "answer_ts": ~request & (status == 200) & (F.col("cseq_method") == "INVITE"),
+        "ack_ts": request & (F.col("method") == "ACK"), "bye_ts": request & (F.col("method") == "BYE"),
+    }
+    return messages.groupBy(call_id).agg(*[F.min(F.when(when, F.col(ts))).alias(name) for name, when in shown.items()])
+
+
+def attach_bearers(requests: DataFrame, calls: DataFrame, request_id: str, ts: str, slab: Slab = None) -> DataFrame:
+    """(request id, ``call_id``): each bearer request with the first call of its subscriber, open at that time, that has no bearer yet.
+
+    ``requests`` have ``imsi``, ``calls`` have ``imsi, call_id, start_ts, end_ts``. Requests are served in order of time, then id; a
+    call is open from its start to its end, both included, and of the open ones the earliest start, then the lowest id, is
+    the first. A request that finds none is left out, and so is one without a subscriber or a time.
+
+    Which call is still free depends on every request before, so the queue is walked row by row, one stretch of calls that
+    overlap at a time: a subscriber's stretches go to different tasks, and a task holds only the calls open at once.
+    """
+    begin, end = axis(calls, "start_ts"), axis(calls, "end_ts")
+    opened = calls.filter(begin <= end).select(
+        "imsi", begin.alias("_at"), F.lit(0).alias("_side"), end.alias("_end"), "call_id", F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id)
+    )
+    asked = requests.select(
+        "imsi", axis(requests, ts).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_end"),
+        F.lit(None).cast(calls.schema["call_id"].dataType).alias("call_id"), F.col(request_id),
+    )
+    lined = opened.unionByName(asked).filter("imsi is not null and _at is not null")
+    order = ["_at", "_side", "call_id", request_id]
+    slab = fit_slab(lined, ["imsi"], "_at") if slab is None else slab
+    reached = carry_along(lined, ["imsi"], order, slab, _reach=running("max", F.col("_end"), inclusive=False))
+    within = F.coalesce(F.col("_at") <= F.col("_reach"), F.lit(False))
+    # a request outside any call can have none
+    held = reached.filter((F.col("_side") == 0) | within).withColumn("_opens", (~within).cast("bigint"))
+    stretches = carry_along(held, ["imsi"], order, slab, _stretch=running("sum", F.col("_opens"))).select("imsi", "_stretch", "_end", *order)
+    dealt = stretches.repartition("imsi", "_stretch").sortWithinPartitions("imsi", "_stretch", *order)
+    schema = f"{request_id} {requests.schema[request_id].dataType.simpleString()}, call_id {calls.schema['call_id'].dataType.simpleString()}"
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, free = None, deque()
+        for batch in batches:
+            served = []
+            names = ("imsi", "_stretch", "_at", "_side", "_end", "call_id", request_id)
+            for imsi, stretch, at, side, until, call, request in zip(*[batch[n] for n in names], strict=True):
+                if (imsi, stretch) != current:
+                    current, free = (imsi, stretch), deque()
+                if side == 0:
+                    free.append((until, call))
+                    continue
+                while free and free[0][0] < at:
+                    free.popleft()
+                if free:
+                    served.append((request, free.popleft()[1]))
+            yield pd.DataFrame(served, columns=[request_id, "call_id"])
+
+    return dealt.mapInPandas(serve, schema)
+
+
 def calls_of(calls: DataFrame, parties: Sequence[str], value: str, kind: str | None = None) -> DataFrame:
     """Calls whose caller or callee is ``value``, optionally of one type."""
     hit = F.array_contains(F.array_compact(F.array(*[F.col(p) for p in parties])), value)

@@ -20,7 +20,7 @@ from ..session import cut_lineage
 from .asof import earliest_claim
 from .calls import CALL_TYPES, LEG_TOLERANCE
 from .hubs import salted_join
-from .timeline import Slab, fit_slab
+from .timeline import Slab, carry_along, fit_slab, row_number
 
 #: Sorts of party keys and how sure they are; a number counts the same by its national form and by its last digits.
 KEY_SORTS = {"icid": 1, "imsi": 2, "number": 3, "ending": 3, "address": 4}
@@ -193,6 +193,18 @@ def with_leg_totals(flows: DataFrame, claimed: DataFrame, legs: DataFrame) -> Da
     return flows.withColumnRenamed("messages", "sip_messages").join(per_call, "call_id", "left").na.fill(0, counts)
 
 
+def leg_times(claimed: DataFrame, legs: DataFrame) -> DataFrame:
+    """Per call, when its first leg of each kind began and, if it went on, ended, in the columns that a call's diagram shows."""
+    place = F.struct("start_ts", "leg_id")
+    each = claimed.select("leg_id", "call_id").join(legs.select("leg_id", "kind", "start_ts", "end_ts"), "leg_id")
+    names = {"Rx": ("rx_request_ts", "rx_answer_ts"), "Gx": ("gx_request_ts", "gx_answer_ts"), "GTP": ("bearer_request_ts", "bearer_response_ts")}
+    first = [F.min_by("start_ts", F.when(F.col("kind") == k, place)).alias(begin) for k, (begin, _) in names.items()]
+    last = [
+        F.min_by(F.when(F.col("end_ts") > F.col("start_ts"), F.col("end_ts")), F.when(F.col("kind") == k, place)).alias(end) for k, (_, end) in names.items()
+    ]
+    return each.groupBy("call_id").agg(*first, *last, F.min(F.when(F.col("kind") == "RTP", F.col("start_ts"))).alias("media_ts"))
+
+
 def flow_frames(flows: DataFrame, sip: DataFrame, claimed: DataFrame, leg_frames: DataFrame) -> DataFrame:
     """Child table (``flow_id, protocol, frame_number``): the frames of a flow's SIP messages and of its legs.
 
@@ -249,10 +261,10 @@ def flow_counts(flows: DataFrame, legs: DataFrame, claimed: DataFrame) -> DataFr
     return in_total.unionByName(by_type).unionByName(by_kind)
 
 
-def flow_documents(flows: DataFrame, legs: DataFrame, claimed: DataFrame, part_legs: int = 1000) -> DataFrame:
+def flow_documents(flows: DataFrame, legs: DataFrame, claimed: DataFrame, part_legs: int = 1000, slab: Slab = None) -> DataFrame:
     """(``flow_id, part, document``): each flow as JSON with its legs, so many to a document; further legs follow in parts."""
     of_flow = claimed.select("leg_id", "call_id").join(legs, "leg_id")
-    numbered = of_flow.withColumn("_n", F.expr("row_number() over (partition by call_id order by start_ts, leg_id)"))
+    numbered = carry_along(of_flow, ["call_id"], ["start_ts", "leg_id"], slab, _n=row_number())
     entry = F.struct("_n", F.struct("leg_id", "kind", "start_ts", "end_ts", "imsi", "number", "messages", "loss_rate", "jitter_ms", "mos").alias("leg"))
     parts = numbered.groupBy("call_id", F.floor((F.col("_n") - 1) / part_legs).alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["leg"]).alias("legs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,8 @@ from .timeline import Slab, carry_along, fit_slab, previous, running, slab_of
 
 #: Most events folded into one array.
 BLOCK = 256
+#: (state, item) -> next state
+Step = Callable[[Column, Column], Column]
 
 
 @dataclass(frozen=True)
@@ -154,23 +156,35 @@ FIVEG_REGISTRATION = StepTable(
 )
 
 
-def _starts(parts: str, position: str, first: Column) -> Column:
-    """State at the beginning of every part, given the parts' (position, moves) in order."""
-    empty = F.array().cast(f"array<struct<{position}:bigint,state:int>>")
-    folded = F.aggregate(
-        parts,
-        F.struct(first.cast("int").alias("state"), empty.alias("seen")),
-        lambda acc, p: F.struct(
-            F.element_at(p["moved"], acc["state"] + 1).alias("state"),
-            F.concat(acc["seen"], F.array(F.struct(p[position].alias(position), acc["state"].alias("state")))).alias("seen"),
-        ),
-    )
-    return folded["seen"]
+def _step_of_part(state: Column, part: Column) -> Column:
+    return F.element_at(part["moved"], state + 1)
+
+
+def _moved(items: Column, identity: Column, step: Step) -> Column:
+    """A sequence of items as one: state in -> state out."""
+    return F.aggregate(items, identity, lambda acc, x: F.transform(acc, lambda s: step(s, x)))
+
+
+def _states_before(items: Column, identity: Column, step: Step, first: Column) -> Column:
+    """State before every item of an array.
 
+    Arrays grow by copying in a fold, so the items are taken in stretches of about the root of their number: the stretches
+    are composed, the state before each is found among them, and each is walked on its own.
+    """
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    count = F.floor((F.size(items) + width - 1) / width).cast("int")
+    stretches = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(items, (i - 1) * width + 1, width)))
+
+    def walked(xs: Column, start: Column, then: Step) -> Column:
+        seen = F.struct(start.cast("int").alias("state"), F.array().cast("array<int>").alias("seen"))
+        grown = lambda acc, x: F.struct(then(acc["state"], x).alias("state"), F.concat(acc["seen"], F.array(acc["state"])).alias("seen"))
+        return F.aggregate(xs, seen, grown)["seen"]
 
-def _composed(parts: str, identity: Column) -> Column:
-    """Moves of a sequence of parts as one: state in -> state out."""
-    return F.aggregate(parts, identity, lambda acc, p: F.transform(acc, lambda s: F.element_at(p["moved"], s + 1)))
+    wholes = F.transform(stretches, lambda xs: _moved(xs, identity, step))
+    starts = walked(wholes, first, lambda state, whole: F.element_at(whole, state + 1))
+    # zipped, so that the starts are computed once and not once per stretch
+    paired = F.arrays_zip(stretches.alias("xs"), starts.alias("start"))
+    return F.flatten(F.transform(paired, lambda p: walked(p["xs"], p["start"], step)))
 
 
 def walk_steps(
@@ -192,6 +206,17 @@ def walk_steps(
     )
     names = F.array(*[F.lit(s) for s in states])
 
+    def target(state: Column, event: Column) -> Column:
+        return F.element_at(next_of[event["trigger"]], state + 1)
+
+    def step(state: Column, event: Column) -> Column:
+        return F.coalesce(target(state, event), state)
+
+    def starts(position: str, first: Column) -> Column:
+        """(position, state) of every part, given the parts in order."""
+        before = _states_before(F.col("parts"), identity, _step_of_part, first)
+        return F.arrays_zip(F.col(f"parts.{position}").alias(position), before.alias("state"))
+
     relevant = messages.select(*by, *order, trigger.alias("trigger")).filter(F.col("trigger").isin(list(moves)))
     slab = fit_slab(relevant, by, order[0]) if slab is None else slab
     slabbed = relevant.withColumn("_slab", slab_of(relevant, order[0], slab))
@@ -202,52 +227,31 @@ def walk_steps(
         .agg(F.array_sort(F.collect_list(F.struct(*order, "trigger"))).alias("events"))
         .withColumn(
             "moved",
-            F.aggregate(
-                "events", identity,
-                lambda acc, e: F.transform(
-                    acc, lambda s: F.coalesce(F.element_at(next_of[e["trigger"]], s + 1), s)
-                ),
-            ),
+            _moved(F.col("events"), identity, step),
         )
     )
     slabs = blocks.groupBy(*by, "_slab").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_block").alias("block"), "moved"))).alias("parts")
-    ).withColumn("moved", _composed("parts", identity))
+    ).withColumn("moved", _moved(F.col("parts"), identity, _step_of_part))
     entities = slabs.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_slab").alias("slab"), "moved"))).alias("parts")
     )
-    slab_starts = entities.select(*by, F.explode(_starts("parts", "slab", F.lit(0))).alias("_s")).select(
+    slab_starts = entities.select(*by, F.explode(starts("slab", F.lit(0))).alias("_s")).select(
         *by, F.col("_s.slab").alias("_slab"), F.col("_s.state").alias("_state")
     )
     block_starts = (
         slabs.select(*by, "_slab", "parts").join(slab_starts, [*by, "_slab"])
-        .select(*by, "_slab", F.explode(_starts("parts", "block", F.col("_state"))).alias("_b"))
+        .select(*by, "_slab", F.explode(starts("block", F.col("_state"))).alias("_b"))
         .select(*by, "_slab", F.col("_b.block").alias("_block"), F.col("_b.state").alias("_state"))
     )
-    event = ", ".join(f"{c}:{messages.schema[c].dataType.simpleString()}" for c in order)
-    taken = F.array().cast(f"array<struct<{event},trigger:string,was:int,now:int>>")
-    steps = F.aggregate(
-        "events",
-        F.struct(F.col("_state").cast("int").alias("state"), taken.alias("taken")),
-        lambda acc, e: F.struct(
-            F.coalesce(F.element_at(next_of[e["trigger"]], acc["state"] + 1), acc["state"]).alias("state"),
-            F.when(
-                F.element_at(next_of[e["trigger"]], acc["state"] + 1).isNotNull(),
-                F.concat(
-                    acc["taken"],
-                    F.array(F.struct(
-                        *[e[c].alias(c) for c in order], e["trigger"].alias("trigger"), acc["state"].alias("was"),
-                        F.element_at(next_of[e["trigger"]], acc["state"] + 1).alias("now"),
-                    )),
-                ),
-            ).otherwise(acc["taken"]).alias("taken"),
-        ),
-    )["taken"]
     walked = blocks.select(*by, "_slab", "_block", "events").join(block_starts, [*by, "_slab", "_block"])
-    return walked.select(*by, F.inline(steps)).select(
+    seen = F.arrays_zip("events", _states_before(F.col("events"), identity, step, F.col("_state")).alias("was"))
+    each = walked.select(*by, F.explode(seen).alias("_e")).select(*by, "_e.events.*", F.col("_e.was").alias("_was"))
+    taken = each.withColumn("_now", F.element_at(next_of[F.col("trigger")], F.col("_was") + 1)).filter("_now is not null")
+    return taken.select(
         *by, *order, "trigger",
-        F.element_at(names, F.col("was") + 1).alias("from_state"),
-        F.element_at(names, F.col("now") + 1).alias("to_state"),
+        F.element_at(names, F.col("_was") + 1).alias("from_state"),
+        F.element_at(names, F.col("_now") + 1).alias("to_state"),
     )
 
 

@@ -203,6 +203,39 @@ def _(spark, sf):
     return D.lanes(D.diagram_rows(rows, people, ["user_id"], ["ts", "message_id"]), ["user_id"], "label", ["ts", "message_id"])
 
 
+# SIP messages by charging id, with method or status and reason.
+_SIP_ONLY = """SELECT icid, ts, message_id, src_ip, src_port, dst_ip, dst_port, CASE message_type WHEN 'SIP_INVITE' THEN 'INVITE' WHEN 'SIP_REGISTER' THEN 'REGISTER' WHEN 'SIP_BYE' THEN 'BYE' END AS method,
+    CASE message_type WHEN 'SIP_TRYING' THEN 100 WHEN 'SIP_RINGING' THEN 180 WHEN 'SIP_OK' THEN 200 END AS status_code,
+    CASE message_type WHEN 'SIP_TRYING' THEN 'Trying' WHEN 'SIP_OK' THEN 'OK' END AS reason FROM {messages} WHERE protocol = 'SIP'"""
+_SIP_ENDS = f"""WITH m AS ({_SIP_ONLY.replace("{messages}", "messages")}),
+  e AS (SELECT icid, src_ip AS ip, src_port AS port FROM m UNION SELECT icid, dst_ip, dst_port FROM m),
+  people AS (SELECT icid, ip, port, 'p' || (row_number() OVER (PARTITION BY icid ORDER BY ip, port) - 1) AS participant,
+    CASE WHEN port IN (5060, 5061) THEN 'SIP-' ELSE 'UE-' END || split_part(ip, '.', -1) AS label, CASE WHEN port IN (5060, 5061) THEN 'proxy' ELSE 'endpoint' END AS kind FROM e)"""
+
+
+def _sip_only(spark, sf):
+    return spark.sql(_SIP_ONLY, messages=bound(spark, sf, "messages"))
+
+
+@register("sip_only_participants", check(_SIP_ENDS + " SELECT * FROM people", "messages"))
+def _(spark, sf):
+    return D.sip_participants(_sip_only(spark, sf), ["icid"])
+
+
+@register(
+    "sip_only_diagram_rows",
+    check(
+        _SIP_ENDS + """ SELECT m.icid, ts, message_id, row_number() OVER (PARTITION BY m.icid ORDER BY ts, message_id) - 1 AS message_no, a.participant AS sender, b.participant AS receiver,
+        coalesce(method, CAST(status_code AS VARCHAR)) AS message, coalesce(method, status_code || coalesce(' ' || reason, '')) AS label
+        FROM m JOIN people a ON m.icid = a.icid AND src_ip = a.ip AND src_port = a.port JOIN people b ON m.icid = b.icid AND dst_ip = b.ip AND dst_port = b.port""",
+        "messages",
+    ),
+)
+def _(spark, sf):
+    rows = _sip_only(spark, sf)
+    return D.sip_rows(rows, D.sip_participants(rows, ["icid"]), ["icid"], ["ts", "message_id"])
+
+
 @register(
     "calls_of_frame",
     check(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import uri_user
 from ..operators import calls as C
+from ..operators import diagram as D
 from ..operators import filters as FI
 from ..operators import flows as FL
 from ..operators import media as M
@@ -316,3 +317,45 @@ def _(spark, sf):
     return parsed.select(
         "flow_id", "part", "d.flow_type", "d.caller", F.size(ids).cast("bigint").alias("legs"), F.array_join(ids, ",").alias("leg_ids")
     )
+
+
+_DIAGRAM = f"""lt AS (SELECT call_id, min_by(start_ts, (start_ts, leg_id)) FILTER (kind = 'Rx') AS rx_request_ts, arg_min_null(CASE WHEN end_ts > start_ts THEN end_ts END, (start_ts, leg_id)) FILTER (kind = 'Rx') AS rx_answer_ts,
+    min_by(start_ts, (start_ts, leg_id)) FILTER (kind = 'Gx') AS gx_request_ts, arg_min_null(CASE WHEN end_ts > start_ts THEN end_ts END, (start_ts, leg_id)) FILTER (kind = 'Gx') AS gx_answer_ts,
+    min_by(start_ts, (start_ts, leg_id)) FILTER (kind = 'GTP') AS bearer_request_ts, arg_min_null(CASE WHEN end_ts > start_ts THEN end_ts END, (start_ts, leg_id)) FILTER (kind = 'GTP') AS bearer_response_ts,
+    min(start_ts) FILTER (kind = 'RTP') AS media_ts FROM claimed JOIN legs USING (leg_id) GROUP BY 1),
+  mi AS (SELECT call_id, min(ts) FILTER (is_request AND method = 'INVITE') AS invite_ts, min(ts) FILTER (NOT is_request AND status_code = 100) AS trying_ts,
+    min(ts) FILTER (NOT is_request AND status_code = 180) AS ringing_ts, min(ts) FILTER (NOT is_request AND status_code = 200 AND cseq_method = 'INVITE') AS answer_ts,
+    min(ts) FILTER (is_request AND method = 'ACK') AS ack_ts, min(ts) FILTER (is_request AND method = 'BYE') AS bye_ts FROM sip GROUP BY 1),
+  mt AS (SELECT * FROM flows JOIN mi USING (call_id) LEFT JOIN lt USING (call_id) WHERE session_type IN {CALLS}),
+  st AS (""" + " UNION ALL ".join(
+    f"SELECT flow_id, {i} AS place, {time} AS ts, '{a}' AS sender, '{b}' AS receiver, '{p}' AS protocol, '{m}' AS message, "
+    + ("'Call-ID: ' || call_id" if time == "invite_ts" else "''") + f" AS details FROM mt WHERE {time} IS NOT NULL"
+    for i, (time, a, b, p, m) in enumerate(D.CALL_STEPS)
+) + ")"
+
+
+@register(
+    "call_diagrams",
+    check(
+        _FLOWS + ", " + _DIAGRAM + " SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY ts, place) AS event_no, ts, sender, receiver, protocol, message, details FROM st",
+        *BINDINGS, recursive=True,
+    ),
+)
+def _(spark, sf):
+    """The diagram of every call: signalling, policy, bearer and media by the legs that it claimed."""
+    flows, claimed, legs = _flows(spark, sf)
+    calls = flows.filter(F.col("session_type").isin(*C.CALL_TYPES)).select("flow_id", "call_id")
+    times = calls.join(C.call_times(bound(spark, sf, "sip"), "call_id", "ts"), "call_id").join(FL.leg_times(claimed, legs), "call_id", "left")
+    return D.call_rows(times.withColumn("invite_details", F.concat(F.lit("Call-ID: "), "call_id")), "flow_id")
+
+
+@register(
+    "call_diagram_participants",
+    _flow_check(
+        f"SELECT flow_id, unnest({list(D.CALL_PARTICIPANTS)}) AS participant, unnest(['UE (' || coalesce(caller, '') || ')', "
+        + ", ".join(f"'{n}'" for k, n in D.CALL_PARTICIPANTS.items() if k != "ue") + f"]) AS name FROM flows WHERE session_type IN {CALLS}"
+    ),
+)
+def _(spark, sf):
+    flows = _flows(spark, sf)[0].filter(F.col("session_type").isin(*C.CALL_TYPES))
+    return D.call_participants(flows, "flow_id", "caller")

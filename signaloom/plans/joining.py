@@ -315,6 +315,29 @@ def _(spark, sf):
     return C.attach_by_icid_or_subscriber(diameter, calls, "message_id", "ts")
 
 
+@register(
+    "bearers_attached_to_calls",
+    check(
+        """WITH c AS (SELECT message_id AS call_id, imsi, ts AS start_ts, ts + 86400000000 AS end_ts FROM messages WHERE protocol = 'SIP' AND imsi IS NOT NULL),
+        b AS (SELECT message_id, imsi, ts FROM messages WHERE message_type = 'S1AP_INITIAL_UE_MESSAGE' OR message_type LIKE 'GTP%REQ'),
+        ev AS (SELECT *, row_number() OVER (PARTITION BY imsi ORDER BY pos, side, id) AS n FROM (
+          SELECT imsi, start_ts AS pos, 0 AS side, call_id AS id, end_ts FROM c UNION ALL SELECT imsi, ts, 1, message_id, NULL FROM b)),
+        walk(imsi, n, free, message_id, call_id) AS (
+          SELECT DISTINCT imsi, 0::BIGINT, []::STRUCT(call_id BIGINT, until BIGINT)[], NULL::BIGINT, NULL::BIGINT FROM ev UNION ALL
+          SELECT imsi, n, CASE WHEN side = 0 THEN list_append(free, {'call_id': id, 'until': end_ts}) ELSE live[2:] END, CASE WHEN side = 1 THEN id END, CASE WHEN side = 1 THEN live[1].call_id END
+          FROM (SELECT w.imsi, e.n, e.side, e.id, e.end_ts, w.free, list_filter(w.free, lambda x: x.until >= e.pos) AS live FROM walk w JOIN ev e ON e.imsi = w.imsi AND e.n = w.n + 1))
+        SELECT message_id, call_id FROM walk WHERE call_id IS NOT NULL""",
+        "messages", recursive=True,
+    ),
+)
+def _(spark, sf):
+    """Bearer requests and calls of subscribers; a call takes one bearer."""
+    messages = bound(spark, sf, "messages")
+    calls = messages.filter("protocol = 'SIP'").selectExpr("message_id AS call_id", "imsi", "ts AS start_ts", "ts + interval 1 day AS end_ts")
+    requests = messages.filter("message_type = 'S1AP_INITIAL_UE_MESSAGE' or message_type like 'GTP%REQ'").select("message_id", "imsi", "ts")
+    return C.attach_bearers(requests, calls, "message_id", "ts")
+
+
 _PHONES = """WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '44' ELSE '' END AS country,
     '4155' || lpad(CAST(c_custkey % 400 AS VARCHAR), 6, '0') AS national FROM customer),
   n AS (SELECT DISTINCT country || national AS digits, national FROM c),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calls as C
 from ..operators import reports as R
 from ..operators import sessions as S
 from ..session import cut_lineage, fresh_path
@@ -11,6 +12,7 @@ from ..sources import messages as SM
 from ..sources import sinks as SK
 from ..sources.tables import VersionedTable
 from .bindings import bound, check, table
+from .calls import _SIP
 from .registry import register
 from .sessions import _OWNED
 
@@ -75,6 +77,57 @@ def _(spark, sf):
     )
 
 
+@register(
+    "job_result_documents",
+    check(
+        """WITH r AS (SELECT job_id, line, packets, bytes, row_number() OVER (PARTITION BY job_id ORDER BY line) AS no FROM (
+          SELECT job_id, line, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM job_sessions WHERE line < 4 GROUP BY 1, 2)),
+        s AS (SELECT job_id, count(*) AS total_sessions, CAST(sum(packets) AS BIGINT) AS total_events FROM r GROUP BY 1),
+        p AS (SELECT job_id, (no - 1) // 2 AS part, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes, min(no) AS first_no FROM r GROUP BY 1, 2)
+        SELECT job_id, coalesce(part, 0) AS part, status, coalesce(total_sessions, 0) AS total_sessions, coalesce(total_events, 0) AS total_events,
+          coalesce(sessions, 0) AS sessions, coalesce(bytes, 0) AS bytes, first_no FROM jobs LEFT JOIN s USING (job_id) LEFT JOIN p USING (job_id)""",
+        "jobs", "job_sessions",
+    ),
+)
+def _(spark, sf):
+    """Results of jobs with their sessions and a summary, written as JSON lines and parsed again."""
+    sessions = bound(spark, sf, "job_sessions").filter("line < 4").groupBy("job_id", "line").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    jobs = bound(spark, sf, "jobs").select("job_id", "status", "created_ts")
+    documents = SK.job_documents(jobs, sessions, "job_id", ["line"], ["line", "packets", "bytes"], "packets", sessions_per_document=2)
+    path = fresh_path(spark, "results")
+    SK.write_json(documents, path)
+    schema = "job_id bigint, part bigint, status string, summary struct<total_sessions: bigint, total_events: bigint>, sessions array<struct<event_no: bigint, bytes: bigint>>"
+    return spark.read.schema(schema).json(path).select(
+        "job_id", "part", "status", "summary.total_sessions", "summary.total_events", F.size("sessions").cast("bigint").alias("sessions"),
+        F.aggregate("sessions", F.lit(0).cast("bigint"), lambda a, e: a + e["bytes"]).alias("bytes"), F.get("sessions", F.lit(0))["event_no"].alias("first_no"),
+    )
+
+
+@register(
+    "sip_documents",
+    check(
+        _SIP + """, e AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY ts, frame_number) AS no, ts // 1000 AS ms,
+          CASE WHEN is_request THEN method ELSE status_code || CASE status_code WHEN 100 THEN ' Trying' WHEN 180 THEN ' Ringing' WHEN 183 THEN ' Progress' WHEN 200 THEN ' OK' ELSE '' END END AS name FROM sip),
+        p AS (SELECT call_id, (no - 1) // 5 AS part, string_agg(name, ',' ORDER BY no) AS names, CAST(sum(ms) AS BIGINT) AS ms FROM e GROUP BY 1, 2)
+        SELECT call_id, part, session_type, caller, callee, start_ts // 1000 AS start_time, end_ts // 1000 AS end_time, messages AS message_count, names, ms FROM p JOIN calls USING (call_id)""",
+        "sip",
+    ),
+)
+def _(spark, sf):
+    """SIP sessions with their messages, written as JSON lines and parsed again."""
+    order = ["ts", "frame_number"]
+    sip = bound(spark, sf, "sip")
+    calls = C.sip_sessions(sip, "call_id", order).select("call_id", "session_type", "caller", "callee", "caller_ip", "callee_ip", "start_ts", "end_ts", "messages")
+    path = fresh_path(spark, "sip-documents")
+    SK.write_json(SK.sip_documents(calls, sip, order, ["frame_number"], events_per_document=5), path)
+    schema = """call_id string, part bigint, session_type string, caller string, callee string, start_time bigint, end_time bigint, message_count bigint,
+        events array<struct<timestamp: bigint, message_type: string>>"""
+    return spark.read.schema(schema).json(path).select(
+        "call_id", "part", "session_type", "caller", "callee", "start_time", "end_time", "message_count", F.array_join("events.message_type", ",").alias("names"),
+        F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + e["timestamp"]).alias("ms"),
+    )
+
+
 @register(
     "session_summaries",
     check("SELECT session_id, session_type, state FROM call_sessions", "call_sessions"),

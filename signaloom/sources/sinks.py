@@ -16,6 +16,8 @@ from ..session import cut_lineage
 EVENTS_PER_DOCUMENT = 1_000
 #: Most sessions, or continuations of sessions, in one document of a master session.
 PIECES_PER_DOCUMENT = 100
+# The reasons that answers are shown with.
+SIP_REASONS = {100: "Trying", 180: "Ringing", 183: "Progress", 200: "OK"}
 #: A session of at least this many parts is spread over several tasks when its head is added.
 HUB_PARTS = 10_000
 
@@ -28,8 +30,9 @@ def session_documents(
     event_columns: Sequence[str],
     events_per_document: int = EVENTS_PER_DOCUMENT,
     slab: Slab = None,
+    name: str = "events",
 ) -> DataFrame:
-    """(session, ``part``, ``document``): JSON of the session with its ordered events.
+    """(session, ``part``, ``document``): JSON of the session with its ordered events, under ``name``.
 
     A session of any length is written whole: its events are numbered along the timeline and grouped into parts of
     a fixed size, so no row ever holds more than one part.
@@ -39,15 +42,60 @@ def session_documents(
     part = F.floor((F.col("event_no") - 1) / events_per_document).cast("bigint")
     event = F.struct("event_no", *event_columns)
     parts = numbered.withColumn("part", part).groupBy(session, "part").agg(
-        F.array_sort(F.collect_list(event)).alias("events")
+        F.array_sort(F.collect_list(event)).alias(name)
     )
     head = F.struct(*[c for c in sessions.columns if c != session])
     heads = sessions.select(session, head.alias("_head"))
     joined = salted_join(parts, heads, [session], hub_rows=HUB_PARTS)
-    document = F.to_json(F.struct(F.col(session), "part", "_head.*", "events"))
+    document = F.to_json(F.struct(F.col(session), "part", "_head.*", name))
     return joined.select(session, "part", document.alias("document"))
 
 
+def job_documents(
+    jobs: DataFrame,
+    sessions: DataFrame,
+    job: str,
+    order: Sequence[str],
+    columns: Sequence[str],
+    packets: str,
+    sessions_per_document: int = EVENTS_PER_DOCUMENT,
+    slab: Slab = None,
+) -> DataFrame:
+    """(job, ``part``, ``document``): the result of a job as JSON, with its sessions in order and a summary of them all.
+
+    The columns of ``jobs`` are the head of every part; ``summary`` counts all sessions and their events, here the sum of
+    ``packets``. Many sessions go on in further parts. A job without sessions has one document, with none.
+    """
+    totals = sessions.groupBy(job).agg(F.count(F.lit(1)).alias("total_sessions"), F.coalesce(F.sum(packets), F.lit(0)).alias("total_events"))
+    none = F.lit(0).cast("bigint")
+    summary = F.struct(*[F.coalesce(c, none.cast(totals.schema[c].dataType)).alias(c) for c in ("total_sessions", "total_events")])
+    heads = cut_lineage(jobs.join(totals, job, "left").select(*jobs.columns, summary.alias("summary")), "heads")
+    parts = session_documents(heads, sessions, job, order, columns, sessions_per_document, slab, "sessions")
+    idle = heads.filter("summary.total_sessions = 0")
+    empty = F.to_json(F.struct(job, none.alias("part"), *[c for c in heads.columns if c != job], F.array().cast("array<string>").alias("sessions")))
+    return parts.unionByName(idle.select(job, none.alias("part"), empty.alias("document")))
+
+
+def sip_documents(
+    calls: DataFrame, messages: DataFrame, order: Sequence[str], event_columns: Sequence[str] = (), events_per_document: int = EVENTS_PER_DOCUMENT, slab: Slab = None
+) -> DataFrame:
+    """(``call_id``, ``part``, ``document``): SIP sessions as JSON with their messages, for sessions that have SIP only.
+
+    Times are milliseconds; ``messages`` of ``calls`` becomes ``message_count``, and ``imsi``, if the parties' are known, is the caller's, else the
+    callee's. A message is named by its method, an answer by its code and reason.
+    """
+    millis = lambda c: F.unix_millis(F.col(c))
+    kept = [c for c in calls.columns if c not in ("call_id", "start_ts", "end_ts", "messages")]
+    heads = calls.select("call_id", *kept, millis("start_ts").alias("start_time"), millis("end_ts").alias("end_time"), F.col("messages").alias("message_count"))
+    if {"caller_imsi", "callee_imsi"} <= set(calls.columns):
+        heads = heads.withColumn("imsi", F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("caller_imsi", "callee_imsi")]))
+    code = F.col("status_code").cast("string")
+    reason = F.create_map(*[F.lit(x) for pair in SIP_REASONS.items() for x in pair])[F.col("status_code").cast("int")]
+    named = F.when(F.col("is_request"), F.col("method")).otherwise(F.concat_ws(" ", code, reason))
+    events = messages.select("call_id", *order, *[c for c in event_columns if c not in order], millis(order[0]).alias("timestamp"), named.alias("message_type"))
+    return session_documents(heads, events, "call_id", order, ["timestamp", "message_type", *event_columns], events_per_document, slab)
+
+
 def master_documents(
     heads: DataFrame,
     events: DataFrame,
