@@ -97,7 +97,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    scanned = decontaminate.scan_documents(docs.select("doc_id", "text"), benchmark)
+    scanned, holders = decontaminate.scan_windows(docs.select("doc_id", "text"), benchmark)
+    scanned = decontaminate.with_items(scanned.drop("text"), holders)
     return scanned.select(
         "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
         sha256(F.array_join("found.items", ",")).alias("items_sha256"), decontaminate.contaminated("found").alias("contaminated"),

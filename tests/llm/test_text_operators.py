@@ -461,3 +461,17 @@ def test_token_cache_with_repeated_digests(spark):
     spark.read.parquet(path).write.mode("append").parquet(path + "-again")
     spark.read.parquet(path + "-again").write.mode("append").parquet(path)
     assert sorted(tuple(r) for r in token_counts.count_tokens(docs, vocabulary, path).collect()) == first and len(first) == 3
+
+
+def test_items_that_share_windows(spark):
+    """A preamble of very many items, items without an id, ids and texts that repeat, and a clashing column."""
+    preamble = " ".join(f"p{k}" for k in range(15))
+    bench = [(f"i{k}", f"{preamble} q{k}") for k in range(300)] + [(None, "one two three"), ("s", "one two three"), ("s", "one two three"), ("n", None)]
+    docs = [(1, f"x {preamble} y", 5), (1, f"x {preamble} q7", 6), (2, f"x {preamble} y", 7), (None, "One, two three.", 8), (3, None, 9), (4, "p0 p1", 10)]
+    bench, docs = spark.createDataFrame(bench, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string, items int")
+    found = {r["items"]: r["found"] for r in decontaminate.scan_documents(docs, bench).collect()}
+    every = sorted(f"i{k}" for k in range(300))
+    assert {k: list(f["items"]) for k, f in found.items()} == {5: every, 6: every, 7: every, 8: ["s"], 9: [], 10: []}
+    assert {k: (f["n_words"], f["n_hit"]) for k, f in found.items()} == {5: (17, 15), 6: (17, 16), 7: (17, 15), 8: (3, 3), 9: (0, 0), 10: (2, 0)}
+    assert sorted(r["items"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [9, 10]
+    assert {tuple(r["found"]["items"]) for r in decontaminate.scan_documents(docs, bench.limit(0)).collect()} == {()}
