@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signaloom.operators.hubs import salted_join
 from signaloom.session import cut_lineage
 
 from .common import column, free_name, words_of
@@ -156,11 +157,12 @@ def with_items(scanned: DataFrame, holders: DataFrame, name: str = "found") -> D
     scanned = cut_lineage(scanned.withColumn(key, same), "scanned")
     sets = scanned.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_of")).agg(F.first(numbers).alias("numbers"))
     each = sets.select("_of", F.explode("numbers").alias("number")).join(holders, "number")
-    lists = each.groupBy("_of").agg(F.sort_array(F.collect_set("item")).alias(items))
-    joined = scanned.join(lists, scanned[key] == lists["_of"], "left")
+    lists = each.groupBy(F.col("_of").alias(key)).agg(F.sort_array(F.collect_set("item")).alias(items))
+    # documents without a window have no key and are spread; windows that very many documents hold are salted
+    joined = salted_join(scanned, lists, [key], "left")
     listed = F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items")
     fields = [listed if f == "windows" else F.col(f"{name}.{f}") for f in FIELDS]
-    return joined.select(*[F.struct(*fields).alias(c) if c == name else scanned[c] for c in scanned.columns if c != key])
+    return joined.select(*[F.struct(*fields).alias(c) if c == name else column(joined, c) for c in scanned.columns if c != key])
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", name: str = "found", **options) -> DataFrame:
