@@ -7,7 +7,8 @@ when few enough insertions, deletions or substitutions of characters lead from o
 Where one or a fixed number is allowed, each line is cut into ``edits + 1`` segments: of two linked lines, at least one
 segment of the shorter occurs in the longer near its own place. So lines are indexed by (length, segment number, segment),
 probe the lengths up to ``edits`` below their own at the few places that can matter, and the pairs found are checked on
-their texts by a bit-parallel automaton over the band of 2 * edits + 1 diagonals.
+their texts by a bit-parallel automaton over the band of 2 * edits + 1 diagonals. Where one edit is allowed and a segment is
+that of many lines, the rest of these lines is cut further before any pairs are made.
 
 The places to probe grow with the cube of the edits, so longer lines are joined by marked substrings. Whether the ``GRAM``
 characters at a place are marked is told by the ``REACH`` characters before it alone: the last is no letter, or all are
@@ -35,6 +36,8 @@ CHARACTERS_PER_EDIT = 32
 REACH, GRAM = 10, 11  # together no more than the shortest segment of a line that is allowed two edits
 LETTERS = "eanitors"
 LINE = ("h1", "h2")
+#: So many lines that agree outside a window are compared with each other; the window of more is cut into so many.
+CROWD, CUTS = 6, 16
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -107,19 +110,84 @@ def _links_of_few(lines: DataFrame, edits: int) -> DataFrame:
     """Links of lines by their segments, for a small number of edits."""
     # copies of a line fold within each task, before the rows of a segment meet
     rows = lines.select(*LINE, F.inline(_keys("line", "n", edits))).groupBy("key", *LINE).agg(F.min("kind").alias("kind"))
+    pairs = cut_lineage(_pairs(rows).distinct(), "pairs")
+    wanted = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
+    return _checked(pairs, _texts(lines, wanted), edits)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of rows (``key, h1, h2, kind``) of the same key: index rows, of kind 0, with all."""
     index = rows.filter("kind = 0").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     probe = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "kind")
     once = F.expr("if(kind = 2, a1 <> b1 or a2 <> b2, a1 < b1 or (a1 = b1 and a2 < b2))")
-    pairs = cut_lineage(index.join(probe, "key").filter(once).select("a1", "a2", "b1", "b2").distinct(), "pairs")
-    wanted = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
+    return index.join(probe, "key").filter(once).select("a1", "a2", "b1", "b2")
+
+
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     found = lines.select(*LINE, "line").groupBy(*LINE).agg(F.first("line").alias("line"))
     found = found.join(wanted.hint("merge"), list(LINE), "left_semi")
-    texts = cut_lineage(found.select(*LINE, code_points(F.col("line")).alias("line")), "texts")
-    one, two = texts.toDF("a1", "a2", "one"), texts.toDF("b1", "b2", "two")
+    return cut_lineage(found.withColumn("points", code_points(F.col("line"))), "texts")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    points = texts.select(*LINE, "points")
+    one, two = points.toDF("a1", "a2", "one"), points.toDF("b1", "b2", "two")
     both = pairs.join(one.hint("merge"), ["a1", "a2"]).join(two.hint("merge"), ["b1", "b2"])
     return both.filter(within_edits(F.col("one"), F.col("two"), edits)).select("a1", "a2", "b1", "b2")
 
 
+def _window_key(length: str, start: str, end: str, less: str, line: str, last: str) -> str:
+    """All of a line but a window, which is ``less`` characters longer than in the shorter line of ``length`` characters."""
+    ahead, behind = f"substring({line}, 1, {start})", f"substring({line}, {end} + {less} + 1)"
+    return f"xxhash64({length}, {start}, {end}, {last}, {ahead}, {behind})"
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``members``, how many share the key, of the keys that can give a pair."""
+    counted = rows.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == 0).alias("owners"))
+    counted = cut_lineage(counted.filter("members > 1 and owners > 0").select("key", "members"), "counted")
+    return cut_lineage(rows.join(counted, "key"), "windows")
+
+
+def _links_of_one(lines: DataFrame) -> DataFrame:
+    """Links of lines by one edit.
+
+    Lines that agree in a half differ in the other one only, the window. Where over ``CROWD`` lines do, the window is cut into ``CUTS``, and
+    lines meet when they agree outside one of these; so on, until few do, or the window is one character, or none with a character
+    put in, where all are linked. One edit lies in a window of every cut, so this loses no link.
+    """
+    halves = []
+    for less in (0, 1):
+        for start, end in ((f"((n - {less}) div 2)", f"(n - {less})"), ("0", f"((n - {less}) div 2)")):
+            key = _window_key(f"(n - {less})", f"cast({start} as int)", f"cast({end} as int)", str(less), "line", "false")
+            halves.append(f"named_struct('key', {key}, 'kind', {2 * less}, 'start', cast({start} as int), 'end', cast({end} as int))")
+    rows = lines.select(*LINE, F.expr(f"inline(array({', '.join(halves)}))"))
+    rows = rows.groupBy("key", *LINE).agg(*[F.min(c).alias(c) for c in ("kind", "start", "end")]).withColumn("last", F.lit(False))
+    rows = _windows(cut_lineage(rows, "halves"))
+    texts = _texts(lines, rows.select(*LINE).distinct())
+    pairs = []
+    while True:
+        done = F.col("last") | (F.col("members") <= CROWD)
+        pairs.append(_pairs(rows.filter(done)))
+        crowd = rows.filter(~done)
+        if crowd.isEmpty():
+            break
+        crowd = crowd.select(*LINE, "kind", "start", "end").join(texts.select(*LINE, "line"), list(LINE))
+        step = f"cast(ceil((end - start) / {CUTS}) as int)"
+        wide = f"transform(sequence(start, end - 1, {step}), x -> named_struct('start', x, 'end', cast(least(end, x + {step}) as int), 'last', false))"
+        none = "transform(array(start, end), x -> named_struct('start', x, 'end', x, 'last', true))"
+        one = "array(named_struct('start', start, 'end', end, 'last', true))"
+        narrow = F.expr(f"if(end - start > 1, {wide}, if(kind = 0, concat({one}, {none}), {none}))")
+        cut = crowd.select(*LINE, "kind", "line", F.inline(narrow))
+        key = _window_key("(length(line) - kind div 2)", "start", "end", "cast(kind div 2 as int)", "line", "last")
+        cut = cut.select(F.expr(key).alias("key"), *LINE, "kind", "start", "end", "last")
+        rows = _windows(cut_lineage(cut, "cut"))
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.union(more)
+    return _checked(cut_lineage(found.distinct(), "pairs"), texts, 1)
+
+
 def _allowed(length: str) -> str:
     return f"cast(greatest(1, {length} div {CHARACTERS_PER_EDIT}) as int)"
 
@@ -179,8 +247,8 @@ def line_links(docs: DataFrame, text_column: str = "text", edits: int | None = N
     """
     lines = _lines(docs, docs.columns[0], text_column).filter((F.col("n") >= least) & written(F.col("line")))
     if edits is not None:
-        return _links_of_few(lines, edits)
-    return _links_of_few(lines.filter(F.col("n") < 2 * CHARACTERS_PER_EDIT), 1).union(_links_by_length(lines))
+        return _links_of_one(lines) if edits == 1 else _links_of_few(lines, edits)
+    return _links_of_one(lines.filter(F.col("n") < 2 * CHARACTERS_PER_EDIT)).union(_links_by_length(lines))
 
 
 def mark_lines(
