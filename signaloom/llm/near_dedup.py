@@ -9,14 +9,14 @@ Texts with the same words are folded to one before anything is joined. Texts tha
 a bucket are compared with its leader, the one whose buckets hold the most texts, exactly; links become classes. Where a bucket
 still holds several classes and has at most ``SMALL`` members, everyone is held against everyone. The members of a larger one go on
 to narrower buckets: those that also agree in one of the next ``WIDE`` bands, which were not used on the way. There a leader is
-compared again, small buckets are finished, and what is still open goes on to the next bands. So a crowd of texts that resemble each
-other without being linked is never taken pair by pair; only where the bands run out, with members alike in all of them, are all
-pairs of a bucket left to do.
+compared again, small buckets are finished, and what is still open goes on to the next bands. That finds most links of a large bucket,
+not all. So the large buckets that still hold several classes at the end are finished as well: there everyone of another class is held
+against everyone by signature, in tiles of bounded size. This is quadratic in such a bucket, in time alone, and leaves out no pair.
 
 Before texts are read, a pair is dropped when its signatures differ in more coordinates than those of a 30,000th of the pairs at
 the threshold would; for the narrower buckets this is judged by a second signature of ``FINE`` coordinates. With 30 bands of 6 a
-pair at similarity 0.8 shares a bucket with probability 0.9996, and more above; in a crowd it must also share narrower ones, which the
-tests measure. Nothing is linked without the exact check.
+pair at similarity 0.8 shares a bucket with probability 0.9996, and more above, in a crowd or not. Nothing is linked without the
+exact check.
 
 Rows that repeat id and text are one document; extra columns play no part. An empty table has no classes.
 """
@@ -46,6 +46,8 @@ BANDS, ROWS = 30, 6
 WIDE, SMALL, ROUNDS = 6, 1024, 5
 #: Coordinates of the signature that judges the pairs of narrower buckets.
 FINE = 720
+#: Members of a large bucket that meet as many others in one group of rows.
+TILE = 4096
 #: Elements worked on at once.
 SLICE = 60_000
 SIGNED = "content binary, bands array<long>, planes array<long>"
@@ -232,6 +234,22 @@ def _pairs_to_compare(members: DataFrame, buckets: DataFrame, alike: Column, fir
     return led.select(*ends).union(met.select(*ends)).distinct()
 
 
+def _pairs_of_the_rest(members: DataFrame, buckets: DataFrame, alike: Column) -> DataFrame:
+    """Pairs (``a, b``) of different labels, not told apart by their signatures, of whole buckets of any size, each in one band.
+
+    A bucket is dealt into tiles of about ``TILE`` members; two tiles meet in one group of rows, so no task holds more than that.
+    """
+    placed = members.join(buckets, "key").withColumn("tiles", F.expr(f"cast(ceil(n / {TILE}) as int)"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    carried = ("rep", "label", "planes", "fine", "bands")
+    one = placed.select("key", F.col("own").alias("i"), F.expr("explode(sequence(own, tiles - 1))").alias("j"), *carried)
+    two = placed.select("key", F.expr("explode(sequence(0, own))").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"a_{c}") for c in carried])
+    once = (F.col("i") < F.col("j")) | (F.col("a_rep") < F.col("rep"))
+    one_band = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("key")
+    met = one.join(two, ["key", "i", "j"]).filter(once & (F.col("label") != F.col("a_label")) & alike & one_band)
+    return met.select(F.least("rep", "a_rep").alias("a"), F.greatest("rep", "a_rep").alias("b")).distinct()
+
+
 def _classes(
     docs: DataFrame, id_column: str, text_column: str, threshold: float, size: int, bands: int, rows: int, weighted: bool,
 ) -> tuple[DataFrame, DataFrame]:
@@ -266,6 +284,7 @@ def _classes(
     fine = texts.join(crowd.select("rep").distinct(), "rep").select("rep", fine_planes(F.col("text"), size, weighted).alias("fine"))
     crowd = cut_lineage(crowd.join(fine, "rep").join(reps.select("rep", "bands", "planes"), "rep"), "crowd")
     alike = _resemble(bands * rows, threshold) & _resemble(FINE, threshold, "fine")
+    whole = crowd
     for done in range(ROUNDS):
         buckets = cut_lineage(_open_buckets(crowd, 1), "open")
         if buckets.isEmpty():
@@ -277,6 +296,12 @@ def _classes(
         large = cut_lineage(_labelled(large, labels), "large")
         wide = large.join(_open_buckets(large, SMALL).select("key"), "key")
         crowd = cut_lineage(_narrower(wide, done, bands), "crowd")
+    whole = _labelled(whole.drop("label"), labels)
+    rest = cut_lineage(_open_buckets(whole, SMALL), "rest")
+    if not rest.isEmpty():
+        pairs = _pairs_of_the_rest(whole, rest, alike).join(compared, ["a", "b"], "left_anti")
+        compared = cut_lineage(compared.union(_verified(cut_lineage(pairs, "pairs"), texts, size, weighted)), "compared")
+        labels = _labels(compared.filter(linked))
     named = cut_lineage(_labelled(reps.select("content", "rep"), labels).select("content", "label"), "classes")
     return signed.select("id", "sha", "content"), named
 

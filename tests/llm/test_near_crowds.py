@@ -75,6 +75,18 @@ def test_recall_in_a_crowd(spark, monkeypatch, size, small):
     assert found >= 0.97
 
 
+def test_large_buckets_are_finished(spark, monkeypatch):
+    """However few links the narrower buckets find, none of a large bucket is lost; tiles of five members meet each other."""
+    for name, value in (("SMALL", 4), ("WIDE", 1), ("ROUNDS", 2), ("TILE", 5)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = crowd(random.Random(11), 300, 5, 12)
+    links = exact_links(rows)
+    assert len(links) > 15
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.label_near_duplicates(frame).collect()}
+    assert got == classes(rows, links)
+
+
 @pytest.mark.parametrize("weighted", [True, False])
 def test_weights_count(spark, weighted):
     """A text and ten times the text share all shingles, but not their weights."""
