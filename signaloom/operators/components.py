@@ -39,36 +39,59 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(``node``, ``component``) for every node of the undirected ``edges`` (a, b); the component is a BIGINT.
 
     Alternates two star operations (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), which
-    needs a logarithmic number of rounds on long chains too. Nodes are numbered first, so that every round moves
-    and aggregates 8-byte integers. Every neighbour minimum is pre-aggregated before the shuffle and joined back
+    needs a logarithmic number of rounds on long chains too. Nodes are numbered first, by a hash without a join or,
+    should two of them share one, by distinct numbers, so that every round moves and aggregates 8-byte integers. Every neighbour minimum is pre-aggregated before the shuffle and joined back
     with hub nodes salted. Raises rather than return labels that are not final.
     """
     named = cut_lineage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     nodes = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Written once: the numbers stay the same for every later reader.
-    numbers = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    salted = named.count() >= HUB_DEGREE
-    ends = named
-    for end, number in (("a", "x"), ("b", "y")):
-        per_node = numbers.select(F.col("node").alias(end), F.col("id").alias(number))
-        ends = salted_join(ends, per_node, [end], hub_rows=HUB_DEGREE) if salted else ends.join(per_node, end)
-    total = numbers.count()
+    numbers = cut_lineage(nodes.withColumn("id", _hashed("node")), "nodes")
+    total, told_apart = numbers.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    ends = named.select(_hashed("a").alias("x"), _hashed("b").alias("y"))
+    if told_apart < total:
+        numbers, ends = _numbered(named, nodes)
     current = cut_lineage(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        edge_count, centres = current.agg(F.count(F.lit(1)), F.count_distinct("v")).first()
+        edge_count, centres, degree = _extent(current)
         # Every component has at least one centre, and at least total - edges components exist: when both numbers
         # meet, each component is a star around its smallest node.
         if edge_count + centres == total:
             stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
             roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return numbers.join(stars.unionByName(roots), "id").select("node", "component")
-        salted = edge_count >= HUB_DEGREE
+        # no node has more edges after the first star than before, so this holds for both
+        salted = degree >= HUB_DEGREE
         both_ways = current.select(_ends(("u", "v"), ("v", "u")))
         large = _star(both_ways, smaller_only=False, salted=salted)
         current = cut_lineage(_star(large, smaller_only=True, salted=salted).distinct(), "edges")
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def _extent(edges: DataFrame) -> tuple[int, int, int]:
+    """How many edges and centres there are, and how many edges the node with most of them has."""
+    ends = edges.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.lit(n).alias("_v")) for n, c in enumerate("uv")])))
+    nodes = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"))
+    found = nodes.agg(F.sum("_v"), F.count_if(F.col("_v") > 0), F.max("_n")).first()
+    return tuple(n or 0 for n in found)
+
+
+def _hashed(node: str) -> Column:
+    """A number of 63 bits, 0 or more; two nodes may share it."""
+    return F.xxhash64(node).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _numbered(named: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``node, id``) with a number of its own for each node, and the edges (``x, y``) by these numbers."""
+    numbers = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    salted = named.count() >= HUB_DEGREE
+    ends = named
+    for end, number in (("a", "x"), ("b", "y")):
+        per_node = numbers.select(F.col("node").alias(end), F.col("id").alias(number))
+        ends = salted_join(ends, per_node, [end], hub_rows=HUB_DEGREE) if salted else ends.join(per_node, end)
+    return numbers, ends.select("x", "y")
+
+
 def _ends(*pairs: tuple[str, str]) -> Column:
     """Rows (u, v) out of pairs of columns, in one pass over the input."""
     return F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs]))
@@ -77,8 +100,9 @@ def _ends(*pairs: tuple[str, str]) -> Column:
 def _star(edges: DataFrame, smaller_only: bool, salted: bool) -> DataFrame:
     """Connect the neighbours of each node (``smaller_only``: and the node itself) to its smallest neighbour.
 
-    ``salted`` spreads the edges of hub nodes in the join back; a graph with fewer edges than a hub has none.
+    ``salted`` spreads the edges of hub nodes in the join back; without hubs the edges are shuffled once for both steps.
     """
+    edges = edges if salted else edges.repartition("u")
     lowest = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
     if salted:
         hubs = lowest.filter(F.col("_n") >= HUB_DEGREE).select("u")

@@ -229,3 +229,26 @@ def test_address_owners(spark, hub_rows):
     rows = spark.createDataFrame([(1, "10.0.0.1", None), (2, None, "2001:db8:1:2:5:5:5:5"), (3, "10.0.0.1", "2001:db8:1:2:0:0:0:1"), (4, None, None), (5, "10.9.9.9", None)], schema)
     found = M.address_owners(rows, owners, ("v4", "v6"), "who", hub_rows=hub_rows).collect()
     assert {r.id: (r.who, r.matches) for r in found} == {1: ("b", 1), 2: ("a", 2), 3: ("a", 3), 4: (None, 0), 5: (None, 0)}
+
+
+def test_many_edges_without_a_hub_are_not_salted(spark, monkeypatch):
+    """Salting is for nodes with very many edges, not for graphs that have many in all; nodes that share a hash stay apart."""
+    def refuse(*args, **kwargs):
+        raise AssertionError("salted")
+
+    monkeypatch.setattr(components, "HUB_DEGREE", 10)
+    monkeypatch.setattr(components, "salted_join", refuse)
+    pairs = [(f"n{k}", f"n{k + 1}") for k in range(40) if k % 10 != 9]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+
+    def groups():
+        found = {}
+        for r in components.component_labels(edges).collect():
+            found.setdefault(r["component"], set()).add(r["node"])
+        return sorted(map(sorted, found.values()))
+
+    want = sorted(sorted(f"n{k}" for k in range(10 * g, 10 * g + 10)) for g in range(4))
+    assert groups() == want
+    monkeypatch.setattr(components, "HUB_DEGREE", 1_000_000)
+    monkeypatch.setattr(components, "_hashed", lambda node: F.pmod(F.xxhash64(node), F.lit(7)))
+    assert groups() == want
