@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def col(value: ColumnLike) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once per row however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def blank_to_null(value: ColumnLike) -> Column:
     value = col(value)
     return F.when(value != "", value)

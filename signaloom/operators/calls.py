@@ -26,8 +26,10 @@ EMERGENCY_URN = "urn:service:sos"
 CALL_TYPES = ("VOICE_CALL", "VIDEO_CALL", "EMERGENCY_CALL")
 
 
-def sip_sessions(messages: DataFrame, call_id: str, order: Sequence[str]) -> DataFrame:
-    """One row per Call-ID: span, type, parties, media and direction, all from map-side combined aggregates."""
+def sip_sessions(messages: DataFrame, call_id: str, order: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """One row per Call-ID: span, type, parties, media and direction, all from map-side combined aggregates.
+
+    ``also`` names columns whose first known value is wanted, in the same pass."""
     ts = order[0]
     request, invite = F.col("is_request"), F.col("is_request") & (F.col("method") == "INVITE")
     answer = ~F.col("is_request") & F.col("status_code").between(200, 299) & (F.col("cseq_method") == "INVITE")
@@ -54,6 +56,7 @@ def sip_sessions(messages: DataFrame, call_id: str, order: Sequence[str]) -> Dat
         first("contact_ip", answer).alias("callee_ip"),
         first("via_count", invite).alias("_via"),
         F.coalesce(F.bool_or(request & (F.col("method") == "BYE")), F.lit(False)).alias("completed"),
+        *[first_known(c, order).alias(c) for c in also],
     )
     method = F.col("first_method")
     kind = (

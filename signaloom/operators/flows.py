@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import once
 from ..functions.identifiers import party_address
 from ..functions.phones import phone_number
 from ..session import cut_lineage
@@ -41,11 +42,23 @@ LEG_COLUMNS = (
 
 def number_keys(number: Column) -> list[Column]:
     """The keys two texts of one number share: its national form, and its last digits where it has enough."""
-    parsed = phone_number(number)
-    digits = parsed["digits"]
-    ending = F.when(F.length(digits) >= SUFFIX_DIGITS, F.substring(digits, -SUFFIX_DIGITS, SUFFIX_DIGITS))
-    national = F.when(digits != "", parsed["national"])
-    return [F.concat(F.lit("number:"), national), F.concat(F.lit("ending:"), ending)]
+    keys = _number_key_pair(number)
+    return [keys["number"], keys["ending"]]
+
+
+def _number_key_pair(number: Column) -> Column:
+    def keys(parsed: Column) -> Column:
+        digits = parsed["digits"]
+        ending = F.when(F.length(digits) >= SUFFIX_DIGITS, F.substring(digits, -SUFFIX_DIGITS, SUFFIX_DIGITS))
+        national = F.when(digits != "", parsed["national"])
+        return F.struct(F.concat(F.lit("number:"), national).alias("number"), F.concat(F.lit("ending:"), ending).alias("ending"))
+
+    return once(phone_number(number), keys)
+
+
+def number_key_list(number: Column) -> Column:
+    """The known ones of :func:`number_keys`, with the number read once."""
+    return once(_number_key_pair(number), lambda k: key_list(k["number"], k["ending"]))
 
 
 def address_key(address: Column) -> Column:
@@ -104,11 +117,13 @@ def calls_with_subscribers(calls: DataFrame, registry: DataFrame) -> DataFrame:
     ``registry`` has ``number`` and ``imsi``; the smallest of the subscribers that share a number's national form counts. The
     calls are exploded to one row per party, so this is one join whatever the number of parties.
     """
-    named = registry.select(F.explode(key_list(*number_keys(F.col("number")))).alias("_key"), "imsi").filter("imsi <> ''")
+    # A registry states the same number many times over: each is read once, with the one subscriber that can count.
+    numbers = registry.filter("imsi <> ''").groupBy("number").agg(F.min("imsi").alias("imsi"))
+    named = numbers.select(F.explode(number_key_list(F.col("number"))).alias("_key"), "imsi")
     of_key = named.groupBy("_key").agg(F.min("imsi").alias("_imsi"))
     parties = F.array(*[F.struct(F.lit(p).alias("party"), F.col(p).alias("number")) for p in PARTIES])
     asked = calls.select("call_id", F.inline(parties)).filter("number <> ''")
-    asked = asked.select("call_id", "party", F.posexplode(key_list(*number_keys(F.col("number")))).alias("_place", "_key"))
+    asked = asked.select("call_id", "party", F.posexplode(number_key_list(F.col("number"))).alias("_place", "_key"))
     found = salted_join(asked, of_key, ["_key"]).groupBy("call_id").agg(
         *[F.min_by("_imsi", F.when(F.col("party") == p, F.col("_place"))).alias(f"{p.split('_')[0]}_imsi") for p in PARTIES]
     )
@@ -136,9 +151,9 @@ def claim(calls: DataFrame, keys: Column, legs: DataFrame, slab: Slab = None) ->
 def subscribers_told_by_legs(calls: DataFrame, claimed: DataFrame, legs: DataFrame) -> DataFrame:
     """Calls whose unknown subscribers are filled in from claimed GTP legs of the same number, the earliest first."""
     told = legs.filter("kind = 'GTP' and imsi <> '' and number <> ''").select(
-        "leg_id", F.col("start_ts").alias("_at"), F.col("imsi").alias("_imsi"), key_list(*number_keys(F.col("number"))).alias("_keys")
+        "leg_id", F.col("start_ts").alias("_at"), F.col("imsi").alias("_imsi"), number_key_list(F.col("number")).alias("_keys")
     )
-    numbers = calls.select("call_id", *[key_list(*number_keys(F.col(p))).alias(f"_{p}") for p in PARTIES])
+    numbers = calls.select("call_id", *[number_key_list(F.col(p)).alias(f"_{p}") for p in PARTIES])
     met = claimed.select("leg_id", "call_id").join(told, "leg_id").join(numbers, "call_id")
     first = met.groupBy("call_id").agg(*[
         F.min_by("_imsi", F.when(F.arrays_overlap(F.col(f"_{p}"), F.col("_keys")), F.struct("_at", "leg_id"))).alias(f"_told_{p}") for p in PARTIES
@@ -161,9 +176,9 @@ def assemble(
     slab = fit_slab(legs.select(F.explode("keys").alias("key"), "start_ts"), ["key"], "start_ts") if slab is None else slab
     is_call = F.col("session_type").isin(*CALL_TYPES)
     calls = cut_lineage(calls_with_subscribers(known.filter(is_call), registry), "calls")
-    numbers = [k for p in ("caller", "callee") for k in number_keys(F.col(p))]
-    addresses = [address_key(F.col(c)) for c in ("caller_ip", "callee_ip")]
-    first = claim(calls, key_list(icid_key(F.col("icid")), *numbers, *addresses), legs.filter("kind <> 'NAS'"), slab)
+    others = key_list(icid_key(F.col("icid")), *[address_key(F.col(c)) for c in ("caller_ip", "callee_ip")])
+    parties = F.array_union(F.concat(number_key_list(F.col("caller")), number_key_list(F.col("callee"))), others)
+    first = claim(calls, parties, legs.filter("kind <> 'NAS'"), slab)
     first = cut_lineage(first, "claimed")
     calls = cut_lineage(subscribers_told_by_legs(calls, first, legs), "told_calls")
     subscribers = key_list(*[imsi_key(F.col(c)) for c in ("caller_imsi", "callee_imsi")])
@@ -226,7 +241,7 @@ def flows_by_number(flows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Numbers are compared by all their digits, however they are written; each flow comes once per number.
     """
-    digits = lambda c: F.when(phone_number(c)["digits"] != "", phone_number(c)["digits"])
+    digits = lambda c: once(phone_number(c)["digits"], lambda d: F.when(d != "", d))
     asked = wanted.select("number", digits(F.col("number")).alias("_digits")).distinct()
     ends = flows.withColumn("_digits", F.explode(key_list(*[digits(F.col(p)) for p in PARTIES])))
     return ends.join(asked, "_digits").drop("_digits")
@@ -274,9 +289,3 @@ def flow_documents(flows: DataFrame, legs: DataFrame, claimed: DataFrame, part_l
     first = F.struct(*head, "part", "legs")
     rest = F.struct("flow_id", "part", "legs")
     return whole.select("flow_id", "part", F.when(F.col("part") == 0, F.to_json(first)).otherwise(F.to_json(rest)).alias("document"))
-
-
-def first_values(messages: DataFrame, key: str, order: Sequence[str], *names: str) -> DataFrame:
-    """One row per ``key``: the first known value of each named column."""
-    at = F.struct(*order)
-    return messages.groupBy(key).agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names])

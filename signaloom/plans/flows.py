@@ -117,14 +117,14 @@ def _flow_check(body: str) -> str:
 
 def _sessions(spark, sf) -> DataFrame:
     sip = bound(spark, sf, "sip").withColumn("forward_target", F.when(F.col("forward_uri").isNotNull(), uri_user("forward_uri")))
-    return C.sip_sessions(sip, "call_id", ORDER).join(FL.first_values(sip, "call_id", ORDER, "forward_target"), "call_id")
+    return C.sip_sessions(sip, "call_id", ORDER, also=["forward_target"])
 
 
 def _legs(spark, sf) -> DataFrame:
     """Diameter sessions, GTP sessions with dedicated bearers, NAS session management for IMS, and media streams."""
     diameter = S.diameter_rollup(bound(spark, sf, "diameter"), ORDER, ["imsi", "framed_ip", "msisdn"])
     by_address = F.col("interface").isin("Gx", "Rx")
-    keys = F.when(by_address, FL.key_list(FL.address_key(F.col("framed_ip")))).otherwise(FL.key_list(*FL.number_keys(F.col("msisdn"))))
+    keys = F.when(by_address, FL.key_list(FL.address_key(F.col("framed_ip")))).otherwise(FL.number_key_list(F.col("msisdn")))
     legs = FL.legs_of(diameter, F.concat(F.lit("d:"), "session_key"), F.col("interface"), keys, F.col("imsi"), F.col("msisdn"))
 
     gtp = T.numbered_sessions(bound(spark, sf, "gtp").drop("sequence", "qci", "ebi", "ip", "bytes"), ORDER)
@@ -132,7 +132,7 @@ def _legs(spark, sf) -> DataFrame:
     dedicated = gtp.groupBy("teid", "session_no").agg(F.bool_or(~F.col("is_default")).alias("dedicated")).filter("dedicated")
     tunnels = T.session_totals(gtp, ORDER).join(dedicated, ["teid", "session_no"])
     tunnel_id = F.concat_ws(":", F.lit("g"), "teid", "session_no")
-    legs = legs.unionByName(FL.legs_of(tunnels, tunnel_id, F.lit("GTP"), FL.key_list(*FL.number_keys(F.col("msisdn"))), F.col("imsi"), F.col("msisdn")))
+    legs = legs.unionByName(FL.legs_of(tunnels, tunnel_id, F.lit("GTP"), FL.number_key_list(F.col("msisdn")), F.col("imsi"), F.col("msisdn")))
 
     nas = bound(spark, sf, "nas")
     nodes = key_nodes({"pair": F.col("context_pair"), "imsi": F.col("imsi"), "tmsi": F.col("tmsi")})

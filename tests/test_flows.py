@@ -134,3 +134,15 @@ def test_no_sessions_and_no_legs(spark, built):
     assert alone.count() == 6 and none.count() == 0
     nothing, none, left = FL.assemble(sessions.limit(0), legs, registry)
     assert nothing.count() == 0 and none.count() == 0 and left.count() == len(LEGS)
+
+
+def test_numbers_are_read_in_few_steps(spark):
+    """Each expression that reads a number is in the plan once, not once for every place that uses its result."""
+    frame = spark.createDataFrame([("tel:+1-415-555-1234",), ("04155551234",), ("none",), ("",), (None,)], "t string")
+    plan = frame.select(FL.number_key_list(F.col("t")).alias("k"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 8
+    assert [r["k"] for r in plan.collect()] == [
+        ["number:4155551234", "ending:155551234"], ["number:4155551234", "ending:155551234"], [], [], [],
+    ]
+    listed = frame.select(FL.key_list(*FL.number_keys(F.col("t"))).alias("k"))
+    assert listed.collect() == plan.collect()
