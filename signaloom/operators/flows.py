@@ -162,6 +162,12 @@ def subscribers_told_by_legs(calls: DataFrame, claimed: DataFrame, legs: DataFra
     return calls.join(first, "call_id", "left").withColumns(filled).drop(*[f"_told_{p}" for p in PARTIES])
 
 
+def party_keys() -> Column:
+    """The keys of a call's parties that legs other than NAS may name."""
+    others = key_list(icid_key(F.col("icid")), *[address_key(F.col(c)) for c in ("caller_ip", "callee_ip")])
+    return F.array_union(F.concat(number_key_list(F.col("caller")), number_key_list(F.col("callee"))), others)
+
+
 def assemble(
     sessions: DataFrame, legs: DataFrame, registry: DataFrame, slab: Slab = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -170,15 +176,12 @@ def assemble(
     ``sessions`` are SIP sessions with ``forward_target`` (null: none) and, where known, ``icid``; ``legs`` as :func:`legs_of`.
     """
     legs = cut_lineage(legs.select(*LEG_COLUMNS), "legs")
-    known = sessions if "icid" in sessions.columns else sessions.withColumn("icid", F.lit(None).cast("string"))
-    known = cut_lineage(known, "sip_sessions")
+    known = cut_lineage(_with_icid(sessions), "sip_sessions")
     # one width for both claims: what the heaviest key of any leg needs
     slab = fit_slab(legs.select(F.explode("keys").alias("key"), "start_ts"), ["key"], "start_ts") if slab is None else slab
     is_call = F.col("session_type").isin(*CALL_TYPES)
     calls = cut_lineage(calls_with_subscribers(known.filter(is_call), registry), "calls")
-    others = key_list(icid_key(F.col("icid")), *[address_key(F.col(c)) for c in ("caller_ip", "callee_ip")])
-    parties = F.array_union(F.concat(number_key_list(F.col("caller")), number_key_list(F.col("callee"))), others)
-    first = claim(calls, parties, legs.filter("kind <> 'NAS'"), slab)
+    first = claim(calls, party_keys(), legs.filter("kind <> 'NAS'"), slab)
     first = cut_lineage(first, "claimed")
     calls = cut_lineage(subscribers_told_by_legs(calls, first, legs), "told_calls")
     subscribers = key_list(*[imsi_key(F.col(c)) for c in ("caller_imsi", "callee_imsi")])
@@ -193,6 +196,22 @@ def assemble(
     return cut_lineage(with_leg_totals(flows, claimed, legs), "flows"), claimed, legs
 
 
+def _with_icid(sessions: DataFrame) -> DataFrame:
+    return sessions if "icid" in sessions.columns else sessions.withColumn("icid", F.lit(None).cast("string"))
+
+
+def ratings(sessions: DataFrame, streams: DataFrame, slab: Slab = None) -> DataFrame:
+    """(``call_id, mos``): every SIP session with the worst rating of the media streams it claims, as :func:`assemble` has it.
+
+    Each leg is claimed for itself, and a stream by no subscriber that another leg tells: so streams alone give the same ratings.
+    """
+    streams = cut_lineage(streams.filter("kind = 'RTP'").select(*LEG_COLUMNS), "streams")
+    known = cut_lineage(_with_icid(sessions), "sip_sessions")
+    slab = fit_slab(streams.select(F.explode("keys").alias("key"), "start_ts"), ["key"], "start_ts") if slab is None else slab
+    claimed = claim(known.filter(F.col("session_type").isin(*CALL_TYPES)), party_keys(), streams, slab)
+    return with_leg_totals(known, claimed, streams).select("call_id", "mos")
+
+
 def with_leg_totals(flows: DataFrame, claimed: DataFrame, legs: DataFrame) -> DataFrame:
     """Flows with legs per kind, messages per protocol, and the worst loss and rating and mean jitter of their streams."""
     media = F.col("kind") == "RTP"

@@ -35,8 +35,8 @@ def gtp_sessions(messages: DataFrame, order: Sequence[str], slab: Slab = None) -
     return session_totals(numbered_sessions(narrow, order, slab), order)
 
 
-def session_totals(numbered: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row per (``teid, session_no``): span, messages, identifiers, errors and state."""
+def session_totals(numbered: DataFrame, order: Sequence[str], **also: Column) -> DataFrame:
+    """One row per (``teid, session_no``): span, messages, identifiers, errors and state, and the aggregates ``also`` names."""
     deleted = (F.col("message_type") == DELETE_RESPONSE) & F.col("cause").isin(list(SUCCESS_CAUSES))
     created = (F.col("message_type") == CREATE_RESPONSE) & F.col("cause").isin(list(SUCCESS_CAUSES))
     failed = F.col("cause").isNotNull() & ~F.col("cause").isin(list(SUCCESS_CAUSES))
@@ -50,6 +50,7 @@ def session_totals(numbered: DataFrame, order: Sequence[str]) -> DataFrame:
         F.coalesce(F.bool_or(created), F.lit(False)).alias("_created"),
         F.coalesce(F.bool_or(deleted), F.lit(False)).alias("_deleted"),
         F.count_if(F.coalesce(failed, F.lit(False))).alias("errors"),
+        *[value.alias(name) for name, value in also.items()],
     )
     state = F.when(F.col("_deleted"), "DELETED").when(F.col("_created"), "ACTIVE").otherwise("CREATING")
     return rolled.withColumn("pdn_class", pdn_class("apn")).withColumn("state", state).drop("_created", "_deleted")

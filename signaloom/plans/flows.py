@@ -128,15 +128,14 @@ def _legs(spark, sf) -> DataFrame:
     legs = FL.legs_of(diameter, F.concat(F.lit("d:"), "session_key"), F.col("interface"), keys, F.col("imsi"), F.col("msisdn"))
 
     gtp = T.numbered_sessions(bound(spark, sf, "gtp").drop("sequence", "qci", "ebi", "ip", "bytes"), ORDER)
-    gtp = cut_lineage(gtp, "gtp")
-    dedicated = gtp.groupBy("teid", "session_no").agg(F.bool_or(~F.col("is_default")).alias("dedicated")).filter("dedicated")
-    tunnels = T.session_totals(gtp, ORDER).join(dedicated, ["teid", "session_no"])
+    tunnels = T.session_totals(gtp, ORDER, dedicated=F.bool_or(~F.col("is_default"))).filter("dedicated")
     tunnel_id = F.concat_ws(":", F.lit("g"), "teid", "session_no")
     legs = legs.unionByName(FL.legs_of(tunnels, tunnel_id, F.lit("GTP"), FL.number_key_list(F.col("msisdn")), F.col("imsi"), F.col("msisdn")))
 
     nas = bound(spark, sf, "nas")
     nodes = key_nodes({"pair": F.col("context_pair"), "imsi": F.col("imsi"), "tmsi": F.col("tmsi")})
-    merged = merge_by_keys(nas.withColumn("nodes", nodes), "nodes", "message_id")
+    # Written once: the merge reads its rows three times.
+    merged = merge_by_keys(cut_lineage(nas.withColumn("nodes", nodes), "nas"), "nodes", "message_id")
     esm = F.when(F.col("kind") == "ESM", F.col("ts"))
     managed = merged.groupBy("session_id").agg(
         F.min(esm).alias("start_ts"), F.max(esm).alias("end_ts"), F.count(esm).alias("messages"),
@@ -146,13 +145,17 @@ def _legs(spark, sf) -> DataFrame:
         FL.legs_of(managed, F.concat_ws(":", F.lit("n"), "session_id"), F.lit("NAS"), FL.key_list(FL.imsi_key(F.col("imsi"))), F.col("imsi"))
     )
 
+    return legs.unionByName(_media_legs(spark, sf))
+
+
+def _media_legs(spark, sf) -> DataFrame:
     packets = bound(spark, sf, "rtp")
     spans = packets.groupBy("ssrc").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), *[F.min_by(c, F.struct(*ORDER)).alias(c) for c in ("src_ip", "dst_ip")]
     )
     streams = M.stream_quality(packets, ["ssrc"], ORDER).join(spans, "ssrc")
     ends = FL.key_list(FL.address_key(F.col("src_ip")), FL.address_key(F.col("dst_ip")))
-    return legs.unionByName(FL.legs_of(streams, F.concat_ws(":", F.lit("r"), "ssrc"), F.lit("RTP"), ends, messages="packets_received", media=True))
+    return FL.legs_of(streams, F.concat_ws(":", F.lit("r"), "ssrc"), F.lit("RTP"), ends, messages="packets_received", media=True)
 
 
 def _registry(spark, sf) -> DataFrame:
@@ -206,7 +209,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kpis = C.call_kpis(bound(spark, sf, "sip"), "call_id", "ts").select("call_id", "setup_time_ms")
-    rated = _flows(spark, sf)[0].select("call_id", "mos")
+    rated = FL.ratings(_sessions(spark, sf), _media_legs(spark, sf)).withColumn("mos", F.round("mos", 6))
     calls = _states(spark, sf).join(kpis, "call_id").join(rated, "call_id")
     return C.call_statistics(calls).withColumns({"avg_setup_time_ms": F.round("avg_setup_time_ms", 6), "avg_mos": F.round("avg_mos", 5)})
 

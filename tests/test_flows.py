@@ -146,3 +146,9 @@ def test_numbers_are_read_in_few_steps(spark):
     ]
     listed = frame.select(FL.key_list(*FL.number_keys(F.col("t"))).alias("k"))
     assert listed.collect() == plan.collect()
+
+
+def test_ratings_are_those_of_whole_flows(spark, built):
+    flows, _claimed, legs = built
+    rated = FL.ratings(spark.createDataFrame(SESSIONS, SESSION), legs)
+    assert {r["call_id"]: r["mos"] for r in rated.collect()} == {r["call_id"]: r["mos"] for r in flows.collect()}
