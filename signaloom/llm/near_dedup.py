@@ -12,6 +12,8 @@ to narrower buckets: those that also agree in one of the next ``WIDE`` bands, wh
 compared again, small buckets are finished, and what is still open goes on to the next bands. That finds most links of a large bucket,
 not all. So the large buckets that still hold several classes at the end are finished as well: there everyone of another class is held
 against everyone by signature, in tiles of bounded size. This is quadratic in such a bucket, in time alone, and leaves out no pair.
+Signatures are held against each other as matrices, a group of rows at a time, and classes are worked out anew only among those that
+new links join.
 
 Before texts are read, a pair is dropped when its signatures differ in more coordinates than those of a 30,000th of the pairs at
 the threshold would; for the narrower buckets this is judged by a second signature of ``FINE`` coordinates. With 30 bands of 6 a
@@ -29,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +51,9 @@ WIDE, SMALL, ROUNDS = 6, 1024, 5
 FINE = 720
 #: Members of a large bucket that meet as many others in one group of rows.
 TILE = 4096
-#: Elements worked on at once.
+#: Elements worked on at once; pairs of members, by the first and by the second signature.
 SLICE = 60_000
+PAIRS, FINE_PAIRS = 1 << 20, 1 << 14
 SIGNED = "content binary, bands array<long>, planes array<long>"
 
 
@@ -137,14 +141,23 @@ def fine_planes(text: Column, size: int, weighted: bool) -> Column:
     return planes.asNondeterministic()(text)
 
 
+def _shingles(text: str | None, size: int) -> Counter:
+    words = shingle_words(text)
+    return Counter(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1)))
+
+
+def _jaccard(one: Counter, two: Counter, weighted: bool) -> float:
+    both = one.keys() & two.keys()
+    if not weighted:
+        return len(both) / (len(one) + len(two) - len(both))
+    n, m = one.total(), two.total()
+    common = len(both) if n == len(one) or m == len(two) else sum(min(one[s], two[s]) for s in both)
+    return common / (n + m - common)
+
+
 def similarity(a: str | None, b: str | None, size: int = WORDS, weighted: bool = True) -> float:
     """Jaccard similarity of the texts' shingles."""
-    one, two = (
-        Counter(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) for w in map(shingle_words, (a, b))
-    )
-    if not weighted:
-        return len(one.keys() & two.keys()) / len(one.keys() | two.keys())
-    return (one & two).total() / (one | two).total()
+    return _jaccard(_shingles(a, size), _shingles(b, size), weighted)
 
 
 def _sign_rows(docs: DataFrame, id_column: str, text_column: str, size: int, bands: int, rows: int, weighted: bool) -> DataFrame:
@@ -181,7 +194,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, weighted: bool) ->
 
     @F.pandas_udf("double")
     def alike(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, size, weighted) for x, y in zip(one, two, strict=True)], dtype=float)
+        out: list[float] = []
+        last, held = None, None  # the second join sorts by b, so its text comes again and again
+        for x, y in zip(one, two, strict=True):
+            if held is None or y != last:
+                last, held = y, _shingles(y, size)
+            out.append(_jaccard(_shingles(x, size), held, weighted))
+        return pd.Series(out, dtype=float)
 
     first = texts.select(F.col("rep").alias("a"), F.col("text").alias("one"))
     second = texts.select(F.col("rep").alias("b"), F.col("text").alias("two"))
@@ -190,9 +209,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, weighted: bool) ->
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(``rep, label``) of the texts that links (``a, b``) put in a class, written."""
+    """(``rep, label``) of the texts that links (``a, b``) put in a class, written; the label is one of its texts."""
     found = component_labels(links.select("a", "b"))
-    return cut_lineage(found.select(F.col("node").alias("rep"), (-1 - F.col("component")).alias("label")), "labels")
+    return cut_lineage(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+
+
+def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` where the new ``links`` (``a, b``) join classes, written: only these classes are gone through."""
+    ends = links.select("a", "b")
+    for end in "ab":
+        label = labels.select(F.col("rep").alias(end), F.col("label").alias(f"{end}_label"))
+        ends = ends.join(label, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    moved = _labels(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).toDF("label", "moved")
+    # a text without a class is its own label
+    single = moved.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("rep"), F.col("moved").alias("label"))
+    known = labels.join(moved, "label", "left").select("rep", F.coalesce("moved", "label").alias("label"))
+    return cut_lineage(known.union(single), "labels")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,39 +247,116 @@ def _narrower(members: DataFrame, done: int, bands: int) -> DataFrame:
     return members.select(F.explode(keys).alias("key"), *[c for c in members.columns if c != "key"])
 
 
-def _pairs_to_compare(members: DataFrame, buckets: DataFrame, alike: Column, first: bool, last: bool) -> DataFrame:
+def _differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many coordinates signatures given as bit planes (last axis) differ; the other axes are broadcast."""
+    words = one.shape[-1] // PLANES
+    one, two = one.view(np.uint64), two.view(np.uint64)  # bits of negative numbers are not counted as they are
+    differ = 0
+    for w in range(words):
+        bits = one[..., w] ^ two[..., w]
+        for p in range(1, PLANES):
+            bits |= one[..., p * words + w] ^ two[..., p * words + w]
+        differ = differ + np.bitwise_count(bits).astype(np.uint16)
+    return differ
+
+
+def _close_pairs(group: dict[str, np.ndarray], most: int, most_fine: int, one_band: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``rep`` of different labels between the tiles of a group, or within its only one, not told apart by their signatures;
+    ``one_band``: those of which the group's key is the smallest band they share."""
+    label, planes, fine, bands, rep = (group[c] for c in ("label", "planes", "fine", "bands", "rep"))
+    within = group["i"][0] == group["j"][0]
+    first, second = (np.flatnonzero(group["own"] == group[c][0]) for c in "ij")
+    if not len(second):
+        return
+    step = max(1, PAIRS // len(second))
+    for k in range(0, len(first), step):
+        some = first[k : k + step]
+        near = label[some, None] != label[None, second]
+        if within:
+            near &= some[:, None] < second[None, :]
+        if not near.any():
+            continue
+        near &= _differing(planes[some, None], planes[None, second]) <= most
+        x, y = np.nonzero(near)
+        for n in range(0, len(x), FINE_PAIRS):
+            a, b = some[x[n : n + FINE_PAIRS]], second[y[n : n + FINE_PAIRS]]
+            close = _differing(fine[a], fine[b]) <= most_fine
+            a, b = a[close], b[close]
+            if one_band:
+                shared = np.where(bands[a] == bands[b], bands[a], np.iinfo(np.int64).max).min(axis=1)
+                a, b = a[shared == group["key"][0]], b[shared == group["key"][0]]
+            if len(a):
+                yield np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+
+
+def _pairs_within(members: DataFrame, buckets: DataFrame, k: int, threshold: float, one_band: bool) -> DataFrame:
+    """Pairs (``a, b``) of different labels, not told apart by their signatures, of whole buckets (``key, n``) of any size.
+
+    A bucket is dealt into tiles of about ``TILE`` members; two tiles meet in one group of rows, so no task holds more than that
+    at once. ``one_band``: keys are bands, and a pair that shares several is taken in one.
+    """
+    most, most_fine = most_differing(k, threshold), most_differing(FINE, threshold)
+    placed = members.join(buckets.select("key", "n"), "key").withColumn("tiles", F.expr(f"cast(ceil(n / {TILE}) as int)"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    met = placed.withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+    dealt = met.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "planes", "fine", "bands"
+    )
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "rep")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            for a, b in _close_pairs(group, most, most_fine, one_band):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(close, "a long, b long").distinct()
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Stretches of rows with the same ``key, i, j`` out of sorted batches, lists as matrices; one stretch is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")]
+        starts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in place], axis=0)) + 1
+        edges = [0, *starts.tolist(), batch.num_rows]
+        if held and any(held[0].column(c)[0].as_py() != x[0] for c, x in zip(("key", "i", "j"), place, strict=True)):
+            yield _arrays(held)
+            held = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield _arrays(held)
+                held = []
+    if held:
+        yield _arrays(held)
+
+
+def _arrays(held: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    out = {}
+    for name in held[0].schema.names:
+        parts = [b.column(name) for b in held]
+        lists = isinstance(parts[0], pa.ListArray)
+        out[name] = np.concatenate([(x.flatten() if lists else x).to_numpy(zero_copy_only=False) for x in parts])
+        if lists:
+            out[name] = out[name].reshape(sum(len(x) for x in parts), -1)
+    return out
+
+
+def _pairs_to_compare(members: DataFrame, buckets: DataFrame, k: int, threshold: float, first: bool, last: bool) -> DataFrame:
     """Pairs (``a, b``) of different labels, not told apart by their signatures: every member of a bucket with its leader, and in
     small buckets (in the ``last`` round in all) everyone with everyone. Where buckets are bands, in the ``first`` round, the leader has
     been compared, and a pair that shares several is taken in one."""
-    carried = ("rep", "label", "planes", "fine", "bands")
-    if first:
-        alike = alike & (F.array_min(F.array_intersect("bands", "a_bands")) == F.col("key"))
-    placed = members.join(buckets, "key")
-    crowd = placed if last else placed.filter(F.col("n") <= SMALL)
-    others = crowd.select("key", *[F.col(c).alias(f"a_{c}") for c in carried])
-    met = crowd.join(others, "key").filter((F.col("a_rep") < F.col("rep")) & (F.col("label") != F.col("a_label")) & alike)
-    ends = [F.least("rep", "a_rep").alias("a"), F.greatest("rep", "a_rep").alias("b")]
-    if first:
-        return met.select(*ends).distinct()
+    met = _pairs_within(members, buckets if last else buckets.filter(F.col("n") <= SMALL), k, threshold, one_band=first)
+    if first or last:
+        return met
+    carried = ("rep", "label", "planes", "fine")
+    placed = members.join(buckets.filter(F.col("n") > SMALL), "key")
     leaders = placed.filter(F.col("rep") == F.col("leader")).select("key", *[F.col(c).alias(f"a_{c}") for c in carried])
+    alike = _resemble(k, threshold) & _resemble(FINE, threshold, "fine")
     led = placed.join(leaders, "key").filter((F.col("label") != F.col("a_label")) & alike)
-    return led.select(*ends).union(met.select(*ends)).distinct()
-
-
-def _pairs_of_the_rest(members: DataFrame, buckets: DataFrame, alike: Column) -> DataFrame:
-    """Pairs (``a, b``) of different labels, not told apart by their signatures, of whole buckets of any size, each in one band.
-
-    A bucket is dealt into tiles of about ``TILE`` members; two tiles meet in one group of rows, so no task holds more than that.
-    """
-    placed = members.join(buckets, "key").withColumn("tiles", F.expr(f"cast(ceil(n / {TILE}) as int)"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    carried = ("rep", "label", "planes", "fine", "bands")
-    one = placed.select("key", F.col("own").alias("i"), F.expr("explode(sequence(own, tiles - 1))").alias("j"), *carried)
-    two = placed.select("key", F.expr("explode(sequence(0, own))").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"a_{c}") for c in carried])
-    once = (F.col("i") < F.col("j")) | (F.col("a_rep") < F.col("rep"))
-    one_band = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("key")
-    met = one.join(two, ["key", "i", "j"]).filter(once & (F.col("label") != F.col("a_label")) & alike & one_band)
-    return met.select(F.least("rep", "a_rep").alias("a"), F.greatest("rep", "a_rep").alias("b")).distinct()
+    return led.select(F.least("rep", "a_rep").alias("a"), F.greatest("rep", "a_rep").alias("b")).union(met).distinct()
 
 
 def _classes(
@@ -262,13 +371,13 @@ def _classes(
     )
     band_rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = band_rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut_lineage(band_rows.join(cut_lineage(buckets, "buckets"), "key"), "members")
-    weights = cut_lineage(members.groupBy("rep").agg(F.sum("n").alias("weight")), "weights")
-    members = cut_lineage(members.join(weights, "rep"), "weighed")
+    placed = band_rows.join(buckets, "key")
+    held = placed.groupBy("rep").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("band", "key")).alias("placed"))
+    held = cut_lineage(held, "held")
+    members = held.select("rep", "weight", F.inline("placed"))
     first = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
-    first = cut_lineage(first.select("key", (-F.col("top.minus")).alias("a")), "leaders")
-    wanted = reps.join(weights.select("rep"), "rep").select("rep", "id", "sha")
-    wanted = cut_lineage(wanted, "wanted")
+    first = first.select("key", (-F.col("top.minus")).alias("a"))
+    wanted = reps.join(held.select("rep"), "rep").select("rep", "id", "sha")
     text = column(docs, text_column)
     own = docs.select(column(docs, id_column).alias("own_id"), text_digest(text).alias("own_sha"), text.alias("text"))
     same = own["own_id"].eqNullSafe(wanted["id"]) & (own["own_sha"] == wanted["sha"])
@@ -279,29 +388,40 @@ def _classes(
     compared = cut_lineage(_verified(cut_lineage(star.distinct(), "pairs"), texts, size, weighted), "compared")
     linked = F.col("s") >= threshold
     labels = _labels(compared.filter(linked))
-    named = _labelled(members.select("key", "band", "rep", "weight"), labels)
-    crowd = named.join(cut_lineage(_open_buckets(named, 2).select("key"), "open"), "key")
+    named = _labelled(members, labels)
+    buckets = cut_lineage(_open_buckets(named, 2), "open")
+    crowd = named.join(buckets.select("key"), "key")
     fine = texts.join(crowd.select("rep").distinct(), "rep").select("rep", fine_planes(F.col("text"), size, weighted).alias("fine"))
     crowd = cut_lineage(crowd.join(fine, "rep").join(reps.select("rep", "bands", "planes"), "rep"), "crowd")
-    alike = _resemble(bands * rows, threshold) & _resemble(FINE, threshold, "fine")
-    whole = crowd
+
+    def settled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All compared pairs and the labels, with these pairs."""
+        pairs = cut_lineage(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return compared, labels
+        found = cut_lineage(_verified(pairs, texts, size, weighted), "compared")
+        links = found.filter(linked)
+        return compared.union(found), labels if links.isEmpty() else _joined_labels(labels, links)
+
+    whole = None
     for done in range(ROUNDS):
-        buckets = cut_lineage(_open_buckets(crowd, 1), "open")
+        if done:
+            buckets = cut_lineage(_open_buckets(crowd, 1), "open")
         if buckets.isEmpty():
             break
-        pairs = _pairs_to_compare(crowd, buckets, alike, not done, done == ROUNDS - 1).join(compared, ["a", "b"], "left_anti")
-        compared = cut_lineage(compared.union(_verified(cut_lineage(pairs, "pairs"), texts, size, weighted)), "compared")
-        labels = _labels(compared.filter(linked))
-        large = crowd.drop("label").join(buckets.filter(F.col("n") > SMALL).select("key"), "key")
-        large = cut_lineage(_labelled(large, labels), "large")
+        compared, labels = settled(_pairs_to_compare(crowd, buckets, bands * rows, threshold, not done, done == ROUNDS - 1))
+        over = buckets.filter(F.col("n") > SMALL).select("key")
+        if over.isEmpty():
+            break
+        large = cut_lineage(_labelled(crowd.drop("label").join(over, "key"), labels), "large")
+        whole = large if whole is None else whole
         wide = large.join(_open_buckets(large, SMALL).select("key"), "key")
         crowd = cut_lineage(_narrower(wide, done, bands), "crowd")
-    whole = _labelled(whole.drop("label"), labels)
-    rest = cut_lineage(_open_buckets(whole, SMALL), "rest")
-    if not rest.isEmpty():
-        pairs = _pairs_of_the_rest(whole, rest, alike).join(compared, ["a", "b"], "left_anti")
-        compared = cut_lineage(compared.union(_verified(cut_lineage(pairs, "pairs"), texts, size, weighted)), "compared")
-        labels = _labels(compared.filter(linked))
+    if whole is not None:
+        whole = _labelled(whole.drop("label"), labels)
+        rest = cut_lineage(_open_buckets(whole, SMALL), "rest")
+        if not rest.isEmpty():
+            compared, labels = settled(_pairs_within(whole, rest, bands * rows, threshold, one_band=True))
     named = cut_lineage(_labelled(reps.select("content", "rep"), labels).select("content", "label"), "classes")
     return signed.select("id", "sha", "content"), named
 

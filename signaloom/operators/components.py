@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..session import cut_lineage
 from .hubs import HUB_ROWS, salted_join
@@ -40,9 +41,14 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates two star operations (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), which
     needs a logarithmic number of rounds on long chains too. Nodes are numbered first, by a hash without a join or,
-    should two of them share one, by distinct numbers, so that every round moves and aggregates 8-byte integers. Every neighbour minimum is pre-aggregated before the shuffle and joined back
+    should two of them share one, by distinct numbers, so that every round moves and aggregates 8-byte integers. Nodes that are
+    BIGINT are their own numbers. Every neighbour minimum is pre-aggregated before the shuffle and joined back
     with hub nodes salted. Raises rather than return labels that are not final.
     """
+    if all(isinstance(edges.schema[c].dataType, LongType) for c in "ab"):
+        current = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        stars, roots = _stars(cut_lineage(current, "edges"), max_rounds)
+        return stars.unionByName(roots).withColumnRenamed("id", "node")
     named = cut_lineage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     nodes = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # Written once: the numbers stay the same for every later reader.
@@ -52,27 +58,40 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if told_apart < total:
         numbers, ends = _numbered(named, nodes)
     current = cut_lineage(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    stars, roots = _stars(current, max_rounds)
+    return numbers.join(stars.unionByName(roots), "id").select("node", "component")
+
+
+def _stars(current: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(``id, component``) of the nodes of ``current`` (u > v), those that are not the smallest of their component, and those that are."""
+    total = None
     for _ in range(max_rounds):
-        edge_count, centres, degree = _extent(current)
+        edge_count, centres, degree, nodes = _extent(current)
+        total = nodes if total is None else total  # star steps keep every node
+        tasks = _tasks(current.sparkSession, edge_count)
         # Every component has at least one centre, and at least total - edges components exist: when both numbers
         # meet, each component is a star around its smallest node.
         if edge_count + centres == total:
             stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            return numbers.join(stars.unionByName(roots), "id").select("node", "component")
+            return stars, current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().coalesce(tasks)
         # no node has more edges after the first star than before, so this holds for both
         salted = degree >= HUB_DEGREE
         both_ways = current.select(_ends(("u", "v"), ("v", "u")))
         large = _star(both_ways, smaller_only=False, salted=salted)
-        current = cut_lineage(_star(large, smaller_only=True, salted=salted).distinct(), "edges")
+        current = cut_lineage(_star(large, smaller_only=True, salted=salted).distinct().coalesce(tasks), "edges")
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def _extent(edges: DataFrame) -> tuple[int, int, int]:
-    """How many edges and centres there are, and how many edges the node with most of them has."""
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """In how many tasks narrow rows are written: a small graph fills few of the shuffle's partitions, and each makes a file."""
+    return max(spark.sparkContext.defaultParallelism, rows // TASK_ROWS)
+
+
+def _extent(edges: DataFrame) -> tuple[int, int, int, int]:
+    """How many edges and centres there are, how many edges the node with most of them has, and how many nodes there are."""
     ends = edges.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.lit(n).alias("_v")) for n, c in enumerate("uv")])))
     nodes = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"))
-    found = nodes.agg(F.sum("_v"), F.count_if(F.col("_v") > 0), F.max("_n")).first()
+    found = nodes.agg(F.sum("_v"), F.count_if(F.col("_v") > 0), F.max("_n"), F.count(F.lit(1))).first()
     return tuple(n or 0 for n in found)
 
 
@@ -115,6 +134,8 @@ def _star(edges: DataFrame, smaller_only: bool, salted: bool) -> DataFrame:
     return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
+#: Edges a task writes, on the mean, at least, unless there are as many tasks as cores.
+TASK_ROWS = 100_000
 #: Nodes with at least this many edges are salted in the join back.
 HUB_DEGREE = 1_000_000
 

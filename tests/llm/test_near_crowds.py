@@ -90,6 +90,63 @@ def test_large_buckets_are_finished(spark, monkeypatch):
     assert got == classes(rows, links)
 
 
+def test_few_steps(spark, monkeypatch):
+    """Classes are worked out from the links of the leaders, then only from new links, and not at all where there are none."""
+    asked, once = [], near_dedup.component_labels
+    monkeypatch.setattr(near_dedup, "component_labels", lambda edges: asked.append(edges.count()) or once(edges))
+    for name, value in (("SMALL", 40), ("WIDE", 2), ("ROUNDS", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = crowd(random.Random(3), 150, 5, 12)
+    links = exact_links(rows)
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.label_near_duplicates(frame).collect()}
+    assert got == classes(rows, links)
+    assert all(asked) and sum(asked) <= len(links)  # each link is taken once
+
+
+@pytest.mark.parametrize(("tile", "batch"), [(7, 3), (1000, 64), (7, 10_000)])
+def test_pairs_of_tiles(spark, monkeypatch, tile, batch):
+    """Pairs of whole buckets are those that plain loops find, whatever the tiles and the batches of rows."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rnd, full = random.Random(4), np.random.default_rng(4)
+        planes, fine = (full.integers(-(2**63), 2**63, (3, near_dedup.PLANES * w)) for w in (1, 12))
+        rows = []
+        for i in range(90):
+            base = rnd.randrange(3)
+            signs, share = [], rnd.uniform(0.05, 0.2)
+            for x in (planes, fine):
+                mine = x[base].copy()
+                words = len(mine) // near_dedup.PLANES
+                mine[:words] ^= np.packbits(full.random(words * 64) < share).view(np.int64)
+                signs.append(mine.tolist())
+            bands = [rnd.choice([-5, 5]), rnd.choice([-8, 8])]
+            rows += [(key, i, rnd.choice([i, i % 9]), *signs, bands) for key in bands]
+        frame = spark.createDataFrame(rows, "key long, rep long, label long, planes array<long>, fine array<long>, bands array<long>")
+        buckets = frame.groupBy("key").count().withColumnRenamed("count", "n")
+        got = sorted(map(tuple, near_dedup._pairs_within(frame, buckets, 60, 0.8, one_band=True).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def differ(x, y):
+        words = len(x) // near_dedup.PLANES
+        bits = [0] * words
+        for n, (a, b) in enumerate(zip(x, y, strict=True)):
+            bits[n % words] |= (a ^ b) & (2**64 - 1)
+        return sum(b.bit_count() for b in bits)
+
+    want, met = set(), 0
+    for key, i, label, p, f, bands in rows:
+        for other, j, their, q, g, theirs in rows:
+            if key == other and i < j and label != their and key == min(set(bands) & set(theirs)):
+                met += 1
+                close = differ(p, q) <= near_dedup.most_differing(60, 0.8) and differ(f, g) <= near_dedup.most_differing(near_dedup.FINE, 0.8)
+                want |= {(i, j)} if close else set()
+    assert 0 < len(want) < met and got == sorted(want)
+
+
 @pytest.mark.parametrize("weighted", [True, False])
 def test_weights_count(spark, weighted):
     """A text and ten times the text share all shingles, but not their weights."""

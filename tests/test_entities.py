@@ -252,3 +252,14 @@ def test_many_edges_without_a_hub_are_not_salted(spark, monkeypatch):
     monkeypatch.setattr(components, "HUB_DEGREE", 1_000_000)
     monkeypatch.setattr(components, "_hashed", lambda node: F.pmod(F.xxhash64(node), F.lit(7)))
     assert groups() == want
+
+
+def test_components_of_numbers(spark, monkeypatch):
+    """BIGINT nodes are not numbered: labels are their smallest nodes, negative ones too, with and without hubs."""
+    pairs = [(k, k + 1) for k in range(-40, 40) if k % 20 != 19] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, None)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = {k: k // 20 * 20 for k in range(-40, 40)} | dict.fromkeys(range(100, 160), 100)
+    monkeypatch.setattr(components, "_hashed", None)
+    for hub in (1_000_000, 10):
+        monkeypatch.setattr(components, "HUB_DEGREE", hub)
+        assert {r["node"]: r["component"] for r in components.component_labels(edges).collect()} == want
