@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,18 +54,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def in_slices(texts: Iterable[str | None], characters: int = 4_000_000) -> Iterable[list[str | None]]:
-    """Consecutive texts, whole, in lists of about ``characters`` at most (or one text)."""
-    held: list[str | None] = []
-    size = 0
-    for text in texts:
-        n = len(text) if text else 0
-        if held and size + n > characters:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += n
-    if held:
-        yield held

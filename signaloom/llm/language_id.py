@@ -2,7 +2,7 @@
 
 Letters (with their combining marks) count in lower case, everything else is a word break. The model is one matrix of
 log-probabilities, n-gram buckets by languages, of a size fixed by the two parameters; it is broadcast, and each batch of
-texts is scored as a sparse product: the rows of its n-grams, summed text by text.
+texts is scored as a sparse product: the rows of its n-grams, summed text by text, some n-grams and languages at a time.
 
 A text that is null or has no letter gets ``und`` and score 0; so does every text when no labelled row was given. Texts
 are scored whole, very long ones in pieces that are added up. Ties go to the language that sorts first.
@@ -15,7 +15,7 @@ below a low quantile of the labelled rows, each judged by the counts of the othe
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, in_slices
+from .common import column
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -35,6 +35,10 @@ ROWS_PER_LANGUAGE = 25_000
 #: A model matrix larger than this is refused, because it is broadcast.
 MATRIX_MB = 256
 PIECE = 1 << 20
+#: So many n-grams are held at once (or those of one piece), and so many of their log-probabilities (or those of one language):
+#: a task needs no more memory besides its batch, however long the texts and however many the languages.
+AT_ONCE = 1 << 18
+CELLS = 1 << 20
 #: A text fits its language when its mean log-probability is no more than MARGIN (nats an n-gram) below this quantile.
 LEAST_QUANTILE = 0.01
 MARGIN = 1.5
@@ -81,6 +85,38 @@ def ngram_buckets(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BUCKE
         before = codes[-(max(orders) - 1) or len(codes) :]
 
 
+def gathered(
+    texts: Iterable[str | None], orders: tuple[int, ...], bits: int, at_once: int | None = None
+) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
+    """The n-grams of texts, about ``at_once`` at a time: bucket numbers, where each piece begins, the text it is of."""
+    most = at_once or AT_ONCE
+    ids: list[np.ndarray] = []
+    begins: list[int] = []
+    owners: list[int] = []
+    held = 0
+    for row, text in enumerate(texts):
+        for piece in ngram_buckets(text or "", orders, bits):
+            if not len(piece):
+                continue
+            if held and held + len(piece) > most:
+                yield np.concatenate(ids), begins, owners
+                ids, begins, owners, held = [], [], [], 0
+            ids.append(piece)
+            begins.append(held)
+            owners.append(row)
+            held += len(piece)
+    if ids:
+        yield np.concatenate(ids), begins, owners
+
+
+def ngram_counts(texts: Iterable[str | None], orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS) -> np.ndarray:
+    """How often each bucket occurs in all texts together."""
+    counts = np.zeros(1 << bits, np.int64)
+    for ids, _, _ in gathered(texts, orders, bits, max(AT_ONCE, 1 << bits)):
+        counts += np.bincount(ids, minlength=1 << bits)
+    return counts
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -92,19 +128,13 @@ class LanguageModel:
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods, texts by languages, and the number of n-grams of each text."""
-        ids, bounds, owners = [], [0], []
         out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        for row, text in enumerate(texts):
-            for piece in ngram_buckets(text or "", self.orders, self.bits):
-                if not len(piece):
-                    continue
-                ids.append(piece)
-                bounds.append(bounds[-1] + len(piece))
-                owners.append(row)
-                n[row] += len(piece)
-        if ids:
-            sums = np.add.reduceat(self.weights[np.concatenate(ids)], bounds[:-1], axis=0, dtype=np.float64)
-            np.add.at(out, owners, sums)
+        for ids, begins, owners in gathered(texts, self.orders, self.bits):
+            np.add.at(n, owners, np.diff([*begins, len(ids)]))
+            step = max(1, CELLS // len(ids))
+            for k in range(0, len(self.languages), step):
+                sums = np.add.reduceat(self.weights[:, k : k + step][ids], begins, axis=0, dtype=np.float64)
+                np.add.at(out[:, k : k + step], owners, sums)
         return out, n
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -129,11 +159,16 @@ class LanguageModel:
 
         ``size`` is the sum of the language's counts.
         """
-        pieces = list(ngram_buckets(text or "", self.orders, self.bits))
-        n = sum(map(len, pieces))
+        if len(text or "") * len(self.orders) > AT_ONCE:
+            counts = ngram_counts([text], self.orders, self.bits)
+            bucket = np.flatnonzero(counts)
+            own = counts[bucket]
+        else:
+            pieces = list(ngram_buckets(text or "", self.orders, self.bits))
+            bucket, own = np.unique(np.concatenate(pieces or [np.zeros(0, np.int32)]), return_counts=True)
+        n = int(own.sum())
         if not n:
             return np.nan
-        bucket, own = np.unique(np.concatenate(pieces), return_counts=True)
         whole = size + smoothing * (1 << self.bits)
         others = np.maximum(np.rint(np.exp(self.weights[bucket, k].astype(float)) * whole - smoothing) - own, 0)
         return float((own * np.log((others + smoothing) / (whole - n))).sum() / n)
@@ -176,10 +211,7 @@ def fit_language_model(
         counts = np.zeros((len(number), 1 << bits), np.int64)
         for batch in batches:
             for name, group in batch.groupby("lang"):
-                for texts in in_slices(group["text"]):
-                    pieces = [p for text in texts for p in ngram_buckets(text or "", orders, bits)]
-                    if pieces:
-                        counts[number[name]] += np.bincount(np.concatenate(pieces), minlength=1 << bits)
+                counts[number[name]] += ngram_counts(group["text"], orders, bits)
         k, bucket = np.nonzero(counts)
         yield pd.DataFrame({"k": k.astype(np.int32), "bucket": bucket.astype(np.int32), "n": counts[k, bucket]})
 
@@ -216,11 +248,7 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            found = [own.predict(part) for part in in_slices(texts, 1_000_000)]
-            yield pd.DataFrame({
-                "lang_pred": [x for names, _, _ in found for x in names],
-                "score": np.concatenate([s for _, s, _ in found]) if found else np.zeros(0),
-                "fits": np.concatenate([f for _, _, f in found]) if found else np.zeros(0, bool),
-            })
+            names, score, fits = own.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": score, "fits": fits})
 
     return predict.asNondeterministic()(text)
